@@ -87,7 +87,7 @@ def main(argv: list[str]) -> int:
             df = build(spark, folder)
             if name in sqls:
                 problems = compare(con, df, sqls[name])
-                note = "ok"
+                note = f"ok {con.execute('SELECT count(*) FROM (' + sqls[name] + ')').fetchone()[0]} rows"
             else:
                 problems, note = [], f"rows only: {df.count()}"
         except Exception as e:  # report and go on with the next query

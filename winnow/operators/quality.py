@@ -180,23 +180,43 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
     return one.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(df: DataFrame, column: str, fractions: list[float], bins: int = 1000) -> DataFrame:
+BIN_GROUPS = 32
+
+
+def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
     """Exact discrete quantiles without sorting the table in one task.
 
-    The rows shrink to one row per distinct value. A sketch then gives bin
-    edges of about equal weight; only the bin totals are scanned in order, and
-    only the bins that hold a wanted rank are sorted by value.
+    The rows shrink to one row per distinct value. A sketch then gives the edges
+    of 32 times 32 bins of about equal weight; only the bin totals are scanned
+    in order, and only the bins that hold a wanted rank are sorted by value.
     """
+    bins = BIN_GROUPS * BIN_GROUPS
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count("*").alias("n")
     )
-    edges = df.agg(
-        F.percentile_approx(column, [i / bins for i in range(1, bins)], 10 * bins).alias("edges")
+    sketch = df.agg(
+        F.percentile_approx(column, [i / bins for i in range(1, bins)], 10 * bins).alias("fine")
     )
-    binned = counts.withColumn(
-        "bin", F.size(F.filter(F.coalesce(edges.scalar(), F.array()), lambda e: e < F.col("v")))
+    every = F.transform(
+        F.sequence(F.lit(1), F.lit(BIN_GROUPS - 1)), lambda k: F.element_at("fine", k * BIN_GROUPS)
+    )
+    edges = sketch.select(F.struct("fine", every.alias("coarse"))).scalar()
+    # edges below the value: whole groups first, then within the next group
+    binned = (
+        counts.withColumn("_e", edges)
+        .withColumn("_g", BIN_GROUPS * F.size(F.filter("_e.coarse", lambda e: e < F.col("v"))))
+        .withColumn(
+            "bin",
+            F.col("_g")
+            + F.size(
+                F.filter(
+                    F.slice("_e.fine", F.col("_g") + 1, F.lit(BIN_GROUPS)), lambda e: e < F.col("v")
+                )
+            ),
+        )
+        .select("v", "n", "bin")
     )
-    # at most ``bins`` rows from here on
+    # at most 1024 rows from here on
     by_bin = binned.groupBy("bin").agg(F.sum("n").alias("n_bin"))
     upto = W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(F.lit(0))

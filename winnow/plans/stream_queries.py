@@ -1 +1,328 @@
-"""."""
+"""Event streams and user code, each run to its end and read back as a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from winnow.functions.text import trim_space
+from winnow.operators import hooks
+from winnow.operators.packs import cloud, containers, infra, stacks
+from winnow.plans.registry import Source, query
+from winnow.plans.text_queries import _rule_sql, epoch_micros, lines_sql
+from winnow.sources.scratch import scratch_dir
+from winnow.streaming import events as ev
+
+# ── routing, tails, counts ───────────────────────────────────────────────────
+
+_PROPS = "k bigint"
+
+
+@query(
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS sum_k
+       FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY event_type"""
+)
+def routed_events(src: Source) -> DataFrame:
+    """Three event types, each handed to its own consumer with a typed payload."""
+    folder = scratch_dir(src.spark, "routes")
+    kinds = ["click", "error", "purchase"]
+
+    def consumer(kind: str):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            target = f"{folder}/out/event_type={kind}/batch_id={batch_id}"
+            batch.write.mode("overwrite").parquet(target)
+
+        return write
+
+    stream = ev.read_stream(src.spark, src.folder, "events")
+    ev.route_events(
+        stream, {k: _PROPS for k in kinds}, {k: consumer(k) for k in kinds}, f"{folder}/checkpoint"
+    )
+    routed = src.spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/*/*")
+    return routed.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
+
+
+@query("SELECT event_id, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_type = 'signup'")
+def typed_signups(src: Source) -> DataFrame:
+    typed = ev.typed_events(src("events"), "signup", _PROPS)
+    return typed.select("event_id", "user_id", "k")
+
+
+@query(
+    """SELECT event_id, event_type FROM events
+       WHERE contains(event_type, 'err') AND ts >= TIMESTAMP '2024-01-10 00:00:00'"""
+)
+def tailed_logs(src: Source) -> DataFrame:
+    stream = ev.read_stream(src.spark, src.folder, "events")
+    start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    tail = ev.tail_logs(stream, "err", start, message="event_type")
+    return ev.sink_table(tail.select("event_id", "event_type"), "tail").drop("batch_id")
+
+
+@query(
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour,
+              CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS outcome,
+              count(*) AS n
+       FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY 1, 2"""
+)
+def hourly_outcomes(src: Source) -> DataFrame:
+    stream = ev.read_stream(src.spark, src.folder, "events")
+    outcomes = {"signup": "started", "purchase": "done", "error": "failed"}
+    updates = ev.sink_table(ev.outcome_counts(stream, outcomes), "outcomes", mode="update")
+    latest = ev.latest_counts(updates)
+    return latest.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
+
+
+# ── throttling ───────────────────────────────────────────────────────────────
+
+_SIX_HOURS = 6 * 3600 * 1_000_000
+
+
+def _throttle_sql(width: int, name: str) -> str:
+    return f"""WITH RECURSIVE e AS (
+         SELECT {name} AS id, epoch_us(ts) AS t FROM events),
+       fired AS (
+         SELECT id, min(t) AS opened FROM e GROUP BY id
+         UNION ALL
+         SELECT id, opened FROM (
+           SELECT f.id, (SELECT min(t) FROM e WHERE e.id = f.id AND e.t >= f.opened + {width}) AS opened FROM fired f) n
+         WHERE opened IS NOT NULL)
+       SELECT id, opened, opened + {width} AS fired FROM fired"""
+
+
+@query(_throttle_sql(_SIX_HOURS, "user_id"))
+def throttled_users(src: Source) -> DataFrame:
+    timed = src("events").select(F.col("user_id").alias("id"), epoch_micros("ts").alias("micros"))
+    return ev.throttle(timed, ["id"], "micros", _SIX_HOURS)
+
+
+@query(_throttle_sql(_SIX_HOURS, "0::BIGINT"))
+def throttled_single_key(src: Source) -> DataFrame:
+    """One key that holds every row: the blocks keep it spread over tasks."""
+    timed = src("events").select(F.lit(0).cast("bigint").alias("id"), epoch_micros("ts").alias("micros"))
+    return ev.throttle(timed, ["id"], "micros", _SIX_HOURS, block=2 * _SIX_HOURS)
+
+
+@query(_throttle_sql(_SIX_HOURS, "user_id"))
+def throttled_stream(src: Source) -> DataFrame:
+    stream = ev.read_stream(src.spark, src.folder, "events")
+    timed = stream.select(F.col("user_id").alias("id"), epoch_micros("ts").alias("micros"))
+    with ev.rocksdb_state(src.spark):
+        return ev.sink_table(ev.throttle_stream(timed, "id", "micros", _SIX_HOURS), "throttle").drop(
+            "batch_id"
+        )
+
+
+# ── state changes ────────────────────────────────────────────────────────────
+
+_CHANGES = """SELECT user_id, event_id, CASE WHEN active THEN 'activated' ELSE 'deactivated' END AS change
+       FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY user_id ORDER BY ts, event_id), FALSE) AS before
+             FROM <<activations>>) a WHERE active <> before"""
+
+
+@query(_CHANGES)
+def activation_changes(src: Source) -> DataFrame:
+    changes = ev.activation_changes(
+        src("activations"), "user_id", "active", ["ts", "event_id"], F.date_trunc("day", "ts")
+    )
+    return changes.select("user_id", "event_id", "change")
+
+
+@query(_CHANGES)
+def activation_change_stream(src: Source) -> DataFrame:
+    stream = ev.read_stream(src.spark, src.folder, "events")
+    flagged = stream.select("user_id", "ts", "event_id", (F.col("value") > 34.59).alias("active"))
+    with ev.rocksdb_state(src.spark):
+        changes = ev.activation_stream(flagged, "user_id", "active", ["ts", "event_id"])
+        return ev.sink_table(changes, "activation").select("user_id", "event_id", "change")
+
+
+# ── chunk assembly ───────────────────────────────────────────────────────────
+
+PIECE, CHUNK = 20, 33
+
+
+def answer_chunks(src: Source) -> DataFrame:
+    """Each message as a stream of JSON lines, cut into chunks that ignore line ends.
+
+    Even turns are plain JSON lines, odd turns ``data:`` lines with blank lines,
+    a line that is not JSON and a closing mark.
+    """
+    n_pieces = F.greatest(F.ceil(F.length("text") / PIECE), F.lit(1)).cast("int")
+    pieces = F.transform(
+        F.sequence(F.lit(0), n_pieces - 1), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))
+    )
+    plain = F.transform(
+        pieces, lambda p: F.to_json(F.struct(F.struct(p.alias("content")).alias("message")))
+    )
+    events = F.transform(
+        pieces,
+        lambda p: F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(p.alias("text")).alias("delta")))),
+    )
+    body = F.when(F.col("turn") % 2 == 0, F.array_join(plain, "\n")).otherwise(
+        F.concat(F.lit("data: {oops\n\n"), F.array_join(events, "\n\n"), F.lit("\ndata: [DONE]\n"))
+    )
+    cut = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / CHUNK).cast("int"))
+    return (
+        src("conversations")
+        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), body.alias("body"))
+        .select("request", "body", F.explode(cut).alias("seq"))
+        .select(
+            "request", "seq", F.substring("body", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data")
+        )
+    )
+
+
+@query("SELECT conv_id * 1000 + turn AS request, text FROM conversations WHERE text <> ''")
+def answers_assembled(src: Source) -> DataFrame:
+    return ev.assemble_text(answer_chunks(src))
+
+
+@query(
+    """SELECT conv_id * 1000 + turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
+              + CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_lines
+       FROM conversations WHERE text <> ''"""
+)
+def answer_lines(src: Source) -> DataFrame:
+    lines = ev.assemble_lines(answer_chunks(src))
+    return lines.groupBy("request").agg(F.count("*").alias("n_lines"))
+
+
+@query(
+    """SELECT conv_id * 1000 + turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
+              + CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_lines
+       FROM conversations WHERE text <> ''"""
+)
+def answer_line_stream(src: Source) -> DataFrame:
+    """The chunks as a stream; plain answers get a final newline so that their last line ends."""
+    folder = scratch_dir(src.spark, "chunks")
+    chunks = answer_chunks(src)
+    last = chunks.groupBy("request").agg((F.max("seq") + 1).alias("seq"), F.lit("\n").alias("data"))
+    chunks.unionByName(last).write.parquet(f"{folder}/in")
+    stream = src.spark.readStream.schema("request bigint, seq int, data string").parquet(f"{folder}/in")
+    with ev.rocksdb_state(src.spark):
+        lines = ev.sink_table(ev.assemble_stream(stream), "lines")
+    return lines.groupBy("request").agg(F.count("*").alias("n_lines"))
+
+
+# ── rescans and new files ────────────────────────────────────────────────────
+
+
+@query(
+    """SELECT rule_id, count(*) AS n FROM (%s) f GROUP BY rule_id"""
+    % _rule_sql(
+        lines_sql(
+            "(SELECT path, CASE WHEN path LIKE '%1.py' THEN 'import os' || chr(10) || 'h = hashlib.md5(x)' ELSE content END AS content"
+            " FROM <<risky_files>>) r",
+            "path",
+            "content",
+        ),
+        "path",
+    )
+)
+def rescanned_files(src: Source) -> DataFrame:
+    """All files arrive, then some arrive again with new content; the newest findings count."""
+    folder = scratch_dir(src.spark, "rescan")
+    files = src("risky_files").select("path", "content")
+    saved = files.filter(F.endswith("path", F.lit("1.py"))).withColumn(
+        "content", F.lit("import os\nh = hashlib.md5(x)")
+    )
+    arriving, store = f"{folder}/arriving", f"{folder}/store"
+    for batch in (files, saved):
+        batch.write.mode("append").parquet(arriving)
+        stream = ev.incremental_files(src.spark, arriving, files.schema)
+        ev.incremental_scan(stream, store, f"{folder}/checkpoint")
+    current = ev.current_findings(src.spark, store)
+    return current.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def new_files_only(src: Source) -> DataFrame:
+    """Three arrivals, one run after each; every file is read exactly once."""
+    folder = scratch_dir(src.spark, "arrivals")
+    events = src("events").select("event_id", "event_type")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = ev.incremental_files(src.spark, f"{folder}/in", events.schema)
+        ev.run_to_end(stream, _numbered(f"{folder}/out"), f"{folder}/checkpoint")
+    seen = src.spark.read.parquet(f"{folder}/out")
+    return seen.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _numbered(path: str):
+    return ev.write_batch(path)
+
+
+# ── user code ────────────────────────────────────────────────────────────────
+
+
+def _rewrite(content: str, path: str, language: str) -> str:
+    """Rewrite the Python files; SQL files come back empty, others as they are; one kind fails."""
+    if language == "python":
+        return content.replace("the ", "THE_")
+    if language == "sql":
+        return ""
+    if language == "javascript" and "token" in content:
+        raise ValueError(path)
+    return content
+
+
+@query(
+    """SELECT CASE WHEN path LIKE '%.py' AND contains(content, 'the ') THEN 'changed'
+                   WHEN path LIKE '%.js' AND contains(content, 'token') THEN 'failed' ELSE 'unchanged' END AS status,
+              count(*) AS n_files
+       FROM <<files>> WHERE path NOT LIKE '%.md' GROUP BY 1"""
+)
+def transform_status(src: Source) -> DataFrame:
+    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
+    return hooks.transform_counts(done)
+
+
+@query(
+    """SELECT path, CASE WHEN path LIKE '%.py' THEN replace(content, 'the ', 'THE_') ELSE content END AS content
+       FROM <<files>> WHERE path NOT LIKE '%.md'"""
+)
+def transformed_files(src: Source) -> DataFrame:
+    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
+    return done.select("path", "content")
+
+
+@query(
+    """SELECT key, line FROM (
+         SELECT 'k8s' AS key, '- kind ' || kind AS line FROM (
+           SELECT unnest(regexp_extract_all(content, '(?m)^kind:\\s*(\\S+)', 1)) AS kind FROM <<ws_files>>
+           WHERE path LIKE '%.yaml' AND contains(content, 'apiVersion')) a
+         UNION ALL SELECT 'providers', '- ' || p FROM (
+           SELECT DISTINCT unnest(regexp_extract_all(content, 'provider\\s+"([^"]+)"', 1)) AS p FROM <<ws_files>> WHERE path LIKE '%.tf') b
+         UNION ALL SELECT 'stacks', '- ' || ws || ': terraform' FROM (
+           SELECT DISTINCT ws FROM <<ws_files>> WHERE path LIKE '%.tf') c) h"""
+)
+def hook_report(src: Source) -> DataFrame:
+    """Lines of three collectors; a fourth that asks for a missing column is skipped."""
+    dash = lambda c: F.concat(F.lit("- "), c)
+    selected = [
+        hooks.Hook("k8s", containers.k8s_manifests, lambda: dash(F.concat(F.lit("kind "), "kind"))),
+        hooks.Hook("providers", infra.tf_providers, lambda: dash(F.col("provider"))),
+        hooks.Hook(
+            "stacks",
+            lambda files: stacks.detect_stacks(files).filter(F.col("stack") == "terraform"),
+            lambda: dash(F.concat(F.col("ws").cast("string"), F.lit(": "), "stack")),
+        ),
+        hooks.Hook("broken", cloud.gcp_function_files, lambda: F.col("no_such_column")),
+    ]
+    return hooks.hook_lines(src("ws_files"), selected)
+
+
+@query(
+    """SELECT doc_id, substr(replace(trim(regexp_replace(text, '[0-9]+', '#', 'g'), chr(9) || chr(10) || ' '), 'an', 'AN'), 1, 100) AS text
+       FROM documents WHERE lang = 'en'"""
+)
+def chained_rewrites(src: Source) -> DataFrame:
+    """Rewriters in order, each on the result of the one before."""
+    steps = [
+        lambda df: df.filter(F.col("lang") == "en").select("doc_id", "text"),
+        lambda df: df.withColumn("text", F.regexp_replace("text", "[0-9]+", "#")),
+        lambda df: df.withColumn("text", F.replace(trim_space("text"), F.lit("an"), F.lit("AN"))),
+        lambda df: df.withColumn("text", F.left("text", F.lit(100))),
+    ]
+    return hooks.chain(src("documents"), steps)

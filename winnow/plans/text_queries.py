@@ -48,7 +48,7 @@ def scan_text_tree(src: Source) -> DataFrame:
 
 
 @query(
-    """SELECT path, CASE WHEN path LIKE '%.js' THEN upper(content) ELSE content END AS content FROM <<files>>
+    """SELECT path, CASE WHEN path LIKE '%.js' THEN replace(content, 'e', 'E') ELSE content END AS content FROM <<files>>
        UNION ALL SELECT concat('new/', path), content FROM <<files>> WHERE path LIKE '%.sql'"""
 )
 def write_and_replace_files(src: Source) -> DataFrame:
@@ -56,7 +56,9 @@ def write_and_replace_files(src: Source) -> DataFrame:
     store = scratch_dir(src.spark, "files")
     files = src("files").select("path", "content")
     file_source.write_files(files, store)
-    replaced = files.filter(F.endswith("path", F.lit(".js"))).withColumn("content", F.upper("content"))
+    replaced = files.filter(F.endswith("path", F.lit(".js"))).withColumn(
+        "content", F.replace("content", F.lit("e"), F.lit("E"))
+    )
     added = files.filter(F.endswith("path", F.lit(".sql"))).withColumn(
         "path", F.concat(F.lit("new/"), "path")
     )
@@ -193,25 +195,36 @@ def lines_without_comments(src: Source) -> DataFrame:
     return scan.drop_comment_lines(scan.explode_lines(src("generated"), "text"))
 
 
+# look-ahead stated with plain patterns; the same for lines with one such call
+_NO_LOOKAHEAD = {
+    15: (
+        r"\bexec\s*\(\s*",
+        r"(?:\/\/|#|\/\*|\*)\s*.*\bexec\b|\bexec\s*\([\"'](?:git|ls|dir|cd|make|npm|pip|python|bash|sh)\b",
+    ),
+    16: (
+        r"http:\/\/",
+        r"(?i)(?:example\.com|test|localhost|placeholder|todo|fixme|schema|namespace|xmlns|dtd|w3\.org|ietf\.org)"
+        r"|http:\/\/(?:localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])",
+    ),
+    19: (r"hashlib\.sha1\s*\(", r"(?i)(?:git|content.address|deduplicate)"),
+}
+_CHECKSUM = "regexp_matches(line, '(?i)checksum') AND NOT regexp_matches(line, '(?i)checksum.*password')"
+
+
 def _rule_sql(lines: str, keys: str) -> str:
     """One SELECT per rule that a regular-expression engine without look-ahead can run."""
     parts = []
     for r in SCAN_RULES:
-        if r.rule_id == 15:
-            continue  # look-ahead; no line of the scanned tables calls exec
-        pattern, exclude = r.pattern, r.exclude
-        if r.rule_id == 16:
-            pattern = r"http:\/\/"
-            exclude = exclude + r"|http:\/\/(?:localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])"
-        if r.rule_id == 19:
-            exclude = None
-        start = f"length(regexp_extract(line, {_quote('^(.*?)(?:' + pattern + ')')}, 1))"
-        if pattern.startswith("(?i)"):
-            start = f"length(regexp_extract(line, {_quote('(?i)^(.*?)(?:' + pattern[4:] + ')')}, 1))"
+        pattern, exclude = _NO_LOOKAHEAD.get(r.rule_id, (r.pattern, r.exclude))
+        flags = "(?i)" if pattern.startswith("(?i)") else ""
+        before = f"{flags}^(.*?)(?:{pattern.removeprefix('(?i)')})"
+        start = f"length(regexp_extract(line, {_quote(before)}, 1))"
         hit = f"regexp_extract(line, {_quote(pattern)})"
         where = f"regexp_matches(line, {_quote(pattern)})"
         if exclude:
             where += f" AND NOT regexp_matches(line, {_quote(exclude)})"
+        if r.rule_id == 19:
+            where += f" AND NOT ({_CHECKSUM})"
         parts.append(
             f"""SELECT {keys}, line_no, CAST({r.rule_id} AS INTEGER) AS rule_id,
                        CAST({start} AS INTEGER) AS "column",
@@ -251,6 +264,26 @@ def security_scan_settings(src: Source) -> DataFrame:
     return scan.security_scan(src("settings_texts"))
 
 
+@query(_rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path"))
+def security_scan_code(src: Source) -> DataFrame:
+    return scan.security_scan(src("risky_files"))
+
+
+@query(
+    """SELECT CAST(min(rule_id) AS INTEGER) AS first_rule, CAST(max(rule_id) AS INTEGER) AS last_rule,
+              count(DISTINCT rule_id) AS n_rules, count(*) AS n_findings FROM (%s) f"""
+    % _rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path")
+)
+def rules_that_fire(src: Source) -> DataFrame:
+    found = scan.security_scan(src("risky_files"))
+    return found.agg(
+        F.min("rule_id").alias("first_rule"),
+        F.max("rule_id").alias("last_rule"),
+        F.countDistinct("rule_id").alias("n_rules"),
+        F.count("*").alias("n_findings"),
+    )
+
+
 CODE = "SELECT path, content FROM <<api_files>> UNION ALL SELECT path, content FROM <<ws_files>> UNION ALL SELECT path, content FROM <<files>>"
 
 

@@ -241,6 +241,52 @@ RENDERED: dict[str, dict] = {
             'variable "u<p_partkey>" {\n  default = <p_size>\n  }',
         ],
     ),
+    "risky_files": rendered(
+        "orders", "o_orderkey", 7, "app/o<grp>.py",
+        [
+            "password = \"secret<o_orderkey>\"",
+            "  passwd='<o_orderstatus>'  # short",
+            "pwd = os.environ['PWD<o_custkey>'] or 'abcdef'",
+            "# password = \"commented<o_orderkey>\"",
+            "api_key = \"sk-<o_orderkey>-1234567890\"",
+            "access_token='tok'",
+            "AWS_SECRET_ACCESS_KEY = \"wJalrXUtnFEMI<o_custkey>\"",
+            "-----BEGIN RSA PRIVATE KEY-----",
+            "cursor.execute(\"SELECT <o_orderkey> \" + name)",
+            "cursor.execute(\"SELECT %s\" + name)",
+            "q = f\"SELECT * FROM t WHERE id = {user_<o_custkey>}\"",
+            "q = f'DELETE FROM t WHERE id = {x}'",
+            "sql = \"id = \" + req.params",
+            "sql = 'id = ' + userId + '<o_orderkey>'",
+            "el.innerHTML = x<o_orderkey>",
+            "y = 1 // el.innerHTML = x",
+            "document.write (x)",
+            "return div(dangerouslySetInnerHTML={v})",
+            "a = pickle.loads(data); b = pickle.load(f)",
+            "config = yaml.load(data)",
+            "config = yaml.load(data, Loader=yaml.SafeLoader)",
+            "result = eval (x<o_custkey>)",
+            "medieval(x)",
+            "subprocess.exec(cmd)",
+            "exec(\"git status\")",
+            "url = 'http://host<o_custkey>.net/a'",
+            "url = \"http://localhost:80\"; s = 'https://ok.org'",
+            "see http://example.com/x",
+            "ip = '10.0.<o_custkey % 256>.7' or '192.168.1.1'",
+            "ip = '172.20.1.<o_orderkey % 256>'; // note",
+            "h = hashlib.md5(x)",
+            "h = hashlib.sha1(x)",
+            "checksum = hashlib.sha1(x)",
+            "checksum of password = hashlib.sha1(x)",
+            "r = Math.random( )",
+            "colorIndex = Math.random()",
+            "cipher = DES.new(k); c2 = RC4",
+            "éDES cipher x, DESx",
+            "* DES in a list",
+            "plain line <o_orderpriority>",
+            "PASSWORD  =  'Abc<o_orderkey>' AND Blowfish http://a.b",
+        ],
+    ),
     "dockerfiles": rendered(
         "part", "p_partkey", 5, "svc/s<grp>/Dockerfile",
         [

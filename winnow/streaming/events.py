@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -76,7 +77,7 @@ def sink_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFra
     """Run a stream to its end into a table on shared storage and read the table back."""
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     run_to_end(stream, write_batch(f"{folder}/table"), f"{folder}/checkpoint", mode)
     return spark.read.schema(schema).option("basePath", f"{folder}/table").parquet(f"{folder}/table/*")
 
@@ -234,6 +235,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Use the state store that arbitrary stateful operators need, for queries started inside."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def throttle_stream(stream: DataFrame, key: str, micros: str, width: int = THROTTLE_MICROS) -> DataFrame:
     """Throttle as a stateful stream. The session must use the RocksDB state store.
 
@@ -442,6 +457,8 @@ def outcome_counts(
     named = stream.withColumn("outcome", F.try_element_at(F.create_map(*pairs), F.col(type_column)))
     return (
         named.filter(F.col("outcome").isNotNull())
+        # event time must carry a zone; a plain time is read in the session zone
+        .withColumn(ts, F.col(ts).cast("timestamp"))
         .withWatermark(ts, "10 minutes")
         .groupBy(F.window(ts, "1 hour"), "outcome")
         .agg(F.count("*").alias("n"))
