@@ -6,6 +6,8 @@ Lengths and positions are counted in code points, which is what Spark's
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,9 +109,9 @@ def match_position(c: Column | str, pattern: str) -> Column:
     return F.length(F.split(as_col(c), pattern, 2)[0])
 
 
-def case_insensitive_contains(lowered: Column, words: list[str]) -> Column:
-    """True where an already lowered column holds any of the words."""
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(lowered, F.lit(word))
+def holds_any(c: Column | str, literals: Iterable[str]) -> Column:
+    """True where the text holds any of the literals."""
+    c, test = as_col(c), F.lit(False)
+    for word in literals:
+        test = test | F.contains(c, F.lit(word))
     return test

@@ -40,26 +40,26 @@ def generated_files(
     """
     base = base.strip("/")
 
-    def style(pattern: str) -> Column:
-        pairs = F.arrays_zip(
-            all_groups(text, pattern, 1).alias("name"), all_groups(text, pattern, 2).alias("body")
-        )
+    def style(pattern: str, mark: str) -> Column:
+        """Safe files of one style; the pattern only runs where its mark occurs."""
+        # the long text is searched once; name and body are read from each match
         files = F.transform(
-            pairs,
-            lambda p: F.struct(
-                resolve(F.concat(F.lit(base + "/"), p["name"])).alias("path"),
-                trim_space(p["body"]).alias("content"),
+            all_groups(text, pattern, 0),
+            lambda m: F.struct(
+                resolve(F.concat(F.lit(base + "/"), F.regexp_extract(m, pattern, 1))).alias("path"),
+                trim_space(F.regexp_extract(m, pattern, 2)).alias("content"),
             ),
         )
-        return F.filter(files, lambda f: is_safe(f["path"], base))
+        safe = F.filter(files, lambda f: is_safe(f["path"], base))
+        return F.when(F.contains(text, F.lit(mark)), safe).otherwise(F.array())
 
     whole = F.array(
         F.struct(F.lit(f"{base}/{FALLBACK_NAME}").alias("path"), strip_fences(text).alias("content"))
     )
     found = (
-        df.withColumn("_s1", style(FENCED_FILE))
-        .withColumn("_s2", style(COMMENT_FILE))
-        .withColumn("_s3", style(RULE_FILE))
+        df.withColumn("_s1", style(FENCED_FILE, "```"))
+        .withColumn("_s2", style(COMMENT_FILE, "."))
+        .withColumn("_s3", style(RULE_FILE, "==="))
     )
     chosen = (
         F.when(F.size("_s1") > 0, F.col("_s1"))

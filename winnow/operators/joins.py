@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.paths import base_name, dir_name, resolve, short_name, stem
-from winnow.functions.text import all_groups
+from winnow.functions.text import all_groups, holds_any
 from winnow.operators.skew import top_per_key
 
 # Import statement pattern and the suffixes tried in order.
@@ -52,7 +52,7 @@ def siblings(files: DataFrame, limit: int = 5, path: str = "path") -> DataFrame:
 def import_targets(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Files reached by relative imports; the first suffix that exists wins, no duplicates."""
     calls = (
-        files.filter(F.rlike(content, F.lit(r"import|require|from")))
+        files.filter(holds_any(content, ["import", "require", "from"]))
         .select(
             F.col(path).alias("path"),
             F.posexplode(all_groups(content, IMPORT_PATTERN)).alias("pos", "spec"),

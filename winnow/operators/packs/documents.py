@@ -9,31 +9,32 @@ from pyspark.sql import functions as F
 SHOWN_FIELDS = 10
 
 
-def _json_type(value: Column) -> Column:
-    """Type label of a raw JSON value."""
-    return (
-        F.when(F.rlike(value, F.lit(r'^\s*"')), "string")
-        .when(F.rlike(value, F.lit(r"^\s*-?\d+\s*$")), "integer")
-        .when(F.rlike(value, F.lit(r"^\s*(?:true|false)\s*$")), "boolean")
-        .when(F.rlike(value, F.lit(r"^\s*\{")), "map")
-        .when(F.rlike(value, F.lit(r"^\s*\[")), "array")
-        .otherwise("unknown")
+# Inferred SQL type to type label.
+TYPE_LABELS = {"STRING": "string", "BIGINT": "integer", "BOOLEAN": "boolean"}
+
+
+def _type_label(value: Column) -> Column:
+    """Type label of a variant value."""
+    kind = F.schema_of_variant(value)
+    out = F.when(F.startswith(kind, F.lit("OBJECT")), "map").when(
+        F.startswith(kind, F.lit("ARRAY")), "array"
     )
+    for sql_type, label in TYPE_LABELS.items():
+        out = out.when(kind == sql_type, label)
+    return out.otherwise("unknown")
 
 
 def field_types(docs: DataFrame, key: str = "doc_id", json: str = "doc", shown: int = SHOWN_FIELDS) -> DataFrame:
     """Per document, its first field names with inferred types and the count of further fields.
 
-    Values are read as variants, so their JSON text tells the type.
+    Each document is parsed once into variants, which carry their types.
     """
     names = F.json_object_keys(json)
     values = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
     parsed = docs.select(key, names.alias("names"), values.alias("vals"))
     described = F.transform(
         F.slice("names", 1, shown),
-        lambda n: F.concat(
-            n, F.lit(" ("), _json_type(F.to_json(F.try_element_at("vals", n))), F.lit(")")
-        ),
+        lambda n: F.concat(n, F.lit(" ("), _type_label(F.try_element_at("vals", n)), F.lit(")")),
     )
     more = F.greatest(F.size("names") - shown, F.lit(0)).cast("bigint")
     return parsed.select(key, F.array_join(described, ", ").alias("fields"), more.alias("n_more"))

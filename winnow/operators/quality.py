@@ -180,61 +180,56 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
     return one.select(F.inline(F.array(*rows)))
 
 
-BIN_GROUPS = 32
+SKETCH_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
-    """Exact discrete quantiles without sorting the table in one task.
+def exact_quantiles(
+    df: DataFrame, column: str, fractions: list[float], accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """Exact discrete quantiles without sorting the table.
 
-    The rows shrink to one row per distinct value. A sketch then gives the edges
-    of 32 times 32 bins of about equal weight; only the bin totals are scanned
-    in order, and only the bins that hold a wanted rank are sorted by value.
+    A sketch whose rank error is at most 1 in ``accuracy`` brackets each
+    quantile between two values. Rows below a bracket are only counted; the few
+    rows inside it are grouped by value and ranked exactly.
     """
-    bins = BIN_GROUPS * BIN_GROUPS
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    sketch = df.agg(
-        F.percentile_approx(column, [i / bins for i in range(1, bins)], 10 * bins).alias("fine")
-    )
-    every = F.transform(
-        F.sequence(F.lit(1), F.lit(BIN_GROUPS - 1)), lambda k: F.element_at("fine", k * BIN_GROUPS)
-    )
-    edges = sketch.select(F.struct("fine", every.alias("coarse"))).scalar()
-    # edges below the value: whole groups first, then within the next group
-    binned = (
-        counts.withColumn("_e", edges)
-        .withColumn("_g", BIN_GROUPS * F.size(F.filter("_e.coarse", lambda e: e < F.col("v"))))
-        .withColumn(
-            "bin",
-            F.col("_g")
-            + F.size(
-                F.filter(
-                    F.slice("_e.fine", F.col("_g") + 1, F.lit(BIN_GROUPS)), lambda e: e < F.col("v")
-                )
-            ),
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    margin = 2.0 / accuracy
+    low = [max(f - margin, 0.0) for f in fractions]
+    high = [min(f + margin, 1.0) for f in fractions]
+    bracket = values.agg(
+        F.struct(
+            F.percentile_approx("v", low, accuracy).alias("low"),
+            F.percentile_approx("v", high, accuracy).alias("high"),
         )
-        .select("v", "n", "bin")
-    )
-    # at most 1024 rows from here on
-    by_bin = binned.groupBy("bin").agg(F.sum("n").alias("n_bin"))
-    upto = W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(F.lit(0))
-    placed = by_bin.select(
-        "bin",
-        (F.sum("n_bin").over(upto) - F.col("n_bin")).alias("before"),
-        F.col("n_bin"),
-        F.sum("n_bin").over(whole).alias("total"),
-    ).withColumn(
-        "q", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    ).withColumn("rank", F.greatest(F.ceil(F.col("q") * F.col("total")), F.lit(1)))
-    wanted = placed.filter(
-        (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n_bin"))
-    ).select("bin", "before", "q", "rank")
-    inside = W.partitionBy("bin", "q").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        binned.join(F.broadcast(wanted), "bin")
-        .withColumn("reached", F.col("before") + F.sum("n").over(inside))
-        .filter((F.col("reached") >= F.col("rank")) & (F.col("reached") - F.col("n") < F.col("rank")))
-        .select("q", F.col("v").alias("value"))
+    ).scalar()
+    placed = values.withColumn("b", bracket)
+    n = range(len(fractions))
+    counted = placed.agg(
+        F.struct(
+            F.count("*").alias("total"),
+            F.array(*[F.count_if(F.col("v") < F.col("b.low")[i]) for i in n]).alias("below"),
+        )
+    ).scalar()
+
+    def inside(i: int) -> Column:
+        return F.col("v").between(F.col("b.low")[i], F.col("b.high")[i])
+
+    any_inside = F.lit(False)
+    for i in n:
+        any_inside = any_inside | inside(i)
+    tagged = F.array(*[F.when(inside(i), F.lit(i)) for i in n])
+    grouped = (
+        placed.filter(any_inside)
+        .select("v", F.explode(tagged).alias("i"))
+        .filter(F.col("i").isNotNull())
+        .groupBy("i", "v")
+        .agg(F.count("*").alias("n"))
+        .withColumn("c", counted)
     )
+    q = F.array(*[F.lit(float(f)) for f in fractions])[F.col("i")]
+    rank = F.greatest(F.ceil(q * F.col("c.total")), F.lit(1))
+    upto = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = grouped.withColumn("reached", F.col("c.below")[F.col("i")] + F.sum("n").over(upto))
+    return reached.filter(
+        (F.col("reached") >= rank) & (F.col("reached") - F.col("n") < rank)
+    ).select(q.alias("q"), F.col("v").alias("value"))

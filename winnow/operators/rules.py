@@ -12,9 +12,15 @@ class ScanRule(NamedTuple):
     severity: str
     message: str
     exclude: str | None
-    # lower-case literals of which every match holds at least one
+    # literals of which every matching line holds at least one, as written
+    needs: tuple[str, ...]
+    # the same, but longer words; lower case where the pattern ignores case
     hints: tuple[str, ...]
 
+    @property
+    def ignores_case(self) -> bool:
+        return self.pattern.startswith("(?i)")
+
 
 # The 21 scan rules, in order.
 SCAN_RULES = [
@@ -25,6 +31,7 @@ SCAN_RULES = [
         "high",
         "Hardcoded password detected. Use environment variables or a secrets manager.",
         r"(?i)(?:os\.environ|os\.getenv|getenv|environ\[|secrets\.|vault|bcrypt|hash|_hash|hash_)",
+        ("=",),
         ("password", "passwd", "pwd"),
     ),
     ScanRule(
@@ -34,6 +41,7 @@ SCAN_RULES = [
         "high",
         "Hardcoded API key or secret detected. Use environment variables or a secrets manager.",
         r"(?i)(?:os\.environ|os\.getenv|getenv|environ\[|secrets\.|vault)",
+        ("=",),
         ("api_key", "apikey", "api_secret", "secret_key", "auth_token", "access_token"),
     ),
     ScanRule(
@@ -43,7 +51,8 @@ SCAN_RULES = [
         "high",
         "Hardcoded AWS credential detected. Use IAM roles or environment variables.",
         r"(?i)(?:os\.environ|os\.getenv|getenv|environ\[)",
-        ("aws_",),
+        ("=",),
+        ("AWS_",),
     ),
     ScanRule(
         4,
@@ -52,7 +61,8 @@ SCAN_RULES = [
         "high",
         "Private key material found in source code. Store keys in a secrets manager.",
         None,
-        ("-----begin",),
+        ("-----BEGIN",),
+        ("-----BEGIN",),
     ),
     ScanRule(
         5,
@@ -61,6 +71,7 @@ SCAN_RULES = [
         "high",
         "Potential SQL injection: string concatenation in SQL query. Use parameterized queries.",
         r"(?:%s|%d|\?|\$\d|:param)",
+        ("(",),
         ("execute", "query"),
     ),
     ScanRule(
@@ -70,6 +81,7 @@ SCAN_RULES = [
         "high",
         "Potential SQL injection: f-string used in SQL query. Use parameterized queries.",
         None,
+        ("{",),
         ("f\"select", "f'select"),
     ),
     ScanRule(
@@ -79,6 +91,7 @@ SCAN_RULES = [
         "high",
         "Potential SQL injection: f-string used in SQL mutation. Use parameterized queries.",
         None,
+        ("{",),
         ('f"', "f'"),
     ),
     ScanRule(
@@ -88,6 +101,7 @@ SCAN_RULES = [
         "high",
         "Potential SQL injection: user input concatenated into query string. Use parameterized queries.",
         None,
+        ("+",),
         ("req", "user"),
     ),
     ScanRule(
@@ -97,7 +111,8 @@ SCAN_RULES = [
         "high",
         "XSS risk: innerHTML assignment. Use textContent or sanitize input with DOMPurify.",
         r"(?:\/\/|\/\*|\*|#)\s*.*innerHTML",
-        (".innerhtml",),
+        ("=",),
+        (".innerHTML",),
     ),
     ScanRule(
         10,
@@ -106,6 +121,7 @@ SCAN_RULES = [
         "high",
         "XSS risk: document.write() injects raw HTML. Use safe DOM APIs instead.",
         None,
+        ("(",),
         ("document.write",),
     ),
     ScanRule(
@@ -115,7 +131,8 @@ SCAN_RULES = [
         "medium",
         "XSS risk: dangerouslySetInnerHTML. Ensure value is sanitized before use.",
         None,
-        ("dangerouslysetinnerhtml",),
+        ("=",),
+        ("dangerouslySetInnerHTML",),
     ),
     ScanRule(
         12,
@@ -124,6 +141,7 @@ SCAN_RULES = [
         "high",
         "Insecure deserialization: pickle.load() can execute arbitrary code. Use JSON or a safe format.",
         None,
+        ("(",),
         ("pickle.load",),
     ),
     ScanRule(
@@ -133,6 +151,7 @@ SCAN_RULES = [
         "high",
         "Insecure deserialization: yaml.load() without SafeLoader. Use yaml.safe_load() instead.",
         r"yaml\.safe_load|Loader\s*=\s*yaml\.SafeLoader",
+        ("(",),
         ("yaml.load",),
     ),
     ScanRule(
@@ -142,6 +161,7 @@ SCAN_RULES = [
         "high",
         "Dangerous eval() call. Avoid executing dynamic code from untrusted input.",
         r"(?:\/\/|#|\/\*|\*)\s*.*\beval\b",
+        ("(",),
         ("eval",),
     ),
     ScanRule(
@@ -151,6 +171,7 @@ SCAN_RULES = [
         "medium",
         "Potentially unsafe exec() call. Validate input before executing dynamic code.",
         r"(?:\/\/|#|\/\*|\*)\s*.*\bexec\b",
+        ("(",),
         ("exec",),
     ),
     ScanRule(
@@ -161,6 +182,7 @@ SCAN_RULES = [
         "Insecure HTTP URL detected. Use HTTPS to encrypt data in transit.",
         r"(?i)(?:example\.com|test|localhost|placeholder|todo|fixme|schema|namespace|xmlns|dtd|w3\.org|ietf\.org)",
         ("http://",),
+        ("http://",),
     ),
     ScanRule(
         17,
@@ -170,6 +192,7 @@ SCAN_RULES = [
         "Hardcoded private IP address detected. Use configuration or service discovery instead.",
         r"(?i)(?:\/\/|#|\*|example|test|sample|placeholder)",
         ("192.168.", "10.", "172."),
+        ("192.168.", "10.", "172."),
     ),
     ScanRule(
         18,
@@ -178,6 +201,7 @@ SCAN_RULES = [
         "high",
         "MD5 is cryptographically broken. Use SHA-256 or SHA-3 for security-sensitive hashing.",
         None,
+        ("(",),
         ("hashlib.md5",),
     ),
     ScanRule(
@@ -187,6 +211,7 @@ SCAN_RULES = [
         "medium",
         "SHA-1 is deprecated for security use. Use SHA-256 or SHA-3 instead.",
         r"(?i)(?:git|content.address|deduplicate|checksum(?!.*password))",
+        ("(",),
         ("hashlib.sha1",),
     ),
     ScanRule(
@@ -196,7 +221,8 @@ SCAN_RULES = [
         "medium",
         "Math.random() is not cryptographically secure. Use crypto.getRandomValues() or crypto.randomBytes().",
         r"(?i)(?:\/\/|#|test|mock|sample|color|position|index|offset)",
-        ("math.random",),
+        ("(",),
+        ("Math.random",),
     ),
     ScanRule(
         21,
@@ -205,7 +231,8 @@ SCAN_RULES = [
         "high",
         "Weak or deprecated cipher detected. Use AES-256-GCM or ChaCha20-Poly1305.",
         r"(?i)(?:\/\/|#|\*|comment|doc|test)",
-        ("des", "rc4", "blowfish"),
+        ("DES", "RC4", "Blowfish"),
+        ("DES", "RC4", "Blowfish"),
     ),
 ]
 
@@ -233,10 +260,33 @@ FUNCTION_PATTERNS = {
 }
 
 
+# Literals of which every line that opens a function holds at least one; languages
+# whose pattern ignores case are not listed.
+FUNCTION_NEEDS = {
+    "python": ("def",),
+    "javascript": ("function", "const", "let"),
+    "typescript": ("function", "const", "let"),
+    "javascriptreact": ("function", "const", "let"),
+    "typescriptreact": ("function", "const", "let"),
+    "java": ("(",),
+    "go": ("func",),
+    "rust": ("fn",),
+    "cpp": ("{",),
+    "c": ("{",),
+    "csharp": ("(",),
+    "ruby": ("def",),
+    "php": ("function",),
+    "shellscript": ("function", "("),
+}
+
+
 class LineAction(NamedTuple):
     action: str
     pattern: str
     languages: tuple[str, ...]  # empty: every language
+    # literals of which every matching line holds at least one; lower case where
+    # the pattern ignores case
+    needs: tuple[str, ...]
 
 
 _DJANGO_MODEL = r"^class\s+\w+\s*\(\s*(?:models\.Model|[\w.]*Model[\w.]*)\s*\)"
@@ -247,43 +297,44 @@ _DBT_HEAD = r"(?i)\{\{\s*config\s*\(|^\s*SELECT\s"
 
 # Line actions.
 LINE_ACTIONS = [
-    LineAction("spark.explain_job", r"def\s+\w+|spark\s*=\s*SparkSession|\.read\.|\.write\.|\.transform\(", ("python",)),
-    LineAction("spark.optimise_query", r"\.select\(|\.filter\(|\.join\(|\.groupBy\(|spark\.sql\(", ("python", "sql")),
-    LineAction("spark.to_dataframe", r"spark\.sql\(", ("python",)),
-    LineAction("spark.add_dlt", r"^def\s+\w+", ("python",)),
-    LineAction("spark.add_tracking", r"(?i)def\s+(train|fit|run|evaluate|model)\w*", ("python",)),
-    LineAction("dbt.explain_model", r"(?i)^\s*SELECT\s", ("sql", "jinja-sql")),
-    LineAction("dbt.add_test", _DBT_HEAD, ("sql", "jinja-sql")),
-    LineAction("dbt.generate_docs", _DBT_HEAD, ("sql", "jinja-sql")),
-    LineAction("airflow.explain_dag", r"DAG\(|@dag", ("python",)),
-    LineAction("airflow.add_sensor", r"@task|def \w+_task|Operator\(", ("python",)),
-    LineAction("airflow.to_taskflow", r"Operator\(", ("python",)),
-    LineAction("k8s.explain_resource", r"^apiVersion:\s*\S+", ("yaml",)),
-    LineAction("k8s.add_probes", r"^\s+containers:", ("yaml",)),
-    LineAction("k8s.add_limits", r"^\s+- name:\s*\S+", ("yaml",)),
-    LineAction("docker.explain_stage", r"(?i)^FROM\s+", ("dockerfile",)),
-    LineAction("docker.optimize_layers", r"(?i)^RUN\s+", ("dockerfile",)),
-    LineAction("terraform.explain_resource", _TF_RESOURCE, ("terraform",)),
-    LineAction("terraform.add_variable", r'^\s+[a-z_]+\s*=\s*"[^"]*[0-9][^"]*"', ("terraform",)),
-    LineAction("terraform.add_output", _TF_RESOURCE, ("terraform",)),
-    LineAction("fastapi.explain_endpoint", _ROUTE, ("python",)),
-    LineAction("fastapi.add_validation", r"^(?:async\s+)?def\s+\w+\s*\(", ("python",)),
-    LineAction("fastapi.add_test", _ROUTE, ("python",)),
-    LineAction("django.explain_model", _DJANGO_MODEL, ("python",)),
-    LineAction("django.add_serializer", _DJANGO_MODEL, ("python",)),
-    LineAction("django.add_view", _DJANGO_MODEL, ("python",)),
-    LineAction("pytest.generate_test", r"^def (?!test_)\w+\s*\(", ("python",)),
-    LineAction("pytest.add_parametrize", r"^def test_\w+\s*\(", ("python",)),
-    LineAction("pytest.add_fixture", r"^def test_\w+\s*\(", ("python",)),
-    LineAction("pytorch.explain_model", _TORCH_MODULE, ("python",)),
-    LineAction("pytorch.training_loop", _TORCH_MODULE, ("python",)),
-    LineAction("pytorch.add_checkpoint", r"(?i)def\s+(?:train|fit|run_epoch|training_step)\w*", ("python",)),
-    LineAction("jupyter.explain_notebook", r"^# %%", ("python",)),
-    LineAction("jupyter.add_docs", r"^# %%", ("python",)),
+    LineAction("spark.explain_job", r"def\s+\w+|spark\s*=\s*SparkSession|\.read\.|\.write\.|\.transform\(", ("python",), ("def", "spark", ".read.", ".write.", ".transform(")),
+    LineAction("spark.optimise_query", r"\.select\(|\.filter\(|\.join\(|\.groupBy\(|spark\.sql\(", ("python", "sql"), (".select(", ".filter(", ".join(", ".groupBy(", "spark.sql(")),
+    LineAction("spark.to_dataframe", r"spark\.sql\(", ("python",), ("spark.sql(",)),
+    LineAction("spark.add_dlt", r"^def\s+\w+", ("python",), ("def",)),
+    LineAction("spark.add_tracking", r"(?i)def\s+(train|fit|run|evaluate|model)\w*", ("python",), ("def",)),
+    LineAction("dbt.explain_model", r"(?i)^\s*SELECT\s", ("sql", "jinja-sql"), ("select",)),
+    LineAction("dbt.add_test", _DBT_HEAD, ("sql", "jinja-sql"), ("select", "{{")),
+    LineAction("dbt.generate_docs", _DBT_HEAD, ("sql", "jinja-sql"), ("select", "{{")),
+    LineAction("airflow.explain_dag", r"DAG\(|@dag", ("python",), ("DAG(", "@dag")),
+    LineAction("airflow.add_sensor", r"@task|def \w+_task|Operator\(", ("python",), ("@task", "_task", "Operator(")),
+    LineAction("airflow.to_taskflow", r"Operator\(", ("python",), ("Operator(",)),
+    LineAction("k8s.explain_resource", r"^apiVersion:\s*\S+", ("yaml",), ("apiVersion:",)),
+    LineAction("k8s.add_probes", r"^\s+containers:", ("yaml",), ("containers:",)),
+    LineAction("k8s.add_limits", r"^\s+- name:\s*\S+", ("yaml",), ("- name:",)),
+    LineAction("docker.explain_stage", r"(?i)^FROM\s+", ("dockerfile",), ("from",)),
+    LineAction("docker.optimize_layers", r"(?i)^RUN\s+", ("dockerfile",), ("run",)),
+    LineAction("terraform.explain_resource", _TF_RESOURCE, ("terraform",), ("resource",)),
+    LineAction("terraform.add_variable", r'^\s+[a-z_]+\s*=\s*"[^"]*[0-9][^"]*"', ("terraform",), ("=",)),
+    LineAction("terraform.add_output", _TF_RESOURCE, ("terraform",), ("resource",)),
+    LineAction("fastapi.explain_endpoint", _ROUTE, ("python",), ("@app", "@router")),
+    LineAction("fastapi.add_validation", r"^(?:async\s+)?def\s+\w+\s*\(", ("python",), ("def",)),
+    LineAction("fastapi.add_test", _ROUTE, ("python",), ("@app", "@router")),
+    LineAction("django.explain_model", _DJANGO_MODEL, ("python",), ("class",)),
+    LineAction("django.add_serializer", _DJANGO_MODEL, ("python",), ("class",)),
+    LineAction("django.add_view", _DJANGO_MODEL, ("python",), ("class",)),
+    LineAction("pytest.generate_test", r"^def (?!test_)\w+\s*\(", ("python",), ("def ",)),
+    LineAction("pytest.add_parametrize", r"^def test_\w+\s*\(", ("python",), ("def test_",)),
+    LineAction("pytest.add_fixture", r"^def test_\w+\s*\(", ("python",), ("def test_",)),
+    LineAction("pytorch.explain_model", _TORCH_MODULE, ("python",), ("class",)),
+    LineAction("pytorch.training_loop", _TORCH_MODULE, ("python",), ("class",)),
+    LineAction("pytorch.add_checkpoint", r"(?i)def\s+(?:train|fit|run_epoch|training_step)\w*", ("python",), ("def",)),
+    LineAction("jupyter.explain_notebook", r"^# %%", ("python",), ("# %%",)),
+    LineAction("jupyter.add_docs", r"^# %%", ("python",), ("# %%",)),
     LineAction(
         "git.blame",
         r"^\s*(?:def |async def |function |const |class |public |private |protected |export |static )",
         (),
+        ("def ", "function ", "const ", "class ", "public ", "private ", "protected ", "export ", "static "),
     ),
 ]
 

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from winnow.functions.paths import language_of
 from winnow.functions.text import (
     ascii_boundary,
-    case_insensitive_contains,
+    holds_any,
     is_comment_line,
     match_position,
 )
 from winnow.operators.rules import (
     DIAGNOSTIC_ACTIONS,
+    FUNCTION_NEEDS,
     FUNCTION_PATTERNS,
     LINE_ACTIONS,
     SCAN_RULES,
@@ -42,9 +43,12 @@ def drop_comment_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.filter(~is_comment_line(line))
 
 
-def _finding(rule: ScanRule, line: Column) -> Column:
+def _finding(rule: ScanRule, line: Column, low: Column) -> Column:
     pattern = ascii_boundary(rule.pattern)
-    hit = case_insensitive_contains(F.lower(line), list(rule.hints)) & F.rlike(line, F.lit(pattern))
+    hit = holds_any(line, rule.needs)
+    if rule.hints != rule.needs:
+        hit = hit & holds_any(low if rule.ignores_case else line, rule.hints)
+    hit = hit & F.rlike(line, F.lit(pattern))
     if rule.exclude:
         hit = hit & ~F.rlike(line, F.lit(ascii_boundary(rule.exclude)))
     start = match_position(line, pattern)
@@ -68,16 +72,17 @@ def security_scan(
 ) -> DataFrame:
     """Findings of every rule on every line that is not a comment line.
 
-    A text without any rule literal is dropped before it is split, so clean
-    files cost one pass of literal searches.
+    Every rule needs one of a dozen literals. A text without any of them is
+    dropped before it is split, and so is each line, so plain prose costs one
+    pass of literal searches.
     """
-    hints = sorted({h for r in rules for h in r.hints})
-    suspect = files.filter(case_insensitive_contains(F.lower(F.col(content)), hints))
-    lines = drop_comment_lines(explode_lines(suspect, content))
-    lines = lines.filter(case_insensitive_contains(F.lower("line"), hints))
-    found = F.array_compact(F.array(*[_finding(r, F.col("line")) for r in rules]))
+    needs = sorted({n for r in rules for n in r.needs})
+    lines = explode_lines(files.filter(holds_any(content, needs)), content)
+    lines = drop_comment_lines(lines.filter(holds_any("line", needs)))
     keep = [c for c in lines.columns if c != "line"]
-    return lines.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
+    low = lines.withColumn("_low", F.lower("line"))
+    found = F.array_compact(F.array(*[_finding(r, F.col("line"), F.col("_low")) for r in rules]))
+    return low.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
 
 
 def index_functions(
@@ -91,7 +96,11 @@ def index_functions(
         by_pattern.setdefault(pattern, []).append(language)
     hit = F.lit(False)
     for pattern, languages in by_pattern.items():
-        hit = hit | (F.col("language").isin(*languages) & F.rlike("line", F.lit(pattern)))
+        test = F.col("language").isin(*languages)
+        needs = FUNCTION_NEEDS.get(languages[0]) if patterns is FUNCTION_PATTERNS else None
+        if needs:
+            test = test & holds_any("line", needs)
+        hit = hit | (test & F.rlike("line", F.lit(pattern)))
     return lines.filter(hit)
 
 
@@ -103,19 +112,27 @@ def tag_lines(
     files: DataFrame, actions: list[LineAction] = LINE_ACTIONS, content: str = "content"
 ) -> DataFrame:
     """Every (line, action) whose language fits and whose pattern matches the line."""
-    lines = explode_lines(files, content)
     # actions that share a pattern and languages are tested once
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    groups: dict[LineAction, list[str]] = {}
     for a in actions:
-        groups.setdefault((a.pattern, a.languages), []).append(a.action)
+        groups.setdefault(a._replace(action=""), []).append(a.action)
+
+    def possible(a: LineAction) -> Column:
+        line = F.col("_low") if a.pattern.startswith("(?i)") else F.col("line")
+        return _applies(a.languages) & (holds_any(line, a.needs) if a.needs else F.lit(True))
+
+    lines = explode_lines(files, content).withColumn("_low", F.lower("line"))
+    gate = F.lit(False)
+    for a in groups:
+        gate = gate | possible(a)
     tests = [
         F.when(
-            _applies(languages) & F.rlike("line", F.lit(pattern)),
-            F.array(*[F.lit(n) for n in names]),
+            possible(a) & F.rlike("line", F.lit(a.pattern)), F.array(*[F.lit(n) for n in names])
         )
-        for (pattern, languages), names in groups.items()
+        for a, names in groups.items()
     ]
-    return lines.withColumn("action", F.explode(F.flatten(F.array_compact(F.array(*tests)))))
+    found = F.flatten(F.array_compact(F.array(*tests)))
+    return lines.filter(gate).withColumn("action", F.explode(found)).drop("_low")
 
 
 def match_actions(

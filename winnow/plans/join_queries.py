@@ -43,7 +43,7 @@ _TARGETS = r"""
 
 @query(f"WITH {_TARGETS} SELECT * FROM linked")
 def import_links(src: Source) -> DataFrame:
-    return joins.import_targets(src("code_files"))
+    return joins.import_targets(src.texts("code_files"))
 
 
 @query(
@@ -57,7 +57,7 @@ def import_links(src: Source) -> DataFrame:
         SELECT * FROM ranked WHERE rank <= 5"""
 )
 def related_files(src: Source) -> DataFrame:
-    return joins.related_files(src("code_files"))
+    return joins.related_files(src.texts("code_files"))
 
 
 @query(

@@ -18,7 +18,7 @@ _FINDINGS = "({}) f".format(_rule_sql(lines_sql(_CORPUS, "path", "content"), "pa
 
 
 def _findings(src: Source) -> DataFrame:
-    corpus = src("files").select("path", "content")
+    corpus = src.texts("files").select("path", "content")
     for name in ("page_files", "risky_files"):
         corpus = corpus.unionByName(src(name).select("path", "content"))
     return scan.security_scan(corpus)
@@ -93,7 +93,7 @@ _FLAGS = {"has_token": "token = ", "has_digits": "[0-9]{6}", "has_url": "https?:
     + " FROM documents GROUP BY source"
 )
 def corpus_flags(src: Source) -> DataFrame:
-    docs = src("documents").select("source", F.col("text").alias("content"))
+    docs = src.texts("documents").select("source", F.col("text").alias("content"))
     return aggregate.feature_flags(docs, _FLAGS, ["source"])
 
 
@@ -317,7 +317,7 @@ def scalar_text_and_numbers(src: Source) -> DataFrame:
         FROM (SELECT *, string_split_regex(text, '\s+') AS words FROM documents) d"""
 )
 def scalar_collections(src: Source) -> DataFrame:
-    words = src("documents").withColumn("words", F.split("text", r"\s+"))
+    words = src.texts("documents").withColumn("words", F.split("text", r"\s+"))
     doc = F.to_json(F.struct(F.struct(F.col("lang").alias("b")).alias("a")))
     zero = F.lit(0).cast("bigint")
     return words.select(

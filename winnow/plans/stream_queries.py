@@ -274,7 +274,7 @@ def _rewrite(content: str, path: str, language: str) -> str:
        FROM <<files>> WHERE path NOT LIKE '%.md' GROUP BY 1"""
 )
 def transform_status(src: Source) -> DataFrame:
-    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
+    done = hooks.apply_transform(src.texts("files"), _rewrite, [".py", ".js", ".sql"])
     return hooks.transform_counts(done)
 
 
@@ -283,7 +283,7 @@ def transform_status(src: Source) -> DataFrame:
        FROM <<files>> WHERE path NOT LIKE '%.md'"""
 )
 def transformed_files(src: Source) -> DataFrame:
-    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
+    done = hooks.apply_transform(src.texts("files"), _rewrite, [".py", ".js", ".sql"])
     return done.select("path", "content")
 
 

@@ -246,17 +246,17 @@ def lines_sql(table: str, key: str, content: str) -> str:
 
 @query(_rule_sql(lines_sql("<<files>>", "path", "content"), "path"))
 def security_scan_documents(src: Source) -> DataFrame:
-    return scan.security_scan(src("files").select("path", "content"))
+    return scan.security_scan(src.texts("files").select("path", "content"))
 
 
 @query(_rule_sql(lines_sql("<<page_files>>", "path", "content"), "path"))
 def security_scan_urls(src: Source) -> DataFrame:
-    return scan.security_scan(src("page_files").select("path", "content"))
+    return scan.security_scan(src.texts("page_files").select("path", "content"))
 
 
 @query(_rule_sql(lines_sql("pages", "page_id", "html"), "page_id"))
 def security_scan_html(src: Source) -> DataFrame:
-    return scan.security_scan(src("pages").select("page_id", "html"), content="html")
+    return scan.security_scan(src.texts("pages").select("page_id", "html"), content="html")
 
 
 @query(_rule_sql(lines_sql("<<settings_texts>>", "id", "content"), "id"))
@@ -423,7 +423,7 @@ def prompt_sections(src: Source) -> DataFrame:
 )
 def generated_file_rows(src: Source) -> DataFrame:
     """Fenced file sections of generated text, safe paths only; other text becomes one file."""
-    return generated_files(src("generated"), "out", keep=["doc_id"])
+    return generated_files(src.texts("generated"), "out", keep=["doc_id"])
 
 
 @query(

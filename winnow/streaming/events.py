@@ -33,6 +33,7 @@ EVENT_SCHEMAS = {
 }
 THROTTLE_MICROS = 2_000_000
 BLOCKS_PER_WINDOW = 64
+NEVER = np.iinfo(np.int64).min
 
 
 # ── running a stream to its end ──────────────────────────────────────────────
@@ -157,54 +158,57 @@ def throttle(
     block = block or BLOCKS_PER_WINDOW * width
     if block < width:
         raise ValueError("a block must be at least as long as the timer")
-    rows = with_block(
-        events.select(*keys, F.col(micros).alias("t")), F.floor(F.col("t") / block).cast("bigint")
+
+    @F.pandas_udf("opens array<bigint>, exits array<bigint>, last bigint")
+    def summarise(blocks: pd.Series, times: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b, t in zip(blocks, times):
+            exits = _block_exits(t, width)
+            # a timer of an earlier block is free before this block's start + width
+            n = min(int(np.searchsorted(t, b * block + width, side="left")) + 1, len(t))
+            rows.append((t[:n], exits[:n], int(t[-1])))
+        return pd.DataFrame(rows, columns=["opens", "exits", "last"])
+
+    @F.pandas_udf("array<bigint>")
+    def enter(opens: pd.Series, exits: pd.Series, last: pd.Series) -> pd.Series:
+        """Per key: the time at which each of its blocks, in order, is entered."""
+        out = []
+        for key_opens, key_exits, key_last in zip(opens, exits, last):
+            free, entered = NEVER, []
+            for o, e, end in zip(key_opens, key_exits, key_last):
+                entered.append(free)
+                if free <= end:
+                    free = int(e[int(np.searchsorted(o, free, side="left"))])
+            out.append(entered)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<bigint>")
+    def fire(times: pd.Series, entered: pd.Series) -> pd.Series:
+        firsts = (int(np.searchsorted(t, e, side="left")) for t, e in zip(times, entered))
+        return pd.Series([t[_chain_starts(t, i, width)] for t, i in zip(times, firsts)])
+
+    timed = events.select(*keys, F.col(micros).alias("t"))
+    blocks = (
+        with_block(timed, F.floor(F.col("t") / block).cast("bigint"))
+        .groupBy(*keys, BLOCK)
+        .agg(F.array_sort(F.collect_set("t")).alias("times"))
     )
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["t"].to_numpy(np.int64))
-        exits = _block_exits(times, width)
-        # a timer of an earlier block is free before this block's start + width
-        edge = int(pdf[BLOCK].iloc[0]) * block + width
-        n = min(int(np.searchsorted(times, edge, side="left")) + 1, len(times))
-        head = pdf[keys + [BLOCK]].iloc[:1].reset_index(drop=True)
-        head["opens"] = [times[:n].tolist()]
-        head["exits"] = [exits[:n].tolist()]
-        head["last"] = int(times[-1])
-        return head
-
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK, ignore_index=True)
-        free, entered = np.iinfo(np.int64).min, []
-        for opens, exits, last in zip(pdf["opens"], pdf["exits"], pdf["last"]):
-            entered.append(free)
-            if free <= last:
-                free = int(exits[int(np.searchsorted(opens, free, side="left"))])
-        out = pdf[keys + [BLOCK]].copy()
-        out["entered"] = entered
-        return out
-
-    def fire(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["t"].to_numpy(np.int64))
-        first = int(np.searchsorted(times, int(entry["entered"].iloc[0]), side="left"))
-        opened = times[_chain_starts(times, first, width)]
-        out = pd.DataFrame({"opened": opened, "fired": opened + width})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    by_block = [*keys, BLOCK]
-    tables = rows.groupBy(*by_block).applyInPandas(
-        summarise,
-        f"{key_fields}, {BLOCK} bigint, opens array<bigint>, exits array<bigint>, last bigint",
+    tables = blocks.select(*keys, BLOCK, summarise(BLOCK, "times").alias("s"))
+    per_key = tables.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(BLOCK, "s.opens", "s.exits", "s.last"))).alias("bs")
     )
-    entries = tables.groupBy(*keys).applyInPandas(enter, f"{key_fields}, {BLOCK} bigint, entered bigint")
-    return (
-        rows.groupBy(*by_block)
-        .cogroup(entries.groupBy(*by_block))
-        .applyInPandas(fire, f"{key_fields}, opened bigint, fired bigint")
+    entries = per_key.select(
+        *keys,
+        F.arrays_zip(
+            F.col(f"bs.{BLOCK}").alias("block"),
+            enter("bs.opens", "bs.exits", "bs.last").alias("entered"),
+        ).alias("es"),
+    ).select(*keys, F.explode("es").alias("e"))
+    entered = entries.select(*keys, F.col("e.block").alias(BLOCK), "e.entered")
+    fired = blocks.join(entered, [*keys, BLOCK]).select(
+        *keys, F.explode(fire("times", "entered")).alias("opened")
     )
+    return fired.withColumn("fired", F.col("opened") + width)
 
 
 class ThrottleProcessor(StatefulProcessor):
@@ -218,7 +222,7 @@ class ThrottleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([p[self.micros].to_numpy(np.int64) for p in rows]))
-        free = self.free.get()[0] if self.free.exists() else np.iinfo(np.int64).min
+        free = self.free.get()[0] if self.free.exists() else NEVER
         first = int(np.searchsorted(times, free, side="left"))
         starts = _chain_starts(times, first, self.width)
         if not starts:
