@@ -13,13 +13,18 @@ CHANGELOG_SECTIONS = {"feat": "Features", "fix": "Bug Fixes", "chore": "Chores"}
 COMMIT_PATTERN = r"^(\w+)(\(([^)]*)\))?(!)?:"
 
 
+# Fixed value: earlier than any time a table holds; stands in for an empty target.
+BEFORE_ALL = "-9999-01-01 00:00:00"
+
+
 def new_rows(target: DataFrame, source: DataFrame, ts: str) -> DataFrame:
     """Source rows newer than the newest target row (all rows when the target is empty).
 
-    The newest time is a scalar subquery, so it reaches the source scan as a filter.
+    The newest time is a scalar subquery compared alone, so it reaches the
+    source scan as a pushed filter. Rows without a time are not new.
     """
-    newest = target.agg(F.max(ts)).scalar()
-    return source.filter((F.col(ts) > newest) | newest.isNull())
+    nothing = F.lit(BEFORE_ALL).cast(target.schema[ts].dataType)
+    return source.filter(F.col(ts) > target.agg(F.coalesce(F.max(ts), nothing)).scalar())
 
 
 def incremental_append(target: DataFrame, source: DataFrame, ts: str) -> DataFrame:

@@ -141,8 +141,38 @@ def _block_exits(times: np.ndarray, width: int) -> np.ndarray:
     return exits
 
 
+def _join_tables(opens, exits, last) -> tuple[np.ndarray, np.ndarray, int]:
+    """The table of a longer block from the tables of the blocks it is made of, in order."""
+    heads, free = opens[0], exits[0].copy()
+    for j in range(1, len(opens)):
+        inside = free <= last[j]
+        free[inside] = exits[j][np.searchsorted(opens[j], free[inside], side="left")]
+        if j == 1:
+            # entered after the last event of the first block
+            heads, free = np.append(heads, opens[1][0]), np.append(free, exits[1][0])
+    return heads, free, int(last[-1])
+
+
+def _entry_times(start: int, opens, exits, last) -> list[int]:
+    """When each of some consecutive blocks is entered, if the first is entered at ``start``."""
+    free, entered = start, []
+    for o, e, end in zip(opens, exits, last):
+        entered.append(free)
+        if free <= end:
+            free = int(e[int(np.searchsorted(o, free, side="left"))])
+    return entered
+
+
+_TABLE = "opens array<bigint>, exits array<bigint>, last bigint"
+
+
 def throttle(
-    events: DataFrame, keys: list[str], micros: str, width: int = THROTTLE_MICROS, block: int | None = None
+    events: DataFrame,
+    keys: list[str],
+    micros: str,
+    width: int = THROTTLE_MICROS,
+    block: int | None = None,
+    levels: int = 2,
 ) -> DataFrame:
     """Firings of a timer that the first event opens and later events do not extend.
 
@@ -150,37 +180,33 @@ def throttle(
     the next timer. One row per firing: the keys, ``opened`` and ``fired``.
 
     A key is never folded in one piece. Time is cut into blocks much longer
-    than the timer. Each block first states, for the few events that may open
-    its first timer, when its last timer is free; those short tables are
-    chained per key; then every block is folded on its own with the time at
-    which it is entered.
+    than the timer. Each block states, for the few events that may open its
+    first timer, when its last timer is free. Sixty-four such tables make the
+    table of a longer block, which is no larger than one of them. Only the
+    tables of the longest blocks are chained per key; the times at which blocks
+    are entered then go back down, and every block is folded on its own.
     """
     block = block or BLOCKS_PER_WINDOW * width
     if block < width:
         raise ValueError("a block must be at least as long as the timer")
 
-    @F.pandas_udf("opens array<bigint>, exits array<bigint>, last bigint")
+    @F.pandas_udf(_TABLE)
     def summarise(blocks: pd.Series, times: pd.Series) -> pd.DataFrame:
         rows = []
         for b, t in zip(blocks, times):
-            exits = _block_exits(t, width)
             # a timer of an earlier block is free before this block's start + width
             n = min(int(np.searchsorted(t, b * block + width, side="left")) + 1, len(t))
-            rows.append((t[:n], exits[:n], int(t[-1])))
+            rows.append((t[:n], _block_exits(t, width)[:n], int(t[-1])))
+        return pd.DataFrame(rows, columns=["opens", "exits", "last"])
+
+    @F.pandas_udf(_TABLE)
+    def lengthen(opens: pd.Series, exits: pd.Series, last: pd.Series) -> pd.DataFrame:
+        rows = [_join_tables(*r) for r in zip(opens, exits, last)]
         return pd.DataFrame(rows, columns=["opens", "exits", "last"])
 
     @F.pandas_udf("array<bigint>")
-    def enter(opens: pd.Series, exits: pd.Series, last: pd.Series) -> pd.Series:
-        """Per key: the time at which each of its blocks, in order, is entered."""
-        out = []
-        for key_opens, key_exits, key_last in zip(opens, exits, last):
-            free, entered = NEVER, []
-            for o, e, end in zip(key_opens, key_exits, key_last):
-                entered.append(free)
-                if free <= end:
-                    free = int(e[int(np.searchsorted(o, free, side="left"))])
-            out.append(entered)
-        return pd.Series(out)
+    def enter(start: pd.Series, opens: pd.Series, exits: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([_entry_times(int(s), *r) for s, *r in zip(start, opens, exits, last)])
 
     @F.pandas_udf("array<bigint>")
     def fire(times: pd.Series, entered: pd.Series) -> pd.Series:
@@ -193,18 +219,36 @@ def throttle(
         .groupBy(*keys, BLOCK)
         .agg(F.array_sort(F.collect_set("t")).alias("times"))
     )
-    tables = blocks.select(*keys, BLOCK, summarise(BLOCK, "times").alias("s"))
-    per_key = tables.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(BLOCK, "s.opens", "s.exits", "s.last"))).alias("bs")
-    )
-    entries = per_key.select(
-        *keys,
-        F.arrays_zip(
-            F.col(f"bs.{BLOCK}").alias("block"),
-            enter("bs.opens", "bs.exits", "bs.last").alias("entered"),
-        ).alias("es"),
-    ).select(*keys, F.explode("es").alias("e"))
-    entered = entries.select(*keys, F.col("e.block").alias(BLOCK), "e.entered")
+    table = blocks.select(*keys, BLOCK, summarise(BLOCK, "times").alias("s")).select(*keys, BLOCK, "s.*")
+
+    def gather(df: DataFrame, *by: str | Column) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(BLOCK, "opens", "exits", "last")))
+        return df.groupBy(*keys, *by).agg(listed.alias("bs"))
+
+    # up: each parent holds the tables of at most 64 children
+    parent = F.floor(F.col(BLOCK) / BLOCKS_PER_WINDOW).cast("bigint").alias("_parent")
+    families = []
+    for _ in range(levels):
+        family = gather(table, parent)
+        families.append(family)
+        table = family.select(
+            *keys,
+            F.col("_parent").alias(BLOCK),
+            lengthen("bs.opens", "bs.exits", "bs.last").alias("s"),
+        ).select(*keys, BLOCK, "s.*")
+
+    # down: from the time a parent is entered to the times its children are entered
+    def entries(df: DataFrame, start: Column) -> DataFrame:
+        entered = enter(start, "bs.opens", "bs.exits", "bs.last")
+        pairs = F.arrays_zip(F.col(f"bs.{BLOCK}").alias("block"), entered.alias("entered"))
+        return df.select(*keys, F.explode(pairs).alias("e")).select(
+            *keys, F.col("e.block").alias(BLOCK), "e.entered"
+        )
+
+    entered = entries(gather(table), F.lit(NEVER))
+    for family in reversed(families):
+        started = entered.select(*keys, F.col(BLOCK).alias("_parent"), "entered")
+        entered = entries(family.join(started, [*keys, "_parent"]), F.col("entered"))
     fired = blocks.join(entered, [*keys, BLOCK]).select(
         *keys, F.explode(fire("times", "entered")).alias("opened")
     )
