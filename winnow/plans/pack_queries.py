@@ -275,7 +275,7 @@ _METHODS = "get|post|put|delete|patch|head|options"
            SELECT path, unnest(string_split(content, chr(10))) AS line,
                   CAST(generate_subscripts(string_split(content, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM <<api_files>>),
          ahead AS (
-           SELECT *, {", ".join(f"nullif(regexp_extract(coalesce(lead(line, {i}) OVER w, ''), '(?:async\s+)?def\s+(\w+)\s*\(', 1), '') AS f{i}" for i in (1, 2, 3))}
+           SELECT *, {", ".join(rf"nullif(regexp_extract(coalesce(lead(line, {i}) OVER w, ''), '(?:async\s+)?def\s+(\w+)\s*\(', 1), '') AS f{i}" for i in (1, 2, 3))}
            FROM lines WINDOW w AS (PARTITION BY path ORDER BY line_no))
          SELECT path, line_no, upper(regexp_extract(line, '@(?:app|router)\.({_METHODS})', 1)) AS method,
                 regexp_extract(line, '\(\s*[''"]([^''"]+)', 1) AS route, coalesce(f1, f2, f3, '(unknown)') AS "function"
