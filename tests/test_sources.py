@@ -112,3 +112,9 @@ def test_spread_small(spark, tmp_path):
     spark.range(1000).repartition(2 * cores).write.parquet(many)
     plan = tables.spread_small(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_schema_listing_sets_partition_keys_apart(spark):
+    rows = [("t", 2, "b", "string", True, "note", False), ("t", 1, "a", "int", False, None, False), ("t", 3, "p", "date", True, None, True)]
+    got = tables.schema_listing(spark.createDataFrame(rows, tables.COLUMN_SCHEMA)).first()
+    assert got.columns == "  - `a` int NOT NULL\n  - `b` string — note" and got.partition_keys == "  - `p` date"

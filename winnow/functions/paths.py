@@ -91,9 +91,14 @@ def short_name(c: Column | str) -> Column:
     return F.element_at(F.split(as_col(c), "/"), -1)
 
 
+# a segment that is empty, ``.`` or ``..``
+UNRESOLVED = r"(?:^|/)\.{0,2}(?:/|$)"
+
+
 def resolve(path: Column | str) -> Column:
     """Resolve ``.``, ``..`` and empty segments; null when ``..`` climbs above the root."""
-    segments = F.filter(F.split(as_col(path), "/"), lambda s: (s != "") & (s != "."))
+    path = as_col(path)
+    segments = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
     empty = F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -104,5 +109,7 @@ def resolve(path: Column | str) -> Column:
             F.when(s == "..", popped).otherwise(F.concat(acc["kept"], F.array(s))).alias("kept"),
         )
 
-    folded = F.aggregate(segments, empty, step)
-    return F.when(folded["ok"], F.array_join(folded["kept"], "/"))
+    finish = lambda a: F.when(a["ok"], F.array_join(a["kept"], "/"))
+    folded = F.aggregate(segments, empty, step, finish)
+    # most paths are resolved already and need no fold
+    return F.when(F.rlike(path, F.lit(UNRESOLVED)), folded).otherwise(path)

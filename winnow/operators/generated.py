@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.paths import resolve
 from winnow.functions.text import all_groups, strip_fences, trim_space
 
+
+class Style(NamedTuple):
+    """How a file is marked: its header line, the body after it, and what ends the body."""
+
+    head: str
+    body: str
+    closing: str
+    # literal that every text with this style holds
+    mark: str
+
+
 # Header styles, tried in order, and the name of a headless file.
-FENCED_FILE = r"(?m)^#{1,3}\s+([\w./\-]+\.\w+)\s*\n+```[\w]*\n([\s\S]*?)```"
-COMMENT_HEAD = r"(?:\/\/|#)\s+([\w./\-]+\.\w+)\s*\n"
-RULE_HEAD = r"={3}\s+([\w./\-]+\.\w+)\s*={3}\s*\n"
-COMMENT_FILE = rf"(?m)^{COMMENT_HEAD}([\s\S]*?)(?=^(?:\/\/|#)\s+[\w./\-]+\.\w+|\z)"
-RULE_FILE = rf"(?m)^{RULE_HEAD}([\s\S]*?)(?=^={{3}}|\z)"
+STYLES = [
+    Style(r"#{1,3}\s+([\w./\-]+\.\w+)\s*\n+```[\w]*\n", r"(?s:.*?)```", "```", "```"),
+    Style(
+        r"(?:\/\/|#)\s+([\w./\-]+\.\w+)\s*\n",
+        r"(?s:.*?)(?=^(?:\/\/|#)\s+[\w./\-]+\.\w+|\z)",
+        "",
+        ".",
+    ),
+    Style(r"={3}\s+([\w./\-]+\.\w+)\s*={3}\s*\n", r"(?s:.*?)(?=^={3}|\z)", "", "==="),
+]
 FALLBACK_NAME = "generated.txt"
 
 
@@ -40,31 +58,32 @@ def generated_files(
     """
     base = base.strip("/")
 
-    def style(pattern: str, mark: str) -> Column:
-        """Safe files of one style; the pattern only runs where its mark occurs."""
-        # the long text is searched once; name and body are read from each match
-        files = F.transform(
-            all_groups(text, pattern, 0),
-            lambda m: F.struct(
-                resolve(F.concat(F.lit(base + "/"), F.regexp_extract(m, pattern, 1))).alias("path"),
-                trim_space(F.regexp_extract(m, pattern, 2)).alias("content"),
-            ),
-        )
-        safe = F.filter(files, lambda f: is_safe(f["path"], base))
-        return F.when(F.contains(text, F.lit(mark)), safe).otherwise(F.array())
+    def safe_files(style: Style) -> Column:
+        def one(m: Column) -> Column:
+            name = F.regexp_extract(m, rf"\A{style.head}", 1)
+            body = F.regexp_replace(m, rf"\A{style.head}", "")
+            kept = F.left(body, F.length(body) - len(style.closing))
+            return F.struct(
+                resolve(F.concat(F.lit(base + "/"), name)).alias("path"),
+                trim_space(kept).alias("content"),
+            )
+
+        # the long text is searched once; name and body are cut from each match
+        found = F.transform(all_groups(text, f"(?m)^{style.head}{style.body}", 0), one)
+        safe = F.filter(found, lambda f: is_safe(f["path"], base))
+        return F.when(F.contains(text, F.lit(style.mark)), safe).otherwise(F.array())
 
     whole = F.array(
         F.struct(F.lit(f"{base}/{FALLBACK_NAME}").alias("path"), strip_fences(text).alias("content"))
     )
-    found = (
-        df.withColumn("_s1", style(FENCED_FILE, "```"))
-        .withColumn("_s2", style(COMMENT_FILE, "."))
-        .withColumn("_s3", style(RULE_FILE, "==="))
-    )
-    chosen = (
-        F.when(F.size("_s1") > 0, F.col("_s1"))
-        .when(F.size("_s2") > 0, F.col("_s2"))
-        .when(F.size("_s3") > 0, F.col("_s3"))
-        .when(trim_space(text) != "", whole)
-    )
-    return found.select(*keep, F.explode(chosen).alias("f")).select(*keep, "f.path", "f.content")
+    # each style is only tried on texts where the styles before it found nothing
+    found = df.withColumn("_files", safe_files(STYLES[0]))
+
+    def unless_found(later: Column) -> Column:
+        return F.when(F.size("_files") > 0, F.col("_files")).otherwise(later)
+
+    for style in STYLES[1:]:
+        found = found.withColumn("_files", unless_found(safe_files(style)))
+    # exploding an expression, not a column, keeps Spark from filtering on a second copy of it
+    rows = found.select(*keep, F.explode(unless_found(F.when(trim_space(text) != "", whole))).alias("f"))
+    return rows.select(*keep, "f.path", "f.content")

@@ -59,14 +59,19 @@ def import_targets(files: DataFrame, path: str = "path", content: str = "content
         )
         .filter(F.startswith("spec", F.lit(".")))
     )
+    # the folder part is resolved once per import; a suffix only matters to resolving
+    # when the import ends in a slash or in dots
+    joined = F.concat(dir_name("path"), F.lit("/"), "spec")
+    bare = F.rlike("spec", F.lit(r"(?:^|/)\.{0,2}$"))
+    based = calls.withColumns({"joined": joined, "base": F.when(~bare, resolve(joined))})
     suffixes = F.array(*[F.lit(s) for s in IMPORT_SUFFIXES])
-    tried = calls.select(
-        "path", "pos", F.posexplode(suffixes).alias("suffix_no", "suffix"), "spec"
-    ).select(
+    tried = based.select("*", F.posexplode(suffixes).alias("suffix_no", "suffix")).select(
         "path",
         "pos",
         "suffix_no",
-        resolve(F.concat(dir_name("path"), F.lit("/"), "spec", "suffix")).alias("target"),
+        F.coalesce(
+            F.concat("base", "suffix"), F.when(bare, resolve(F.concat("joined", "suffix")))
+        ).alias("target"),
     )
     known = files.select(resolve(path).alias("target"))
     hits = tried.join(known, "target", "left_semi")

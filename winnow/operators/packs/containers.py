@@ -25,7 +25,7 @@ COMPOSE_NAMES = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "co
 SERVICE_KEY = r"(?m)^(?=([\s\S]{0,600}))  (\w[\w-]*):\s*$"
 NOT_SERVICES = ["networks", "volumes", "configs", "secrets"]
 IMAGE_PATTERN = r"image:\s*(\S+)"
-PORTS_SECTION = r"(?m)ports:([\s\S]*?)(?=\n  \w|\n\w|$)"
+PORTS_SECTION = r"(?m)ports:((?s:.*?))(?=\n  \w|\n\w|$)"
 PORT_ITEM = r"""- ["']?(\d[\d.:/-]+)["']?"""
 MAX_VALUE_KEYS = 20
 

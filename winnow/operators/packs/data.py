@@ -36,7 +36,7 @@ CONFIG_KEYS = {
     "dag_folder": "dags_folder",
     "max_active_runs": "max_active_runs_per_dag",
 }
-PASSWORD_IN_URL = r"^([\s\S]*?):[^:@]+@"
+PASSWORD_IN_URL = r"^((?s:.*?)):[^:@]+@"
 
 
 def _path_list(kind: str) -> Column:

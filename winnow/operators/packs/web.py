@@ -20,11 +20,11 @@ ROUTE_CALL = rf"@(?:app|router)\.({METHODS})\s*\("
 FUNCTION = r"(?:async\s+)?def\s+(\w+)\s*\("
 LINES_AHEAD = 3
 MODEL_CLASS_BODY = (
-    r"(?m)^class\s+(\w+)\s*\(\s*(?:Base)?Model\s*\)(?=([\s\S]*?)(?:\nclass |\z))"
+    r"(?m)^class\s+(\w+)\s*\(\s*(?:Base)?Model\s*\)(?=((?s:.*?))(?:\nclass |\z))"
 )
 MODEL_FIELD = r"(?m)^\s{4}(\w+)\s*:"
 DEPENDS = r"Depends\s*\(\s*(\w+)\s*\)"
-YIELD_FUNCTION = r"def\s+\w+\s*\([^)]*\)\s*(?:->\s*\w+\s*)?:[\s\S]*?yield"
+YIELD_FUNCTION = r"def\s+\w+\s*\([^)]*\)\s*(?:->\s*\w+\s*)?:(?s:.*?)yield"
 DJANGO_MODEL = r"(?m)^class\s+(\w+)\s*\(\s*(?:models\.Model|[\w.]*Model[\w.]*)\s*\)"
 DJANGO_FILES = ["models.py", "views.py", "urls.py", "admin.py", "forms.py", "serializers.py"]
 SKIPPED_APPS = [
@@ -32,9 +32,9 @@ SKIPPED_APPS = [
 ]
 SECRET_SETTING = r"(?m)SECRET_KEY\s*=.*$"
 SECRET_MASK = "SECRET_KEY = <redacted>"
-INSTALLED_APPS = r"INSTALLED_APPS\s*=\s*\[[\s\S]*?\]"
-DATABASES = r"DATABASES\s*=\s*\{[\s\S]*?\n\}"
-MIDDLEWARE = r"MIDDLEWARE\s*=\s*\[[\s\S]*?\]"
+INSTALLED_APPS = r"INSTALLED_APPS\s*=\s*\[(?s:.*?)\]"
+DATABASES = r"DATABASES\s*=\s*\{(?s:.*?)\n\}"
+MIDDLEWARE = r"MIDDLEWARE\s*=\s*\[(?s:.*?)\]"
 QUOTED_NAME = r"'([\w.]+)'"
 ENGINE = r"'ENGINE':\s*'([\w.]+)'"
 MAX_APPS = 20

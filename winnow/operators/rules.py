@@ -330,6 +330,106 @@ LINE_ACTIONS = [
     LineAction("pytorch.add_checkpoint", r"(?i)def\s+(?:train|fit|run_epoch|training_step)\w*", ("python",), ("def",)),
     LineAction("jupyter.explain_notebook", r"^# %%", ("python",), ("# %%",)),
     LineAction("jupyter.add_docs", r"^# %%", ("python",), ("# %%",)),
+    LineAction(
+        "gcp.explain_function",
+        r"@functions_framework\.\w+|@app\.route|exports\.\w+\s*=\s*(?:async\s+)?(?:function|\()"
+        r"|onRequest|onCall|onDocumentCreated|onObjectFinalized",
+        ("python", "javascript", "typescript"),
+        ("functions_framework", "@app.route", "exports.", "onRequest", "onCall", "onDocumentCreated", "onObjectFinalized"),
+    ),
+    LineAction(
+        "gcp.optimize_function",
+        r"def\s+\w+\(.*(?:request|event|cloud_event)|exports\.\w+\s*=|module\.exports",
+        ("python", "javascript", "typescript"),
+        ("def", "exports"),
+    ),
+    LineAction(
+        "gcp.optimize_bigquery",
+        r"(?i)\.query\(|bigquery\.Client|SELECT\s+.+\s+FROM|CREATE\s+TABLE|MERGE\s+INTO",
+        ("python", "javascript", "typescript", "sql"),
+        (".query(", "bigquery.client", "select", "create", "merge"),
+    ),
+    LineAction(
+        "gcp.firestore_operation",
+        r"\.collection\(|\.document\(|\.doc\(|firestore\.client|db\.collection|\.set\(|\.update\(|\.where\(",
+        ("python", "javascript", "typescript"),
+        (".collection", ".document(", ".doc(", "firestore.client", ".set(", ".update(", ".where("),
+    ),
+    LineAction(
+        "azure.explain_function",
+        r"\[FunctionName\s*\(|@app\.(route|function_name|timer_trigger|queue_trigger|blob_trigger|cosmos_db_trigger)"
+        r"|def\s+main\s*\(.*func\.HttpRequest",
+        ("python", "csharp"),
+        ("FunctionName", "@app.", "func.HttpRequest"),
+    ),
+    LineAction(
+        "azure.explain_resource",
+        r'^resource\s+\w+|"type"\s*:\s*"Microsoft\.\w+|module\s+\w+',
+        ("bicep", "json"),
+        ("resource", "Microsoft.", "module"),
+    ),
+    LineAction(
+        "azure.add_retry",
+        r"BlobServiceClient|CosmosClient|ServiceBusClient|EventHubProducerClient|SecretClient|SearchClient"
+        r"|QueueClient|TableClient|DefaultAzureCredential",
+        ("python", "csharp", "typescript", "javascript"),
+        ("Client", "DefaultAzureCredential"),
+    ),
+    LineAction(
+        "azure.to_bicep",
+        r'"\$schema"\s*:\s*"https:\/\/schema\.management\.azure\.com',
+        ("json",),
+        ("schema.management.azure.com",),
+    ),
+    LineAction(
+        "azure.debug_function",
+        r"\[FunctionName\s*\(|@app\.(route|function_name|timer_trigger|queue_trigger)|def\s+main\s*\(.*func\.HttpRequest",
+        ("python", "csharp"),
+        ("FunctionName", "@app.", "func.HttpRequest"),
+    ),
+    LineAction(
+        "azure.deploy_function",
+        r"\[FunctionName\s*\(|@app\.(route|function_name)|azure-functions",
+        ("python", "csharp", "typescript", "javascript"),
+        ("FunctionName", "@app.", "azure-functions"),
+    ),
+    LineAction(
+        "aws.optimize_lambda",
+        r"async\s+def\s+handler\s*\(event|def\s+handler\s*\(event|exports\.handler\s*="
+        r"|export\s+(?:async\s+)?function\s+handler",
+        ("python", "javascript", "typescript"),
+        ("handler",),
+    ),
+    LineAction("aws.explain_resource", r"""Type:\s*['"]?AWS::""", ("yaml", "json"), ("AWS::",)),
+    LineAction(
+        "aws.to_cdk",
+        r"""AWSTemplateFormatVersion|Resources:|Type:\s*['"]?AWS::""",
+        ("yaml", "json"),
+        ("AWSTemplateFormatVersion", "Resources:", "AWS::"),
+    ),
+    LineAction(
+        "aws.explain_construct",
+        r"new\s+\w+\.\w+Function|new\s+lambda\.\w+|new\s+dynamodb\.\w+|new\s+s3\.\w+"
+        r"|new\s+apigateway\.\w+|new\s+sqs\.\w+",
+        ("typescript", "javascript", "python"),
+        ("new",),
+    ),
+    LineAction(
+        "aws.add_error_handling",
+        r"boto3\.client|boto3\.resource|new\s+\w+Client\(|\.send\(new\s+\w+Command",
+        ("python", "typescript", "javascript"),
+        ("boto3.", "Client(", "Command"),
+    ),
+    LineAction("aws.debug_lambda", r"""boto3\.client\s*\(\s*['"]lambda['"]""", ("python",), ("lambda",)),
+    LineAction("aws.debug_glue", r"""boto3\.client\s*\(\s*['"]glue['"]""", ("python",), ("glue",)),
+    LineAction("aws.browse_s3", r"""boto3\.client\s*\(\s*['"]s3['"]""", ("python",), ("s3",)),
+    LineAction("catalog.explain_table", r"\b\w+\.\w+\.\w+\b", ("python", "sql"), (".",)),
+    LineAction(
+        "catalog.run_sql",
+        r"(?i)spark\.sql\(|SELECT\s+|INSERT\s+|MERGE\s+|CREATE\s+|ALTER\s+",
+        ("python", "sql"),
+        ("spark.sql(", "select", "insert", "merge", "create", "alter"),
+    ),
     LineAction(
         "git.blame",
         r"^\s*(?:def |async def |function |const |class |public |private |protected |export |static )",

@@ -127,7 +127,7 @@ def tag_lines(
         gate = gate | possible(a)
     tests = [
         F.when(
-            possible(a) & F.rlike("line", F.lit(a.pattern)), F.array(*[F.lit(n) for n in names])
+            possible(a) & F.rlike("line", F.lit(ascii_boundary(a.pattern))), F.array(*[F.lit(n) for n in names])
         )
         for a, names in groups.items()
     ]

@@ -122,13 +122,13 @@ _SQL_TYPES = {
 _TABLE_NAMES = ["customer", "documents", "embeddings", "events", "orders", "part"]
 
 
+_WHENS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SQL_TYPES.items())
+_TYPE_CASE = f"CASE data_type {_WHENS} ELSE data_type END"
+
+
 @query(
     f"""SELECT table_name, CAST(ordinal_position AS BIGINT) AS position, column_name,
-               CASE data_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SQL_TYPES.items())}
-                    ELSE data_type END AS type_text,
-               concat('  - `', column_name, '` ',
-                      CASE data_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SQL_TYPES.items())}
-                           ELSE data_type END) AS line
+               {_TYPE_CASE} AS type_text, concat('  - `', column_name, '` ', {_TYPE_CASE}) AS line
         FROM information_schema.columns
         WHERE table_name IN ({", ".join(_quote(t) for t in _TABLE_NAMES)})"""
 )
@@ -148,6 +148,20 @@ def catalog_columns(src: Source) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT table_name, string_agg('  - `' || column_name || '` ' || {_TYPE_CASE}, chr(10) ORDER BY ordinal_position)
+               AS columns, '  (none)' AS partition_keys
+        FROM information_schema.columns WHERE table_name IN ('orders', 'events') GROUP BY table_name"""
+)
+def table_schemas(src: Source) -> DataFrame:
+    for name in ("orders", "events"):
+        src(name).createOrReplaceTempView(f"winnow_{name}")
+    listed = tables.describe_tables(src.spark, ["winnow_orders", "winnow_events"])
+    return tables.schema_listing(listed).withColumn(
+        "table_name", F.replace("table_name", F.lit("winnow_"), F.lit(""))
+    )
+
+
 @query(
     """SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS n_rows
        FROM customer ORDER BY c_custkey LIMIT 10"""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from winnow.functions.labels import schema_text
+
 # Preview limits.
 PREVIEW_ROWS = 50
 PREVIEW_CELL = 50
@@ -88,6 +90,25 @@ def describe_catalog(spark: SparkSession, database: str | None = None) -> DataFr
     return describe_tables(spark, names)
 
 
+def schema_listing(columns: DataFrame) -> DataFrame:
+    """Per table, its column lines and, apart from them, its partition keys.
+
+    ``columns`` is a catalog listing; a table has as many rows as columns.
+    """
+    line = schema_text("column_name", "type_text", ~F.col("nullable"), "comment")
+    placed = F.struct("position", line.alias("line"))
+
+    def block(chosen: Column, nothing: str) -> Column:
+        lines = F.array_sort(F.collect_list(F.when(chosen, placed)))
+        joined = F.array_join(F.transform(lines, lambda p: p["line"]), "\n")
+        return F.coalesce(F.nullif(joined, F.lit("")), F.lit(nothing))
+
+    return columns.groupBy("table_name").agg(
+        block(~F.col("is_partition"), "  (no column info)").alias("columns"),
+        block(F.col("is_partition"), "  (none)").alias("partition_keys"),
+    )
+
+
 def sample_table(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """First ``n`` rows in key order, with the row count of the whole table."""
     total = df.agg(F.count("*")).scalar()
