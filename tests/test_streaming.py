@@ -36,17 +36,19 @@ def test_throttle_edges(spark):
     df = spark.createDataFrame([(k, t) for k, ts in cases.items() for t in ts], "k string, t long")
     got = opened(ev.throttle(df, ["k"], "t"))
     assert got == {k: loop_throttle(ts, 2_000_000) for k, ts in cases.items()}
+    busy = opened(ev.throttle(df, ["k"], "t", busy=0))
+    assert busy == got
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.lists(st.integers(0, 3000), min_size=1, max_size=120), min_size=1, max_size=8),
-    st.integers(5, 60),
-    st.integers(0, 2),
+    st.integers(1, 2000),
+    st.integers(0, 60),
 )
-def test_throttle_equals_a_loop(spark, cases, block, levels):
+def test_throttle_equals_a_loop(spark, cases, period, busy):
     df = spark.createDataFrame([(k, t) for k, ts in enumerate(cases) for t in ts], "k long, t long")
-    got = opened(ev.throttle(df, ["k"], "t", width=5, block=block, levels=levels))
+    got = opened(ev.throttle(df, ["k"], "t", width=5, period=period, busy=busy))
     assert got == {k: loop_throttle(ts, 5) for k, ts in enumerate(cases)}
 
 

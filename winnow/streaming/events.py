@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from winnow.operators.scan import security_scan
-from winnow.operators.skew import BLOCK, previous_value, running_sums, with_block
+from winnow.operators.skew import BLOCK, previous_value, running_sums
 from winnow.sources.scratch import scratch_dir
 
 # The typed payload of each event.
@@ -33,6 +33,8 @@ EVENT_SCHEMAS = {
 }
 THROTTLE_MICROS = 2_000_000
 BLOCKS_PER_WINDOW = 64
+PERIOD_MICROS = 24 * 3600 * 1_000_000
+BUSY_EVENTS = 1_000_000
 NEVER = np.iinfo(np.int64).min
 
 
@@ -171,31 +173,31 @@ def throttle(
     keys: list[str],
     micros: str,
     width: int = THROTTLE_MICROS,
-    block: int | None = None,
-    levels: int = 2,
+    period: int = PERIOD_MICROS,
+    busy: int = BUSY_EVENTS,
 ) -> DataFrame:
     """Firings of a timer that the first event opens and later events do not extend.
 
     ``micros`` is a bigint event time. An event at or after the firing opens
     the next timer. One row per firing: the keys, ``opened`` and ``fired``.
 
-    A key is never folded in one piece. Time is cut into blocks much longer
-    than the timer. Each block states, for the few events that may open its
-    first timer, when its last timer is free. Sixty-four such tables make the
-    table of a longer block, which is no larger than one of them. Only the
-    tables of the longest blocks are chained per key; the times at which blocks
-    are entered then go back down, and every block is folded on its own.
+    A key is never folded in one piece. Its time is cut into blocks: a period
+    (a day) where the key is quiet, 64 timer widths where it has more than
+    ``busy`` events in the period. Each block states, for the few events that
+    may open its first timer, when its last timer is free. The tables of a
+    period join into one that is no larger. Only these are chained per key; the
+    times at which blocks are entered then go back down, and every block is
+    folded on its own.
     """
-    block = block or BLOCKS_PER_WINDOW * width
-    if block < width:
-        raise ValueError("a block must be at least as long as the timer")
+    short = BLOCKS_PER_WINDOW * width
+    period = max(period, short)
 
     @F.pandas_udf(_TABLE)
-    def summarise(blocks: pd.Series, times: pd.Series) -> pd.DataFrame:
+    def summarise(starts: pd.Series, times: pd.Series) -> pd.DataFrame:
         rows = []
-        for b, t in zip(blocks, times):
+        for start, t in zip(starts, times):
             # a timer of an earlier block is free before this block's start + width
-            n = min(int(np.searchsorted(t, b * block + width, side="left")) + 1, len(t))
+            n = min(int(np.searchsorted(t, start + width, side="left")) + 1, len(t))
             rows.append((t[:n], _block_exits(t, width)[:n], int(t[-1])))
         return pd.DataFrame(rows, columns=["opens", "exits", "last"])
 
@@ -213,43 +215,42 @@ def throttle(
         firsts = (int(np.searchsorted(t, e, side="left")) for t, e in zip(times, entered))
         return pd.Series([t[_chain_starts(t, i, width)] for t, i in zip(times, firsts)])
 
-    timed = events.select(*keys, F.col(micros).alias("t"))
+    unit = [*keys, "_period"]
+    timed = events.select(*keys, F.col(micros).alias("t")).withColumn(
+        "_period", F.floor(F.col("t") / period).cast("bigint")
+    )
+    crowded = timed.groupBy(*unit).agg((F.count("*") > busy).alias("_busy")).filter("_busy")
+    # a block is known by its start, so blocks of both lengths stay in time order
+    start = F.col("_period") * period
+    offset = F.col("t") - start
+    start = F.when(F.col("_busy"), start + offset - F.pmod(offset, F.lit(short))).otherwise(start)
     blocks = (
-        with_block(timed, F.floor(F.col("t") / block).cast("bigint"))
-        .groupBy(*keys, BLOCK)
+        timed.join(crowded, unit, "left")
+        .withColumn(BLOCK, start)
+        .groupBy(*unit, BLOCK)
         .agg(F.array_sort(F.collect_set("t")).alias("times"))
     )
-    table = blocks.select(*keys, BLOCK, summarise(BLOCK, "times").alias("s")).select(*keys, BLOCK, "s.*")
-
-    def gather(df: DataFrame, *by: str | Column) -> DataFrame:
-        listed = F.array_sort(F.collect_list(F.struct(BLOCK, "opens", "exits", "last")))
-        return df.groupBy(*keys, *by).agg(listed.alias("bs"))
-
-    # up: each parent holds the tables of at most 64 children
-    parent = F.floor(F.col(BLOCK) / BLOCKS_PER_WINDOW).cast("bigint").alias("_parent")
-    families = []
-    for _ in range(levels):
-        family = gather(table, parent)
-        families.append(family)
-        table = family.select(
-            *keys,
-            F.col("_parent").alias(BLOCK),
-            lengthen("bs.opens", "bs.exits", "bs.last").alias("s"),
-        ).select(*keys, BLOCK, "s.*")
-
-    # down: from the time a parent is entered to the times its children are entered
-    def entries(df: DataFrame, start: Column) -> DataFrame:
-        entered = enter(start, "bs.opens", "bs.exits", "bs.last")
-        pairs = F.arrays_zip(F.col(f"bs.{BLOCK}").alias("block"), entered.alias("entered"))
-        return df.select(*keys, F.explode(pairs).alias("e")).select(
-            *keys, F.col("e.block").alias(BLOCK), "e.entered"
+    tables = blocks.select(*unit, BLOCK, summarise(BLOCK, "times").alias("s")).select(*unit, BLOCK, "s.*")
+
+    def gather(df: DataFrame, by: list[str], place: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(place, "opens", "exits", "last")))
+        return df.groupBy(*by).agg(listed.alias("bs"))
+
+    def entries(df: DataFrame, by: list[str], place: str, entered: Column | str) -> DataFrame:
+        times = enter(entered, "bs.opens", "bs.exits", "bs.last")
+        pairs = F.arrays_zip(F.col(f"bs.{place}").alias("place"), times.alias("entered"))
+        return df.select(*by, F.explode(pairs).alias("e")).select(
+            *by, F.col("e.place").alias(place), "e.entered"
         )
 
-    entered = entries(gather(table), F.lit(NEVER))
-    for family in reversed(families):
-        started = entered.select(*keys, F.col(BLOCK).alias("_parent"), "entered")
-        entered = entries(family.join(started, [*keys, "_parent"]), F.col("entered"))
-    fired = blocks.join(entered, [*keys, BLOCK]).select(
+    # up: blocks to periods, periods to one chain per key
+    periods = gather(tables, unit, BLOCK)
+    joined = periods.select(*unit, lengthen("bs.opens", "bs.exits", "bs.last").alias("s"))
+    chain = gather(joined.select(*unit, "s.*"), keys, "_period")
+    # down: when is each period entered, then each of its blocks
+    period_entries = entries(chain, keys, "_period", F.lit(NEVER))
+    block_entries = entries(periods.join(period_entries, unit), unit, BLOCK, "entered")
+    fired = blocks.join(block_entries, [*unit, BLOCK]).select(
         *keys, F.explode(fire("times", "entered")).alias("opened")
     )
     return fired.withColumn("fired", F.col("opened") + width)
