@@ -75,6 +75,17 @@ def torch_training(files: DataFrame) -> DataFrame:
     )
 
 
+def torch_names(files: DataFrame) -> DataFrame:
+    """Distinct optimizers and losses of the corpus."""
+    py = matching(files, PY_PATH)
+    found = F.array(
+        F.struct(F.lit("optimizer").alias("kind"), all_groups("content", OPTIMIZER).alias("names")),
+        F.struct(F.lit("loss").alias("kind"), all_groups("content", LOSS).alias("names")),
+    )
+    listed = py.select(F.inline(found)).select("kind", F.explode("names").alias("name"))
+    return listed.distinct()
+
+
 def torch_flags(files: DataFrame) -> DataFrame:
     """Four feature flags over all source files."""
     return feature_flags(matching(files, PY_PATH), TRAINING_FLAGS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import base_name, dir_name
 from winnow.functions.text import all_groups
+from winnow.operators.joins import distinct_ordered
 from winnow.operators.packs import distinct_in_order, extract, matching
 from winnow.operators.select import lookahead_match
 from winnow.operators.skew import top_per_key
@@ -100,6 +101,12 @@ def fastapi_dependencies(files: DataFrame) -> DataFrame:
     )
 
 
+def dependency_names(files: DataFrame) -> DataFrame:
+    """Distinct dependency names of the corpus with the place of their first sighting."""
+    calls = extract(matching(files, PY_PATH, "Depends"), DEPENDS, {"name": 1})
+    return distinct_ordered(calls, "name", ["path", "pos"])
+
+
 def django_apps(files: DataFrame) -> DataFrame:
     """Top-level directories with models or views, and which of the usual files they hold."""
     top = files.filter(F.rlike("path", F.lit(r"^[^/]+/[^/]+\.py$")) & base_name("path").isin(*DJANGO_FILES))

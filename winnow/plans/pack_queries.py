@@ -326,6 +326,15 @@ def fastapi_dependencies(src: Source) -> DataFrame:
     return web.fastapi_dependencies(src("api_files")).withColumn("depends", _joined("depends"))
 
 
+@query(
+    rf"""SELECT name, f.path AS path, f.pos AS pos FROM (
+           SELECT trim(string_split_regex(m, '[()]')[2]) AS name, min({{'path': path, 'pos': pos}}) AS f
+           FROM ({_matches("<<api_files>>", r"Depends\s*\(\s*\w+\s*\)")}) x GROUP BY 1) y"""
+)
+def dependency_names(src: Source) -> DataFrame:
+    return web.dependency_names(src("api_files"))
+
+
 _DJANGO_NAMES = ["models", "views", "urls", "admin", "forms", "serializers"]
 
 
@@ -477,6 +486,16 @@ def torch_training(src: Source) -> DataFrame:
     return found.withColumns({c: _joined(c) for c in ("optimizers", "losses")})
 
 
+@query(
+    r"""SELECT DISTINCT 'optimizer' AS kind, unnest(regexp_extract_all(content, 'optim\.(\w+)\s*\(', 1)) AS name
+        FROM <<torch_files>> WHERE path LIKE '%.py'
+        UNION SELECT 'loss', unnest(regexp_extract_all(content, 'nn\.(\w+Loss\w*)\s*\(', 1))
+        FROM <<torch_files>> WHERE path LIKE '%.py'"""
+)
+def torch_names(src: Source) -> DataFrame:
+    return ml.torch_names(src("torch_files"))
+
+
 @query(
     """SELECT bool_or(contains(content, 'DataLoader')) AS has_data_loader,
               bool_or(contains(content, 'autocast') OR contains(content, 'GradScaler')) AS has_amp,

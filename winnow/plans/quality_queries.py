@@ -87,7 +87,7 @@ def appended_events(src: Source) -> DataFrame:
 
 
 _TARGET = "SELECT o_orderkey, o_custkey, o_totalprice, 'old' AS origin FROM orders WHERE o_orderstatus <> 'P'"
-_SOURCE = "SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'new' AS origin FROM orders WHERE o_orderkey % 3 = 0"
+_SOURCE = "SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'new' AS origin FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
 @query(
@@ -100,14 +100,14 @@ def upserted_orders(src: Source) -> DataFrame:
     orders = src("orders")
     target = orders.filter(F.col("o_orderstatus") != "P").select(*columns, F.lit("old").alias("origin"))
     source = (
-        orders.filter(F.col("o_orderkey") % 3 == 0)
+        orders.filter(F.col("o_orderpriority") == "1-URGENT")
         .select(*columns, F.lit("new").alias("origin"))
         .withColumn("o_totalprice", F.col("o_totalprice") + 1)
     )
     return load.merge_upsert(target, source, ["o_orderkey"])
 
 
-_REPLACED = "SELECT c_custkey, c_mktsegment, 'new' AS origin FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 2 = 0"
+_REPLACED = "SELECT c_custkey, c_mktsegment, 'new' AS origin FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000"
 
 
 @query(
@@ -116,7 +116,7 @@ _REPLACED = "SELECT c_custkey, c_mktsegment, 'new' AS origin FROM customer WHERE
 )
 def overwritten_segments(src: Source) -> DataFrame:
     target = src("customer").select("c_custkey", "c_mktsegment", F.lit("old").alias("origin"))
-    some = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_custkey") % 2 == 0)
+    some = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_acctbal") > 5000)
     source = src("customer").filter(some).select("c_custkey", "c_mktsegment", F.lit("new").alias("origin"))
     return load.insert_overwrite(target, source, "c_mktsegment")
 
@@ -129,7 +129,7 @@ def overwritten_partitions(src: Source) -> DataFrame:
     """The same replacement as a partitioned table on storage."""
     path = scratch_dir(src.spark, "segments")
     target = src("customer").select("c_custkey", "c_mktsegment", F.lit("old").alias("origin"))
-    some = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_custkey") % 2 == 0)
+    some = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_acctbal") > 5000)
     source = src("customer").filter(some).select("c_custkey", "c_mktsegment", F.lit("new").alias("origin"))
     load.overwrite_partitions(target, path, "c_mktsegment")
     load.overwrite_partitions(source, path, "c_mktsegment")
@@ -138,7 +138,7 @@ def overwritten_partitions(src: Source) -> DataFrame:
 
 # per customer: the order history is the change log, one snapshot before and one after a date
 _OLD = "SELECT o_custkey, o_orderstatus, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01') x WHERE rn = 1"
-_NEW = "SELECT o_custkey, o_orderstatus, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_custkey % 10 <> 4) x WHERE rn = 1"
+_NEW = "SELECT o_custkey, o_orderstatus, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderpriority <> '5-LOW') x WHERE rn = 1"
 
 
 def _scd2_sql(changed: str) -> str:
@@ -161,7 +161,7 @@ def _snapshots(src: Source) -> tuple[DataFrame, DataFrame]:
     history = before.withColumn("valid_from", F.col("o_orderdate")).withColumn(
         "valid_to", F.lit(None).cast("timestamp_ntz")
     )
-    return history, newest(orders.filter(F.col("o_custkey") % 10 != 4))
+    return history, newest(orders.filter(F.col("o_orderpriority") != "5-LOW"))
 
 
 def _dated(history: DataFrame) -> DataFrame:
