@@ -74,6 +74,22 @@ def test_throttle_stream_keeps_its_timer_between_batches(spark):
     assert got == {k: loop_throttle(ts, 5) for k, ts in every.items()}
 
 
+def test_throttle_stream_forgets_quiet_keys(spark):
+    day = 86_400_000_000  # the first watermark is the epoch, and rows at it are late
+    seconds = [
+        [("a", 0), ("b", 1)], [("a", 1.5), ("a", 2)], [("c", 3600)], [("c", 3601), ("a", 3602)], [("b", 3603), ("b", 3604.5)],
+    ]
+    batches = [[(k, day + int(t * 1_000_000)) for k, t in b] for b in seconds]
+    stream = arrivals(spark, batches, "k string, t long", "throttle-expiry").withColumn("ts", F.timestamp_micros("t"))
+    with ev.rocksdb_state(spark):
+        out = ev.throttle_stream(stream, "k", "t", event_time="ts", delay="1 second")
+        got = opened(ev.sink_table(out, "throttle-expiry-out"))
+    every = {}
+    for k, t in (r for b in batches for r in b):
+        every.setdefault(k, []).append(t)
+    assert got == {k: loop_throttle(ts, 2_000_000) for k, ts in every.items()}
+
+
 def test_activation_stream_equals_batch(spark):
     batches = [[("a", 1, True), ("b", 2, False)], [("a", 3, True), ("b", 4, True)], [("a", 5, False), ("b", 6, True), ("a", 7, True)]]
     schema = "id string, pos long, on boolean"

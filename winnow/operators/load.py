@@ -44,9 +44,14 @@ def insert_overwrite(target: DataFrame, source: DataFrame, partition: str) -> Da
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Write only the partitions present in ``df``; others at ``path`` stay."""
+    """Write only the partitions present in ``df``; others at ``path`` stay.
+
+    Rows are gathered by partition first, so that a partition is not scattered
+    over one small file per task; adaptive execution splits the large ones.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", partition)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)

@@ -180,7 +180,7 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
     return one.select(F.inline(F.array(*rows)))
 
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 100_000
 
 
 def exact_quantiles(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import extension
 from winnow.functions.text import as_col
+from winnow.operators.load import overwrite_partitions
 
 # Folders that are never read, and the depth limit of a walk.
 SKIP_DIRS = [
@@ -53,37 +54,29 @@ def scan_files(
     )
 
 
-def _bucket(path):
-    return F.pmod(F.xxhash64(path), F.lit(N_BUCKETS)).cast("int")
-
-
 def read_files(spark: SparkSession, store: str) -> DataFrame:
     """The (path, content) rows of a file store."""
     return spark.read.parquet(store).select("path", "content")
 
 
-def write_files(files: DataFrame, store: str) -> None:
+def write_files(files: DataFrame, store: str, buckets: int = N_BUCKETS) -> None:
     """Write (path, content) rows into a file store; an existing path is replaced.
 
-    The store is split into buckets by path. Only the buckets that receive rows
-    are rewritten, and dynamic overwrite swaps them in when the job commits.
+    The store is split into buckets by path, the unit that is rewritten: choose
+    their number once, so that one holds some gigabytes. Only the buckets that
+    receive rows are rewritten, and dynamic overwrite swaps them in when the job
+    commits. Rebalancing gives a bucket as many files as its size asks for.
     """
     spark = files.sparkSession
-    new = files.select("path", "content", _bucket("path").alias("bucket"))
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+    new = files.select("path", "content", bucket.alias("bucket"))
     try:
         stored = spark.read.parquet(store)
     except AnalysisException:
         stored = None
     if stored is not None:
-        touched = new.select("bucket").distinct()
-        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(
-            new.select("path"), "path", "left_anti"
-        )
+        # at most ``buckets`` numbers
+        touched = F.broadcast(new.select("bucket").distinct())
+        kept = stored.join(touched, "bucket", "left_semi").join(new.select("path"), "path", "left_anti")
         new = kept.select("path", "content", "bucket").unionByName(new)
-    (
-        new.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(store)
-    )
+    overwrite_partitions(new, store, "bucket")

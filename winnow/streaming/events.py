@@ -259,10 +259,11 @@ def throttle(
 class ThrottleProcessor(StatefulProcessor):
     """Stream form of the throttle: one open timer per key, event time in microseconds."""
 
-    def __init__(self, key: str, key_type: str, micros: str, width: int):
-        self.key, self.key_type, self.micros, self.width = key, key_type, micros, width
+    def __init__(self, key: str, micros: str, width: int, expire: bool):
+        self.key, self.micros, self.width, self.expire = key, micros, width, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.free = handle.getValueState("free", "free bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -273,9 +274,19 @@ class ThrottleProcessor(StatefulProcessor):
         if not starts:
             return
         opened = times[starts]
-        self.free.update((int(opened[-1]) + self.width,))
+        free = int(opened[-1]) + self.width
+        self.free.update((free,))
+        if self.expire:
+            # no row older than the watermark arrives, so a timer behind it can be forgotten
+            self.handle.registerTimer(-(-free // 1000))
         yield pd.DataFrame({self.key: [key[0]] * len(opened), "opened": opened, "fired": opened + self.width})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expired = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if self.free.exists() and self.free.get()[0] <= expired:
+            self.free.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -298,20 +309,30 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(STATE_STORE, before)
 
 
-def throttle_stream(stream: DataFrame, key: str, micros: str, width: int = THROTTLE_MICROS) -> DataFrame:
+def throttle_stream(
+    stream: DataFrame,
+    key: str,
+    micros: str,
+    width: int = THROTTLE_MICROS,
+    event_time: str | None = None,
+    delay: str = "10 minutes",
+) -> DataFrame:
     """Throttle as a stateful stream. The session must use the RocksDB state store.
 
     Batches must arrive in time order per key; an event older than the open
-    timer is absorbed by it.
+    timer is absorbed by it. With ``event_time``, a timestamp column, rows later
+    than ``delay`` are dropped and the state of quiet keys is removed.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, opened bigint, fired bigint"
-    return (
-        stream.select(key, micros)
-        .groupBy(key)
-        .transformWithStateInPandas(
-            ThrottleProcessor(key, key_type, micros, width), schema, "Append", "None"
-        )
+    schema = f"`{key}` {stream.schema[key].dataType.simpleString()}, opened bigint, fired bigint"
+    if event_time:
+        chosen = stream.select(key, micros, event_time).withWatermark(event_time, delay)
+    else:
+        chosen = stream.select(key, micros)
+    return chosen.groupBy(key).transformWithStateInPandas(
+        ThrottleProcessor(key, micros, width, expire=event_time is not None),
+        schema,
+        "Append",
+        "EventTime" if event_time else "None",
     )
 
 
