@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,23 @@ def test_diagnostics(spark):
     assert got == {"ws/a.py": (1, 1, "unknown"), "ws/b.js": (5, 3, "lint")}
     actions = {(r.path, r.action) for r in scan.match_actions(diags).collect()}
     assert ("ws/b.js", "fix_xss") in actions and ("ws/a.py", "fix_xss") not in actions
+
+
+def test_boundaries_are_those_of_ascii(spark):
+    """Every pattern with a word boundary agrees with an engine whose boundary is ASCII."""
+    from winnow.functions.text import ascii_boundary
+    from winnow.operators.packs.stacks import STACK_RULES
+
+    patterns = [r.pattern for r in SCAN_RULES] + [r.exclude for r in SCAN_RULES if r.exclude]
+    patterns += [r.content for r in STACK_RULES if r.content] + [a.pattern for a in LINE_ACTIONS]
+    patterns = sorted({p for p in patterns if r"\b" in p})
+    words = ["eval(", "exec(", "exec('git'", "password='abcd'", "AWS_SESSION_TOKEN='12345678'", "10.1.2.3", "DES", "RC4", "fastapi",
+             "django", "torch", "a.b.c", "// eval", "# exec"]
+    around = ["{}", "x{}", "{}x", "é{}", "{}é", "_{}", " {} ", "-{}.", "1{}", "{}9", "é{}é x{}"]
+    lines = [a.replace("{}", w) for a in around for w in words]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select("line", *[F.rlike("line", F.lit(ascii_boundary(p))).alias(f"p{i}") for i, p in enumerate(patterns)])
+    for row in got.collect():
+        for i, p in enumerate(patterns):
+            assert row[f"p{i}"] == bool(re.search(p, row.line, re.ASCII)), (p, row.line)
+    assert len(patterns) >= 8

@@ -6,6 +6,7 @@ Lengths and positions are counted in code points, which is what Spark's
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -24,7 +25,8 @@ FENCE_PATTERN = r"(?m)^```\w*\n?|```\s*$"
 COMMENT_PATTERN = r"^\s*(#|//|\*|/\*)"
 
 _WORD = "[A-Za-z0-9_]"
-_ASCII_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# before a word character, a class of them or a group of words; elsewhere after one
+_WORD_START = re.compile(r"\\b(?=[A-Za-z0-9_]|\\w|\\d|\(\?:)")
 
 
 def as_col(c: Column | str) -> Column:
@@ -34,9 +36,11 @@ def as_col(c: Column | str) -> Column:
 def ascii_boundary(pattern: str) -> str:
     """Replace ``\\b`` so that only ASCII letters, digits and ``_`` are word characters.
 
-    Java counts accented letters as word characters; the rules do not.
+    Java counts accented letters as word characters; the rules do not. What
+    stands next to ``\\b`` in a pattern must be word characters, as in all rules;
+    one look to the other side is then enough.
     """
-    return pattern.replace(r"\b", _ASCII_BOUNDARY)
+    return _WORD_START.sub(f"(?<!{_WORD})", pattern).replace(r"\b", f"(?!{_WORD})")
 
 
 def trim_space(c: Column | str) -> Column:

@@ -509,9 +509,9 @@ def torch_flags(src: Source) -> DataFrame:
 
 @query(
     """SELECT path, n_cells, n_code FROM (
-         SELECT 'nb/' || conv_id || '.ipynb' AS path, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) END AS n_cells,
+         SELECT 'nb/' || conv_id || '-' || (turn // 16) || '.ipynb' AS path, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) END AS n_cells,
                 CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role = 'assistant') END AS n_code
-         FROM conversations GROUP BY conv_id) n ORDER BY n_cells DESC, path LIMIT 10"""
+         FROM conversations GROUP BY conv_id, turn // 16) n ORDER BY n_cells DESC, path LIMIT 10"""
 )
 def largest_notebooks(src: Source) -> DataFrame:
     stats = ml.notebook_stats(notebook_files(src)).select("path", "n_cells", "n_code")
@@ -678,7 +678,7 @@ def git_status_counts(src: Source) -> DataFrame:
         FROM <<blames>>"""
 )
 def blame_fields(src: Source) -> DataFrame:
-    return repo.blame_fields(src("blames"))
+    return repo.blame_fields(src.texts("blames"))
 
 
 @query("SELECT * FROM (SELECT pos, line FROM <<commit_log>> ORDER BY pos DESC LIMIT 5) l WHERE trim(line) <> ''")
@@ -697,7 +697,7 @@ def recent_commits(src: Source) -> DataFrame:
        GROUP BY doc_id"""
 )
 def json_field_types(src: Source) -> DataFrame:
-    return documents.field_types(src("json_docs"))
+    return documents.field_types(src.texts("json_docs"))
 
 
 @query(
@@ -715,4 +715,4 @@ def first_state_machines(src: Source) -> DataFrame:
               array_to_string(json_keys(definition, '$.States'), ', ') AS states FROM ok"""
 )
 def all_state_machines(src: Source) -> DataFrame:
-    return documents.state_machine_stats(src("machines"), first=None)
+    return documents.state_machine_stats(src.texts("machines"), first=None)

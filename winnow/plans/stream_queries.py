@@ -123,7 +123,7 @@ _CHANGES = """SELECT user_id, event_id, CASE WHEN active THEN 'activated' ELSE '
 @query(_CHANGES)
 def activation_changes(src: Source) -> DataFrame:
     changes = ev.activation_changes(
-        src("activations"), "user_id", "active", ["ts", "event_id"], F.date_trunc("day", "ts")
+        src("activations"), "user_id", "active", ["ts", "event_id"], F.date_trunc("hour", "ts")
     )
     return changes.select("user_id", "event_id", "change")
 
@@ -164,8 +164,8 @@ def answer_chunks(src: Source) -> DataFrame:
     )
     cut = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / CHUNK).cast("int"))
     return (
-        src("conversations")
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), body.alias("body"))
+        src.texts("conversations")
+        .select(F.concat_ws("-", "conv_id", "turn").alias("request"), body.alias("body"))
         .select("request", "body", F.explode(cut).alias("seq"))
         .select(
             "request", "seq", F.substring("body", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data")
@@ -173,13 +173,13 @@ def answer_chunks(src: Source) -> DataFrame:
     )
 
 
-@query("SELECT conv_id * 1000 + turn AS request, text FROM conversations WHERE text <> ''")
+@query("SELECT conv_id || '-' || turn AS request, text FROM conversations WHERE text <> ''")
 def answers_assembled(src: Source) -> DataFrame:
     return ev.assemble_text(answer_chunks(src))
 
 
 @query(
-    """SELECT conv_id * 1000 + turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
+    """SELECT conv_id || '-' || turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
               + CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_lines
        FROM conversations WHERE text <> ''"""
 )
@@ -189,7 +189,7 @@ def answer_lines(src: Source) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id * 1000 + turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
+    """SELECT conv_id || '-' || turn AS request, CAST(ceil(length(text) / 20.0) AS BIGINT)
               + CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_lines
        FROM conversations WHERE text <> ''"""
 )
@@ -199,7 +199,7 @@ def answer_line_stream(src: Source) -> DataFrame:
     chunks = answer_chunks(src)
     last = chunks.groupBy("request").agg((F.max("seq") + 1).alias("seq"), F.lit("\n").alias("data"))
     chunks.unionByName(last).write.parquet(f"{folder}/in")
-    stream = src.spark.readStream.schema("request bigint, seq int, data string").parquet(f"{folder}/in")
+    stream = src.spark.readStream.schema("request string, seq int, data string").parquet(f"{folder}/in")
     with ev.rocksdb_state(src.spark):
         lines = ev.sink_table(ev.assemble_stream(stream), "lines")
     return lines.groupBy("request").agg(F.count("*").alias("n_lines"))

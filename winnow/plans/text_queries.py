@@ -303,9 +303,8 @@ CODE = "SELECT path, content FROM <<api_files>> UNION ALL SELECT path, content F
 
 def code_files(src: Source) -> DataFrame:
     out = src("api_files").select("path", "content")
-    for name in ("ws_files", "files"):
-        out = out.unionByName(src(name).select("path", "content"))
-    return out
+    out = out.unionByName(src("ws_files").select("path", "content"))
+    return out.unionByName(src.texts("files").select("path", "content"))
 
 
 _LANG_CASE = (
@@ -355,7 +354,7 @@ def line_actions(src: Source) -> DataFrame:
     )
 )
 def diagnostic_actions(src: Source) -> DataFrame:
-    return scan.match_actions(src("diagnostics"))
+    return scan.match_actions(src.texts("diagnostics"))
 
 
 @query(
@@ -644,7 +643,7 @@ def settings_as_text(src: Source) -> DataFrame:
 
 
 def notebook_files(src: Source) -> DataFrame:
-    """One notebook per conversation: a cell per message, outputs on code cells."""
+    """One notebook per sixteen turns of a conversation: a cell per message, outputs on code cells."""
     kind = (
         F.when(F.col("role") == "assistant", "code").when(F.col("role") == "user", "markdown").otherwise("raw")
     )
@@ -654,7 +653,8 @@ def notebook_files(src: Source) -> DataFrame:
         F.col("turn").alias("execution_count"),
         F.array(F.struct(F.col("role").alias("data"))).alias("outputs"),
     )
-    body = src("conversations").groupBy("conv_id").agg(
+    part = F.floor(F.col("turn") / 16).alias("part")
+    body = src("conversations").groupBy("conv_id", part).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))), lambda c: c["cell"]
         ).alias("cells")
@@ -668,19 +668,21 @@ def notebook_files(src: Source) -> DataFrame:
     )
     doc = F.to_json(F.struct("cells", F.struct(spec.alias("kernelspec")).alias("metadata")))
     return body.select(
-        F.concat(F.lit("nb/"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"),
+        F.concat(
+            F.lit("nb/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(".ipynb")
+        ).alias("path"),
         F.when(F.col("conv_id") % 10 == 9, F.lit("{broken")).otherwise(doc).alias("content"),
     )
 
 
 @query(
-    """SELECT 'nb/' || conv_id || '.ipynb' AS path,
+    """SELECT 'nb/' || conv_id || '-' || (turn // 16) || '.ipynb' AS path,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) END AS n_cells,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role = 'assistant') END AS n_code,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role = 'user') END AS n_markdown,
               CASE WHEN conv_id % 10 = 9 OR conv_id % 3 = 0 THEN 'unknown' ELSE 'k' || (conv_id % 4) END AS kernel,
               CASE WHEN conv_id % 10 <> 9 AND conv_id % 3 = 1 THEN 'scala' ELSE 'python' END AS language
-       FROM conversations GROUP BY conv_id"""
+       FROM conversations GROUP BY conv_id, turn // 16"""
 )
 def notebooks_read(src: Source) -> DataFrame:
     """Notebook cells, kernel and language; broken notebooks count as empty."""
@@ -688,12 +690,12 @@ def notebooks_read(src: Source) -> DataFrame:
 
 
 @query(
-    """SELECT 'nb/' || conv_id || '.ipynb' AS path,
+    """SELECT 'nb/' || conv_id || '-' || (turn // 16) || '.ipynb' AS path,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role <> 'assistant') END AS n_outputs,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role <> 'assistant') END AS n_counts,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) END AS n_cells,
               CASE WHEN conv_id % 10 = 9 THEN 0 ELSE CAST(sum(length(text)) AS BIGINT) END AS n_source
-       FROM conversations GROUP BY conv_id"""
+       FROM conversations GROUP BY conv_id, turn // 16"""
 )
 def notebooks_cleaned(src: Source) -> DataFrame:
     """What is left after cleaning: outputs and counts of non-code cells, and all sources."""
