@@ -283,7 +283,7 @@ _METHODS = "get|post|put|delete|patch|head|options"
            AND path IN (SELECT path FROM lines WHERE regexp_matches(line, '@(?:app|router)\.(?:get|post|put|delete|patch)'))"""
 )
 def fastapi_routes(src: Source) -> DataFrame:
-    return web.fastapi_routes(src("api_files"))
+    return web.fastapi_routes(src.texts("api_files"))
 
 
 @query(
@@ -309,7 +309,7 @@ def fastapi_route_count(src: Source) -> DataFrame:
           SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, k) AS rn FROM models) m WHERE rn = 1"""
 )
 def pydantic_models(src: Source) -> DataFrame:
-    return web.pydantic_models(src("api_files"))
+    return web.pydantic_models(src.texts("api_files"))
 
 
 @query(
@@ -545,7 +545,7 @@ _SRC = r"regexp_matches(path, '\.(?:py|ts|js)$')"
     )
 )
 def aws_services(src: Source) -> DataFrame:
-    return cloud.aws_services(src("ws_files"))
+    return cloud.aws_services(src.texts("ws_files"))
 
 
 @query(
@@ -557,7 +557,7 @@ def aws_services(src: Source) -> DataFrame:
          FROM <<ws_files>> WHERE {_SRC}) x WHERE is_handler OR is_stack"""
 )
 def aws_code_files(src: Source) -> DataFrame:
-    return cloud.aws_code_files(src("ws_files"))
+    return cloud.aws_code_files(src.texts("ws_files"))
 
 
 def _gcp_sql() -> str:
@@ -574,7 +574,7 @@ def _gcp_sql() -> str:
 
 @query(_gcp_sql())
 def gcp_services(src: Source) -> DataFrame:
-    return cloud.gcp_services(src("ws_files"))
+    return cloud.gcp_services(src.texts("ws_files"))
 
 
 @query(
@@ -583,7 +583,7 @@ def gcp_services(src: Source) -> DataFrame:
          UNION SELECT unnest(regexp_extract_all(content, '@google-cloud/[\w-]+')) FROM <<ws_files>> WHERE {_SRC}"""
 )
 def gcp_imports(src: Source) -> DataFrame:
-    return cloud.gcp_imports(src("ws_files"))
+    return cloud.gcp_imports(src.texts("ws_files"))
 
 
 @query(
@@ -603,7 +603,7 @@ def gcp_function_files(src: Source) -> DataFrame:
     )
 )
 def azure_services(src: Source) -> DataFrame:
-    return cloud.azure_services(src("ws_files"))
+    return cloud.azure_services(src.texts("ws_files"))
 
 
 @query(
@@ -621,7 +621,7 @@ def azure_services(src: Source) -> DataFrame:
     )
 )
 def azure_triggers(src: Source) -> DataFrame:
-    return cloud.azure_triggers(src("ws_files"))
+    return cloud.azure_triggers(src.texts("ws_files"))
 
 
 @query(
@@ -636,7 +636,7 @@ def azure_triggers(src: Source) -> DataFrame:
          FROM <<ws_files>> GROUP BY ws"""
 )
 def spark_features(src: Source) -> DataFrame:
-    return cloud.spark_features(src("ws_files"))
+    return cloud.spark_features(src.texts("ws_files"))
 
 
 def _stack_sql() -> str:
@@ -655,7 +655,7 @@ def _stack_sql() -> str:
 
 @query(_stack_sql())
 def detected_stacks(src: Source) -> DataFrame:
-    return stacks.detect_stacks(src("ws_files"))
+    return stacks.detect_stacks(src.texts("ws_files"))
 
 
 # ── version control and JSON documents ───────────────────────────────────────

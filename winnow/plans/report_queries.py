@@ -20,7 +20,7 @@ _FINDINGS = "({}) f".format(_rule_sql(lines_sql(_CORPUS, "path", "content"), "pa
 def _findings(src: Source) -> DataFrame:
     corpus = src.texts("files").select("path", "content")
     for name in ("page_files", "risky_files"):
-        corpus = corpus.unionByName(src(name).select("path", "content"))
+        corpus = corpus.unionByName(src.texts(name).select("path", "content"))
     return scan.security_scan(corpus)
 
 

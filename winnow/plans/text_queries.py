@@ -280,7 +280,7 @@ def security_scan_settings(src: Source) -> DataFrame:
 
 @query(_rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path"))
 def security_scan_code(src: Source) -> DataFrame:
-    return scan.security_scan(src("risky_files"))
+    return scan.security_scan(src.texts("risky_files"))
 
 
 @query(
@@ -289,7 +289,7 @@ def security_scan_code(src: Source) -> DataFrame:
     % _rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path")
 )
 def rules_that_fire(src: Source) -> DataFrame:
-    found = scan.security_scan(src("risky_files"))
+    found = scan.security_scan(src.texts("risky_files"))
     return found.agg(
         F.min("rule_id").alias("first_rule"),
         F.max("rule_id").alias("last_rule"),
@@ -302,8 +302,8 @@ CODE = "SELECT path, content FROM <<api_files>> UNION ALL SELECT path, content F
 
 
 def code_files(src: Source) -> DataFrame:
-    out = src("api_files").select("path", "content")
-    out = out.unionByName(src("ws_files").select("path", "content"))
+    out = src.texts("api_files").select("path", "content")
+    out = out.unionByName(src.texts("ws_files").select("path", "content"))
     return out.unionByName(src.texts("files").select("path", "content"))
 
 
