@@ -4,6 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.parity import compare, connect
+from winnow.operators import scan
+from winnow.operators.generated import generated_files, safe_paths
+from winnow.operators.packs import containers, data, infra, ml, repo, web
 from winnow.plans.registry import load_all
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,7 +61,38 @@ def test_plan_holds(spark, name, expected):
     assert expected in plan_of(spark, name)
 
 
-@pytest.mark.parametrize("name", ["security_scan_documents", "file_lines", "tf_variables", "fastapi_routes"])
-def test_narrow_operators_do_not_add_shuffles(spark, name):
-    """Scans and packs are narrow: only the input view, or the spreading of a small file, may shuffle."""
-    assert plan_of(spark, name).count("Exchange") <= 1
+NARROW = {
+    "security_scan": scan.security_scan,
+    "index_functions": lambda f: scan.index_functions(scan.with_language(f)),
+    "tag_lines": lambda f: scan.tag_lines(scan.with_language(f)),
+    "generated_files": lambda f: generated_files(f, "out", ["path"], "content"),
+    "k8s_manifests": containers.k8s_manifests,
+    "dockerfile_stages": containers.dockerfile_stages,
+    "compose_services": containers.compose_services,
+    "tf_variables": infra.tf_variables,
+    "dbt_project": data.dbt_project,
+    "dbt_sources": data.dbt_sources,
+    "airflow_dags": data.airflow_dags,
+    "fastapi_routes": web.fastapi_routes,
+    "fastapi_dependencies": web.fastapi_dependencies,
+    "django_settings": web.django_settings,
+    "torch_training": ml.torch_training,
+    "notebook_stats": ml.notebook_stats,
+    "clean_outputs": ml.clean_outputs,
+    "blame_fields": repo.blame_fields,
+    "safe_paths": lambda f: safe_paths(f, "base"),
+}
+
+
+@pytest.fixture(scope="module")
+def stored_files(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "files")
+    rows = [("a.py", "x = 1"), ("b.tf", 'resource "a" "b" {}')]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", list(NARROW))
+def test_scans_and_packs_never_shuffle(stored_files, name):
+    plan = NARROW[name](stored_files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "FileScan" in plan
