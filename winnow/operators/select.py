@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.labels import is_failed, severity_rank
 from winnow.functions.text import truncate_at_newline, truncate_text
-from winnow.operators.skew import running_sums, top_per_key
+from winnow.operators.skew import broadcast_rows, running_sums, top_per_key
 
 # Budgets, shares and caps.
 MESSAGE_BUDGET = 48_000
@@ -91,7 +91,7 @@ def latest_run_per_job(
     """
     if first_jobs is not None:
         jobs = jobs.orderBy("job_id").limit(first_jobs)
-        runs = runs.join(F.broadcast(jobs.select("job_id")), "job_id", "left_semi")
+        runs = runs.join(broadcast_rows(jobs.select("job_id"), first_jobs), "job_id", "left_semi")
     latest = runs.groupBy("job_id").agg(
         F.max_by("state", F.struct("started", "run_id")).alias("state")
     )
@@ -108,7 +108,7 @@ def recent_errors(
     ``functions``: name. ``logs``: log_id, ts, name, message.
     """
     few = functions.select("name").orderBy("name").limit(first_functions)
-    wanted = logs.join(F.broadcast(few), "name", "left_semi")
+    wanted = logs.join(broadcast_rows(few, first_functions), "name", "left_semi")
     newest = top_per_key(wanted, ["name"], [F.desc("ts"), F.desc("log_id")], per_function)
     return newest.withColumn("message", F.left("message", F.lit(limit)))
 

@@ -87,3 +87,11 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
     """First ``n`` rows per key. Spark trims each map task to ``n`` rows per key before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_rows(df: DataFrame, at_most: int) -> DataFrame:
+    """Broadcast a frame of keys known to have few rows; leave larger ones to Spark."""
+    return F.broadcast(df) if at_most <= BROADCAST_ROWS else df

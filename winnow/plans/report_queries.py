@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnow.operators import aggregate, scan, select
+from winnow.functions import paths
+from winnow.operators import aggregate, context, scan, select
 from winnow.operators.packs import data
 from winnow.operators.select import lookahead_match, topk_with_overflow
 from winnow.plans.registry import Source, query
@@ -172,6 +174,46 @@ def capped_errors(src: Source) -> DataFrame:
     return select.cap_errors(errors, order).select("path", "line", "message")
 
 
+_TOTAL = 1000
+
+
+@query(
+    r"""WITH parts AS (
+          SELECT *, row_number() OVER (PARTITION BY ctx, kind ORDER BY path) AS rk FROM <<context_parts>>),
+        kept AS (SELECT * FROM parts WHERE rk <= CASE kind WHEN 'related' THEN 5 WHEN 'plugin' THEN 5 ELSE 1 END),
+        n AS (SELECT ctx, count(*) AS n FROM kept WHERE kind = 'related' GROUP BY ctx),
+        errs AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY path, line, col, message) AS rk
+                         FROM <<diagnostics>> WHERE severity = 'error') e WHERE rk <= 3),
+        sections AS (
+          SELECT ctx, 0 AS s, 0 AS p, '## Active file: ' || path || ' (text)' AS t FROM kept WHERE kind = 'active'
+          UNION ALL SELECT ctx, 1, 0, '```text' || chr(10) || """
+    + _cut("500", "... (truncated to fit context budget)")
+    + r""" || chr(10) || '```' FROM kept WHERE kind = 'active'
+          UNION ALL SELECT doc, 2, 0, '## Errors (' || count(*) || '):' FROM errs GROUP BY doc
+          UNION ALL SELECT doc, 3, rk, '- [error] ' || path || ':' || line || ' — ' || message FROM errs
+          UNION ALL SELECT ctx, 4, 0, '## Git changes:' || chr(10) || CASE WHEN length(content) <= 100 THEN content
+               WHEN contains(substr(content, 1, 101), chr(10))
+               THEN regexp_extract(substr(content, 1, 101), '(?s)^(.*)\n', 1) || chr(10) || '... (diff truncated)'
+               ELSE substr(content, 1, 100) || chr(10) || '... (diff truncated)' END
+            FROM kept WHERE kind = 'diff' AND content <> ''
+          UNION ALL SELECT ctx, 5, rk, content FROM kept WHERE kind = 'plugin' AND content <> ''
+          UNION ALL SELECT k.ctx, 6, rk, '## Related: ' || path || chr(10) || '```text' || chr(10) || """
+    + _cut("floor(250.0 / n)", "... (truncated to fit context budget)")
+    + r""" || chr(10) || '```' FROM kept k JOIN n ON k.ctx = n.ctx WHERE kind = 'related'
+          UNION ALL SELECT DISTINCT ctx, 7, 0, '## Instruction:' || chr(10) || 'review ' || ctx FROM <<context_parts>>)
+        SELECT ctx, string_agg(t, chr(10) || chr(10) ORDER BY s, p) AS request FROM sections GROUP BY ctx"""
+)
+def request_texts(src: Source) -> DataFrame:
+    """Files, errors, changes and instruction of every context as one request text."""
+    parts = src("context_parts")
+    errors = src("diagnostics").filter(F.col("severity") == "error").withColumn("ctx", F.col("doc"))
+    instructions = parts.select("ctx").distinct().select(
+        "ctx", F.concat(F.lit("review "), F.col("ctx").cast("string")).alias("instruction")
+    )
+    return context.request_texts(context.context_sections(parts, errors, instructions, _TOTAL))
+
+
 # ── state per job, newest failures ───────────────────────────────────────────
 
 _LATEST = "(SELECT job_id, arg_max(state, {'a': started, 'b': run_id}) AS state FROM <<runs>> GROUP BY job_id) r"
@@ -250,10 +292,8 @@ def short_report(src: Source) -> DataFrame:
 )
 def objects_in_order(src: Source) -> DataFrame:
     """The first 25 entries of a sorted listing with their place."""
-    from pyspark.sql import Window as W
-
     sorted_rows = select.sort_objects(list_objects(src("object_keys")), F.col("is_dir"), "name").limit(25)
-    place = F.row_number().over(W.orderBy(F.desc("is_dir"), "name"))
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("is_dir"), "name"))
     return sorted_rows.select(place.alias("pos"), "name")
 
 
@@ -342,8 +382,6 @@ def scalar_collections(src: Source) -> DataFrame:
        FROM <<code_files>>"""
 )
 def scalar_paths(src: Source) -> DataFrame:
-    from winnow.functions import paths
-
     files = src("code_files").select("path")
     return files.select(
         "path",

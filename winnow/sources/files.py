@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from winnow.functions.paths import extension
 from winnow.functions.text import as_col
 from winnow.operators.load import overwrite_partitions
+from winnow.operators.skew import broadcast_rows
 
 # Folders that are never read, and the depth limit of a walk.
 SKIP_DIRS = [
@@ -75,8 +76,7 @@ def write_files(files: DataFrame, store: str, buckets: int = N_BUCKETS) -> None:
     except AnalysisException:
         stored = None
     if stored is not None:
-        # at most ``buckets`` numbers
-        touched = F.broadcast(new.select("bucket").distinct())
+        touched = broadcast_rows(new.select("bucket").distinct(), buckets)
         kept = stored.join(touched, "bucket", "left_semi").join(new.select("path"), "path", "left_anti")
         new = kept.select("path", "content", "bucket").unionByName(new)
     overwrite_partitions(new, store, "bucket")

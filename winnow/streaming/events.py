@@ -81,6 +81,8 @@ def sink_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFra
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    # an empty first part, so that a stream without any batch still has a table
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/table/batch_id=-1")
     run_to_end(stream, write_batch(f"{folder}/table"), f"{folder}/checkpoint", mode)
     return spark.read.schema(schema).option("basePath", f"{folder}/table").parquet(f"{folder}/table/*")
 
