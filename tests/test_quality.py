@@ -156,3 +156,19 @@ def test_hooks(spark):
 def test_chain_runs_in_order(spark):
     steps = [lambda d: d.withColumn("id", F.col("id") + 1), lambda d: d.withColumn("id", F.col("id") * 10)]
     assert [r.id for r in hooks.chain(spark.range(2), steps).collect()] == [10, 20]
+
+
+def test_default_hooks_all_plan(spark):
+    from winnow.operators.packs.default_hooks import DEFAULT_HOOKS, register_default_hooks
+
+    files = spark.createDataFrame(
+        [("w", "dags/a.py", "schedule='@daily'"), ("w", "t/conftest.py", "@pytest.fixture\ndef f():\n")], "ws string, path string, content string"
+    )
+    assert len({h.key for h in DEFAULT_HOOKS}) == len(DEFAULT_HOOKS)
+    for hook in DEFAULT_HOOKS:  # none is skipped
+        hooks.hook_lines(files, [hook]).schema
+    got = {(r.key, r.line) for r in hooks.hook_lines(files, DEFAULT_HOOKS).collect()}
+    assert ("airflow.dags", "- dags/a.py — dag_id: a [schedule: @daily]") in got
+    assert ("pytest.fixtures", "function scope: f") in got
+    register_default_hooks()
+    assert ("workspace.stacks", "- w: airflow") in {(r.key, r.line) for r in hooks.hook_lines(files).collect()}

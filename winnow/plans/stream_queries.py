@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from winnow.functions.text import trim_space
 from winnow.operators import hooks
 from winnow.operators.packs import cloud, containers, infra, stacks
+from winnow.operators.packs.default_hooks import DEFAULT_HOOKS
 from winnow.plans.registry import Source, query
 from winnow.plans.text_queries import _rule_sql, epoch_micros, lines_sql
 from winnow.sources.scratch import scratch_dir
@@ -326,3 +327,21 @@ def chained_rewrites(src: Source) -> DataFrame:
         lambda df: df.withColumn("text", F.left("text", F.lit(100))),
     ]
     return hooks.chain(src("documents"), steps)
+
+
+@query(
+    """SELECT key, line FROM (
+         SELECT 'k8s.manifests' AS key, '- Pod/(unnamed) (ns: default) — ' || path AS line FROM <<ws_files>> WHERE path LIKE 'k8s/%'
+         UNION ALL SELECT 'docker.stages', '- `' || path || '`: stage0 (FROM python:3)' FROM <<ws_files>> WHERE path = 'Dockerfile'
+         UNION ALL SELECT 'dbt.models', '- ' || path || ' [view]' FROM <<ws_files>> WHERE path LIKE 'models/%'
+         UNION ALL SELECT 'airflow.dags', '- ' || path || ' — dag_id: ' || regexp_extract(path, '([^/]*)\\.py$', 1)
+                   FROM <<ws_files>> WHERE path LIKE 'dags/%'
+         UNION ALL SELECT 'jupyter.notebooks', '- `' || path || '`: 0 cells (0 code, 0 markdown) — kernel: unknown (python)'
+                   FROM <<ws_files>> WHERE path LIKE '%.ipynb'
+         UNION ALL SELECT 'fastapi.models', '' FROM <<ws_files>> WHERE FALSE) h"""
+)
+def default_hook_lines(src: Source) -> DataFrame:
+    """Lines of the default hooks over the workspaces."""
+    keys = ["k8s.manifests", "docker.stages", "dbt.models", "airflow.dags", "jupyter.notebooks", "fastapi.models"]
+    chosen = [h for h in DEFAULT_HOOKS if h.key in keys]
+    return hooks.hook_lines(src("ws_files"), chosen)
