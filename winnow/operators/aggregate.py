@@ -5,21 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.operators.skew import top_per_key
 
 
-def _count_if(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts per category and, under category null, over all findings."""
     counted = findings.rollup("category").agg(
         F.count("*").alias("total"),
-        *[_count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
+        *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
     )
     return counted
 
@@ -52,7 +48,7 @@ def errors_by_function(logs: DataFrame, limit: int = 100) -> DataFrame:
 
 def fleet_status(fleet: DataFrame, state: str = "state", running: str = "RUNNING") -> DataFrame:
     return fleet.agg(
-        _count_if(F.col(state) == running).alias("n_running"), F.count("*").alias("n_total")
+        F.count_if(F.col(state) == running).alias("n_running"), F.count("*").alias("n_total")
     )
 
 

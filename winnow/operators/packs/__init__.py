@@ -1,9 +1,8 @@
 """Extraction packs: facts from configuration, notebook and source files.
 
-Every pack takes ``files`` (path, content) and returns facts as rows. A pack
-filters by path first, by a cheap literal next, and only then runs patterns;
-whole texts are read. ``max_chars`` arguments do not exist on purpose: texts
-are never cut.
+Every pack takes ``files`` (path, content; some also ws) and returns facts as
+rows. A pack filters by path first, by a cheap literal next, and only then runs
+patterns, always on whole texts.
 """
 
 from __future__ import annotations

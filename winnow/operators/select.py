@@ -21,7 +21,7 @@ MIN_ERRORS = 3
 HISTORY_KEPT = 40
 HISTORY_SHOWN = 20
 
-TURNS_PER_BLOCK = 1024
+TURNS_PER_BLOCK = 16_384
 
 
 def window_messages(conversations: DataFrame, budget: int = MESSAGE_BUDGET) -> DataFrame:

@@ -408,7 +408,7 @@ def line_delta(line: Column | str, paths: list[str] = DELTA_PATHS) -> Column:
     return F.when(F.contains(line, F.lit(SSE_DONE)), "").otherwise(delta)
 
 
-CHUNKS_PER_BLOCK = 1024
+CHUNKS_PER_BLOCK = 16_384
 
 
 def assemble_lines(chunks: DataFrame) -> DataFrame:
