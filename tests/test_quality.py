@@ -91,9 +91,11 @@ def test_upsert_and_overwrite(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     s = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
     assert {tuple(r) for r in load.merge_upsert(t, s, ["k"]).collect()} == {(1, "a"), (2, "B"), (3, "C")}
-    t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "k int, p string")
-    s = spark.createDataFrame([(9, "x")], "k int, p string")
-    assert {tuple(r) for r in load.insert_overwrite(t, s, "p").select("k", "p").collect()} == {(3, "y"), (9, "x")}
+    t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "k int, p string")
+    s = spark.createDataFrame([(9, "x"), (8, None)], "k int, p string")
+    overwritten = load.insert_overwrite(t, s, "p")
+    assert {tuple(r) for r in overwritten.select("k", "p").collect()} == {(3, "y"), (9, "x"), (8, None)}
+    assert "NestedLoop" not in overwritten._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scd2(spark):

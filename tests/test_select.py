@@ -51,7 +51,8 @@ def test_window_messages_over_many_blocks(spark, monkeypatch):
 
 def test_block_helpers_equal_plain_windows(spark):
     rng = random.Random(5)
-    rows = [(rng.choice("aab"), i, rng.randrange(10)) for i in range(500)]
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([None, *range(1, 10)])) for i in range(500)]
+    rows = [(k, o, 1) if k not in seen and not seen.add(k) else (k, o, v) for seen in [set()] for k, o, v in rows]
     df = spark.createDataFrame(rows, "k string, o long, v long")
     block = F.floor(F.col("o") / 16)
     got = running_sums(df, ["k"], ["o"], {"s": F.col("v")}, block)
@@ -62,6 +63,13 @@ def test_block_helpers_equal_plain_windows(spark):
     assert sorted(map(str, got.select("k", "o", "v", "s", "p").collect())) == sorted(map(str, plain.collect()))
 
 
+def test_null_keys_and_texts_are_kept(spark):
+    rows = [(None, 0, "abc"), (None, 1, None), (1, 0, None), (1, 1, None), (2, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn) for r in select.window_messages(df, 10).collect()}
+    assert got == {(None, 0), (None, 1), (1, 0), (1, 1), (2, None)}
+
+
 def test_last_n(spark):
     df = conversations(spark, [[1] * 50, [1] * 3])
     counts = {r.conv_id: r["count"] for r in select.last_n(df, 40).groupBy("conv_id").count().collect()}

@@ -38,6 +38,8 @@ def test_throttle_edges(spark):
     assert got == {k: loop_throttle(ts, 2_000_000) for k, ts in cases.items()}
     busy = opened(ev.throttle(df, ["k"], "t", busy=0))
     assert busy == got
+    odd = spark.createDataFrame([(None, 0), (None, 1), ("a", None), (None, 3_000_000)], "k string, t long")
+    assert opened(ev.throttle(odd, ["k"], "t")) == {None: [0, 3_000_000]}
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

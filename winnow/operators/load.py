@@ -39,8 +39,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
 
 def insert_overwrite(target: DataFrame, source: DataFrame, partition: str) -> DataFrame:
     """Target with every partition that occurs in the source replaced by it."""
-    replaced = source.select(partition).distinct()
-    return target.join(replaced, partition, "left_anti").unionByName(source)
+    replaced = source.select(F.col(partition).alias("_replaced")).distinct()
+    same = F.col(partition).eqNullSafe(F.col("_replaced"))  # null is a partition too
+    return target.join(replaced, same, "left_anti").unionByName(source)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:

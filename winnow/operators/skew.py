@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# A block is one struct column (key columns, then block). A struct is never null itself,
+# so joining on it also matches rows whose key or order is null: no row is lost.
 BLOCK = "_block"
 
 
-def with_block(df: DataFrame, block: Column) -> DataFrame:
-    return df.withColumn(BLOCK, block)
-
-
 def running_sums(
     df: DataFrame,
     keys: list[str],
@@ -28,7 +26,7 @@ def running_sums(
     descending: bool = False,
     only_blocks: Column | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of each value per key in ``order``.
+    """Inclusive running sum of each value per key in ``order``; null values count 0.
 
     ``block`` must never decrease along ``order``. With ``descending`` the sums
     run from the newest row back. ``only_blocks`` is a condition on the sums
@@ -36,26 +34,28 @@ def running_sums(
     dropped before their rows are sorted.
     """
     direction = F.desc if descending else F.asc
-    blocked = with_block(df, block)
+    values = {n: F.coalesce(v, F.lit(0)) for n, v in values.items()}
+    blocked = df.withColumn(BLOCK, F.struct(*keys, block.alias("_b")))
+    key_fields = [F.col(f"{BLOCK}.{k}") for k in keys]
     earlier = (
-        W.partitionBy(*keys).orderBy(direction(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*key_fields)
+        .orderBy(direction(f"{BLOCK}._b"))
+        .rowsBetween(W.unboundedPreceding, -1)
     )
-    totals = blocked.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    totals = blocked.groupBy(BLOCK).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     before = totals.select(
-        *keys,
-        BLOCK,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in values],
+        BLOCK, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in values]
     )
     if only_blocks is not None:
         before = before.filter(only_blocks)
     inside = (
-        W.partitionBy(*keys, BLOCK)
+        W.partitionBy(BLOCK)
         .orderBy(*[direction(c) for c in order])
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     sums = {n: F.sum(v).over(inside) + F.col(f"before_{n}") for n, v in values.items()}
     return (
-        blocked.join(before, [*keys, BLOCK])
+        blocked.join(before, BLOCK)
         .withColumns(sums)
         .drop(BLOCK, *[f"before_{n}" for n in values])
     )
@@ -65,16 +65,18 @@ def previous_value(
     df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str
 ) -> DataFrame:
     """Value of the previous row of the key in ``order``; null for the first row."""
-    blocked = with_block(df, block)
-    last = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy(BLOCK)))
-        .drop("_last")
+    blocked = df.withColumn(BLOCK, F.struct(*keys, block.alias("_b")))
+    key_fields = [F.col(f"{BLOCK}.{k}") for k in keys]
+    # the value is wrapped, so that a null value is carried like any other
+    last = blocked.groupBy(BLOCK).agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
+    )
+    carried = last.select(
+        BLOCK, F.lag("_last").over(W.partitionBy(*key_fields).orderBy(f"{BLOCK}._b"))["v"].alias("_carried")
     )
-    inside = W.partitionBy(*keys, BLOCK).orderBy(*order)
+    inside = W.partitionBy(BLOCK).orderBy(*order)
     return (
-        blocked.join(last, [*keys, BLOCK])
+        blocked.join(carried, BLOCK)
         .withColumn("_rn", F.row_number().over(inside))
         .withColumn(
             out, F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.lag(value).over(inside))

@@ -182,6 +182,7 @@ def throttle(
 
     ``micros`` is a bigint event time. An event at or after the firing opens
     the next timer. One row per firing: the keys, ``opened`` and ``fired``.
+    Events without a time open nothing.
 
     A key is never folded in one piece. Its time is cut into blocks: a period
     (a day) where the key is quiet, 64 timer widths where it has more than
@@ -217,10 +218,12 @@ def throttle(
         firsts = (int(np.searchsorted(t, e, side="left")) for t, e in zip(times, entered))
         return pd.Series([t[_chain_starts(t, i, width)] for t, i in zip(times, firsts)])
 
-    unit = [*keys, "_period"]
-    timed = events.select(*keys, F.col(micros).alias("t")).withColumn(
-        "_period", F.floor(F.col("t") / period).cast("bigint")
-    )
+    # the key as one struct, which is never null itself: rows with null keys join too
+    key = "_key"
+    unit = [key, "_period"]
+    timed = events.filter(F.col(micros).isNotNull()).select(
+        F.struct(*keys).alias(key), F.col(micros).alias("t")
+    ).withColumn("_period", F.floor(F.col("t") / period).cast("bigint"))
     crowded = timed.groupBy(*unit).agg((F.count("*") > busy).alias("_busy")).filter("_busy")
     # a block is known by its start, so blocks of both lengths stay in time order
     start = F.col("_period") * period
@@ -248,14 +251,14 @@ def throttle(
     # up: blocks to periods, periods to one chain per key
     periods = gather(tables, unit, BLOCK)
     joined = periods.select(*unit, lengthen("bs.opens", "bs.exits", "bs.last").alias("s"))
-    chain = gather(joined.select(*unit, "s.*"), keys, "_period")
+    chain = gather(joined.select(*unit, "s.*"), [key], "_period")
     # down: when is each period entered, then each of its blocks
-    period_entries = entries(chain, keys, "_period", F.lit(NEVER))
+    period_entries = entries(chain, [key], "_period", F.lit(NEVER))
     block_entries = entries(periods.join(period_entries, unit), unit, BLOCK, "entered")
     fired = blocks.join(block_entries, [*unit, BLOCK]).select(
-        *keys, F.explode(fire("times", "entered")).alias("opened")
+        key, F.explode(fire("times", "entered")).alias("opened")
     )
-    return fired.withColumn("fired", F.col("opened") + width)
+    return fired.select(f"{key}.*", "opened", (F.col("opened") + width).alias("fired"))
 
 
 class ThrottleProcessor(StatefulProcessor):
