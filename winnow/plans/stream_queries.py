@@ -315,16 +315,16 @@ def hook_report(src: Source) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, substr(replace(trim(regexp_replace(text, '[0-9]+', '#', 'g'), chr(9) || chr(10) || ' '), 'an', 'AN'), 1, 100) AS text
-       FROM documents WHERE lang = 'en'"""
+    """SELECT doc_id, lang || ': ' || replace(trim(regexp_replace(text, '[0-9]+', '#', 'g'), chr(9) || chr(10) || ' '), 'an', 'AN') AS text
+       FROM documents"""
 )
 def chained_rewrites(src: Source) -> DataFrame:
     """Rewriters in order, each on the result of the one before."""
     steps = [
-        lambda df: df.filter(F.col("lang") == "en").select("doc_id", "text"),
+        lambda df: df.select("doc_id", "lang", "text"),
         lambda df: df.withColumn("text", F.regexp_replace("text", "[0-9]+", "#")),
         lambda df: df.withColumn("text", F.replace(trim_space("text"), F.lit("an"), F.lit("AN"))),
-        lambda df: df.withColumn("text", F.left("text", F.lit(100))),
+        lambda df: df.select("doc_id", F.concat("lang", F.lit(": "), "text").alias("text")),
     ]
     return hooks.chain(src("documents"), steps)
 

@@ -359,10 +359,10 @@ def diagnostic_actions(src: Source) -> DataFrame:
 
 @query(
     """SELECT path, line + 1 AS line, col + 1 AS col, message, severity, coalesce(source, 'unknown') AS source
-       FROM <<diagnostics>> WHERE severity <> 'info' AND path LIKE 'ws/1%'"""
+       FROM <<diagnostics>> WHERE severity <> 'info' AND path LIKE 'ws/%'"""
 )
 def diagnostics_under_root(src: Source) -> DataFrame:
-    return scan.filter_diagnostics(src("diagnostics"), "ws/1")
+    return scan.filter_diagnostics(src("diagnostics"), "ws/")
 
 
 # ── cutting, masking, joining text ───────────────────────────────────────────
