@@ -103,7 +103,7 @@ def test_cut_lineage(spark):
 
 
 def test_spread_small(spark, tmp_path):
-    path = str(tmp_path / "one")
+    path = str(tmp_path / "one file+ü")
     spark.range(1000).coalesce(1).write.parquet(path)
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism

@@ -27,7 +27,7 @@ class Source:
     """The tables and views of one folder, opened on demand: ``src("orders")``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, str(folder).rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.folder, name)

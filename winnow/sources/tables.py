@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    paths = df.inputFiles()
+    paths = [unquote(p) for p in df.inputFiles()]
     if not paths or len(paths) >= cores:
         return df
     total = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
