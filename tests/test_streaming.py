@@ -174,3 +174,14 @@ def test_outcome_counts_over_batches(spark):
     latest = ev.latest_counts(ev.sink_table(counted, "outcome-out", mode="update"))
     got = {(r.hour.hour, r.outcome): r.n for r in latest.collect()}
     assert got == {(0, "started"): 2, (0, "done"): 1, (1, "failed"): 1}
+
+
+def test_a_rescan_replaces_the_findings_of_a_document(spark):
+    batches = [
+        [("a", "x = eval(y)", 1), ("b", "x = eval(y)", 1), ("a", "pwd = 'abcd'", 2)],
+        [("b", "fine", 3)],
+    ]
+    stream = arrivals(spark, batches, "path string, content string, saved long", "rescan-test")
+    folder = scratch_dir(spark, "rescan-out")
+    ev.incremental_scan(stream, folder, f"{folder}/checkpoint", order="saved")
+    assert [(r.path, r.rule_id) for r in ev.current_findings(spark, folder).collect()] == [("a", 1)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from winnow.operators.joins import first_wins
 from winnow.operators.scan import security_scan
 from winnow.operators.skew import BLOCK, previous_value, running_sums
 from winnow.sources.scratch import scratch_dir
@@ -489,16 +490,20 @@ def assemble_stream(stream: DataFrame) -> DataFrame:
 # ── rescans, tails, counts, new files ────────────────────────────────────────
 
 
-def incremental_scan(stream: DataFrame, store: str, checkpoint: str, path: str = "path") -> None:
+def incremental_scan(
+    stream: DataFrame, store: str, checkpoint: str, path: str = "path", order: str | None = None
+) -> None:
     """Scan documents as they arrive; the newest scan of a document replaces its findings.
 
     Each batch writes its findings and the list of documents it scanned under
     its own batch id, so a retried batch replaces only itself. See
-    ``current_findings`` for the replacement.
+    ``current_findings`` for the replacement. Where a document may arrive more
+    than once in a batch, ``order`` names the column that tells its newest text.
     """
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        security_scan(batch).write.mode("overwrite").parquet(f"{store}/findings/batch_id={batch_id}")
+        newest = first_wins(batch, path, [F.desc(order)]) if order else batch
+        security_scan(newest).write.mode("overwrite").parquet(f"{store}/findings/batch_id={batch_id}")
         batch.select(path).distinct().write.mode("overwrite").parquet(
             f"{store}/scanned/batch_id={batch_id}"
         )
