@@ -31,13 +31,13 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
+SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
 
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for heavy work on a small table that sits in fewer files than cores.
 
-    A file with one row group is read by one task. Only tables of at most 64 MB
+    A file with one row group is read by one task. Only tables of at most 16 MB
     per core are redistributed; larger ones keep their splits and never shuffle.
     """
     spark = df.sparkSession
