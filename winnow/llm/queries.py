@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import simhash
+from winnow.llm import decontaminate, language, lines, oracles, sentencepiece, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(table(spark, folder, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, folder, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Build]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    found = (op2_line_dedup, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": oracles.OP2, "op5_decontamination": oracles.OP5}
