@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, language, lines, oracles, sentencepiece, simhash
+from winnow.llm import decontaminate, language, lines, oracles, secrets, sentencepiece, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
 
@@ -36,7 +40,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Build]:
-    found = (op2_line_dedup, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
+    found = (op1_secrets, op2_line_dedup, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
     return {f.__name__: f for f in found}
 
 
