@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, language, lines, oracles, secrets, sentencepiece, simhash
+from winnow.llm import decontaminate, language, lines, oracles, personal, secrets, sentencepiece, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_report(table(spark, folder, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.round_trip(table(spark, folder, "documents"))
 
@@ -40,7 +44,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Build]:
-    found = (op1_secrets, op2_line_dedup, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
+    found = (op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
     return {f.__name__: f for f in found}
 
 
