@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, language, lines, oracles, personal, secrets, sentencepiece, simhash
+from winnow.llm import decontaminate, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -39,12 +39,23 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_report(table(spark, folder, "documents"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Build]:
-    found = (op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op10_simhash)
+    found = (
+        op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op7_quality,
+        op8_language_model, op10_simhash,
+    )
     return {f.__name__: f for f in found}
 
 
