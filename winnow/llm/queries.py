@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash
+from winnow.llm import decontaminate, embeddings, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(table(spark, folder, "documents"))
 
 
+def op9_embedding_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, folder, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Build]:
     found = (
         op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op7_quality,
-        op8_language_model, op10_simhash,
+        op8_language_model, op9_embedding_groups, op10_simhash,
     )
     return {f.__name__: f for f in found}
 
