@@ -13,7 +13,7 @@ from winnow.sources.scratch import cut_lineage
 #: Shorter lines (trimmed, in code points) are headings, bullets and blank lines: they always stay.
 MIN_CHARS = 16
 MAX_EDITS = 1
-#: Bits of the filter of places whose texts are read again; its size does not depend on the table.
+#: Bits of the filter of lines whose texts are read again; its size does not depend on the table.
 FILTER_BITS = 24
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,95 +32,119 @@ def _parts(doc: str) -> list[Column]:
     return [((F.col("place") - pos) / two).cast("long").alias(doc), pos.cast("int").alias("pos")]
 
 
-def _half(n: Column) -> Column:
-    """Length of the prefix and suffix that stand for a line of ``n`` code points: less than half, in steps."""
-    return (F.floor(n / 8) * 4).cast("int")
+def _step(n: int) -> int:
+    """A third of a line of ``n`` code points, rounded down so that most lengths share it with the next."""
+    return n // 9 * 3
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line that takes part: ``doc_id, pos, h1, h2, n`` and hashes of its prefix and suffix."""
-    line = F.col("line")
-    half = _half(F.col("n"))
-    step = F.col("n") % 8 == 0  # a line one shorter falls into the step below
+_SEEDS: dict[tuple[int, int], int] = {}
 
-    def ends(h: Column) -> list[Column]:
-        return [
-            F.xxhash64(F.lit(1), h, F.substr(line, F.lit(1), h)),
-            F.xxhash64(F.lit(2), h, F.substr(line, F.col("n") - h + 1, h)),
-        ]
 
+def gap_keys(line: str) -> list[tuple[int, int, int]]:
+    """``gap, step, key`` of the line without each of three gaps.
+
+    Two lines one edit apart agree before and after it, so both have a key with the edit inside its gap:
+    the gap begins after 0, 1 or 2 steps and leaves 2, 1 or 0 steps at the end. A line whose length
+    begins a new step also has the keys of the step below, for lines that are one shorter.
+    """
+    n = len(line)
+    found = []
+    for step in (_step(n), _step(n) - 3) if n % 9 == 0 else (_step(n),):
+        for gap in range(3):
+            seed = _SEEDS.get((gap, step))
+            if seed is None:
+                seed = _SEEDS[gap, step] = xxhash.xxh64_intdigest(f"{gap},{step}".encode(), 42)
+            ends = line[: gap * step] + line[n - (2 - gap) * step :]
+            found.append((gap, step, xxhash.xxh64_intdigest(ends.encode("utf-8", "replace"), seed)))
+    return found
+
+
+def _own_lines(batch: pa.RecordBatch, min_chars: int) -> dict[str, tuple[int, int]]:
+    """The distinct lines of a batch that take part, with the first document and line number of each."""
+    found: dict[str, tuple[int, int]] = {}
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for pos, line in enumerate(text.split("\n")):
+            line = line.strip(" ")
+            if len(line) >= min_chars:
+                place = (doc_id, pos)
+                if found.setdefault(line, place) > place:
+                    found[line] = place
+    return found
+
+
+def _taking_part(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+
+
+def _classes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``place``: where each distinct line comes first."""
     return (
-        docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        _taking_part(docs)
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("doc_id", "pos", F.trim("line").alias("line"))
-        .withColumn("n", F.length("line"))
-        .where(F.col("n") >= min_chars)
-        .select(
-            "doc_id",
-            "pos",
-            F.xxhash64("line").alias("h1"),
-            F.xxhash64(F.lit(7), "line").alias("h2"),
-            "n",
-            *[c.alias(f"k{i}") for i, c in enumerate(ends(half))],
-            *[F.when(step, c).alias(f"k{i + 2}") for i, c in enumerate(ends(half - 4))],
-        )
+        .where(F.length("line") >= min_chars)
+        .groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+        .agg(F.min(_place()).alias("place"))
+        .select("place")
     )
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Distinct lines that share a prefix or a suffix with another one: ``place, n, head, tail``.
-
-    Two lines one edit apart agree before the edit or after it, so no pair is missed. ``head`` and
-    ``tail`` say on which side of a shared end the edit may lie.
-    """
-    ends = classes.select(
-        "h1",
-        "place",
-        "n",
-        F.explode(
-            F.array(*[F.struct(F.col(f"k{i}").alias("k"), F.lit(i % 2 == 1).alias("suffix")) for i in range(4)])
-        ).alias("end"),
-    ).select("h1", "place", "n", "end.*").where("k IS NOT NULL")
-    shared = ends.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    return (
-        ends.join(shared, "k", "left_semi")
-        .groupBy("place", "n")
-        .agg(F.bool_or("suffix").alias("head"), F.bool_or(~F.col("suffix")).alias("tail"))
-    )
+def _shared_keys(docs: DataFrame, min_chars: int) -> np.ndarray:
+    """A bit map, of fixed size, of the gap keys that at least two different lines have."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, owners = [], []
+        for line in _own_lines(batch, min_chars):
+            own = xxhash.xxh64_intdigest(line.encode("utf-8", "replace"))
+            for _, _, key in gap_keys(line):
+                keys.append(key)
+                owners.append(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, owners)], ["key", "line"]
+        )
 
-def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``place, line`` of the places, read again from the documents through a filter of fixed size."""
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id", "pos"), 64 - FILTER_BITS)
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    shared = (
+        map_texts(_taking_part(docs), run, "key long, line long")
+        .groupBy("key")
+        .agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+        .where("lo <> hi")
+    )
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     packed = (
-        places.select(slot.alias("slot"))
+        shared.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
         .toArrow()
     )
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[packed["word"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _candidates(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``line, place, gaps``: distinct lines that share a gap key with another one, and which gaps (three bits a step)."""
+    bits = _shared_keys(docs, min_chars)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, positions, lines = [], [], []
-        shift = 64 - FILTER_BITS
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            seed = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
-            each = text.split("\n")
-            slots = np.fromiter(
-                (xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed) >> shift for p in range(len(each))), np.int64, len(each)
-            )
-            found = np.flatnonzero(bits[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).tolist()
-            ids += [doc_id] * len(found)
-            positions += found
-            lines += [each[p].strip(" ") for p in found]
+        ids, positions, lines, gaps = [], [], [], []
+        for line, (doc_id, pos) in _own_lines(batch, min_chars).items():
+            flags, top = 0, _step(len(line))
+            for gap, step, key in gap_keys(line):
+                slot = key >> 64 - FILTER_BITS
+                if int(bits[slot >> 6]) >> (slot & 63) & 1:
+                    flags |= 1 << (gap + 3 * (step < top))
+            if flags:
+                ids.append(doc_id)
+                positions.append(pos)
+                lines.append(line)
+                gaps.append(flags)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(positions, pa.int32()), pa.array(lines, pa.string())],
-            ["doc_id", "pos", "line"],
+            [pa.array(ids, pa.int64()), pa.array(positions, pa.int32()), pa.array(lines, pa.string()), pa.array(gaps, pa.int32())],
+            ["doc_id", "pos", "line", "gaps"],
         )
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return map_texts(rows, run, "doc_id long, pos int, line string").select(_place().alias("place"), "line").distinct()
+    found = map_texts(_taking_part(docs), run, "doc_id long, pos int, line string, gaps int")
+    return found.groupBy("line").agg(F.min(_place()).alias("place"), F.bit_or("gaps").alias("gaps"))
 
 
 def variant_hashes(line: str) -> tuple[int, np.ndarray]:
@@ -133,22 +157,22 @@ def variant_hashes(line: str) -> tuple[int, np.ndarray]:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``key, at, place`` of every variant: the line itself (``at`` -1) and the line less one character."""
+    """``key, at, place`` of the variants: the line itself (``at`` -1) and the line less one character of a shared gap."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, ats, owners = [], [], []
-        flags = zip(batch.column("head").to_pylist(), batch.column("tail").to_pylist())
-        for i, (line, (head, tail)) in enumerate(zip(batch.column("text").to_pylist(), flags)):
+        for i, (line, gaps) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gaps").to_pylist())):
             whole, less = variant_hashes(line)
             n = len(less)
-            shared = n // 8 * 4 - 4 * (n % 8 == 0)
-            at = np.arange(n, dtype=np.int32)
-            at = at[(at >= shared) & tail | (at < n - shared) & head]
+            inside = np.zeros(n, bool)
+            for flag in range(6):
+                if gaps >> flag & 1:
+                    gap, step = flag % 3, _step(n) - 3 * (flag // 3)
+                    inside[gap * step : n - (2 - gap) * step] = True
+            at = np.flatnonzero(inside).astype(np.int32)
             keys += [np.array([whole]), less[at]]
             ats += [np.array([-1], np.int32), at]
             owners.append(np.full(len(at) + 1, i))
-        if not owners:
-            keys, ats, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(keys)),
@@ -159,29 +183,30 @@ def _variants(lines: DataFrame) -> DataFrame:
         )
 
     kind = lines.schema["place"].dataType.simpleString()
-    return map_texts(
-        lines.select(F.col("line").alias("text"), "place", "head", "tail"), run, f"key long, at int, place {kind}"
-    )
+    return map_texts(lines.select(F.col("line").alias("text"), "place", "gaps"), run, f"key long, at int, place {kind}")
 
 
-def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, min_chars: int) -> DataFrame:
     """``place`` of each distinct line that has an earlier line one edit away.
 
     Lines that lose the same character at the same place to the same rest differ in one character, and
     are all compared with the earliest of them. A line equal to another one less a character is compared
     with that one. So no pairs are formed within a group.
     """
-    found = _candidates(classes)
-    lines = _texts(docs, found.select(*_parts("doc_id"))).join(found, "place")
+    lines = cut_lineage(_candidates(docs, min_chars), "lines")
     rows = _variants(lines)
     own = Window.partitionBy("key", "at")
     whole = F.max(F.when(F.col("at") < 0, F.col("place"))).over(Window.partitionBy("key"))
     rows = rows.select("place", "at", whole.alias("whole"), F.min("place").over(own).alias("first")).where("at >= 0")
-    pairs = (
-        rows.where("first < place").select("place", F.col("first").alias("witness"))
-        .unionByName(rows.select(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("witness")).where("whole IS NOT NULL AND witness <> place"))
-        .distinct()
+    pairs = rows.select(
+        F.explode(
+            F.array(
+                F.struct("place", F.col("first").alias("witness")),
+                F.struct(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("witness")),
+            )
+        ).alias("pair")
     )
+    pairs = pairs.select("pair.*").where("witness < place").distinct()
     texts = lines.select("place", "line")
     return (
         pairs.join(texts, "place")
@@ -192,23 +217,9 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _kept(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
-    """``doc_id, kept``: line numbers that stay, of documents with any such line that takes part."""
-    if max_edits not in (0, 1):
-        raise ValueError("the edit bound is 0 or 1")
-    classes = (
-        _lines(docs, min_chars)
-        .groupBy("h1", "h2")
-        .agg(F.min(_place()).alias("place"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
-    )
-    if max_edits:
-        classes = cut_lineage(classes.drop("h2"), "lines")
-        classes = classes.join(_near(docs, classes), "place", "left_anti")
-    return (
-        classes.select(*_parts("doc"))
-        .groupBy("doc")
-        .agg(F.collect_list("pos").alias("kept"))
-    )
+def _by_document(places: DataFrame, column: str) -> DataFrame:
+    """``__doc`` and the line numbers of the places in it."""
+    return places.select(*_parts("__doc")).groupBy("__doc").agg(F.collect_list("pos").alias(column))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -223,8 +234,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     as they are. Rows that share a doc_id are one document; a line number that stays in one stays in all.
     An empty table gives an empty result.
     """
-    kept = _kept(docs, min_chars, max_edits).select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["__doc"], "left").drop("__doc")
+    if max_edits not in (0, 1):
+        raise ValueError("the edit bound is 0 or 1")
+    stay = _by_document(_classes(docs, min_chars), "__kept")
+    if max_edits:
+        stay = stay.join(_by_document(_near(docs, min_chars), "__near"), "__doc", "left").select(
+            "__doc", F.when(F.col("__near").isNull(), F.col("__kept")).otherwise(F.array_except("__kept", "__near")).alias("__kept")
+        )
+    joined = docs.join(stay, docs["doc_id"].cast("long") == stay["__doc"], "left").drop("__doc")
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
