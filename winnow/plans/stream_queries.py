@@ -21,12 +21,12 @@ _PROPS = "k bigint"
 
 @query(
     """SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS sum_k
-       FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY event_type"""
+       FROM events GROUP BY event_type"""
 )
 def routed_events(src: Source) -> DataFrame:
-    """Three event types, each handed to its own consumer with a typed payload."""
+    """Every event type, each handed to its own consumer with a typed payload."""
     folder = scratch_dir(src.spark, "routes")
-    kinds = ["click", "error", "purchase"]
+    kinds = ["click", "error", "purchase", "signup", "view"]
 
     def consumer(kind: str):
         def write(batch: DataFrame, batch_id: int) -> None:
@@ -165,11 +165,14 @@ def answer_chunks(src: Source) -> DataFrame:
     )
     cut = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / CHUNK).cast("int"))
     return (
-        src.texts("conversations")
+        src("conversations")
         .select(F.concat_ws("-", "conv_id", "turn").alias("request"), body.alias("body"))
         .select("request", "body", F.explode(cut).alias("seq"))
         .select(
-            "request", "seq", F.substring("body", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data")
+            "request",
+            "seq",
+            F.substring("body", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data"),
+            ((F.col("seq") + 1) * CHUNK >= F.length("body")).alias("ends"),
         )
     )
 
@@ -195,14 +198,12 @@ def answer_lines(src: Source) -> DataFrame:
        FROM conversations WHERE text <> ''"""
 )
 def answer_line_stream(src: Source) -> DataFrame:
-    """The chunks as a stream; plain answers get a final newline so that their last line ends."""
+    """The chunks as a stream; plain answers end without a newline, on a chunk that is marked as the last."""
     folder = scratch_dir(src.spark, "chunks")
-    chunks = answer_chunks(src)
-    last = chunks.groupBy("request").agg((F.max("seq") + 1).alias("seq"), F.lit("\n").alias("data"))
-    chunks.unionByName(last).write.parquet(f"{folder}/in")
-    stream = src.spark.readStream.schema("request string, seq int, data string").parquet(f"{folder}/in")
+    answer_chunks(src).write.parquet(f"{folder}/in")
+    stream = src.spark.readStream.schema("request string, seq int, data string, ends boolean").parquet(f"{folder}/in")
     with ev.rocksdb_state(src.spark):
-        lines = ev.sink_table(ev.assemble_stream(stream), "lines")
+        lines = ev.sink_table(ev.assemble_stream(stream, F.col("ends")), "lines")
     return lines.groupBy("request").agg(F.count("*").alias("n_lines"))
 
 
@@ -275,7 +276,7 @@ def _rewrite(content: str, path: str, language: str) -> str:
        FROM <<files>> WHERE path NOT LIKE '%.md' GROUP BY 1"""
 )
 def transform_status(src: Source) -> DataFrame:
-    done = hooks.apply_transform(src.texts("files"), _rewrite, [".py", ".js", ".sql"])
+    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
     return hooks.transform_counts(done)
 
 
@@ -284,7 +285,7 @@ def transform_status(src: Source) -> DataFrame:
        FROM <<files>> WHERE path NOT LIKE '%.md'"""
 )
 def transformed_files(src: Source) -> DataFrame:
-    done = hooks.apply_transform(src.texts("files"), _rewrite, [".py", ".js", ".sql"])
+    done = hooks.apply_transform(src("files"), _rewrite, [".py", ".js", ".sql"])
     return done.select("path", "content")
 
 

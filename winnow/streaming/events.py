@@ -43,12 +43,13 @@ NEVER = np.iinfo(np.int64).min
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of one parquet table of a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream of one parquet table of a folder, a single file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # a pattern with one match: a plain path must be a folder
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def run_to_end(
@@ -456,7 +457,7 @@ def assemble_text(chunks: DataFrame, paths: list[str] = DELTA_PATHS) -> DataFram
 
 
 class LineProcessor(StatefulProcessor):
-    """Stream form of the line assembly: carries the unfinished tail of each request."""
+    """Stream form of the line assembly: carries the unfinished tail of each request until it ends."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.carry = handle.getValueState("carry", "tail string, n_lines bigint")
@@ -465,7 +466,11 @@ class LineProcessor(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
         tail, n = self.carry.get() if self.carry.exists() else ("", 0)
         *whole, tail = (tail + "".join(pdf["data"])).split("\n")
-        self.carry.update((tail, n + len(whole)))
+        if pdf["ends"].any():
+            whole.append(tail)
+            self.carry.clear()
+        else:
+            self.carry.update((tail, n + len(whole)))
         kept = [(n + i, line) for i, line in enumerate(whole) if line.strip()]
         if kept:
             numbers, lines = zip(*kept)
@@ -475,11 +480,16 @@ class LineProcessor(StatefulProcessor):
         pass
 
 
-def assemble_stream(stream: DataFrame) -> DataFrame:
-    """Finished lines as a stateful stream; batches must arrive in ``seq`` order per request."""
+def assemble_stream(stream: DataFrame, ends: Column | None = None) -> DataFrame:
+    """Finished lines as a stateful stream; batches must arrive in ``seq`` order per request.
+
+    ``ends`` tells the last chunk of a request: its last line needs no newline,
+    and nothing is remembered of the request from then on.
+    """
     key_type = stream.schema["request"].dataType.simpleString()
+    mark = F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))
     return (
-        stream.select("request", "seq", "data")
+        stream.select("request", "seq", "data", mark.alias("ends"))
         .groupBy("request")
         .transformWithStateInPandas(
             LineProcessor(), f"request {key_type}, line_no bigint, line string", "Append", "None"
