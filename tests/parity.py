@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import os
 import sys
 import time
 
@@ -23,7 +24,9 @@ _DUCK_TYPES = {
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        path = f"{folder}/{t}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     return con
 
 

@@ -97,7 +97,7 @@ def test_union_problems(spark):
         [(f"p/f{i}", "ACTIVE" if i % 2 else "FAILED", None) for i in range(8)], "resource string, state string, updated timestamp"
     )
     logs = spark.sql("SELECT id AS log_id, timestamp_seconds(id) AS ts, cast(null AS string) AS name, concat('m', id) AS message FROM range(9)")
-    got = [(r.source, r.pos, r.name, r.error) for r in joins.union_problems(functions, logs).orderBy("source", "pos").collect()]
+    got = [(r.source, r.pos, r.name, r.error) for r in joins.union_problems(functions, logs, 5).orderBy("source", "pos").collect()]
     assert got == [
         (0, 1, "f0", "Function state: FAILED"), (0, 2, "f2", "Function state: FAILED"), (0, 3, "f4", "Function state: FAILED"),
         (1, 1, "unknown", "m8"), (1, 2, "unknown", "m7"), (1, 3, "unknown", "m6"),

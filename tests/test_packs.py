@@ -31,7 +31,7 @@ def test_k8s(files):
 def test_helm(files):
     keys = "".join(f"key{i}: 1\n" for i in range(25))
     df = files(("c/Chart.yaml", "name: x \nversion: 1.0"), ("c/values.yaml", keys + "  nested: 2"), ("d/Chart.yaml", "name: y"))
-    got = {r.dir: r for r in containers.helm_chart(df).collect()}
+    got = {r.dir: r for r in containers.helm_chart(df, 20).collect()}
     assert (got["c"].name, got["c"].version, got["c"].description) == ("x", "1.0", "")
     assert got["c"].value_keys == [f"key{i}" for i in range(20)] and got["d"].value_keys == []
 
@@ -48,10 +48,9 @@ def test_dockerfile(files):
 def test_compose(files):
     text = "services:\n  web:\n    image: nginx:alpine\n    ports:\n      - \"80:80\"\n  db:\n    healthcheck: x\n  volumes:\n"
     got = {r.name: (r.image, r.ports, r.has_healthcheck) for r in containers.compose_services(files(("c.yml", text))).collect()}
-    # the window of 600 characters runs into the next service
-    assert got == {"web": ("nginx:alpine", [], True), "db": ("", [], True)}
-    far = "  a:\n" + "    x: y\n" * 80 + "    image: late\n"
-    assert containers.compose_services(files(("c.yml", far))).first().image == ""
+    assert got == {"web": ("nginx:alpine", [], False), "db": ("", [], True)}
+    far = "  a:\n" + "    x: y\n" * 20_000 + "    image: late\nvolumes:\n  image: other\n"
+    assert containers.compose_services(files(("c.yml", far))).first().image == "late"
     ws = files(("w", "compose.yaml", "  later:\n"), ("w", "docker-compose.yaml", "  first:\n"), ("v", "compose.yml", ""), ws=True)
     assert rows(containers.compose_service_names(ws)) == [("w", "docker-compose.yaml", 0, "first")]
 
@@ -192,7 +191,7 @@ def test_documents(spark):
     assert got[1][0].startswith("s (string), i (integer), b (boolean), m (map), l (array), n (unknown), f (unknown)") and got[1][1] == 2
     assert got[3] == ("", 0)
     machines = spark.createDataFrame([("a", '{"States": {"x": {}, "y": {}}}'), ("b", "oops"), ("c", "{}"), ("d", '{"States": {"z": 1}}')], "name string, definition string")
-    assert rows(documents.state_machine_stats(machines)) == [("a", 2, "x, y"), ("c", 0, "")]
+    assert rows(documents.state_machine_stats(machines, first=3)) == [("a", 2, "x, y"), ("c", 0, "")]
     assert documents.state_machine_stats(machines, first=None).count() == 3
 
 

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from winnow.operators import hooks, load, quality
@@ -31,7 +30,7 @@ def test_expectations(spark):
     rules = {"low": F.col("x") < 3}
     assert [r.ok_low for r in quality.expectations(df, rules).collect()] == [True, False, False]
     assert quality.expectations(df, rules, "drop").count() == 1
-    with pytest.raises(PySparkException, match="expectation failed: low"):
+    with pytest.raises(Exception, match="expectation failed: low"):
         quality.expectations(df, rules, "fail").count()
     assert tuple(quality.expectation_counts(df, rules).first()) == ("low", 1, 2)
     with pytest.raises(ValueError):

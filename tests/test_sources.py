@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def tree(tmp_path):
 
 def test_scan_files(spark, tree):
     got = {r.path: r.content for r in files.scan_files(spark, tree, [".py", ".ts"]).collect()}
-    assert got == {"a.py": "x = 1\n", "sub/b.ts": "let é\n", "l1/l2/l3/l4/e.py": "deep"}
+    assert got == {"a.py": "x = 1\n", "sub/b.ts": "let é\n", "l1/l2/l3/l4/e.py": "deep", "l1/l2/l3/l4/l5/f.py": "too deep"}
 
 
 def test_notebooks(spark, tree):
@@ -95,25 +97,13 @@ def test_scratch_folder_comes_from_the_session():
     assert scratch.scratch_dir(session("hdfs://x/cp/", "yarn"), "a").startswith("hdfs://x/cp/a-")
     with pytest.raises(RuntimeError):
         scratch.scratch_dir(session(None, "yarn"), "a")
-    assert scratch.scratch_dir(session(None, "local[2]"), "a").startswith("/tmp")
+    assert scratch.scratch_dir(session(None, "local[2]"), "a").startswith(tempfile.gettempdir())
 
 
 def test_cut_lineage(spark):
     assert scratch.cut_lineage(spark.range(5), "y").count() == 5
 
 
-def test_spread_small(spark, tmp_path):
-    path = str(tmp_path / "one file+ü")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread_small(df).rdd.getNumPartitions() == cores
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(2 * cores).write.parquet(many)
-    plan = tables.spread_small(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-
-
 def test_schema_listing_sets_partition_keys_apart(spark):
     rows = [("t", 2, "b", "string", True, "note", False), ("t", 1, "a", "int", False, None, False), ("t", 3, "p", "date", True, None, True)]
     got = tables.schema_listing(spark.createDataFrame(rows, tables.COLUMN_SCHEMA)).first()

@@ -63,10 +63,10 @@ def severity_rank(c: Column | str) -> Column:
     return F.greatest(F.array_position(names, F.upper(as_col(c))), F.lit(1))
 
 
-def log_text(text: Column | str, payload: Column | str, n: int = 500) -> Column:
-    """Text payload, or the first ``n`` characters of the JSON payload."""
+def log_text(text: Column | str, payload: Column | str, n: int | None = None) -> Column:
+    """Text payload, or the (first ``n`` characters of the) JSON payload."""
     js = F.coalesce(as_col(payload), F.lit("{}"))
-    return F.coalesce(as_col(text), F.left(js, F.lit(n)))
+    return F.coalesce(as_col(text), js if n is None else F.left(js, F.lit(n)))
 
 
 def workers_label(workers: Column | str, low: Column | str, high: Column | str) -> Column:

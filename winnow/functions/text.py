@@ -19,11 +19,15 @@ JS_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+# Markers of cut texts, fence lines and comment lines.
 FILE_MARKER = "\n... (truncated to fit context budget)"
 DIFF_MARKER = "\n... (diff truncated)"
 FENCE_PATTERN = r"(?m)^```\w*\n?|```\s*$"
 COMMENT_PATTERN = r"^\s*(#|//|\*|/\*)"
 
+# The same white space inside a character class of a pattern.
+JS_SPACE_CLASS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 _WORD = "[A-Za-z0-9_]"
 # before a word character, a class of them or a group of words; elsewhere after one
 _WORD_START = re.compile(r"\\b(?=[A-Za-z0-9_]|\\w|\\d|\(\?:)")
@@ -33,6 +37,31 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def js_space(pattern: str, space: str = JS_SPACE_CLASS) -> str:
+    """Spell out ``\\s`` and ``\\S``: JavaScript counts Unicode spaces and the byte order mark, Java does not.
+
+    ``\\S`` may not stand inside a class.
+    """
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two[0] == "\\":
+            if two == r"\S" and inside:
+                raise ValueError(f"class holds \\S: {pattern}")
+            out.append({r"\s": space if inside else f"[{space}]", r"\S": f"[^{space}]"}.get(two, two))
+            i += 2
+            continue
+        inside = two[0] == "[" or (inside and two[0] != "]")
+        out.append(two[0])
+        i += 1
+    return "".join(out)
+
+
+def rule_pattern(pattern: str) -> str:
+    """A rule's pattern as Java reads it: JavaScript white space and word boundaries."""
+    return js_space(ascii_boundary(pattern))
+
+
 def ascii_boundary(pattern: str) -> str:
     """Replace ``\\b`` so that only ASCII letters, digits and ``_`` are word characters.
 
@@ -85,7 +114,7 @@ def strip_fences(c: Column | str) -> Column:
 
 
 def is_comment_line(c: Column | str) -> Column:
-    return F.rlike(as_col(c), F.lit(COMMENT_PATTERN))
+    return F.rlike(as_col(c), F.lit(js_space(COMMENT_PATTERN)))
 
 
 # Fixed values: (pattern, replacement) pairs that mask secret settings.

@@ -13,11 +13,14 @@ from winnow.operators.skew import top_per_key
 
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts per category and, under category null, over all findings."""
-    counted = findings.rollup("category").agg(
+    counts = [
         F.count("*").alias("total"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
-    )
-    return counted
+    ]
+    per_category = findings.groupBy("category").agg(*counts)
+    # on its own, so that there is a total of zero without any finding
+    total = findings.agg(*counts).select(F.lit(None).cast("string").alias("category"), "*")
+    return per_category.unionByName(total)
 
 
 def findings_by_file(findings: DataFrame, path: str = "path") -> DataFrame:
@@ -35,14 +38,15 @@ def findings_totals(by_file: DataFrame) -> DataFrame:
     )
 
 
-def errors_by_function(logs: DataFrame, limit: int = 100) -> DataFrame:
-    """Per function: error count and its newest message cut to ``limit`` characters.
+def errors_by_function(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per function: error count and its newest message, cut only if ``limit`` is given.
 
     ``logs``: log_id, ts, name, message.
     """
+    newest = F.max_by("message", F.struct("ts", "log_id"))
     return logs.groupBy(F.coalesce("name", F.lit("unknown")).alias("name")).agg(
         F.count("*").alias("n_errors"),
-        F.left(F.max_by("message", F.struct("ts", "log_id")), F.lit(limit)).alias("first_message"),
+        (newest if limit is None else F.left(newest, F.lit(limit))).alias("first_message"),
     )
 
 

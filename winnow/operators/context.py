@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.paths import language_of
 from winnow.operators.select import CONTEXT_BUDGET, allocate_budget, error_cap
 from winnow.operators.skew import top_per_key
 
-# Fixed value: related files, or contributed texts, of a context.
+# Fixed value: related files of a context.
 MAX_RELATED = 5
 
 # The sections in order.
@@ -33,10 +34,13 @@ def context_sections(
     ``parts``: ctx, kind (active, related, diff, plugin), path, content.
     ``errors``: ctx, path, line, col, severity, message. ``instructions``: ctx,
     instruction. Related files and errors are cut to their number before the
-    shares of the budget are computed, so a context has a handful of sections.
+    shares of the budget are computed; contributed texts all stay.
     """
-    ranked = top_per_key(parts, ["ctx", "kind"], [F.col("path")], MAX_RELATED)
-    chosen = ranked.filter(F.col("kind").isin("related", "plugin") | (F.col("rank") == 1))
+    ranked = top_per_key(parts.filter(F.col("kind") != "plugin"), ["ctx", "kind"], [F.col("path")], MAX_RELATED)
+    chosen = ranked.filter((F.col("kind") == "related") | (F.col("rank") == 1))
+    # a context has one contributed text per collector
+    place = F.row_number().over(W.partitionBy("ctx").orderBy("path"))
+    chosen = chosen.unionByName(parts.filter(F.col("kind") == "plugin").withColumn("rank", place))
     cut = allocate_budget(chosen, total).withColumn("language", language_of("path"))
 
     active = cut.filter(F.col("kind") == "active")

@@ -97,8 +97,12 @@ def related_files(files: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def errors_with_config(errors: DataFrame, functions: DataFrame) -> DataFrame:
-    """Error groups (``name``) with the config of their function, null when it is gone."""
-    named = functions.select(short_name("resource").alias("name"), "config")
+    """Error groups (``name``) with the config of their function, null when it is gone.
+
+    Of functions that share a short name the first by resource counts.
+    """
+    named = functions.select(short_name("resource").alias("name"), "resource", "config")
+    named = first_wins(named, "name", [F.col("resource")]).drop("resource")
     return errors.join(named, "name", "left")
 
 
@@ -166,16 +170,16 @@ def exclude_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def union_problems(
-    functions: DataFrame, logs: DataFrame, first_functions: int = 5, newest_logs: int = 3
+    functions: DataFrame, logs: DataFrame, first_functions: int | None = None, newest_logs: int = 3
 ) -> DataFrame:
-    """Inactive ones among the first functions, then the newest error log rows.
+    """Inactive ones among the (first) functions, then the newest error log rows.
 
     ``functions``: resource, state, updated. ``logs``: log_id, ts, name, message.
     """
+    if first_functions is not None:
+        functions = functions.orderBy("resource").limit(first_functions)
     idle = (
-        functions.orderBy("resource")
-        .limit(first_functions)
-        .filter(F.col("state") != "ACTIVE")
+        functions.filter(F.col("state") != "ACTIVE")
         .select(
             F.lit(0).alias("source"),
             F.row_number().over(_single("resource")).alias("pos"),
@@ -196,7 +200,7 @@ def union_problems(
 
 
 def _single(*order):
-    """Window over a branch already limited to a handful of rows."""
+    """Window over a short branch: functions of one project, or newest rows already limited."""
     return W.partitionBy(F.lit(0)).orderBy(*order)
 
 

@@ -32,7 +32,12 @@ def incremental_append(target: DataFrame, source: DataFrame, ts: str) -> DataFra
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows updated or extended by the source rows (unique keys)."""
+    """Target rows updated or extended by the source rows; a key twice in the source is an error."""
+    twice = source.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))
+    stop = F.raise_error(F.lit("merge: several source rows have the same key")).cast("boolean")
+    # the check is a scalar subquery, so it runs whatever is filtered later
+    unique = twice.select(F.when(F.col("_n") > 1, stop).otherwise(F.lit(True))).scalar()
+    source = source.filter(unique)
     untouched = target.join(source.select(*keys), keys, "left_anti")
     return untouched.unionByName(source)
 
@@ -75,10 +80,11 @@ def scd2_snapshot(
     """
     columns = current.columns
     closed = history.filter(F.col("valid_to").isNotNull())
-    old = history.filter(F.col("valid_to").isNull()).alias("o")
-    new = current.alias("n")
+    old = history.filter(F.col("valid_to").isNull()).withColumn("_there", F.lit(True)).alias("o")
+    new = current.withColumn("_there", F.lit(True)).alias("n")
     both = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    in_old, in_new = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    # a null key matches nothing but is a row all the same
+    in_old, in_new = F.col("o._there").isNotNull(), F.col("n._there").isNotNull()
     if check_columns:
         differs = F.lit(False)
         for c in check_columns:

@@ -39,10 +39,11 @@ def or_default(c: Column | str, default: str) -> Column:
 
 def first_existing(files: DataFrame, names: list[str], keys: tuple[str, ...] = ("ws",)) -> DataFrame:
     """Per workspace, the one file whose relative path comes first in ``names``."""
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
-    found = files.filter(F.col("path").isin(*names))
-    best = found.groupBy(*keys).agg(F.min_by(F.struct("path", "content"), order).alias("f"))
-    return best.select(*keys, "f.path", "f.content")
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path")).cast("int")
+    found = files.select(*keys, "path", "content", order.alias("_order")).filter(F.col("path").isin(*names))
+    # only ranks are aggregated; contents are never gathered
+    best = found.groupBy(*keys).agg(F.min("_order").alias("_order"))
+    return found.join(best, [*keys, "_order"], "left_semi").select(*keys, "path", "content")
 
 
 def distinct_in_order(c: Column) -> Column:

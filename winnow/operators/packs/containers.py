@@ -22,12 +22,12 @@ VALUE_KEY = r"(?m)^([a-zA-Z][a-zA-Z0-9_]*):"
 FROM_LINE = r"(?im)^FROM\s+(\S+)(?:\s+AS\s+(\S+))?"
 DOCKERFILE_PATH = r"(?:^|/)Dockerfile[^/]*$|(?i:\.dockerfile)$"
 COMPOSE_NAMES = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
-SERVICE_KEY = r"(?m)^(?=([\s\S]{0,600}))  (\w[\w-]*):\s*$"
+# a service key and the lines up to the next one or to a line that is not indented
+SERVICE = r"(?m)^  (\w[\w-]*):[ \t\r]*(?=\n|\z)((?:\n(?!  \w[\w-]*:[ \t\r]*(?:\n|\z)|\S)[^\n]*)*+)"
 NOT_SERVICES = ["networks", "volumes", "configs", "secrets"]
 IMAGE_PATTERN = r"image:\s*(\S+)"
 PORTS_SECTION = r"(?m)ports:((?s:.*?))(?=\n  \w|\n\w|$)"
 PORT_ITEM = r"""- ["']?(\d[\d.:/-]+)["']?"""
-MAX_VALUE_KEYS = 20
 
 
 def _manifests(files: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def k8s_namespaces(files: DataFrame) -> DataFrame:
     return exclude_values(found, "namespace", ["default"])
 
 
-def helm_chart(files: DataFrame) -> DataFrame:
-    """Name, version and description of each chart and the first top-level keys of its values."""
+def helm_chart(files: DataFrame, max_keys: int | None = None) -> DataFrame:
+    """Name, version and description of each chart and the (first) top-level keys of its values."""
     named = files.filter(base_name("path").isin("Chart.yaml", "values.yaml")).select(
         dir_name("path").alias("dir"), base_name("path").alias("file"), "content"
     )
@@ -69,7 +69,8 @@ def helm_chart(files: DataFrame) -> DataFrame:
     charts = named.filter(F.col("file") == "Chart.yaml").select(
         "dir", field("name"), field("version"), field("description")
     )
-    keys = F.slice(all_groups("content", VALUE_KEY), 1, MAX_VALUE_KEYS)
+    keys = all_groups("content", VALUE_KEY)
+    keys = keys if max_keys is None else F.slice(keys, 1, max_keys)
     values = named.filter(F.col("file") == "values.yaml").select("dir", keys.alias("value_keys"))
     return charts.join(values, "dir", "left").withColumn(
         "value_keys", F.coalesce("value_keys", F.array().cast("array<string>"))
@@ -86,27 +87,26 @@ def dockerfile_stages(files: DataFrame) -> DataFrame:
 def compose_services(files: DataFrame) -> DataFrame:
     """Services of compose files with image, ports and health check flag.
 
-    Image, ports and flag come from the 600 characters that start at the service
-    key, so they may come from the next service. Ports are only seen on the line
-    of ``ports:`` itself.
+    All come from the lines of the service itself, however many. Ports are only
+    seen on the line of ``ports:`` itself.
     """
     keys = files.select(
         *[c for c in files.columns if c != "content"],
         F.posexplode(
             F.arrays_zip(
-                all_groups("content", SERVICE_KEY, 1).alias("snippet"),
-                all_groups("content", SERVICE_KEY, 2).alias("name"),
+                all_groups("content", SERVICE, 1).alias("name"),
+                all_groups("content", SERVICE, 2).alias("body"),
             )
         ).alias("pos", "s"),
     )
     keep = [c for c in keys.columns if c != "s"]
-    snippet = F.col("s.snippet")
+    body = F.col("s.body")
     return keys.filter(~F.col("s.name").isin(*NOT_SERVICES)).select(
         *keep,
         F.col("s.name").alias("name"),
-        F.regexp_extract(snippet, IMAGE_PATTERN, 1).alias("image"),
-        all_groups(F.regexp_extract(snippet, PORTS_SECTION, 0), PORT_ITEM).alias("ports"),
-        F.rlike(snippet, F.lit("(?i)healthcheck:")).alias("has_healthcheck"),
+        F.regexp_extract(body, IMAGE_PATTERN, 1).alias("image"),
+        all_groups(F.regexp_extract(body, PORTS_SECTION, 0), PORT_ITEM).alias("ports"),
+        F.rlike(body, F.lit("(?i)healthcheck:")).alias("has_healthcheck"),
     )
 
 

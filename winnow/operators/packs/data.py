@@ -19,7 +19,6 @@ SOURCE_BLOCK = (
     r"""- name:\s*['"]?([^'"\n\r]+)['"]?\s*\n(?:\s+schema:\s*['"]?([^'"\n\r]+)['"]?)?"""
 )
 SOURCE_NAME = r"""- name:\s*['"]?([^'"\n\r]+)['"]?\s*\n"""
-MAX_TABLES = 10
 PROJECT_DEFAULTS = {"name": "unknown", "version": "1.0.0", "profile": "default"}
 PATH_DEFAULTS = {"model": "models", "test": "tests", "macro": "macros", "seed": "seeds"}
 DAG_ID = r"""dag_id\s*=\s*['"]([^'"]+)['"]"""
@@ -71,10 +70,11 @@ def dbt_models(files: DataFrame) -> DataFrame:
     )
 
 
-def dbt_sources(files: DataFrame) -> DataFrame:
-    """Named entries of source files; every entry lists the first names of its whole file as tables."""
+def dbt_sources(files: DataFrame, max_tables: int | None = None) -> DataFrame:
+    """Named entries of source files; every entry lists the (first) names of its whole file as tables."""
     sources = matching(files, SOURCE_PATH, "sources:")
-    tables = F.transform(F.slice(all_groups("content", SOURCE_NAME), 1, MAX_TABLES), trim_space)
+    names = all_groups("content", SOURCE_NAME)
+    tables = F.transform(names if max_tables is None else F.slice(names, 1, max_tables), trim_space)
     rows = sources.select(
         "path",
         F.array_join(tables, ", ").alias("tables"),

@@ -40,8 +40,8 @@ def field_types(docs: DataFrame, key: str = "doc_id", json: str = "doc", shown:
     return parsed.select(key, F.array_join(described, ", ").alias("fields"), more.alias("n_more"))
 
 
-def state_machine_stats(machines: DataFrame, order: str = "name", first: int | None = 3) -> DataFrame:
-    """State count and names of the first definitions; definitions that are not JSON are skipped.
+def state_machine_stats(machines: DataFrame, order: str = "name", first: int | None = None) -> DataFrame:
+    """State count and names of the (first) definitions; definitions that are not JSON are skipped.
 
     ``machines``: name, definition.
     """

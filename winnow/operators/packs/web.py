@@ -38,8 +38,6 @@ DATABASES = r"DATABASES\s*=\s*\{(?s:.*?)\n\}"
 MIDDLEWARE = r"MIDDLEWARE\s*=\s*\[(?s:.*?)\]"
 QUOTED_NAME = r"'([\w.]+)'"
 ENGINE = r"'ENGINE':\s*'([\w.]+)'"
-MAX_APPS = 20
-MAX_MIDDLEWARE = 10
 SETTING_FLAGS = {
     "has_drf": "(?i)rest_framework",
     "has_celery": "(?i)celery",
@@ -123,7 +121,9 @@ def django_models(files: DataFrame) -> DataFrame:
     return models.filter((F.size("models") > 0) & ~F.col("app").isin(*SKIPPED_APPS))
 
 
-def django_settings(files: DataFrame) -> DataFrame:
+def django_settings(
+    files: DataFrame, max_apps: int | None = None, max_middleware: int | None = None
+) -> DataFrame:
     """Apps, engines, middleware and feature flags of settings files; the secret is masked first."""
     safe = files.filter(base_name("path") == "settings.py").select(
         "path", F.regexp_replace("content", SECRET_SETTING, SECRET_MASK).alias("content")
@@ -131,12 +131,12 @@ def django_settings(files: DataFrame) -> DataFrame:
 
     def names(section: str, item: str, n: int | None = None) -> Column:
         found = all_groups(F.regexp_extract("content", section, 0), item)
-        return F.slice(found, 1, n) if n else found
+        return F.slice(found, 1, n) if n is not None else found
 
     return safe.select(
         "path",
-        names(INSTALLED_APPS, QUOTED_NAME, MAX_APPS).alias("installed_apps"),
+        names(INSTALLED_APPS, QUOTED_NAME, max_apps).alias("installed_apps"),
         names(DATABASES, ENGINE).alias("databases"),
-        names(MIDDLEWARE, QUOTED_NAME, MAX_MIDDLEWARE).alias("middleware"),
+        names(MIDDLEWARE, QUOTED_NAME, max_middleware).alias("middleware"),
         *[F.rlike("content", F.lit(p)).alias(n) for n, p in SETTING_FLAGS.items()],
     )

@@ -76,7 +76,7 @@ def expectations(df: DataFrame, rules: dict[str, Column], mode: str = "keep") ->
     """Apply named row expectations.
 
     ``keep`` adds one flag per rule, ``drop`` removes violating rows, ``fail``
-    stops the job at the first violating row.
+    stops the job if any row of the input violates a rule, whatever is selected later.
     """
     checks = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
     if mode == "keep":
@@ -86,10 +86,13 @@ def expectations(df: DataFrame, rules: dict[str, Column], mode: str = "keep") ->
             df = df.filter(c)
         return df
     if mode == "fail":
-        for name, c in checks.items():
-            stop = F.raise_error(F.lit(f"expectation failed: {name}"))
-            df = df.filter(F.when(c, F.lit(True)).otherwise(stop.cast("boolean")))
-        return df
+        # a scalar subquery over the whole input, which no later filter can prune
+        bad = df.agg(*[F.count_if(~c).alias(n) for n, c in checks.items()])
+        verdict = F.lit(True)
+        for name in checks:
+            stop = F.raise_error(F.lit(f"expectation failed: {name}")).cast("boolean")
+            verdict = F.when(F.col(f"`{name}`") > 0, stop).otherwise(verdict)
+        return df.filter(bad.select(verdict).scalar())
     raise ValueError(f"unknown mode {mode!r}")
 
 

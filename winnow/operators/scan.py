@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import language_of
 from winnow.functions.text import (
-    ascii_boundary,
     holds_any,
     is_comment_line,
+    js_space,
     match_position,
+    rule_pattern,
 )
 from winnow.operators.rules import (
     DIAGNOSTIC_ACTIONS,
@@ -44,13 +45,13 @@ def drop_comment_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _finding(rule: ScanRule, line: Column, low: Column) -> Column:
-    pattern = ascii_boundary(rule.pattern)
+    pattern = rule_pattern(rule.pattern)
     hit = holds_any(line, rule.needs)
     if rule.hints != rule.needs:
         hit = hit & holds_any(low if rule.ignores_case else line, rule.hints)
     hit = hit & F.rlike(line, F.lit(pattern))
     if rule.exclude:
-        hit = hit & ~F.rlike(line, F.lit(ascii_boundary(rule.exclude)))
+        hit = hit & ~F.rlike(line, F.lit(rule_pattern(rule.exclude)))
     start = match_position(line, pattern)
     text = F.regexp_substr(line, F.lit(pattern))
     return F.when(
@@ -100,7 +101,7 @@ def index_functions(
         needs = FUNCTION_NEEDS.get(languages[0]) if patterns is FUNCTION_PATTERNS else None
         if needs:
             test = test & holds_any("line", needs)
-        hit = hit | (test & F.rlike("line", F.lit(pattern)))
+        hit = hit | (test & F.rlike("line", F.lit(js_space(pattern))))
     return lines.filter(hit)
 
 
@@ -127,7 +128,7 @@ def tag_lines(
         gate = gate | possible(a)
     tests = [
         F.when(
-            possible(a) & F.rlike("line", F.lit(ascii_boundary(a.pattern))), F.array(*[F.lit(n) for n in names])
+            possible(a) & F.rlike("line", F.lit(rule_pattern(a.pattern))), F.array(*[F.lit(n) for n in names])
         )
         for a, names in groups.items()
     ]
@@ -146,7 +147,7 @@ def match_actions(
     flags = [
         F.bool_or(
             _applies(a.languages)
-            & (F.rlike("message", F.lit(a.pattern)) if a.pattern else F.lit(True))
+            & (F.rlike("message", F.lit(js_space(a.pattern))) if a.pattern else F.lit(True))
         ).alias(a.action)
         for a in actions
     ]

@@ -81,7 +81,7 @@ def allocate_budget(parts: DataFrame, total: int = CONTEXT_BUDGET) -> DataFrame:
 
 
 def latest_run_per_job(
-    jobs: DataFrame, runs: DataFrame, first_jobs: int | None = 10, none_label: str = "NO_RUNS"
+    jobs: DataFrame, runs: DataFrame, first_jobs: int | None = None, none_label: str = "NO_RUNS"
 ) -> DataFrame:
     """State of the newest run of each job, ``NO_RUNS`` where there is none.
 
@@ -101,16 +101,22 @@ def latest_run_per_job(
 
 
 def recent_errors(
-    functions: DataFrame, logs: DataFrame, first_functions: int = 5, per_function: int = 2, limit: int = 200
+    functions: DataFrame,
+    logs: DataFrame,
+    first_functions: int | None = None,
+    per_function: int = 2,
+    limit: int | None = None,
 ) -> DataFrame:
-    """For the first functions: their newest messages, cut.
+    """For the (first) functions: their newest messages, cut only if ``limit`` is given.
 
     ``functions``: name. ``logs``: log_id, ts, name, message.
     """
-    few = functions.select("name").orderBy("name").limit(first_functions)
-    wanted = logs.join(broadcast_rows(few, first_functions), "name", "left_semi")
+    few = functions.select("name")
+    if first_functions is not None:
+        few = broadcast_rows(few.orderBy("name").limit(first_functions), first_functions)
+    wanted = logs.join(few, "name", "left_semi")
     newest = top_per_key(wanted, ["name"], [F.desc("ts"), F.desc("log_id")], per_function)
-    return newest.withColumn("message", F.left("message", F.lit(limit)))
+    return newest if limit is None else newest.withColumn("message", F.left("message", F.lit(limit)))
 
 
 def recent_failures(runs: DataFrame, fetch: int = 20, keep: int = 3) -> DataFrame:

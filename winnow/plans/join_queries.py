@@ -43,7 +43,7 @@ _TARGETS = r"""
 
 @query(f"WITH {_TARGETS} SELECT * FROM linked")
 def import_links(src: Source) -> DataFrame:
-    return joins.import_targets(src.texts("code_files"))
+    return joins.import_targets(src("code_files"))
 
 
 @query(
@@ -57,7 +57,7 @@ def import_links(src: Source) -> DataFrame:
         SELECT * FROM ranked WHERE rank <= 5"""
 )
 def related_files(src: Source) -> DataFrame:
-    return joins.related_files(src.texts("code_files"))
+    return joins.related_files(src("code_files"))
 
 
 @query(
@@ -103,8 +103,8 @@ def enabled_suppliers(src: Source) -> DataFrame:
     return joins.drop_disabled(src("supplier"), disabled, "s_nationkey")
 
 
-_DETECTED = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase' AND value > 100"
-_ACTIVE = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup' AND value > 100"
+_DETECTED = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase'"
+_ACTIVE = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup'"
 
 
 @query(
@@ -112,10 +112,8 @@ _ACTIVE = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup'
         FROM ({_DETECTED}) d FULL JOIN ({_ACTIVE}) a ON d.id = a.id WHERE d.id IS NULL OR a.id IS NULL"""
 )
 def activation_difference(src: Source) -> DataFrame:
-    big = src("events").filter(F.col("value") > 100)
-
     def ids(kind: str) -> DataFrame:
-        return big.filter(F.col("event_type") == kind).select(F.col("user_id").alias("id"))
+        return src("events").filter(F.col("event_type") == kind).select(F.col("user_id").alias("id"))
 
     return joins.activation_diff(ids("purchase"), ids("signup"))
 
@@ -162,7 +160,7 @@ def priorities_but_low(src: Source) -> DataFrame:
          FROM (SELECT * FROM <<error_logs>> ORDER BY ts DESC, log_id DESC LIMIT 3) l) u"""
 )
 def current_problems(src: Source) -> DataFrame:
-    return joins.union_problems(src("functions"), src("error_logs")).drop("at")
+    return joins.union_problems(src("functions"), src("error_logs"), 5).drop("at")
 
 
 @query(

@@ -86,17 +86,19 @@ def dockerfile_stages(src: Source) -> DataFrame:
 
 
 def _services_sql(files: str, keys: str) -> str:
-    """Service keys by line, each with the 600 characters from the start of its line."""
+    """Service keys by line, each with its lines up to the next key or to a line without indent."""
     return rf"""lines AS (
            SELECT {keys}, content, unnest(string_split(content, chr(10))) AS line,
                   generate_subscripts(string_split(content, chr(10)), 1) AS no FROM {files}),
          placed AS (
-           SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY {keys} ORDER BY no
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines),
+           SELECT *, count(*) FILTER (regexp_matches(line, '^  \w[\w-]*:\s*$|^\S'))
+                     OVER (PARTITION BY {keys} ORDER BY no) AS part FROM lines),
+         parts AS (
+           SELECT {keys}, part, min(no) AS no, string_agg(line, chr(10) ORDER BY no) AS snippet FROM placed GROUP BY {keys}, part),
          services AS (
            SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY no) - 1 AS INTEGER) AS pos,
-                  regexp_extract(line, '^  (\w[\w-]*):', 1) AS name, substr(content, CAST(start + 1 AS BIGINT), 600) AS snippet
-           FROM placed WHERE regexp_matches(line, '^  \w[\w-]*:\s*$')),
+                  regexp_extract(snippet, '^  (\w[\w-]*):', 1) AS name, snippet
+           FROM parts WHERE regexp_matches(split_part(snippet, chr(10), 1), '^  \w[\w-]*:\s*$')),
          kept AS (SELECT * FROM services WHERE name NOT IN ('networks', 'volumes', 'configs', 'secrets'))"""
 
 
@@ -219,7 +221,7 @@ _SOURCE_FILES = "(SELECT * FROM <<dbt_source_files>> WHERE path NOT LIKE '%other
            SELECT path, string_agg(trim(n), ', ' ORDER BY k) AS tables FROM (
              SELECT path, unnest(regexp_extract_all(content, '- name:\s*[''"]?([^''"\n\r]+)[''"]?\s*\n', 1)) AS n,
                     generate_subscripts(regexp_extract_all(content, '- name:\s*[''"]?([^''"\n\r]+)[''"]?\s*\n', 1), 1) AS k
-             FROM {_SOURCE_FILES}) x WHERE k <= 10 GROUP BY path)
+             FROM {_SOURCE_FILES}) x GROUP BY path)
          SELECT b.path, pos, trim(regexp_extract(m, 'name:\s*[''"]?([^''"\n\r]+)', 1)) AS name,
                 coalesce(nullif(trim(regexp_extract(m, 'schema:\s*[''"]?([^''"\n\r]+)', 1)), ''),
                          trim(regexp_extract(m, 'name:\s*[''"]?([^''"\n\r]+)', 1))) AS schema, tables
@@ -283,7 +285,7 @@ _METHODS = "get|post|put|delete|patch|head|options"
            AND path IN (SELECT path FROM lines WHERE regexp_matches(line, '@(?:app|router)\.(?:get|post|put|delete|patch)'))"""
 )
 def fastapi_routes(src: Source) -> DataFrame:
-    return web.fastapi_routes(src.texts("api_files"))
+    return web.fastapi_routes(src("api_files"))
 
 
 @query(
@@ -309,7 +311,7 @@ def fastapi_route_count(src: Source) -> DataFrame:
           SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, k) AS rn FROM models) m WHERE rn = 1"""
 )
 def pydantic_models(src: Source) -> DataFrame:
-    return web.pydantic_models(src.texts("api_files"))
+    return web.pydantic_models(src("api_files"))
 
 
 @query(
@@ -511,11 +513,12 @@ def torch_flags(src: Source) -> DataFrame:
     """SELECT path, n_cells, n_code FROM (
          SELECT 'nb/' || conv_id || '-' || (turn // 16) || '.ipynb' AS path, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) END AS n_cells,
                 CASE WHEN conv_id % 10 = 9 THEN 0 ELSE count(*) FILTER (role = 'assistant') END AS n_code
-         FROM conversations GROUP BY conv_id, turn // 16) n ORDER BY n_cells DESC, path LIMIT 10"""
+         FROM conversations GROUP BY conv_id, turn // 16) n"""
 )
 def largest_notebooks(src: Source) -> DataFrame:
+    """All notebooks, the largest first."""
     stats = ml.notebook_stats(notebook_files(src)).select("path", "n_cells", "n_code")
-    return stats.orderBy(F.desc("n_cells"), "path").limit(10)
+    return stats.orderBy(F.desc("n_cells"), "path")
 
 
 @query(
@@ -545,7 +548,7 @@ _SRC = r"regexp_matches(path, '\.(?:py|ts|js)$')"
     )
 )
 def aws_services(src: Source) -> DataFrame:
-    return cloud.aws_services(src.texts("ws_files"))
+    return cloud.aws_services(src("ws_files"))
 
 
 @query(
@@ -557,7 +560,7 @@ def aws_services(src: Source) -> DataFrame:
          FROM <<ws_files>> WHERE {_SRC}) x WHERE is_handler OR is_stack"""
 )
 def aws_code_files(src: Source) -> DataFrame:
-    return cloud.aws_code_files(src.texts("ws_files"))
+    return cloud.aws_code_files(src("ws_files"))
 
 
 def _gcp_sql() -> str:
@@ -574,7 +577,7 @@ def _gcp_sql() -> str:
 
 @query(_gcp_sql())
 def gcp_services(src: Source) -> DataFrame:
-    return cloud.gcp_services(src.texts("ws_files"))
+    return cloud.gcp_services(src("ws_files"))
 
 
 @query(
@@ -583,7 +586,7 @@ def gcp_services(src: Source) -> DataFrame:
          UNION SELECT unnest(regexp_extract_all(content, '@google-cloud/[\w-]+')) FROM <<ws_files>> WHERE {_SRC}"""
 )
 def gcp_imports(src: Source) -> DataFrame:
-    return cloud.gcp_imports(src.texts("ws_files"))
+    return cloud.gcp_imports(src("ws_files"))
 
 
 @query(
@@ -603,7 +606,7 @@ def gcp_function_files(src: Source) -> DataFrame:
     )
 )
 def azure_services(src: Source) -> DataFrame:
-    return cloud.azure_services(src.texts("ws_files"))
+    return cloud.azure_services(src("ws_files"))
 
 
 @query(
@@ -621,7 +624,7 @@ def azure_services(src: Source) -> DataFrame:
     )
 )
 def azure_triggers(src: Source) -> DataFrame:
-    return cloud.azure_triggers(src.texts("ws_files"))
+    return cloud.azure_triggers(src("ws_files"))
 
 
 @query(
@@ -636,7 +639,7 @@ def azure_triggers(src: Source) -> DataFrame:
          FROM <<ws_files>> GROUP BY ws"""
 )
 def spark_features(src: Source) -> DataFrame:
-    return cloud.spark_features(src.texts("ws_files"))
+    return cloud.spark_features(src("ws_files"))
 
 
 def _stack_sql() -> str:
@@ -655,7 +658,7 @@ def _stack_sql() -> str:
 
 @query(_stack_sql())
 def detected_stacks(src: Source) -> DataFrame:
-    return stacks.detect_stacks(src.texts("ws_files"))
+    return stacks.detect_stacks(src("ws_files"))
 
 
 # ── version control and JSON documents ───────────────────────────────────────
@@ -678,7 +681,7 @@ def git_status_counts(src: Source) -> DataFrame:
         FROM <<blames>>"""
 )
 def blame_fields(src: Source) -> DataFrame:
-    return repo.blame_fields(src.texts("blames"))
+    return repo.blame_fields(src("blames"))
 
 
 @query("SELECT * FROM (SELECT pos, line FROM <<commit_log>> ORDER BY pos DESC LIMIT 5) l WHERE trim(line) <> ''")
@@ -697,7 +700,7 @@ def recent_commits(src: Source) -> DataFrame:
        GROUP BY doc_id"""
 )
 def json_field_types(src: Source) -> DataFrame:
-    return documents.field_types(src.texts("json_docs"))
+    return documents.field_types(src("json_docs"))
 
 
 @query(
@@ -706,7 +709,7 @@ def json_field_types(src: Source) -> DataFrame:
        FROM (SELECT * FROM <<machines>> ORDER BY name LIMIT 3) m WHERE json_valid(definition)"""
 )
 def first_state_machines(src: Source) -> DataFrame:
-    return documents.state_machine_stats(src("machines"))
+    return documents.state_machine_stats(src("machines"), first=3)
 
 
 @query(
@@ -715,4 +718,4 @@ def first_state_machines(src: Source) -> DataFrame:
               array_to_string(json_keys(definition, '$.States'), ', ') AS states FROM ok"""
 )
 def all_state_machines(src: Source) -> DataFrame:
-    return documents.state_machine_stats(src.texts("machines"), first=None)
+    return documents.state_machine_stats(src("machines"), first=None)

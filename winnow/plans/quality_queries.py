@@ -252,10 +252,11 @@ def log_surrogate_keys(src: Source) -> DataFrame:
 
 @query(
     """SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error,
-              count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id"""
+              count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup,
+              count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id"""
 )
 def events_pivot(src: Source) -> DataFrame:
-    return quality.pivot_counts(src("events"), "user_id", "event_type", ["click", "error", "purchase"])
+    return quality.pivot_counts(src("events"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
 
 
 @query(

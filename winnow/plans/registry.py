@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.plans import views
-from winnow.sources.tables import spread_small
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -32,10 +31,6 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.folder, name)
 
-    def texts(self, name: str) -> DataFrame:
-        """A view of long texts, for work that is heavy per row."""
-        return spread_small(self(name))
-
 
 def query(sql: str | None = None, why_no_sql: str | None = None):
     """Register ``fn(src)`` under its own name."""

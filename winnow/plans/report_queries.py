@@ -20,9 +20,9 @@ _FINDINGS = "({}) f".format(_rule_sql(lines_sql(_CORPUS, "path", "content"), "pa
 
 
 def _findings(src: Source) -> DataFrame:
-    corpus = src.texts("files").select("path", "content")
+    corpus = src("files").select("path", "content")
     for name in ("page_files", "risky_files"):
-        corpus = corpus.unionByName(src.texts(name).select("path", "content"))
+        corpus = corpus.unionByName(src(name).select("path", "content"))
     return scan.security_scan(corpus)
 
 
@@ -58,7 +58,7 @@ def findings_totals(src: Source) -> DataFrame:
        FROM <<error_logs>> GROUP BY 1"""
 )
 def errors_by_function(src: Source) -> DataFrame:
-    return aggregate.errors_by_function(src("error_logs"))
+    return aggregate.errors_by_function(src("error_logs"), 100)
 
 
 @query(
@@ -95,7 +95,7 @@ _FLAGS = {"has_token": "token = ", "has_digits": "[0-9]{6}", "has_url": "https?:
     + " FROM documents GROUP BY source"
 )
 def corpus_flags(src: Source) -> DataFrame:
-    docs = src.texts("documents").select("source", F.col("text").alias("content"))
+    docs = src("documents").select("source", F.col("text").alias("content"))
     return aggregate.feature_flags(docs, _FLAGS, ["source"])
 
 
@@ -180,7 +180,7 @@ _TOTAL = 1000
 @query(
     r"""WITH parts AS (
           SELECT *, row_number() OVER (PARTITION BY ctx, kind ORDER BY path) AS rk FROM <<context_parts>>),
-        kept AS (SELECT * FROM parts WHERE rk <= CASE kind WHEN 'related' THEN 5 WHEN 'plugin' THEN 5 ELSE 1 END),
+        kept AS (SELECT * FROM parts WHERE kind = 'plugin' OR rk <= CASE kind WHEN 'related' THEN 5 ELSE 1 END),
         n AS (SELECT ctx, count(*) AS n FROM kept WHERE kind = 'related' GROUP BY ctx),
         errs AS (
           SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY path, line, col, message) AS rk
@@ -224,7 +224,7 @@ _LATEST = "(SELECT job_id, arg_max(state, {'a': started, 'b': run_id}) AS state
         FROM (SELECT * FROM <<jobs>> ORDER BY job_id LIMIT 10) j LEFT JOIN {_LATEST} ON j.job_id = r.job_id"""
 )
 def latest_run_first_jobs(src: Source) -> DataFrame:
-    return select.latest_run_per_job(src("jobs"), src("runs"))
+    return select.latest_run_per_job(src("jobs"), src("runs"), 10)
 
 
 @query(
@@ -252,7 +252,7 @@ def latest_order_state(src: Source) -> DataFrame:
 )
 def recent_errors(src: Source) -> DataFrame:
     functions = src("functions").select(F.regexp_extract("resource", "[^/]+$", 0).alias("name"))
-    return select.recent_errors(functions, src("error_logs")).drop("ts")
+    return select.recent_errors(functions, src("error_logs"), 5, limit=200).drop("ts")
 
 
 @query(
@@ -288,11 +288,11 @@ def short_report(src: Source) -> DataFrame:
 @query(
     """SELECT CAST(row_number() OVER (ORDER BY is_dir DESC, name) AS INTEGER) AS pos, name FROM (
          SELECT contains(key, '/') AS is_dir, split_part(key, '/', 1) AS name FROM <<object_keys>> GROUP BY 1, 2) o
-       ORDER BY is_dir DESC, name LIMIT 25"""
+"""
 )
 def objects_in_order(src: Source) -> DataFrame:
-    """The first 25 entries of a sorted listing with their place."""
-    sorted_rows = select.sort_objects(list_objects(src("object_keys")), F.col("is_dir"), "name").limit(25)
+    """All entries of a sorted listing with their place."""
+    sorted_rows = select.sort_objects(list_objects(src("object_keys")), F.col("is_dir"), "name")
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("is_dir"), "name"))
     return sorted_rows.select(place.alias("pos"), "name")
 
@@ -357,7 +357,7 @@ def scalar_text_and_numbers(src: Source) -> DataFrame:
         FROM (SELECT *, string_split_regex(text, '\s+') AS words FROM documents) d"""
 )
 def scalar_collections(src: Source) -> DataFrame:
-    words = src.texts("documents").withColumn("words", F.split("text", r"\s+"))
+    words = src("documents").withColumn("words", F.split("text", r"\s+"))
     doc = F.to_json(F.struct(F.struct(F.col("lang").alias("b")).alias("a")))
     zero = F.lit(0).cast("bigint")
     return words.select(

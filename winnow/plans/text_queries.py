@@ -11,6 +11,7 @@ from winnow.operators.generated import generated_files, safe_paths
 from winnow.operators.packs.ml import clean_outputs, notebook_stats
 from winnow.operators.rules import DIAGNOSTIC_ACTIONS, FUNCTION_PATTERNS, LINE_ACTIONS, SCAN_RULES
 from winnow.plans.registry import Source, query
+from winnow.plans.views import TABLES
 from winnow.sources import files as file_source
 from winnow.sources import tables
 from winnow.sources.objects import list_objects
@@ -35,13 +36,13 @@ def scan_orders(src: Source) -> DataFrame:
        FROM documents GROUP BY source"""
 )
 def scan_text_tree(src: Source) -> DataFrame:
-    """Documents written as a tree of text files, scanned back and measured per folder."""
+    """Documents written as a deep tree of text files, scanned back and measured per folder."""
     root = scratch_dir(src.spark, "tree")
     src("documents").select("source", "text").write.option("maxRecordsPerFile", 64).partitionBy(
         "source"
-    ).text(root)
+    ).text(f"{root}/a/b/c/d/e")
     found = file_source.scan_files(src.spark, root, [".txt"])
-    return found.groupBy(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("source")).agg(
+    return found.groupBy(F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source")).agg(
         F.sum(F.regexp_count("content", F.lit("\n"))).alias("n_lines"),
         F.sum(F.length("content").cast("bigint")).alias("n_chars"),
     )
@@ -52,10 +53,11 @@ def scan_text_tree(src: Source) -> DataFrame:
        UNION ALL SELECT concat('new/', path), content FROM <<files>> WHERE path LIKE '%.sql'"""
 )
 def write_and_replace_files(src: Source) -> DataFrame:
-    """Write all files, then a second set that replaces some and adds others; read the store."""
+    """Write all files, each in two versions, then a second set that replaces some and adds others; read the store."""
     store = scratch_dir(src.spark, "files")
     files = src("files").select("path", "content")
-    file_source.write_files(files, store)
+    older = files.select("path", F.concat("content", F.lit(" old")).alias("content"), F.lit(1).alias("version"))
+    file_source.write_files(older.unionByName(files.withColumn("version", F.lit(2))), store, order="version")
     replaced = files.filter(F.endswith("path", F.lit(".js"))).withColumn(
         "content", F.replace("content", F.lit("e"), F.lit("E"))
     )
@@ -119,7 +121,7 @@ _SQL_TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
     "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>",
 }
-_TABLE_NAMES = ["customer", "documents", "embeddings", "events", "orders", "part"]
+_TABLE_NAMES = sorted(TABLES)
 
 
 _WHENS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SQL_TYPES.items())
@@ -151,12 +153,12 @@ def catalog_columns(src: Source) -> DataFrame:
 @query(
     f"""SELECT table_name, string_agg('  - `' || column_name || '` ' || {_TYPE_CASE}, chr(10) ORDER BY ordinal_position)
                AS columns, '  (none)' AS partition_keys
-        FROM information_schema.columns WHERE table_name IN ('orders', 'events') GROUP BY table_name"""
+        FROM information_schema.columns WHERE table_name IN ({", ".join(_quote(t) for t in _TABLE_NAMES)}) GROUP BY table_name"""
 )
 def table_schemas(src: Source) -> DataFrame:
-    for name in ("orders", "events"):
+    for name in _TABLE_NAMES:
         src(name).createOrReplaceTempView(f"winnow_{name}")
-    listed = tables.describe_tables(src.spark, ["winnow_orders", "winnow_events"])
+    listed = tables.describe_tables(src.spark, [f"winnow_{name}" for name in _TABLE_NAMES])
     return tables.schema_listing(listed).withColumn(
         "table_name", F.replace("table_name", F.lit("winnow_"), F.lit(""))
     )
@@ -225,11 +227,20 @@ _NO_LOOKAHEAD = {
 _CHECKSUM = "regexp_matches(line, '(?i)checksum') AND NOT regexp_matches(line, '(?i)checksum.*password')"
 
 
+# the white space of JavaScript, spelled out for an engine whose own is ASCII
+_SPACES = r"\t\n\v\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _spaced(pattern: str) -> str:
+    return pattern.replace(r"\s", f"[{_SPACES}]")
+
+
 def _rule_sql(lines: str, keys: str) -> str:
     """One SELECT per rule that a regular-expression engine without look-ahead can run."""
     parts = []
     for r in SCAN_RULES:
         pattern, exclude = _NO_LOOKAHEAD.get(r.rule_id, (r.pattern, r.exclude))
+        pattern, exclude = _spaced(pattern), exclude and _spaced(exclude)
         flags = "(?i)" if pattern.startswith("(?i)") else ""
         before = f"{flags}^(.*?)(?:{pattern.removeprefix('(?i)')})"
         start = f"length(regexp_extract(line, {_quote(before)}, 1))"
@@ -249,7 +260,7 @@ def _rule_sql(lines: str, keys: str) -> str:
         )
     union = "\nUNION ALL\n".join(parts)
     return (
-        f"WITH scanned AS (SELECT * FROM ({lines}) l WHERE NOT regexp_matches(line, '^\\s*(#|//|\\*|/\\*)')) {union}"
+        f"WITH scanned AS (SELECT * FROM ({lines}) l WHERE NOT regexp_matches(line, '^[{_SPACES}]*(#|//|\\*|/\\*)')) {union}"
     )
 
 
@@ -260,17 +271,17 @@ def lines_sql(table: str, key: str, content: str) -> str:
 
 @query(_rule_sql(lines_sql("<<files>>", "path", "content"), "path"))
 def security_scan_documents(src: Source) -> DataFrame:
-    return scan.security_scan(src.texts("files").select("path", "content"))
+    return scan.security_scan(src("files").select("path", "content"))
 
 
 @query(_rule_sql(lines_sql("<<page_files>>", "path", "content"), "path"))
 def security_scan_urls(src: Source) -> DataFrame:
-    return scan.security_scan(src.texts("page_files").select("path", "content"))
+    return scan.security_scan(src("page_files").select("path", "content"))
 
 
 @query(_rule_sql(lines_sql("pages", "page_id", "html"), "page_id"))
 def security_scan_html(src: Source) -> DataFrame:
-    return scan.security_scan(src.texts("pages").select("page_id", "html"), content="html")
+    return scan.security_scan(src("pages").select("page_id", "html"), content="html")
 
 
 @query(_rule_sql(lines_sql("<<settings_texts>>", "id", "content"), "id"))
@@ -280,7 +291,7 @@ def security_scan_settings(src: Source) -> DataFrame:
 
 @query(_rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path"))
 def security_scan_code(src: Source) -> DataFrame:
-    return scan.security_scan(src.texts("risky_files"))
+    return scan.security_scan(src("risky_files"))
 
 
 @query(
@@ -289,7 +300,7 @@ def security_scan_code(src: Source) -> DataFrame:
     % _rule_sql(lines_sql("<<risky_files>>", "path", "content"), "path")
 )
 def rules_that_fire(src: Source) -> DataFrame:
-    found = scan.security_scan(src.texts("risky_files"))
+    found = scan.security_scan(src("risky_files"))
     return found.agg(
         F.min("rule_id").alias("first_rule"),
         F.max("rule_id").alias("last_rule"),
@@ -302,9 +313,9 @@ CODE = "SELECT path, content FROM <<api_files>> UNION ALL SELECT path, content F
 
 
 def code_files(src: Source) -> DataFrame:
-    out = src.texts("api_files").select("path", "content")
-    out = out.unionByName(src.texts("ws_files").select("path", "content"))
-    return out.unionByName(src.texts("files").select("path", "content"))
+    out = src("api_files").select("path", "content")
+    out = out.unionByName(src("ws_files").select("path", "content"))
+    return out.unionByName(src("files").select("path", "content"))
 
 
 _LANG_CASE = (
@@ -354,7 +365,7 @@ def line_actions(src: Source) -> DataFrame:
     )
 )
 def diagnostic_actions(src: Source) -> DataFrame:
-    return scan.match_actions(src.texts("diagnostics"))
+    return scan.match_actions(src("diagnostics"))
 
 
 @query(
@@ -436,7 +447,7 @@ def prompt_sections(src: Source) -> DataFrame:
 )
 def generated_file_rows(src: Source) -> DataFrame:
     """Fenced file sections of generated text, safe paths only; other text becomes one file."""
-    return generated_files(src.texts("generated"), "out", keep=["doc_id"])
+    return generated_files(src("generated"), "out", keep=["doc_id"])
 
 
 @query(

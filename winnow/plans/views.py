@@ -248,6 +248,9 @@ RENDERED: dict[str, dict] = {
             "  passwd='<o_orderstatus>'  # short",
             "pwd = os.environ['PWD<o_custkey>'] or 'abcdef'",
             "# password = \"commented<o_orderkey>\"",
+            "\ufeff# password = \"marked<o_orderkey>\"",
+            "\u3000// pwd = 'wide<o_custkey>'",
+            "password\u00a0=\u2003\"spaced<o_orderkey>\"",
             "api_key = \"sk-<o_orderkey>-1234567890\"",
             "access_token='tok'",
             "AWS_SECRET_ACCESS_KEY = \"wJalrXUtnFEMI<o_custkey>\"",
@@ -325,6 +328,7 @@ RENDERED: dict[str, dict] = {
             "  job<p_partkey>:\n    ports: - 8080:<p_size> - '443:8443'\n    build: .",
             "  volumes:\n    data:",
             "  db<p_partkey>:\n    command: <p_name> <p_name> <p_name> <p_name> <p_name> <p_name> <p_name> <p_name>",
+            "  long<p_partkey>:\n    command:" + " <p_name>" * 60 + "\n    image: far/<p_size>\n    HealthCheck: x",
         ],
         columns="cast(floor(grp / 3) AS bigint) AS ws",
     ),

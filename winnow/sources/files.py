@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import extension
 from winnow.functions.text import as_col
+from winnow.operators.joins import first_wins
 from winnow.operators.load import overwrite_partitions
 from winnow.operators.skew import broadcast_rows
 
-# Folders that are never read, and the depth limit of a walk.
+# Folders that are never read.
 SKIP_DIRS = [
     "node_modules", ".git", "__pycache__", "dist", "build", ".venv", "venv", ".databricks", "out",
 ]
-MAX_DEPTH = 5
 N_BUCKETS = 64
 
 
@@ -31,12 +31,12 @@ def scan_files(
     root: str,
     extensions: list[str],
     skip_dirs: list[str] = SKIP_DIRS,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Files below ``root`` with one of the extensions as (path, content).
 
     The listing is filtered by name before any file is opened; skipped folders
-    and the depth limit are tested on the path.
+    and the depth limit, if one is given, are tested on the path.
     """
     glob = "*{" + ",".join(extensions) + "}"
     read = (
@@ -50,7 +50,7 @@ def scan_files(
     segments = F.split("path", "/")
     return found.filter(
         extension("path").isin(*extensions)
-        & (F.size(segments) <= max_depth)
+        & (F.size(segments) <= max_depth if max_depth is not None else F.lit(True))
         & ~F.arrays_overlap(segments, F.array(*[F.lit(d) for d in skip_dirs]))
     )
 
@@ -60,9 +60,12 @@ def read_files(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(store).select("path", "content")
 
 
-def write_files(files: DataFrame, store: str, buckets: int = N_BUCKETS) -> None:
+def write_files(files: DataFrame, store: str, buckets: int = N_BUCKETS, order: str | None = None) -> None:
     """Write (path, content) rows into a file store; an existing path is replaced.
 
+    A store holds one file per path: of rows with the same path the last in
+    ``order``, a column, is kept, and the greatest content among equals.
+
     The store is split into buckets by path, the unit that is rewritten: choose
     their number once, so that one holds some gigabytes. Only the buckets that
     receive rows are rewritten, and dynamic overwrite swaps them in when the job
@@ -70,7 +73,8 @@ def write_files(files: DataFrame, store: str, buckets: int = N_BUCKETS) -> None:
     """
     spark = files.sparkSession
     bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
-    new = files.select("path", "content", bucket.alias("bucket"))
+    latest = ([F.desc(order)] if order else []) + [F.desc("content")]
+    new = first_wins(files, "path", latest).select("path", "content", bucket.alias("bucket"))
     try:
         stored = spark.read.parquet(store)
     except AnalysisException:

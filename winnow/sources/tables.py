@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,24 +29,6 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on a small table that sits in fewer files than cores.
-
-    A file with one row group is read by one task. Only tables of at most 16 MB
-    per core are redistributed; larger ones keep their splits and never shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    paths = [unquote(p) for p in df.inputFiles()]
-    if not paths or len(paths) >= cores:
-        return df
-    total = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
-    return df.repartition(cores) if total <= SMALL_BYTES_PER_CORE * cores else df
-
-
 def preview_cell(c: Column | str, n: int = PREVIEW_CELL) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.left(F.coalesce(c.cast("string"), F.lit("NULL")), F.lit(n))
