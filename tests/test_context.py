@@ -27,6 +27,18 @@ def test_request_text(spark):
     assert got[2] == "## Active file: b.md (text)\n\n```text\n\n```\n\n## Instruction:\nexplain"
 
 
+def test_selected_text_stands_for_the_file(spark):
+    parts = spark.createDataFrame(
+        [(1, "active", "a.py", "whole"), (1, "selection", "a.py", "part"), (2, "selection", "b.py", "no file"), (3, "active", "c.py", "x"), (3, "selection", "c.py", "")],
+        "ctx int, kind string, path string, content string",
+    )
+    none = spark.createDataFrame([], "ctx int, path string, line int, col int, severity string, message string")
+    asks = spark.createDataFrame([(1, "go"), (2, "go"), (3, "go")], "ctx int, instruction string")
+    got = {r.ctx: r.request for r in context.request_texts(context.context_sections(parts, none, asks)).collect()}
+    assert got[1] == "## Active file: a.py (python)\n\n### Selected:\n```\npart\n```\n\n## Instruction:\ngo"
+    assert got[2] == "## Instruction:\ngo" and "```python\nx\n```" in got[3]
+
+
 def test_related_files_share_the_budget_they_are_shown_in(spark):
     parts = spark.createDataFrame(
         [(1, "related", f"f{i}", "z" * 100) for i in range(9)], "ctx int, kind string, path string, content string"

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.functions.text import js_space
-from winnow.operators import aggregate, context, joins, load, quality, scan
+from winnow.operators import aggregate, context, hooks, joins, load, quality, scan
+from winnow.operators.packs.default_hooks import DEFAULT_HOOKS
 from winnow.plans.registry import load_all
 from winnow.sources import files
 from winnow.streaming import events as ev
@@ -102,3 +103,19 @@ def test_streams_over_several_files(spark, tmp_path, n):
     for name in ("tailed_logs", "hourly_outcomes", "throttled_stream", "activation_change_stream", "routed_events"):
         one, many = (sorted(map(str, queries[name].build(spark, f).collect())) for f in (TABLES, str(tmp_path)))
         assert one and one == many, name
+
+
+def test_hooks_that_fail_while_they_run_are_skipped(spark):
+    df = spark.createDataFrame([(1, "git-status.txt", "?? a\n M b\nA  c"), (1, "git-log.txt", "abc one\n\ndef two")], "ws int, path string, content string")
+    broken = hooks.Hook("broken", lambda f: f.select(F.raise_error(F.lit("boom")).cast("string").alias("x")), lambda: F.col("x"))
+    chosen = [h for h in DEFAULT_HOOKS if h.key in ("git.status", "git.recentCommits", "security.findings")]
+    got = sorted(map(tuple, hooks.stored_hook_lines(df, [broken, *chosen]).collect()))
+    assert got == [
+        ("git.recentCommits", "- abc one"), ("git.recentCommits", "- def two"),
+        ("git.status", "- modified: 1, staged: 1, untracked: 1"), ("security.findings", "- all: 0"),
+    ]
+
+
+def test_every_default_hook_runs(spark):
+    df = spark.createDataFrame([(1, "manage.py", "x = 1")], "ws int, path string, content string")
+    assert set(map(tuple, hooks.hook_lines(df, DEFAULT_HOOKS).collect())) >= {("security.findings", "- all: 0")}

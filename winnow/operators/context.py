@@ -31,7 +31,8 @@ def context_sections(
 ) -> DataFrame:
     """Sections of every context: ctx, section, pos, text.
 
-    ``parts``: ctx, kind (active, related, diff, plugin), path, content.
+    ``parts``: ctx, kind (active, selection, related, diff, plugin), path,
+    content. Selected text stands in place of the active file's text.
     ``errors``: ctx, path, line, col, severity, message. ``instructions``: ctx,
     instruction. Related files and errors are cut to their number before the
     shares of the budget are computed; contributed texts all stay.
@@ -45,6 +46,10 @@ def context_sections(
 
     active = cut.filter(F.col("kind") == "active")
     head = F.concat(F.lit("## Active file: "), "path", F.lit(" ("), "language", F.lit(")"))
+    marked = cut.filter((F.col("kind") == "selection") & (F.col("content") != "")).join(
+        active.select("ctx"), "ctx", "left_semi"
+    )
+    unmarked = active.join(marked.select("ctx"), "ctx", "left_anti")
     changes = cut.filter((F.col("kind") == "diff") & (F.col("content") != ""))
     contributed = cut.filter((F.col("kind") == "plugin") & (F.col("content") != ""))
     near = cut.filter(F.col("kind") == "related")
@@ -63,7 +68,8 @@ def context_sections(
     zero = F.lit(0)
     sections = [
         _section(active, ACTIVE_HEAD, zero, head),
-        _section(active, ACTIVE_TEXT, zero, _fenced(F.col("language"), F.col("content"))),
+        _section(unmarked, ACTIVE_TEXT, zero, _fenced(F.col("language"), F.col("content"))),
+        _section(marked, ACTIVE_TEXT, zero, F.concat(F.lit("### Selected:\n"), _fenced(F.lit(""), "content"))),
         _section(counted, ERROR_HEAD, zero, error_head),
         _section(shown, ERROR_LINE, "rank", error_line),
         _section(changes, CHANGES, zero, F.concat(F.lit("## Git changes:\n"), "content")),

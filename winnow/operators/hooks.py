@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.paths import language_of
+from winnow.sources.scratch import scratch_dir
 
 log = logging.getLogger(__name__)
 
@@ -50,6 +51,21 @@ def hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None) -> DataFra
     return out
 
 
+def stored_hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None) -> DataFrame:
+    """Text lines of every hook, each run and written on its own: one that fails while it runs is skipped too."""
+    spark = files.sparkSession
+    folder = scratch_dir(spark, "hooks")
+    spark.createDataFrame([], "key string, line string").write.parquet(f"{folder}/0")
+    for i, hook in enumerate(list(hooks if hooks is not None else _HOOKS.values()), start=1):
+        try:
+            lines = hook.collect(files).select(F.lit(hook.key).alias("key"), hook.line().alias("line"))
+            lines.write.parquet(f"{folder}/{i}")
+        except Exception as e:  # user code: any failure means the hook is skipped
+            log.warning("hook %s skipped: %s", hook.key, e)
+            spark.createDataFrame([], "key string, line string").write.mode("overwrite").parquet(f"{folder}/{i}")
+    return spark.read.schema("key string, line string").parquet(f"{folder}/*")
+
+
 def chain(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Apply rewriters in order; each sees the result of the one before."""
     return reduce(DataFrame.transform, steps, df)

@@ -41,6 +41,8 @@ def siblings(files: DataFrame, limit: int = 5, path: str = "path") -> DataFrame:
         names.withColumn("ls", lengths.scalar())
         .select("sibling", "dir", "name", F.explode(F.array_distinct(pieces)).alias("part"))
     )
+    # only what some base name of the directory asks for is ranked
+    offered = offered.join(base.select("dir", "part").distinct(), ["dir", "part"], "left_semi")
     # one more than the limit: the file itself is dropped after the lookup
     offered = top_per_key(offered, ["dir", "part"], [F.col("name")], limit + 1)
     found = base.join(offered, ["dir", "part"]).filter(F.col("path") != F.col("sibling"))

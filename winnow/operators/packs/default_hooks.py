@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators.aggregate import group_names
+from winnow.functions.paths import base_name
+from winnow.operators.aggregate import findings_summary, group_names
 from winnow.operators.hooks import Hook, register_hook
-from winnow.operators.packs import cloud, containers, data, infra, ml, stacks, testing, web
+from winnow.operators.packs import cloud, containers, data, infra, ml, repo, stacks, testing, web
+from winnow.operators.scan import explode_lines, security_scan
 
 
 def _text(*parts: str | Column) -> Column:
@@ -25,6 +27,23 @@ def _list(name: str, n: int | None = None) -> Column:
 
 c = F.col
 
+#: Saved output of the status and log commands, as files of a workspace.
+STATUS_FILE, LOG_FILE = "git-status.txt", "git-log.txt"
+
+
+def _output(files: DataFrame, name: str) -> DataFrame:
+    """The lines of saved command output."""
+    return explode_lines(files.filter(base_name("path") == name).select("ws", "content"))
+
+
+def _flags(files: DataFrame) -> DataFrame:
+    """The services of each workspace whose flag is set."""
+    found = cloud.gcp_services(files)
+    names = [n for n in found.columns if n != "ws"]
+    set_ones = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))
+    return found.select("ws", F.array_join(set_ones, ", ").alias("services")).filter("services <> ''")
+
+
 # The keys and the wording of the lines.
 DEFAULT_HOOKS = [
     Hook(
@@ -100,6 +119,28 @@ DEFAULT_HOOKS = [
         ),
     ),
     Hook("jupyter.kernels", ml.notebook_kernels, lambda: _text("- ", c("kernel"))),
+    Hook(
+        "airflow.config",
+        data.airflow_config,
+        lambda: _text("- ", c("path"), ": ", F.coalesce("executor", F.lit("?")), ", ", F.coalesce("dag_folder", F.lit("?"))),
+    ),
+    Hook("django.settings", web.django_settings, lambda: _text("- ", c("path"), ": ", _list("installed_apps"))),
+    Hook(
+        "git.status",
+        lambda files: repo.git_status_counts(_output(files, STATUS_FILE), ["ws"]),
+        lambda: _text("- modified: ", c("n_modified"), ", staged: ", c("n_staged"), ", untracked: ", c("n_untracked")),
+    ),
+    Hook(
+        "git.recentCommits",
+        lambda files: _output(files, LOG_FILE).filter((F.col("line_no") < 5) & (F.btrim("line") != "")),
+        lambda: _text("- ", c("line")),
+    ),
+    Hook(
+        "security.findings",
+        lambda files: findings_summary(security_scan(files.select("path", "content"))),
+        lambda: _text("- ", F.coalesce("category", F.lit("all")), ": ", c("total")),
+    ),
+    Hook("gcp.services", _flags, lambda: _text("- ", c("services"))),
     Hook("workspace.stacks", stacks.detect_stacks, lambda: _text("- ", c("ws"), ": ", c("stack"))),
 ]
 
