@@ -64,4 +64,4 @@ def queries() -> dict[str, Build]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": oracles.OP2, "op5_decontamination": oracles.OP5}
+    return {"op2_line_dedup": oracles.OP2, "op5_decontamination": oracles.OP5, "op9_embedding_groups": oracles.OP9}
