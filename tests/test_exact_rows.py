@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from winnow.functions.text import js_space
 from winnow.operators import aggregate, context, hooks, joins, load, quality, scan
 from winnow.operators.packs.default_hooks import DEFAULT_HOOKS
+from winnow.operators.skew import top_per_key
 from winnow.plans.registry import load_all
 from winnow.sources import files
 from winnow.streaming import events as ev
@@ -119,3 +120,12 @@ def test_hooks_that_fail_while_they_run_are_skipped(spark):
 def test_every_default_hook_runs(spark):
     df = spark.createDataFrame([(1, "manage.py", "x = 1")], "ws int, path string, content string")
     assert set(map(tuple, hooks.hook_lines(df, DEFAULT_HOOKS).collect())) >= {("security.findings", "- all: 0")}
+
+
+def test_many_rows_per_key(spark):
+    df = spark.range(9000, numPartitions=5).select(F.when(F.col("id") % 3 > 0, 0).otherwise(1).alias("k"), F.col("id").alias("v"))
+    got = {}
+    for r in top_per_key(df, ["k"], [F.desc("v")], 2500).collect():
+        got.setdefault(r.k, []).append((r["rank"], r.v))
+    for k, want in ((0, [v for v in range(9000) if v % 3]), (1, list(range(0, 9000, 3)))):
+        assert sorted(got[k]) == list(enumerate(sorted(want, reverse=True)[:2500], start=1))

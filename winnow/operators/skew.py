@@ -85,8 +85,21 @@ def previous_value(
     )
 
 
+#: Spark trims the rows of a key before the shuffle only up to this rank.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per key. Spark trims each map task to ``n`` rows per key before the shuffle."""
+    """First ``n`` rows per key. Spark trims each map task to ``n`` rows per key before the shuffle.
+
+    Beyond its limit the rows of a key are first cut to ``n`` in each of some
+    parts, so that no task sorts all rows of a hot key.
+    """
+    if n > GROUP_LIMIT:
+        part = W.partitionBy(*keys, "_part").orderBy(*order)
+        parts = df.withColumn("_part", F.spark_partition_id() % SALTS)
+        df = parts.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= n).drop("_part", "_n")
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
