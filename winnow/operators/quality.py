@@ -5,8 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from winnow.operators.skew import running_sums
 
 
 def null_failures(df: DataFrame, column: str) -> DataFrame:
@@ -184,6 +186,7 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
 
 
 SKETCH_ACCURACY = 100_000
+BRACKET_BLOCKS = 256
 
 
 def exact_quantiles(
@@ -231,8 +234,13 @@ def exact_quantiles(
     )
     q = F.array(*[F.lit(float(f)) for f in fractions])[F.col("i")]
     rank = F.greatest(F.ceil(q * F.col("c.total")), F.lit(1))
-    upto = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    reached = grouped.withColumn("reached", F.col("c.below")[F.col("i")] + F.sum("n").over(upto))
+    # ranked in blocks of the bracket, so that no task holds all of its values
+    at = F.unix_date if isinstance(values.schema["v"].dataType, T.DateType) else lambda c: c.cast("double")
+    grouped = grouped.withColumn("b", bracket)
+    low_end, high_end = at(F.col("b.low")[F.col("i")]), at(F.col("b.high")[F.col("i")])
+    part = F.floor((at(F.col("v")) - low_end) / F.nullif(high_end - low_end, F.lit(0)) * BRACKET_BLOCKS)
+    summed = running_sums(grouped, ["i"], ["v"], {"upto": F.col("n")}, F.coalesce(part, F.lit(0)))
+    reached = summed.withColumn("reached", F.col("c.below")[F.col("i")] + F.col("upto"))
     return reached.filter(
         (F.col("reached") >= rank) & (F.col("reached") - F.col("n") < rank)
     ).select(q.alias("q"), F.col("v").alias("value"))
