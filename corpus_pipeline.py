@@ -16,10 +16,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those with nothing left of what they held go."""
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs.withColumnRenamed("line_counts", "__line_counts"))
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
     gone = blank & (F.col("line_counts.kept") < F.col("line_counts.lines"))
-    columns = [F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else f"`{c}`" for c in docs.columns]
+    kinds = dict(docs.dtypes)
+    own = {"n_chars": F.length("text").cast(kinds.get("n_chars", "long")), "line_counts": F.col("__line_counts") if "line_counts" in kinds else None}
+    columns = [own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns]
     return found.where(~gone).select(*columns)
 
 
