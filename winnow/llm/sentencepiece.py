@@ -99,10 +99,12 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.unknown = model.kinds.index(UNKNOWN)
         self.reach = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        lengths: dict[str, set[int]] = {}
+        self.start: dict = {}  # the pieces as a tree of characters; the key "" marks the end of a piece
         for p in self.ids:
-            lengths.setdefault(p[:2], {1}).add(len(p))
-        self.lengths = {start: sorted(have, reverse=True) for start, have in lengths.items()}
+            node = self.start
+            for char in p:
+                node = node.setdefault(char, {})
+            node[""] = True
         inner = {b for a, b in self.reach if a != SPACE}
         lines = "\n" if not any("\n" in p for p in self.ids) else ""
         if SPACE in inner:
@@ -171,28 +173,32 @@ class Transducer:
             return [ids[part]] if part in ids else self._fallback(part)
         if n <= self.longest and part in ids and self.apart("", part):
             return [ids[part]]
-        # The path so far, where its pieces start, and for each the lengths still to try.
+        # The path so far, where its pieces start, and for each the ends still to try, the last one first.
         path, starts, left = [], [], []
-        at, before, lengths, pairs, all_lengths = 0, "", None, self.pairs, self.lengths
+        at, before, ends, pairs, root = 0, "", None, self.pairs, self.start
         while at < n:
-            if lengths is None:
-                lengths = iter(all_lengths.get(part[at : at + 2], (1,)))
-            for size in lengths:
-                piece = part[at : at + size]
-                if at + size > n or (size > 1 and piece not in ids):
-                    continue
+            if ends is None:
+                ends, node, end = [at + 1], root.get(part[at]), at + 1
+                while node and end < n:
+                    node = node.get(part[end])
+                    end += 1
+                    if node and "" in node:
+                        ends.append(end)
+            while ends:
+                end = ends.pop()
+                piece = part[at:end]
                 fits = pairs.get((before, piece))
                 if fits is None:
                     fits = self.apart(before, piece)
                 if fits:
                     path.append(piece)
                     starts.append(at)
-                    left.append(lengths)
-                    at, before, lengths = at + size, piece, None
+                    left.append(ends)
+                    at, before, ends = end, piece, None
                     break
             else:
                 path.pop()
-                at, lengths, before = starts.pop(), left.pop(), path[-1] if path else ""
+                at, ends, before = starts.pop(), left.pop(), path[-1] if path else ""
         return [i for p in path for i in ([ids[p]] if p in ids else self._fallback(p))]
 
     def apart(self, left: str, right: str) -> bool:
