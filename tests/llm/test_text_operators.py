@@ -285,3 +285,22 @@ def test_base_scores(spark, monkeypatch, most):
         assert math.isclose(r.base_score, sum(math.log10((seen[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words), rel_tol=1e-9)
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    """Every training token reaches the network beyond its sample, and helps on held-out texts."""
+    docs = spark.read.parquet(DOCUMENTS)
+    training = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 1").select("doc_id", "text")
+    met, whole = [], lm.train_on_all
+    monkeypatch.setattr(lm, "train_on_all", lambda *a: (met.append(whole(*a)), met[-1])[1])
+    found = [r for r in lm.score_texts(docs, 20_000).collect() if r.held_out]
+    assert met[0][1] == sum(len((r.text or "").encode().lower().split()) + 1 for r in training.collect()) == found[0].train_tokens
+    monkeypatch.setattr(lm, "train_on_all", lambda docs, counts, net, end: (net, 0))
+    sampled = [r for r in lm.score_texts(docs, 20_000).collect() if r.held_out]
+    assert sum(r.score for r in found) > sum(r.score for r in sampled)
+
+
+def test_outputs_grow_with_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 10)
+    counts = spark.createDataFrame([(i * lm.ENDINGS, 600 - i) for i in range(200)], "key long, c long")
+    assert len(lm.head(counts).sizes) - lm.ENDINGS == 101

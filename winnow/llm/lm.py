@@ -11,20 +11,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 from winnow.llm.batches import SPACED, Words, map_texts, pieces, utf8
 from winnow.sources.scratch import cut_lineage
 
-#: Words with an output of their own; the others share one output for each kind of ending.
+#: Words with an output of their own: so many at least, and all that the training texts hold OUTPUT_COUNT times,
+#: as far as every task holds their counts. The others share one output for each kind of ending.
 VOCABULARY = 4032
+OUTPUT_COUNT = 500
 ENDINGS = 64
+#: Classes of outputs, or the root of the number of outputs if that is more.
 CLASSES = 64
 HIDDEN = 24
 #: Counts that every task holds; the others are joined.
 HEAD_WORDS = 1 << 18
-#: Expected number of tokens that the network learns from (a bounded sample; counts cover all texts).
+#: Expected number of tokens that the network starts from; after that it learns from all training texts.
 TRAINING_TOKENS = 300_000
 EPOCHS = 3
 LANES = 128
 #: Steps after which gradients are cut off; the state goes on.
 WINDOW = 16
 RATE = 0.02
+#: All training texts are dealt over so many rounds, after each of which the weights of the tasks are averaged.
+ROUNDS = 4
+ROUND_RATE = 0.004
+ROUND_LANES = 256
+ROUND_TOKENS = 1 << 18
+#: Weights in a row of what a task hands back.
+BLOCK = 1 << 18
 #: Steps that are scored together; the state goes on.
 SCORE_WINDOW = 32
 SCORE_BYTES = 4 << 20
@@ -125,7 +135,7 @@ def head(counts: DataFrame, most: int = HEAD_WORDS) -> Counts:
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     symbols = np.full(len(keys), -1, np.int32)
-    best = np.lexsort((keys, -n))[: VOCABULARY - 1]
+    best = np.lexsort((keys, -n))[: max(VOCABULARY - 1, int((n >= OUTPUT_COUNT).sum()))]
     if len(keys) and END not in keys[best] and END in keys:
         best = np.append(best, np.searchsorted(keys, END))
     symbols[best] = np.arange(len(best))
@@ -167,8 +177,9 @@ class Network(NamedTuple):
     place: np.ndarray  # of each symbol in its class
 
 
-def new_network(sizes: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES) -> Network:
+def new_network(sizes: np.ndarray, hidden: int = HIDDEN, classes: int | None = None) -> Network:
     """Classes of about equal frequency; biases give the frequencies, so it begins as a unigram model."""
+    classes = classes or max(CLASSES, int(np.sqrt(len(sizes))))
     rng = np.random.default_rng(0)
     share = (sizes + 0.5) / (sizes + 0.5).sum()
     order = np.argsort(-share, kind="stable")
@@ -257,12 +268,16 @@ def text_scores(net: Network, symbols: np.ndarray, first: np.ndarray, counts: np
     return result
 
 
-def _gradients(
-    net: Network, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, end: int
-) -> tuple[list[np.ndarray], np.ndarray, float]:
+class Gradients(NamedTuple):
+    parts: list[np.ndarray]  # of the first six arrays of the network
+    rows: list[np.ndarray | None]  # which rows of each they are of; None: all
+
+
+def _window(net: Network, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, end: int) -> tuple[Gradients, np.ndarray, float]:
     """Gradients of the mean loss over a window (steps x lanes), the last state, and the loss.
 
-    A text begins with the end of another one as its input, and with an empty state.
+    A text begins with the end of another one as its input, and with an empty state. Inputs that do not
+    occur and outputs of classes that do not occur have no rows.
     """
     steps, lanes = inputs.shape
     hidden = state.shape[1]
@@ -282,24 +297,27 @@ def _gradients(
     error[np.arange(n), own_class] -= 1
     g_to_class, g_class_bias = flat.T @ error, error.sum(axis=0)
     g_flat = error @ net.to_class.T
-    g_to_symbol, g_symbol_bias = np.zeros_like(net.to_symbol), np.zeros_like(net.symbol_bias)
+    used, g_to_symbol, g_symbol_bias = [], [], []
     order = np.argsort(own_class, kind="stable")
     bounds = np.searchsorted(own_class[order], np.arange(len(net.members) + 1))
-    for c, symbols in enumerate(net.members):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if not len(rows) or len(symbols) < 2:
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        symbols = net.members[c]
+        if len(symbols) < 2:
             continue
-        logs = _log_softmax(flat[rows] @ net.to_symbol[symbols].T + net.symbol_bias[symbols])
+        rows = order[bounds[c] : bounds[c + 1]]
+        outputs, own = net.to_symbol[symbols], flat[rows]
+        logs = _log_softmax(own @ outputs.T + net.symbol_bias[symbols])
         at = net.place[goal[rows]]
         loss -= logs[np.arange(len(rows)), at].sum()
         error = np.exp(logs)
         error[np.arange(len(rows)), at] -= 1
-        g_to_symbol[symbols] += error.T @ flat[rows]
-        g_symbol_bias[symbols] += error.sum(axis=0)
-        g_flat[rows] += error @ net.to_symbol[symbols]
+        used.append(symbols)
+        g_to_symbol.append(error.T @ own)
+        g_symbol_bias.append(error.sum(axis=0))
+        g_flat[rows] += error @ outputs
     g_flat = g_flat.reshape(steps, lanes, hidden)
-    g_recur, g_inputs = np.zeros_like(net.recur), np.zeros_like(net.inputs)
-    g_state = np.zeros_like(state)
+    g_recur, g_state = np.zeros_like(net.recur), np.zeros_like(state)
+    g_gates = np.empty((steps, lanes, 3 * hidden), net.inputs.dtype)
     for t in range(steps - 1, -1, -1):
         before, (z, r, new, own) = befores[t], kept[t]
         g = g_state + g_flat[t]
@@ -309,38 +327,139 @@ def _gradients(
         through = np.concatenate((g_z, g_r, g_new * r), axis=1)
         g_recur += before.T @ through
         g_state = (g * z + through @ net.recur.T) * goes_on[t]
-        np.add.at(g_inputs, inputs[t], np.concatenate((g_z, g_r, g_new), axis=1))
-    grads = [g_inputs, g_recur, g_to_class, g_class_bias, g_to_symbol, g_symbol_bias]
-    return [g / n for g in grads], states[-1], float(loss) / n
+        g_gates[t] = np.concatenate((g_z, g_r, g_new), axis=1)
+    order = np.argsort(inputs.ravel(), kind="stable")
+    met, starts = np.unique(inputs.ravel()[order], return_index=True)
+    g_inputs = np.add.reduceat(g_gates.reshape(n, 3 * hidden)[order], starts, axis=0)
+    outputs = np.concatenate(used) if used else np.zeros(0, np.int64)
+    g_to_symbol = np.concatenate(g_to_symbol) if used else net.to_symbol[:0]
+    g_symbol_bias = np.concatenate(g_symbol_bias) if used else net.symbol_bias[:0]
+    grads = [g / n for g in (g_inputs, g_recur, g_to_class, g_class_bias, g_to_symbol, g_symbol_bias)]
+    return Gradients(grads, [met, None, None, None, outputs, outputs]), states[-1], float(loss) / n
+
+
+def _gradients(
+    net: Network, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, end: int
+) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """The gradients of a window for all rows, the last state, and the loss."""
+    found, state, loss = _window(net, inputs, targets, state, end)
+    grads = []
+    for w, g, rows in zip(net[:6], *found):
+        whole = g if rows is None else np.zeros_like(w)
+        if rows is not None:
+            whole[rows] = g
+        grads.append(whole)
+    return grads, state, loss
+
+
+class Learner:
+    """A network and the moments of its Adam steps; rows without a gradient stay as they are."""
+
+    def __init__(self, net: Network):
+        self.net, self.steps = net, 0
+        self.first, self.second = ([np.zeros_like(w) for w in net[:6]] for _ in range(2))
+
+    def learn(self, stream: np.ndarray, lanes: int, end: int, rate) -> None:
+        """Truncated backpropagation through time over a stream of whole texts, cut into lanes of equal length."""
+        targets = stream.reshape(lanes, -1).T
+        inputs = np.vstack((np.full((1, lanes), end), targets[:-1]))
+        state = np.zeros((lanes, self.net.recur.shape[0]), np.float32)
+        for begin in range(0, len(targets), WINDOW):
+            grads, state, _ = _window(self.net, inputs[begin : begin + WINDOW], targets[begin : begin + WINDOW], state, end)
+            self.steps += 1
+            self._move(grads, rate(self.steps))
+
+    def _move(self, grads: Gradients, rate: float) -> None:
+        norm = float(np.sqrt(sum((g * g).sum() for g in grads.parts)))
+        rate = rate / (1 - 0.9**self.steps)
+        spread = 1 / np.sqrt(1 - 0.999**self.steps)
+        for w, a, b, g, rows in zip(self.net[:6], self.first, self.second, *grads):
+            rows = slice(None) if rows is None else rows
+            g = g * np.float32(min(1.0, 1.0 / max(norm, 1e-8)))
+            near = a[rows] + np.float32(0.1) * (g - a[rows])
+            wide = b[rows] + np.float32(0.001) * (g * g - b[rows])
+            a[rows], b[rows] = near, wide
+            w[rows] -= np.float32(rate) * near / (np.sqrt(wide) * np.float32(spread) + np.float32(1e-8))
 
 
 def train(sizes: np.ndarray, texts: list[np.ndarray], end: int, epochs: int = EPOCHS) -> Network:
-    """Truncated backpropagation through time over streams of whole texts, with Adam steps."""
-    net = new_network(sizes)
+    """A new network that learns from streams of whole texts."""
+    learner = Learner(new_network(sizes))
     if not texts:
-        return net
+        return learner.net
     stream = np.concatenate(texts)
     lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
     length = len(stream) // lanes
-    targets = stream[: lanes * length].reshape(lanes, length).T
-    inputs = np.vstack((np.full((1, lanes), end), targets[:-1]))
-    weights = list(net[:6])
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    i, updates = 0, epochs * -(-length // WINDOW)
+    updates = epochs * -(-length // WINDOW)
     for _ in range(epochs):
-        state = np.zeros((lanes, net.recur.shape[0]), np.float32)
-        for begin in range(0, length, WINDOW):
-            own = inputs[begin : begin + WINDOW]
-            grads, state, _ = _gradients(net, own, targets[begin : begin + WINDOW], state, end)
-            i += 1
-            rate = RATE * (1 - 0.9 * i / updates)
-            norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
-            for w, g, a, b in zip(weights, grads, first, second):
-                g = g * min(1.0, 1.0 / max(norm, 1e-8))
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                w -= (rate * (a / (1 - 0.9**i)) / (np.sqrt(b / (1 - 0.999**i)) + 1e-8)).astype(np.float32)
-    return net
+        learner.learn(stream[: lanes * length], lanes, end, lambda i: RATE * (1 - 0.9 * i / updates))
+    return learner.net
+
+
+def train_on_all(docs: DataFrame, counts: Counts, net: Network, end: int) -> tuple[Network, int]:
+    """The network after it met every token of all texts once, and how many these were.
+
+    Each round takes a share of the texts by a hash of doc_id. A task goes on from the shared weights over
+    its texts; the weights of all tasks go to the shared folder and are averaged by the tokens they met.
+    """
+    spark = docs.sparkSession
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
+    learned = 0
+    for r in range(ROUNDS):
+        run = _round(net, counts, end, ROUND_RATE * (1 - r / ROUNDS))
+        own = docs.where(share == r).select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
+        rows = cut_lineage(own.mapInArrow(run, "block int, tokens long, weights binary"), "weights")
+        total = int(rows.where("block = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+        if not total:
+            continue
+        flat = np.zeros(sum(w.size for w in net[:6]), np.float32)
+        for row in rows.toLocalIterator():
+            begin = row["block"] * BLOCK
+            part = np.frombuffer(row["weights"], np.float32)
+            flat[begin : begin + len(part)] += part * np.float32(row["tokens"] / total)
+        net, learned = _with_weights(net, flat), learned + total
+    return net, learned
+
+
+def _with_weights(net: Network, flat: np.ndarray) -> Network:
+    ends = np.cumsum([w.size for w in net[:6]])
+    return Network(*[flat[e - w.size : e].reshape(w.shape).copy() for w, e in zip(net[:6], ends)], *net[6:])
+
+
+def _round(net: Network, counts: Counts, end: int, rate: float):
+    """What a task of a round does: one pass over its texts, then its weights in blocks."""
+
+    def run(batches):
+        learner = Learner(_with_weights(net, np.concatenate([w.ravel() for w in net[:6]])))
+        held, size, met = [], 0, 0
+
+        def learn(symbols: np.ndarray) -> None:
+            lanes = max(1, min(ROUND_LANES, len(symbols) // (2 * WINDOW)))
+            cut = len(symbols) // lanes * lanes
+            learner.learn(symbols[:cut], lanes, end, lambda i: rate)
+            if cut < len(symbols):  # fewer than the lanes
+                learner.learn(symbols[cut:], 1, end, lambda i: rate)
+
+        for piece in (p for batch in batches for p in pieces(batch, SCORE_BYTES)):
+            symbols = look_up(tokens(piece.column("text")).keys, counts)[2].astype(np.int32)
+            held.append(symbols)
+            size += len(symbols)
+            met += len(symbols)
+            if size >= ROUND_TOKENS:
+                learn(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            learn(np.concatenate(held))
+        if met:
+            flat = np.concatenate([w.ravel() for w in learner.net[:6]])
+            for block in range(-(-len(flat) // BLOCK)):
+                own = flat[block * BLOCK : (block + 1) * BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([met], pa.int64()), pa.array([own], pa.binary())],
+                    ["block", "tokens", "weights"],
+                )
+
+    return run
 
 
 def _sample(docs: DataFrame, counts: Counts, most: int) -> list[np.ndarray]:
@@ -372,7 +491,9 @@ def score_texts(docs: DataFrame, training_tokens: int = TRAINING_TOKENS) -> Data
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))). ``score`` is the log10 probability under a gated
     recurrent network, state carried over the whole text. Frequent words have outputs of their own; any
     other word is the output of its ending times its share (c + 0.5) / (n + 0.5 (v + 1)) of the n tokens
-    and v words with that ending. The network learns from a bounded sample of the training texts.
+    and v words with that ending. The network starts from a sample of about ``training_tokens`` and then
+    learns from all training texts; tasks learn side by side, so how the rows are dealt over them shifts
+    ``score`` a little.
 
     Null and empty texts have the end only. Documents without doc_id are scored, not learned from and
     not held out. Without training texts all counts are 0. Repeated rows each get a row; an empty table
@@ -384,13 +505,16 @@ def score_texts(docs: DataFrame, training_tokens: int = TRAINING_TOKENS) -> Data
     n_words = len(counts.sizes) - ENDINGS
     end = int(look_up(np.array([END]), counts)[2][0])
     net = train(counts.sizes, _sample(training, counts, training_tokens), end)
+    if counts.total > training_tokens:
+        net = train_on_all(training, counts, net, end)[0]
     base = float(np.log10(counts.total + 0.5 * (counts.distinct + 1)))
     ending = np.log10(counts.ending_tokens + 0.5 * (counts.ending_words + 1))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = tokens(batch.column("text"))
         found, c, symbol = look_up(own.keys, counts)
-        score = text_scores(net, symbol, own.first, own.counts, end) / _LOG10
+        # single precision depends on the texts scored together, so equal rows would differ in the last digits
+        score = np.round(text_scores(net, symbol, own.first, own.counts, end) / _LOG10, 4)
         log = np.log10(c + 0.5) * found  # the share of tokens looked up later is added then
         other = symbol >= n_words
         within = np.where(other, log - ending[np.maximum(symbol - n_words, 0)], 0.0)
