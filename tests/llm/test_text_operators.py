@@ -68,6 +68,15 @@ def test_added_spans():
     assert base == [] and [text[s:e] for s, _, e in added] == ["xK9$mQ2!vLp7"]
 
 
+def test_whole_values_are_covered():
+    rng = random.Random(5)
+    value = "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=600))
+    assert secrets.scan(f"auth: {value} end")[1] == [(6, 3, 606)]
+    text = "password=Tr0ub4dor3xx$9!kQz#77"
+    base, added, _ = secrets.scan(text)
+    assert base and added == [(9, 3, len(text))]
+
+
 # --- personal data
 
 PATTERNS = {

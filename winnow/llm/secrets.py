@@ -13,7 +13,8 @@ from winnow.llm.batches import map_texts
 #: log10 of the guesses from which a value beside a credential word counts as a secret.
 MIN_GUESSES = 10.0
 MIN_VALUE = 8
-MAX_VALUE = 256
+#: Characters that a repeat or a walk looks back at most; longer ones are cut into several.
+LOOK_BACK = 256
 
 # Fixed values of the contract: patterns of the base spans.
 ASSIGN = re.compile(
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Words that announce a credential, then a value up to a space or quote.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|access[_-]?key|private[_-]?key|auth)"""
-    r"""["'\]]?\s{0,3}(?::=|=>|[:=]|\bis\b)\s{0,3}["']?([^\s"'<>`,;]{8,256})""",
+    r"""["'\]]?\s{0,3}(?::=|=>|[:=]|\bis\b)\s{0,3}["']?([^\s"'<>`,;]{8,})""",
     re.I | re.A,
 )
 _CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
@@ -93,38 +94,39 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
         lower = "".join(c.lower()[0] for c in value)
     plain = lower.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    segments: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, cost
-    for start in range(n):
+    for start in range(n + 1):
+        if start:
+            best[start] = min(best[start], best[start - 1] + 1.0)
+        # repeats that end here: the unit costs what it costs alone
+        for size in range(1, min(start // 2, 32) + 1):
+            times = 1
+            unit_text = lower[start - size : start]
+            while (times + 1) * size <= min(start, LOOK_BACK) and lower[start - (times + 1) * size : start - times * size] == unit_text:
+                times += 1
+                first = start - times * size
+                unit = min(float(size), best[first + size] - best[first]) if size > 1 else 1.0
+                best[start] = min(best[start], best[first] + max(unit, 0.0) + math.log10(times))
         for end in range(start + 3, min(n, start + 24) + 1):
             rank, extra = _rank(lower[start:end], words), 0.0
             if rank is None and plain[start:end] != lower[start:end]:
                 rank = _rank(plain[start:end], words)
                 extra = math.log10(2) * sum(a != b for a, b in zip(plain[start:end], lower[start:end]))
             if rank is not None:
-                segments[end].append((start, math.log10(rank + 1) + extra + _case_cost(value[start:end])))
+                best[end] = min(best[end], best[start] + math.log10(rank + 1) + extra + _case_cost(value[start:end]))
         found = _DATE.match(value, start)
         if found:
             marked = any(found.groups())
-            segments[found.end()].append((start, math.log10(365 * 50 * (4 if marked else 1) if found.end() - start > 4 else 100)))
+            cost = math.log10(365 * 50 * (4 if marked else 1) if found.end() - start > 4 else 100)
+            best[found.end()] = min(best[found.end()], best[start] + cost)
         end = start + 1
         turns, direction = 0, None
-        while end < n and lower[end] in _NEAR.get(lower[end - 1], ()):
+        while end < min(n, start + LOOK_BACK) and lower[end] in _NEAR.get(lower[end - 1], ()):
             step = (ord(lower[end]) - ord(lower[end - 1]))
             turns += step != direction
             direction = step
             end += 1
             if end - start >= 3:
-                segments[end].append((start, _KEYS + turns * _TURN + math.log10(end - start)))
-    for end in range(1, n + 1):
-        best[end] = min([best[end - 1] + 1.0] + [best[s] + cost for s, cost in segments[end]])
-        # repeats that end here: the unit costs what it costs alone
-        for size in range(1, min(end // 2, 32) + 1):
-            times = 1
-            while (times + 1) * size <= end and lower[end - (times + 1) * size : end - times * size] == lower[end - size : end]:
-                times += 1
-                start = end - times * size
-                unit = min(float(size), best[start + size] - best[start]) if size > 1 else 1.0
-                best[end] = min(best[end], best[start] + max(unit, 0.0) + math.log10(times))
+                best[end] = min(best[end], best[start] + _KEYS + turns * _TURN + math.log10(end - start))
     return best[n]
 
 
@@ -156,14 +158,14 @@ def scan(text: str, min_guesses: float = MIN_GUESSES) -> tuple[list[tuple[int, i
         words = None
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?:")
-            if not MIN_VALUE <= len(value) <= MAX_VALUE:
+            if len(value) < MIN_VALUE:
                 continue
             if words is None:
                 words = _own_words(text)
             cost = guess_cost(value, words)
             most = max(most, cost)
             start, end = m.start(1), m.start(1) + len(value)
-            if cost >= min_guesses and not any(s < end and start < e for s, _, e in base):
+            if cost >= min_guesses and not any(s <= start and end <= e for s, _, e in base):
                 added.append((start, 3, end))
     return sorted(base), added, most
 
@@ -178,8 +180,8 @@ def find_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame
     ``base`` and ``spans`` are ``kind:start:end`` by start, then kind, joined by commas, in code points and
     end exclusive. Base spans match fixed patterns, leftmost and non-overlapping per kind; a whole
     ``name = value`` match is an assign span. A guess span is a value after a credential word that
-    overlaps no base span and takes at least 10 ** ``min_guesses`` guesses. Words that the text itself
-    repeats are cheap, so prose after a credential word is no secret. ``guesses`` is the highest log10 of
+    lies in no base span and takes at least 10 ** ``min_guesses`` guesses; it goes to the value's end, past that
+    of a base span too. Words that the text itself repeats are cheap, so prose after a credential word is no secret. ``guesses`` is the highest log10 of
     the guesses of any such value, 0 without one.
 
     Null texts count as empty. Repeated rows each get a row; an empty table gives an empty result; other
