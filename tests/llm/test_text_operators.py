@@ -77,6 +77,10 @@ def test_whole_values_are_covered():
     assert base and added == [(9, 3, len(text))]
 
 
+def test_a_repeated_secret_is_no_word():
+    assert [s for s, _, _ in secrets.scan("pwd: kqzvbnrtxwpl\nand again\npwd: kqzvbnrtxwpl")[1]] == [5, 33]
+
+
 # --- personal data
 
 PATTERNS = {

@@ -137,9 +137,13 @@ def _rank(word: str, words: dict[str, int] | None) -> int | None:
 
 
 def _own_words(text: str) -> dict[str, int]:
-    """Rank of each word of letters in a text, the most frequent first."""
+    """Rank of each word of letters that a text repeats outside the values beside credential words, the most frequent first."""
     counts: dict[str, int] = {}
-    for w in re.findall(r"[^\W\d_]{3,24}", text.lower()):
+    outside, at = [], 0
+    for m in CONTEXT.finditer(text):
+        outside.append(text[at : m.start(1)])
+        at = m.end(1)
+    for w in re.findall(r"[^\W\d_]{3,24}", " ".join([*outside, text[at:]]).lower()):
         counts[w] = counts.get(w, 0) + 1
     return {w: i + 1 for i, (w, c) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))) if c > 1}
 
@@ -181,7 +185,7 @@ def find_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame
     end exclusive. Base spans match fixed patterns, leftmost and non-overlapping per kind; a whole
     ``name = value`` match is an assign span. A guess span is a value after a credential word that
     lies in no base span and takes at least 10 ** ``min_guesses`` guesses; it goes to the value's end, past that
-    of a base span too. Words that the text itself repeats are cheap, so prose after a credential word is no secret. ``guesses`` is the highest log10 of
+    of a base span too. Words that the text repeats outside such values are cheap, so prose after a credential word is no secret. ``guesses`` is the highest log10 of
     the guesses of any such value, 0 without one.
 
     Null texts count as empty. Repeated rows each get a row; an empty table gives an empty result; other
