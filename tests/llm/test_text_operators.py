@@ -207,6 +207,17 @@ def test_language_accuracy(spark):
     assert np.mean([r.accepted for r in held]) > 0.98
 
 
+def test_unlearned_language_is_rejected(spark):
+    """Held-out texts of a language that nobody labelled go, clean ones of the others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) >= 256")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    model = language.learn(docs.where("lang <> 'de'"))
+    held = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1")
+    found = [(truth[r.doc_id], r.accepted) for r in language.identify(held, model, ["doc_id"]).collect()]
+    share = {l: np.mean([a for t, a in found if t == l]) for l in set(truth.values()) if l}
+    assert share.pop("de") < 0.1 and min(share.values()) > 0.95, share
+
+
 # --- quality
 
 

@@ -16,6 +16,11 @@ DOCS_PER_LANGUAGE = 1500
 SYMBOLS = 1 << 16
 SPACE, EDGE = 32, 1
 UNKNOWN = "und"
+#: Share of the calibration texts of a language and length band that are accepted.
+ACCEPTED = 0.995
+#: Symbols from which each band of lengths begins, and texts that a band needs for a limit of its own.
+BANDS = np.array([1, 32, 64, 128, 256, 512, 1024])
+BAND_TEXTS = 20
 _MEMO_BITS = 17
 
 _LETTERS: list[np.ndarray] = []
@@ -119,7 +124,7 @@ class Identifier(NamedTuple):
     models: list[KneserNey]
     sharpness: float  # turns differences of cross-entropy into a probability
     usual: np.ndarray  # cross-entropy of each language's own texts
-    slack: tuple[float, float]  # what a text may lie above that: a + b / sqrt(symbols)
+    slack: np.ndarray  # what a text may lie above that, by language and length band
 
 
 _MEMO: dict[int, tuple] = {}
@@ -166,7 +171,7 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Identi
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Identifier([], [], 1.0, np.zeros(0), (0.0, 0.0))
+        return Identifier([], [], 1.0, np.zeros(0), np.zeros((0, len(BANDS))))
     rate = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1 << 20, int(docs_per_language / sizes[l] * (1 << 20)) + 1))])
     sample = labelled.withColumn("draw", F.xxhash64("doc_id")).where(
         F.pmod("draw", F.lit(1 << 20)) < rate[F.col("lang")]
@@ -202,7 +207,7 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Identi
     ids = {i: k for k, i in enumerate(i for i, m in enumerate(models) if m)}
     models = [m for m in models if m]
     if not models:
-        return Identifier([], [], 1.0, np.zeros(0), (0.0, 0.0))
+        return Identifier([], [], 1.0, np.zeros(0), np.zeros((0, len(BANDS))))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = grams(batch.column("text").to_pylist())
@@ -217,24 +222,53 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Identi
     if not rows.num_rows:
         rows = map_texts(sample.select("text", "lang"), measure, seen.schema).where("letters > 0").toArrow()
     if not rows.num_rows:
-        return Identifier(languages, models, 1.0, np.full(len(models), 16.0), (16.0, 0.0))
+        return Identifier(languages, models, 1.0, np.full(len(models), 16.0), np.full((len(models), len(BANDS)), 16.0))
     truth = np.array([ids.get(i, -1) for i in rows["lang"].to_pylist()])
     n, bits = rows["n"].to_numpy()[truth >= 0], np.array(rows["bits"].to_pylist())[truth >= 0]
     truth = truth[truth >= 0]
     return Identifier(languages, models, *_calibrate(truth, n, bits))
 
 
-def _calibrate(truth: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[float, np.ndarray, tuple[float, float]]:
+def _calibrate(truth: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Sharpness by likelihood; usual cross-entropy and the most that texts of a language lie above it."""
     grid = 2.0 ** np.arange(-4, 7, 0.5)
     own = bits[np.arange(len(truth)), truth]
     loss = [np.mean(np.log(np.exp(-(bits - own[:, None]) * s).sum(axis=1))) + 1e-3 * s / 64 for s in grid]
     usual = np.array([np.median(own[truth == i]) if (truth == i).any() else np.median(own) for i in range(bits.shape[1])])
     above = own - usual[truth]
-    long = n >= 256
-    a = max(float(above[long].max()) if long.any() else 0.0, 0.0) + 1.0
-    b = max(float(((above - a) * np.sqrt(n)).max()), 0.0) + 16.0
-    return float(grid[int(np.argmin(loss))]), usual, (a, b)
+    return float(grid[int(np.argmin(loss))]), usual, _limits(truth, _band(n), above, len(usual))
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    return np.maximum(np.searchsorted(BANDS, n, side="right") - 1, 0)
+
+
+def _limits(truth: np.ndarray, band: np.ndarray, above: np.ndarray, languages: int) -> np.ndarray:
+    """The quantile ACCEPTED of what texts lie above the usual, by language and length band.
+
+    A band with few texts of a language takes those of all languages. One with few texts at all takes the
+    limit of the next longer band, wider as means of fewer symbols spread, or of the next shorter one.
+    """
+    top = lambda x: max(float(np.quantile(x, ACCEPTED)), 0.0)
+    limits = np.full((languages, len(BANDS)), np.nan)
+    for i in range(languages):
+        for k in range(len(BANDS)):
+            every = band == k
+            own = every & (truth == i)
+            if own.sum() >= BAND_TEXTS:
+                limits[i, k] = top(above[own])
+            elif every.sum() >= BAND_TEXTS:
+                limits[i, k] = top(above[every])
+    empty = np.isnan(limits).all(axis=0)
+    if empty.all():  # too few texts for any band
+        limits[:, int(np.median(band))] = top(above)
+        empty[int(np.median(band))] = False
+    full = np.flatnonzero(~empty)
+    for k in np.flatnonzero(empty).tolist():
+        longer = full[full > k]
+        source = int(longer[0]) if len(longer) else int(full[-1])
+        limits[:, k] = limits[:, source] * np.sqrt(max(BANDS[source] / BANDS[k], 1.0))
+    return limits
 
 
 def identify(docs: DataFrame, model: Identifier, keep: list[str], prefix: str = "") -> DataFrame:
@@ -242,7 +276,8 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str], prefix: str =
 
     The language with the lowest cross-entropy per symbol, the first in order of name among equals;
     ``und`` with score 0 for texts without a letter. ``accepted`` is false for those and for texts whose
-    cross-entropy lies further above the usual of the language than any text of the calibration did.
+    cross-entropy lies further above the usual of the language than 99.5 % of the calibration texts of
+    the language and length band did.
     """
     added = [f"{prefix}{c}" for c in ("lang_pred", "score", "bits", "accepted")]
 
@@ -254,8 +289,7 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str], prefix: str =
             best = bits.argmin(axis=1)
             low = bits[np.arange(n), best]
             chance = 1 / np.exp(-(bits - low[:, None]) * model.sharpness).sum(axis=1)
-            a, b = model.slack
-            fits = low - model.usual[best] <= a + b / np.sqrt(np.maximum(found.counts, 1))
+            fits = low - model.usual[best] <= model.slack[best, _band(found.counts)]
             have = found.letters > 0
         else:
             best = low = chance = np.zeros(n)
