@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, embeddings, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash
+from winnow.llm import (
+    decontaminate, embeddings, fim, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -55,13 +57,22 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Build]:
     found = (
         op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op7_quality,
-        op8_language_model, op9_embedding_groups, op10_simhash,
+        op8_language_model, op9_embedding_groups, op10_simhash, op11_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": oracles.OP2, "op5_decontamination": oracles.OP5, "op9_embedding_groups": oracles.OP9}
+    return {
+        "op2_line_dedup": oracles.OP2,
+        "op5_decontamination": oracles.OP5,
+        "op9_embedding_groups": oracles.OP9,
+        "op11_fill_in_middle": oracles.OP11,
+    }
