@@ -114,3 +114,40 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN one || three || two ELSE two || three || one END) AS restored_sha256
 FROM undone
 """
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), found AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs
+  FROM (SELECT doc, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS lang_n FROM found GROUP BY ALL HAVING sum(docs) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS n_lang FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), each AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(f.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term
+), totals AS (
+  SELECT lang, source, sum(n) AS n_source FROM each GROUP BY ALL
+), shares AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 1)) // (n_source + v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (lang_n + 1)) // (n_lang + v) AS BIGINT) AS q
+  FROM each JOIN totals USING (lang, source) JOIN langs USING (lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""

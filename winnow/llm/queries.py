@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import (
-    decontaminate, embeddings, fim, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash,
+    decontaminate, divergence, embeddings, fim, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +61,15 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, folder, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Build]:
     found = (
         op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op7_quality,
         op8_language_model, op9_embedding_groups, op10_simhash, op11_fill_in_middle,
+        op12_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": oracles.OP5,
         "op9_embedding_groups": oracles.OP9,
         "op11_fill_in_middle": oracles.OP11,
+        "op12_source_divergence": oracles.OP12,
     }
