@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import (
-    decontaminate, divergence, embeddings, fim, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash,
+    decontaminate, divergence, embeddings, fim, language, lines, lm, oracles, personal, quality, secrets, sentencepiece, simhash, sketches,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,15 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.version_report(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Build]:
     found = (
         op1_secrets, op2_line_dedup, op3_personal_data, op4_sentencepiece, op5_decontamination, op6_language, op7_quality,
         op8_language_model, op9_embedding_groups, op10_simhash, op11_fill_in_middle,
-        op12_source_divergence,
+        op12_source_divergence, op13_document_fingerprints,
     )
     return {f.__name__: f for f in found}
 
