@@ -16,7 +16,7 @@ from winnow.sources.scratch import cut_lineage
 #: Documents of a language that a term needs.
 MIN_DOCS = 3
 #: Bytes of the prefixes of the first level; each further level doubles them.
-FIRST_LEVEL = 6
+FIRST_LEVEL = 8
 #: Shares are whole numbers out of this.
 SCALE = 1_000_000_000
 #: Terms reported for each source.
@@ -28,8 +28,12 @@ TILE_SOURCES = 256
 CELLS = 1 << 20
 #: Bit maps have 16 bits or more for each kept prefix, up to 32 MB. They only save work.
 LEAST_BITS, MOST_BITS = 16, 28
-#: Rows and bytes of counts that a task merges before it hands them on.
+#: Rows of counts that a task merges before it hands them on, and bytes of terms that it keeps for them.
 HELD_ROWS, HELD_BYTES = 1 << 20, 64 << 20
+#: Bits of a row in a piece, which may hold half as many texts with a term as it has bytes. Keys have the other bits.
+ROW_BITS = 20
+#: Below this, SCALE times a count fits into a long.
+SMALL = 9_000_000_000
 
 #: Bytes of terms: lower-case letters and everything beyond ASCII.
 LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -51,21 +55,21 @@ class Terms(Words):
         salts = np.array([_salt(x) for x in encoded.dictionary.to_pylist()], np.uint64)
         self._lang = salts[encoded.indices.to_numpy(zero_copy_only=False)][self.row] if len(langs) else self._shift
 
-    def keys(self, level: int | None = None) -> np.ndarray:
-        """A key of each term's first ``level`` bytes and its language; the lowest bit says that the term goes on."""
-        stops = self.ends if level is None else np.minimum(self.ends, self.starts + level)
-        own = (self._sums[stops] - self._sums[self.starts]) * self._shift
-        mixed = mix((own + (stops - self.starts).astype(np.uint64)) ^ self._lang)
-        return (mixed & np.uint64(~1 & 0xFFFFFFFFFFFFFFFF)) | (stops < self.ends).astype(np.uint64)
+    def keys(self, level: int | None = None, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A key of the first ``level`` bytes of the chosen terms and their language; the lowest bit says that the term goes on."""
+        starts, ends = self.starts[chosen], self.ends[chosen]
+        stops = ends if level is None else np.minimum(ends, starts + level)
+        own = (self._sums[stops] - self._sums[starts]) * self._shift[chosen]
+        mixed = mix((own + (stops - starts).astype(np.uint64)) ^ self._lang[chosen]) >> np.uint64(ROW_BITS)
+        return (mixed & np.uint64(0xFFFFFFFFFFFFFFFE)) | (stops < ends).astype(np.uint64)
 
     def strings(self, chosen: np.ndarray) -> pa.Array:
         """The chosen terms as a column of bytes."""
-        lengths = np.where(chosen, self.lengths, 0)
         edges = np.zeros(len(self.data) + 1, np.int8)
         edges[self.starts[chosen]] += 1
         edges[self.ends[chosen]] -= 1
         held = self.data[np.cumsum(edges[:-1]).astype(bool)]
-        offsets = np.concatenate(([0], np.cumsum(lengths[chosen]))).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(self.lengths[chosen]))).astype(np.int64)
         return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
 
 
@@ -83,7 +87,7 @@ class BitMap:
     def __init__(self, keys: DataFrame):
         wanted = 16 * keys.count()
         self.bits = max(LEAST_BITS, min(wanted.bit_length(), MOST_BITS))
-        slot = F.shiftrightunsigned("key", 64 - self.bits)
+        slot = F.shiftrightunsigned("key", 64 - ROW_BITS - self.bits)
         packed = (
             keys.select(slot.alias("slot"))
             .groupBy(F.shiftright("slot", 6).alias("word"))
@@ -94,65 +98,68 @@ class BitMap:
         self.words[packed["word"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        slots = keys >> np.uint64(64 - self.bits)
+        slots = keys >> np.uint64(64 - ROW_BITS - self.bits)
         return (self.words[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _merged(tables: Iterator[pa.Table], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sums by key over all tables, handed on whenever they outgrow a task; Spark adds up what is left."""
-    held: list[pa.Table] = []
-    rows = size = 0
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
-    def merge() -> pa.Table:
-        grouped = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
-        return grouped.rename_columns({f"{c}_sum": c for c in sums}).select([*keys, *sums])
 
-    for table in tables:
-        held.append(table)
-        rows, size = rows + table.num_rows, size + table.nbytes
-        if rows > HELD_ROWS or size > HELD_BYTES:
-            one = merge()
-            held, rows, size = [one], one.num_rows, one.nbytes
-            if rows > HELD_ROWS // 2 or size > HELD_BYTES // 2:
-                yield from one.to_batches()
-                held, rows, size = [], 0, 0
-    if held:
-        yield from merge().to_batches()
+def _summed(keys: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys in order, and the sums of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = _runs(keys)
+    return [keys[starts], *(np.add.reduceat(x[order], starts) for x in sums)]
 
 
-def _in_documents(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and in how many rows each occurs; ``rows`` must not fall."""
-    order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(new)
-    new[1:] |= rows[1:] != rows[:-1]
-    return keys[starts], np.add.reduceat(new.astype(np.int64), starts)
+def _in_documents(keys: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys in order, in how many rows each occurs, and how often."""
+    pairs = np.sort(keys << np.uint64(ROW_BITS) | rows.astype(np.uint64))
+    starts = _runs(pairs)
+    times = np.diff(np.append(starts, len(pairs)))
+    return [pairs[starts], times]
 
 
 def _prefixes(docs: DataFrame, level: int, before: BitMap | None, min_docs: int) -> DataFrame:
     """``key`` of each prefix of a level that enough documents hold, and whose shorter prefix they hold too."""
 
-    def count(batches) -> Iterator[pa.Table]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for piece in (p for batch in batches for p in pieces(batch, CELLS)):
             terms = Terms(piece.column("text"), piece.column("lang"))
-            keys, rows = terms.keys(level), terms.row
+            chosen = slice(None)
             if before is not None:
-                chosen = terms.lengths > level // 2
-                chosen[chosen] = before.holds(terms.keys(level // 2)[chosen])
-                keys, rows = keys[chosen], rows[chosen]
-            if len(keys):
-                key, n = _in_documents(keys, rows)
-                yield pa.table({"key": key.view(np.int64), "n": n})
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        yield from _merged(count(batches), ["key"], ["n"])
+                chosen = np.flatnonzero(terms.lengths > level // 2)
+                chosen = chosen[before.holds(terms.keys(level // 2, chosen))]
+            pairs, _ = _in_documents(terms.keys(level, chosen), terms.row[chosen])
+            if not len(pairs):
+                continue
+            keys = pairs >> np.uint64(ROW_BITS)
+            starts = _runs(keys)
+            held.append([keys[starts], np.diff(np.append(starts, len(keys)))])
+            size += len(starts)
+            if size > HELD_ROWS:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > HELD_ROWS // 2:
+                    yield _keyed(held[0])
+                    held, size = [], 0
+        if held:
+            yield _keyed(_summed(*map(np.concatenate, zip(*held))))
 
     found = docs.select("lang", "text").mapInArrow(run, "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key")
 
 
+def _keyed(held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["key", "n"])
+
+
 def kept_keys(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``key`` of every complete term that enough documents of its language hold, with a few others by chance.
 
@@ -175,6 +182,28 @@ def _document_columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def _merged(held: list[tuple]) -> tuple:
+    """Counts by group and term of several pieces as one, over one dictionary of their terms."""
+    low = np.uint64(0xFFFFFFFF)
+    codes = [pa.DictionaryArray.from_arrays(pa.array((key & low).astype(np.int32)), words) for key, _, _, words in held]
+    unified = pa.chunked_array(codes).unify_dictionaries()
+    keys = [key & ~low | c.indices.to_numpy().astype(np.uint64) for (key, *_), c in zip(held, unified.chunks)]
+    n, docs = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+    return *_summed(np.concatenate(keys), n, docs), unified.chunk(0).dictionary
+
+
+def _counted(key: np.ndarray, n: np.ndarray, docs: np.ndarray, words: pa.Array, groups: list) -> Iterator[pa.RecordBatch]:
+    langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+    for i in range(0, len(key), 1 << 16):
+        some = slice(i, i + (1 << 16))
+        group, code = pa.array((key[some] >> np.uint64(32)).astype(np.int64)), pa.array((key[some] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        term = words.take(code).cast(pa.binary()).view(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(group), sources.take(group), term, pa.array(n[some]), pa.array(docs[some])],
+            ["lang", "source", "term", "n", "docs"],
+        )
+
+
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, source, term, n, lang_n, first`` of each kept term of a language and each source that has it.
 
@@ -183,33 +212,31 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     docs = _document_columns(docs)
     known = BitMap(kept_keys(docs, min_docs))
 
-    def count(batches) -> Iterator[pa.Table]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, groups, size = [], {}, 0
         for piece in (p for batch in batches for p in pieces(batch, CELLS)):
             terms = Terms(piece.column("text"), piece.column("lang"))
-            chosen = known.holds(terms.keys())
-            if not chosen.any():
+            chosen = np.flatnonzero(known.holds(terms.keys()))
+            if not len(chosen):
                 continue
             encoded = terms.strings(chosen).dictionary_encode()
-            codes, rows = encoded.indices.to_numpy().astype(np.int64), terms.row[chosen]
+            own = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist())
+            of_row = np.array([groups.setdefault(g, len(groups)) for g in own])
             # once for each document and term, then once for each group and term
-            pair, times = np.unique(rows * len(encoded.dictionary) + codes, return_counts=True)
-            row, code = np.divmod(pair, len(encoded.dictionary))
-            yield pa.table(
-                {
-                    "lang": piece.column("lang").take(pa.array(row)),
-                    "source": piece.column("source").take(pa.array(row)),
-                    "term": encoded.dictionary.take(pa.array(code)),
-                    "n": times,
-                    "docs": np.ones(len(row), np.int64),
-                }
-            ).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(
-                {"n_sum": "n", "docs_sum": "docs"}
-            ).select(["lang", "source", "term", "n", "docs"])
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in _merged(count(batches), ["lang", "source", "term"], ["n", "docs"]):
-            term = batch.column("term").cast(pa.binary()).view(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], term, *batch.columns[3:]], batch.schema.names)
+            pairs, times = _in_documents(encoded.indices.to_numpy().astype(np.uint64), terms.row[chosen])
+            code, row = pairs >> np.uint64(ROW_BITS), pairs & np.uint64((1 << ROW_BITS) - 1)
+            group = of_row[row.astype(np.int64)].astype(np.uint64)
+            key, n, seen = _summed(group << np.uint64(32) | code, times, np.ones(len(times), np.int64))
+            held.append((key, n, seen, encoded.dictionary))
+            size += len(key)
+            if size > HELD_ROWS or sum(h[3].nbytes for h in held) > HELD_BYTES:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size > HELD_ROWS // 2 or held[0][3].nbytes > HELD_BYTES // 2:
+                    yield from _counted(*held[0], list(groups))
+                    held, size = [], 0
+        if held:
+            yield from _counted(*_merged(held), list(groups))
 
     rows = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     # dealt by term, so that sums by source, sums by term and both windows need no further shuffle
@@ -226,9 +253,10 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE (n + 1) / (total + terms)), exactly; a language without terms has no shares."""
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), F.nullif(total + terms, F.lit(0)))
     wide = [c.cast("decimal(28,0)") for c in (n, total, terms)]
-    top, bottom = F.lit(SCALE) * (wide[0] + 1), wide[1] + wide[2]
-    return F.lit(1).cast("long") + F.call_function("div", top, F.nullif(bottom, F.lit(0).cast("decimal(28,0)")))
+    large = F.call_function("div", F.lit(SCALE) * (wide[0] + 1), wide[1] + wide[2])
+    return F.lit(1).cast("long") + F.when(n < SMALL, small).otherwise(large)
 
 
 def _departure(p: Column, q: Column) -> Column:
