@@ -261,7 +261,7 @@ def test_quality_accuracy(spark):
 
 def test_gradients():
     rng = np.random.default_rng(1)
-    net = lm.new_network(rng.integers(1, 50, 40).astype(float), 5, 6)
+    net = lm.new_network(np.sort(rng.integers(1, 50, 40))[::-1].astype(float), 5, 6)
     net = lm.Network(*[(w + rng.normal(size=w.shape) * 0.1).astype(np.float64) for w in net[:6]], *net[6:])
     inputs, targets, state = rng.integers(0, 40, (4, 3)), rng.integers(0, 40, (4, 3)), rng.normal(size=(3, 5))
     inputs[2, 1] = 7
@@ -278,17 +278,17 @@ def test_gradients():
 
 def test_chances_add_up_and_state_is_carried():
     rng = np.random.default_rng(2)
-    net = lm.new_network(rng.integers(1, 50, 40).astype(float), 5, 6)
+    net = lm.new_network(np.sort(rng.integers(1, 50, 40))[::-1].astype(float), 5, 6)
     net.to_class[:] = rng.normal(size=net.to_class.shape)
     chances = [math.exp(lm.log_chance(net, np.ones((1, 5), np.float32), np.array([j]))[0]) for j in range(40)]
     assert math.isclose(sum(chances), 1, rel_tol=1e-5)
-    each = [rng.integers(0, 40, n) for n in (1, 5, 3 * lm.SCORE_WINDOW + 1, lm.SCORE_WINDOW)]
+    each = [rng.integers(0, 40, n) for n in (1, 5, 3 * lm.SCORE_WINDOW + 1, lm.SCORE_WINDOW, *rng.integers(1, 60, 40))]
     counts = np.array([len(x) for x in each])
     together = lm.text_scores(net, np.concatenate(each), np.cumsum(counts) - counts, counts, 7)
     for x, score in zip(each, together):
         state, total = np.zeros((1, 5), np.float32), 0.0
         for before, symbol in zip([7, *x], x):
-            state = lm.step(net, net.inputs[[before]], state)[0]
+            state = lm.step(net, net.inputs[:, [before]], state)[0]
             total += lm.log_chance(net, state, np.array([symbol]))[0]
         assert math.isclose(score, total, rel_tol=1e-4)
 
@@ -319,12 +319,67 @@ def test_network_learns_from_all_texts(spark, monkeypatch):
     monkeypatch.setattr(lm, "train_on_all", lambda *a: (met.append(whole(*a)), met[-1])[1])
     found = [r for r in lm.score_texts(docs, 20_000).collect() if r.held_out]
     assert met[0][1] == sum(len((r.text or "").encode().lower().split()) + 1 for r in training.collect()) == found[0].train_tokens
-    monkeypatch.setattr(lm, "train_on_all", lambda docs, counts, net, end: (net, 0))
+    monkeypatch.setattr(lm, "train_on_all", lambda rows, net, end, total: (net, 0))
     sampled = [r for r in lm.score_texts(docs, 20_000).collect() if r.held_out]
     assert sum(r.score for r in found) > sum(r.score for r in sampled)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEARNER_TOKENS", 4000)  # several learners a round
+    monkeypatch.setattr(lm, "TOKENS_PER_WEIGHT", 0)
+    docs = spark.read.parquet(DOCUMENTS)
+    one, seven = (
+        {r.doc_id: r for r in lm.score_texts(docs.repartition(n), 20_000).collect()} for n in (1, 7)
+    )
+    for i, r in one.items():
+        assert r.score == pytest.approx(seven[i].score, abs=2e-3)
+        assert r.base_score == pytest.approx(seven[i].base_score, rel=1e-12)
+
+
+def test_learners_follow_from_the_tokens_alone():
+    net = lm.new_network(np.arange(100, 0, -1).astype(float), 5, 6)
+    assert lm.learners(net, 1000) == 1
+    assert lm.learners(net, 40 * lm.ROUNDS * lm.LEARNER_TOKENS) == 40
+    large = net._replace(to_symbol=np.zeros((lm.LEARNER_TOKENS, 2), np.float32))
+    assert lm.learners(large, 40 * lm.ROUNDS * lm.LEARNER_TOKENS) == 10
+
+
+def test_whole_scores_by_definition(spark, monkeypatch):
+    """The network's weights are taken as learned; everything else is worked out token by token from the texts."""
+    made, whole = [], lm.train_on_all
+    monkeypatch.setattr(lm, "train_on_all", lambda *a: (made.append(whole(*a)[0]), (made[-1], 0))[1])
+    monkeypatch.setattr(lm, "VOCABULARY", 12)
+    monkeypatch.setattr(lm, "head", lambda counts, head=lm.head: made.append(head(counts)) or made[-1])
+    each = {i: t or "" for i, t in sorted(texts(spark).items()) if len(t or "") < 1500}
+    docs = spark.createDataFrame(list(each.items()), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in lm.score_texts(docs, 5_000).collect()}
+    counts, net = made
+    words = {i: t.encode().lower().split() + [None] for i, t in each.items()}
+    seen = Counter(w for i, own in words.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in own)
+    keys = {}  # the key of each word, which says nothing but its ending
+    for i, own in words.items():
+        keys.update(zip(own, lm.tokens(pa.array([each[i]])).keys.tolist()))
+    many = sum(n >= math.sqrt(sum(seen.values())) for n in seen.values())
+    named = sorted(seen, key=lambda w: (-seen[w], keys[w]))[: max(11, many)]
+    named = [*named, None] if None not in named else named
+    rare = {w: n for w, n in seen.items() if w not in named}
+    for i in list(each)[:25]:
+        state, before, score = np.zeros((1, lm.HIDDEN), np.float32), keys[None], 0.0
+        for w in words[i]:
+            symbols = lm.look_up(np.array([before, keys[w]]), counts)[2]
+            state = lm.step(net, net.inputs[:, symbols[:1]], state)[0]
+            score += lm.log_chance(net, state, symbols[1:])[0] / math.log(10)
+            if w not in named:
+                kin = [n for v, n in rare.items() if keys[v] & 63 == keys[w] & 63]
+                score += math.log10((seen[w] + 0.5) / (sum(kin) + 0.5 * (len(kin) + 1)))
+            before = keys[w]
+        assert found[i] == pytest.approx(score, abs=2e-3)
+
+
 def test_outputs_grow_with_the_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "VOCABULARY", 10)
-    counts = spark.createDataFrame([(i * lm.ENDINGS, 600 - i) for i in range(200)], "key long, c long")
-    assert len(lm.head(counts).sizes) - lm.ENDINGS == 101
+    for most, outputs in ((1000, 12), (100_000, 130)):
+        counts = spark.createDataFrame([(i * lm.ENDINGS, most // (i + 1)) for i in range(200)], "key long, c long")
+        found = lm.head(counts)
+        assert len(found.sizes) - lm.ENDINGS == outputs
+        assert (np.diff(found.sizes) <= 0).all()  # the symbols of a class lie side by side
