@@ -22,18 +22,31 @@ Transform = Callable[[str, str, str], str]
 
 
 class Hook(NamedTuple):
+    """``line`` is the text of one row of the collected facts.
+
+    ``wants`` tells, from path and content, every file that the collector may take a fact from; without it the collector
+    may need any file. ``every_workspace``: it also has a line for workspaces without such a file.
+    """
+
     key: str
     collect: Callable[[DataFrame], DataFrame]
-    # text of one row of the collected facts
     line: Callable[[], Column]
+    wants: Callable[[], Column] | None = None
+    every_workspace: bool = False
 
 
 _HOOKS: dict[str, Hook] = {}
 
 
-def register_hook(key: str, collect: Callable[[DataFrame], DataFrame], line: Callable[[], Column]) -> Hook:
+def register_hook(
+    key: str,
+    collect: Callable[[DataFrame], DataFrame],
+    line: Callable[[], Column],
+    wants: Callable[[], Column] | None = None,
+    every_workspace: bool = False,
+) -> Hook:
     """Register a collector; the first registration of a key wins."""
-    return _HOOKS.setdefault(key, Hook(key, collect, line))
+    return _HOOKS.setdefault(key, Hook(key, collect, line, wants, every_workspace))
 
 
 def hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None) -> DataFrame:
@@ -51,6 +64,55 @@ def hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None) -> DataFra
     return out
 
 
+ROUTED = "_hook"
+
+
+def route_files(files: DataFrame, hooks: list[Hook]) -> DataFrame:
+    """The files that some hook wants, once for each such hook, with its place in ``hooks`` as ``_hook``.
+
+    One pass over the corpus tests all hooks in one projection and writes only wanted files, in a folder for each hook;
+    so a collector reads its own files. Parts are balanced by size: a hook that wants most files has many.
+    """
+    wanted = [F.when(F.coalesce(h.wants(), F.lit(False)), F.lit(i)) for i, h in enumerate(hooks) if h.wants]
+    spark, folder = files.sparkSession, scratch_dir(files.sparkSession, "hook-files")
+    tagged = files.select("*", F.explode(F.array_compact(F.array(*wanted))).alias(ROUTED))
+    tagged.hint("rebalance", ROUTED).write.partitionBy(ROUTED).parquet(folder)
+    return spark.read.schema(tagged.schema).parquet(folder)
+
+
+def _plannable(files: DataFrame, hook: Hook) -> bool:
+    """Whether a hook can be planned over files like these; a warning tells if it cannot."""
+    try:
+        if hook.wants:
+            files.select(hook.wants())
+        hook.collect(files).select(hook.line())
+    except AnalysisException as e:
+        log.warning("hook %s skipped: %s", hook.key, e)
+        return False
+    return True
+
+
+def routed_hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None, workspace: str = "ws") -> DataFrame:
+    """The lines of ``hook_lines``, with the corpus read once for all hooks that say which files they want.
+
+    A second read, of the workspace column alone, gives hooks with ``every_workspace`` an empty file of each workspace.
+    Hooks that do not say what they want read the corpus themselves; those that cannot be planned are skipped.
+    """
+    chosen = [h for h in (hooks if hooks is not None else _HOOKS.values()) if _plannable(files, h)]
+    if not chosen:
+        raise ValueError("no usable hook")
+    routed = route_files(files, chosen) if any(h.wants for h in chosen) else None
+    blank = [F.lit("" if c in ("path", "content") else None).cast(t).alias(c) for c, t in files.dtypes if c != workspace]
+    out = None
+    for i, hook in enumerate(chosen):
+        own = routed.where(F.col(ROUTED) == i).drop(ROUTED) if hook.wants else files
+        if hook.wants and hook.every_workspace:
+            own = own.unionByName(files.select(workspace).distinct().select(workspace, *blank))
+        part = hook.collect(own).select(F.lit(hook.key).alias("key"), hook.line().alias("line"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stored_hook_lines(files: DataFrame, hooks: Iterable[Hook] | None = None) -> DataFrame:
     """Text lines of every hook, each run and written on its own: one that fails while it runs is skipped too."""
     spark = files.sparkSession

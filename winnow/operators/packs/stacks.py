@@ -105,7 +105,8 @@ STACK_RULES = [
 ]
 
 
-def _meets(rule: StackRule) -> Column:
+def meets(rule: StackRule) -> Column:
+    """Whether a file shows the stack of a rule."""
     test = F.rlike("path", F.lit(rule.path)) if rule.path else F.lit(True)
     return test & F.rlike("content", F.lit(ascii_boundary(rule.content))) if rule.content else test
 
@@ -118,7 +119,7 @@ def detect_stacks(files: DataFrame, rules: list[StackRule] = STACK_RULES) -> Dat
     """
     tests: dict[str, Column] = {}
     for rule in rules:
-        tests[rule.stack] = tests[rule.stack] | _meets(rule) if rule.stack in tests else _meets(rule)
+        tests[rule.stack] = tests[rule.stack] | meets(rule) if rule.stack in tests else meets(rule)
     seen = files.groupBy("ws").agg(*[F.bool_or(t).alias(s) for s, t in tests.items()])
     present = F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in tests]))
     return seen.select("ws", F.explode(present).alias("stack"))

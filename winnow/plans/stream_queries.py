@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.text import trim_space
@@ -13,6 +13,7 @@ from winnow.plans.registry import Source, query
 from winnow.plans.text_queries import _rule_sql, epoch_micros, lines_sql
 from winnow.sources.scratch import scratch_dir
 from winnow.streaming import events as ev
+from winnow.streaming.chains import chain_openings
 
 # ── routing, tails, counts ───────────────────────────────────────────────────
 
@@ -43,6 +44,61 @@ def routed_events(src: Source) -> DataFrame:
     return routed.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
 
 
+_KINDS = list(ev.EVENT_SCHEMAS)
+
+
+def payload_events(src: Source) -> DataFrame:
+    """The events as the twelve kinds of a typed bus, each with a payload of its own fields as JSON."""
+    text = lambda name: F.concat(F.lit(f"{name} "), F.col("user_id").cast("string"))
+
+    def value(name: str, kind: str) -> Column:
+        own = F.col("event_id") if kind == "bigint" else text(name)
+        return F.array(own, F.lit("b")) if kind == "array<string>" else own
+
+    payload = F.lit("{}")
+    for i, (kind, schema) in enumerate(ev.EVENT_SCHEMAS.items()):
+        fields = [f.split(" ") for f in schema.split(", ")] if schema else []
+        own = F.to_json(F.struct(*[value(n, t).alias(n) for n, t in fields])) if fields else F.lit("{}")
+        payload = F.when(F.col("event_id") % len(_KINDS) == i, own).otherwise(payload)
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    kind = kinds[(F.col("event_id") % len(_KINDS)).cast("int")]
+    return src("events").select("event_id", "user_id", kind.alias("event_type"), payload.alias("props"))
+
+
+def _payload_sql() -> str:
+    parts = []
+    for i, (kind, schema) in enumerate(ev.EVENT_SCHEMAS.items()):
+        fields = [f.split(" ") for f in schema.split(", ")] if schema else []
+        texts = {
+            "string": "'{0} ' || user_id", "bigint": "CAST(event_id AS VARCHAR)", "array<string>": "'{0} ' || user_id || '+b'",
+        }
+        line = " || '|' || ".join(texts[t].format(n) for n, t in fields) or "''"
+        parts.append(f"SELECT event_id, '{kind}' AS event_type, {line} AS payload FROM events WHERE event_id % {len(_KINDS)} = {i}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_payload_sql())
+def routed_payloads(src: Source) -> DataFrame:
+    """All twelve kinds of events, each handed to a consumer that sees the fields of its kind as columns."""
+    folder = scratch_dir(src.spark, "payloads")
+    payload_events(src).repartition(4).write.parquet(f"{folder}/in")
+    stream = src.spark.readStream.schema("event_id long, user_id long, event_type string, props string")
+
+    def consumer(kind: str):
+        fields = [f.split(" ") for f in ev.EVENT_SCHEMAS[kind].split(", ")] if ev.EVENT_SCHEMAS[kind] else []
+        texts = [F.array_join(n, "+") if t == "array<string>" else F.col(n).cast("string") for n, t in fields]
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            rows = batch.select("event_id", F.lit(kind).alias("event_type"), F.concat_ws("|", *texts).alias("payload"))
+            rows.write.mode("overwrite").parquet(f"{folder}/out/kind={_KINDS.index(kind)}/batch_id={batch_id}")
+
+        return write
+
+    stream = stream.option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    ev.route_events(stream, ev.EVENT_SCHEMAS, {k: consumer(k) for k in _KINDS}, f"{folder}/checkpoint")
+    return src.spark.read.parquet(f"{folder}/out").select("event_id", "event_type", "payload")
+
+
 @query("SELECT event_id, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_type = 'signup'")
 def typed_signups(src: Source) -> DataFrame:
     typed = ev.typed_events(src("events"), "signup", _PROPS)
@@ -60,6 +116,22 @@ def tailed_logs(src: Source) -> DataFrame:
     return ev.sink_table(tail.select("event_id", "event_type"), "tail").drop("batch_id")
 
 
+@query(
+    """SELECT event_id, event_type FROM events
+       WHERE contains(event_type, 'err') AND ts >= TIMESTAMP '2024-01-10 00:00:00'"""
+)
+def tailed_logs_resumed(src: Source) -> DataFrame:
+    """A tail that stops and goes on twice: its checkpoint holds the place, so no row comes twice and none is missed."""
+    folder, events = scratch_dir(src.spark, "resumed"), src("events").select("event_id", "event_type", "ts")
+    start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = ev.incremental_files(src.spark, f"{folder}/in", events.schema)
+        tail = ev.tail_logs(stream, "err", start, message="event_type").select("event_id", "event_type")
+        ev.run_to_end(tail, ev.write_batch(f"{folder}/out"), f"{folder}/checkpoint")
+    return src.spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
 @query(
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour,
               CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS outcome,
@@ -104,6 +176,23 @@ def throttled_single_key(src: Source) -> DataFrame:
     return ev.throttle(timed, ["id"], "micros", _SIX_HOURS, period=100 * _SIX_HOURS, busy=500)
 
 
+_MONTH = 30 * 24 * 3600 * 1_000_000
+
+
+@query(_throttle_sql(_MONTH, "0::BIGINT"))
+def throttled_single_key_month(src: Source) -> DataFrame:
+    """A timer of a month on a key that holds every row: its events are never gathered."""
+    timed = src("events").select(F.lit(0).cast("bigint").alias("id"), epoch_micros("ts").alias("micros"))
+    return ev.throttle(timed, ["id"], "micros", _MONTH, block_events=1000)
+
+
+@query(_throttle_sql(_SIX_HOURS, "user_id"))
+def throttled_users_by_pointers(src: Source) -> DataFrame:
+    """The openings of every user by pointers that double, whatever the blocks hold."""
+    timed = src("events").select(F.col("user_id").alias("id"), epoch_micros("ts").alias("micros"))
+    return chain_openings(timed, ["id"], "micros", _SIX_HOURS).withColumn("fired", F.col("opened") + _SIX_HOURS)
+
+
 @query(_throttle_sql(_SIX_HOURS, "user_id"))
 def throttled_stream(src: Source) -> DataFrame:
     stream = ev.read_stream(src.spark, src.folder, "events")
@@ -129,6 +218,29 @@ def activation_changes(src: Source) -> DataFrame:
     return changes.select("user_id", "event_id", "change")
 
 
+@query(_CHANGES)
+def activation_changes_unordered(src: Source) -> DataFrame:
+    """Events that arrive up to eight days late, taken in the order of their time; a heartbeat ends the stream."""
+    folder = scratch_dir(src.spark, "unordered")
+    flagged = src("events").select(
+        "user_id", "ts", "event_id", (F.col("value") > 34.59).alias("active"), F.col("ts").cast("timestamp").alias("at")
+    )
+    # every second event is one file later than its time; the files overlap
+    day = F.unix_date(F.to_date("ts"))
+    part = F.floor(day / 4).cast("int") + (F.xxhash64("event_id") % 2 == 0).cast("int")
+    placed = flagged.withColumn("part", part)
+    bounds = placed.agg(F.min("part"), F.max("part")).first()
+    for p in range(bounds[0], bounds[1] + 1):
+        placed.where(F.col("part") == p).drop("part").repartition(1).write.parquet(f"{folder}/{p:09d}")
+    beat = [F.lit(None).cast(t).alias(c) for c, t in flagged.dtypes if c != "at"]
+    far = src.spark.range(1).select(*beat, F.lit("2100-01-01").cast("timestamp").alias("at"))
+    far.write.parquet(f"{folder}/999999999")
+    stream = src.spark.readStream.schema(flagged.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    with ev.rocksdb_state(src.spark):
+        changes = ev.activation_stream(stream, "user_id", "active", ["ts", "event_id"], event_time="at", delay="9 days")
+        return ev.sink_table(changes, "activation").select("user_id", "event_id", "change")
+
+
 @query(_CHANGES)
 def activation_change_stream(src: Source) -> DataFrame:
     stream = ev.read_stream(src.spark, src.folder, "events")
@@ -198,10 +310,11 @@ def answer_lines(src: Source) -> DataFrame:
        FROM conversations WHERE text <> ''"""
 )
 def answer_line_stream(src: Source) -> DataFrame:
-    """The chunks as a stream; plain answers end without a newline, on a chunk that is marked as the last."""
+    """The chunks as a stream, in files and batches without any order; plain answers end on a chunk that is marked as the last."""
     folder = scratch_dir(src.spark, "chunks")
-    answer_chunks(src).write.parquet(f"{folder}/in")
-    stream = src.spark.readStream.schema("request string, seq int, data string, ends boolean").parquet(f"{folder}/in")
+    answer_chunks(src).repartition(6, F.xxhash64("request", "seq")).write.parquet(f"{folder}/in")
+    stream = src.spark.readStream.schema("request string, seq int, data string, ends boolean")
+    stream = stream.option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     with ev.rocksdb_state(src.spark):
         lines = ev.sink_table(ev.assemble_stream(stream, F.col("ends")), "lines")
     return lines.groupBy("request").agg(F.count("*").alias("n_lines"))
@@ -210,7 +323,7 @@ def answer_line_stream(src: Source) -> DataFrame:
 # ── rescans and new files ────────────────────────────────────────────────────
 
 
-@query(
+_RESCANNED = (
     """SELECT rule_id, count(*) AS n FROM (%s) f GROUP BY rule_id"""
     % _rule_sql(
         lines_sql(
@@ -222,8 +335,21 @@ def answer_line_stream(src: Source) -> DataFrame:
         "path",
     )
 )
+
+
+@query(_RESCANNED)
 def rescanned_files(src: Source) -> DataFrame:
     """All files arrive, then some arrive again with new content; the newest findings count."""
+    return _rescanned(src, compact=False)
+
+
+@query(_RESCANNED)
+def rescanned_files_compacted(src: Source) -> DataFrame:
+    """The same with a compaction after each arrival: the store holds one scan of each file."""
+    return _rescanned(src, compact=True)
+
+
+def _rescanned(src: Source, compact: bool) -> DataFrame:
     folder = scratch_dir(src.spark, "rescan")
     files = src("risky_files").select("path", "content")
     saved = files.filter(F.endswith("path", F.lit("1.py"))).withColumn(
@@ -234,6 +360,9 @@ def rescanned_files(src: Source) -> DataFrame:
         batch.write.mode("append").parquet(arriving)
         stream = ev.incremental_files(src.spark, arriving, files.schema)
         ev.incremental_scan(stream, store, f"{folder}/checkpoint")
+        if compact:
+            ev.compact_findings(src.spark, store)
+            ev.drop_superseded(src.spark, store)
     current = ev.current_findings(src.spark, store)
     return current.groupBy("rule_id").agg(F.count("*").alias("n"))
 
@@ -330,19 +459,147 @@ def chained_rewrites(src: Source) -> DataFrame:
     return hooks.chain(src("documents"), steps)
 
 
-@query(
-    """SELECT key, line FROM (
-         SELECT 'k8s.manifests' AS key, '- Pod/(unnamed) (ns: default) — ' || path AS line FROM <<ws_files>> WHERE path LIKE 'k8s/%'
-         UNION ALL SELECT 'docker.stages', '- `' || path || '`: stage0 (FROM python:3)' FROM <<ws_files>> WHERE path = 'Dockerfile'
-         UNION ALL SELECT 'dbt.models', '- ' || path || ' [view]' FROM <<ws_files>> WHERE path LIKE 'models/%'
-         UNION ALL SELECT 'airflow.dags', '- ' || path || ' — dag_id: ' || regexp_extract(path, '([^/]*)\\.py$', 1)
-                   FROM <<ws_files>> WHERE path LIKE 'dags/%'
-         UNION ALL SELECT 'jupyter.notebooks', '- `' || path || '`: 0 cells (0 code, 0 markdown) — kernel: unknown (python)'
-                   FROM <<ws_files>> WHERE path LIKE '%.ipynb'
-         UNION ALL SELECT 'fastapi.models', '' FROM <<ws_files>> WHERE FALSE) h"""
-)
+def _hooks_sql() -> str:
+    """The lines of every default hook, stated for the files that the view makes."""
+
+    def rows(key: str, line: str, where: str, source: str = "f", distinct: bool = False) -> str:
+        return f"SELECT {'DISTINCT ' if distinct else ''}'{key}' AS key, {line} AS line FROM {source} WHERE {where}"
+
+    def found(pattern: str, where: str) -> str:
+        return f"(SELECT ws, path, unnest(regexp_extract_all(content, {pattern}, 1)) AS m FROM f WHERE {where}) x"
+
+    def of(kind: str, *cases: tuple[str, str]) -> str:
+        return " UNION ALL ".join(f"SELECT ws, {name} AS {kind} FROM f WHERE {where}" for name, where in cases)
+
+    source = r"regexp_matches(path, '\.(py|ts|js)$')"
+    services = of(
+        "s", ("'Functions'", "path = 'main.py' OR path LIKE 'src/j%'"),
+        ("'Blob Storage'", "path LIKE 'src/i%' OR path LIKE 'src/j%'"), ("'Identity'", "path LIKE 'src/i%'"),
+    )
+    triggers = of(
+        "s", ("CASE WHEN contains(content, 'timerTrigger') THEN 'Timer' ELSE 'Queue' END", "path = 'function.json'"),
+        ("'HTTP'", "path = 'main.py'"), ("'Timer'", "path LIKE 'src/i%'"), ("'Blob'", "path LIKE 'src/j%'"),
+    )
+    gcp = {
+        "firestore": "path LIKE 'src/g%'", "cloud_functions": "path LIKE 'cloud-functions/%'", "bigquery": "path LIKE 'src/g%'",
+        "pubsub": "path LIKE 'src/h%'", "cloud_storage": "path LIKE 'src/g%'", "app_engine": "path = 'app.yaml'",
+        "terraform": "path LIKE 'terraform/%'",
+    }
+    flags = ", ".join(f"CASE WHEN bool_or({where}) THEN '{name}' END" for name, where in gcp.items())
+    stacks_found = of(
+        "stack",
+        ("'spark'", "path IN ('bundle.yml', 'databricks.yml', '.databrickscfg', 'requirements.txt') OR path LIKE 'src/c%'"),
+        ("'aws'", "path LIKE 'src/a%' OR path LIKE 'src/b%'"),
+        ("'gcp'", "path IN ('app.yaml', 'package.json') OR path LIKE 'cloud-functions/%' OR path LIKE 'terraform/%' OR path LIKE 'src/g%'"),
+        ("'azure'", "path IN ('function.json', '.env', 'package.json') OR path LIKE 'src/i%' OR path LIKE 'src/j%'"),
+        ("'airflow'", "path = 'airflow.cfg' OR path LIKE 'dags/%'"),
+        ("'dbt'", "path = 'dbt_project.yml' OR path LIKE 'models/n%'"),
+        ("'docker'", "path IN ('Dockerfile', 'docker-compose.yml', 'compose.yaml')"),
+        ("'kubernetes'", "path LIKE 'k8s/%'"),
+        ("'terraform'", "path LIKE '%.tf'"),
+        ("'fastapi'", "path IN ('pyproject.toml', 'main.py')"),
+        ("'django'", "path IN ('requirements.txt', 'proj/settings.py')"),
+        ("'pytest'", "path IN ('pytest.ini', 'pyproject.toml')"),
+        ("'pytorch'", "path = 'pyproject.toml' OR path LIKE 'net/%'"),
+        ("'jupyter'", "path LIKE '%.ipynb'"),
+        ("'security'", "TRUE"),
+    )
+    findings = f"({_rule_sql(lines_sql('f', 'path', 'content'), 'path')}) r"
+    kernel = "regexp_extract(content, '\"name\": \"(\\w+)\"', 1)"
+    kind = "CASE path WHEN 'bundle.yml' THEN 0 WHEN 'databricks.yml' THEN 1 WHEN '.databrickscfg' THEN 3 END"
+    fixtures = found(r"'def (db\w)'", "path = 'tests/conftest.py'")
+    parts = [
+        rows("k8s.manifests", "'- Pod/(unnamed) (ns: default) — ' || path", "path LIKE 'k8s/d%'"),
+        rows(
+            "k8s.manifests",
+            r"'- Service/' || regexp_extract(content, 'name: (svc\d+)', 1) || ' (ns: ' || regexp_extract(content, 'namespace: (\w+)', 1) || ') — ' || path",
+            "path LIKE 'k8s/ns%'",
+        ),
+        rows("k8s.namespaces", r"'- ' || regexp_extract(content, 'namespace: (\w+)', 1)", "path LIKE 'k8s/ns%'", distinct=True),
+        rows(
+            "k8s.helm",
+            r"'- ' || regexp_extract(c.content, 'name: (\S+)', 1) || ' v' || regexp_extract(c.content, 'version: (\S+)', 1) || ': '"
+            " || CASE WHEN v.path IS NULL THEN '' ELSE 'replicas, image' END",
+            "c.path LIKE '%/Chart.yaml'",
+            "f c LEFT JOIN f v ON v.path = replace(c.path, 'Chart.yaml', 'values.yaml')",
+        ),
+        rows("docker.stages", "'- `Dockerfile`: stage0 (FROM python:3)'", "path = 'Dockerfile'"),
+        rows(
+            "docker.compose",
+            "'- `' || path || '`: ' || m",
+            "path = 'docker-compose.yml' OR ws NOT IN (SELECT ws FROM f WHERE path = 'docker-compose.yml')",
+            found(r"'(?m)^  (\w[\w-]*):'", "path IN ('docker-compose.yml', 'compose.yaml')"),
+        ),
+        rows("terraform.providers", "'- ' || m", "TRUE", found("'provider \"(\\w+)\"'", "path LIKE '%.tf'"), distinct=True),
+        rows("terraform.resources", "'- aws_s3_bucket.' || m", "TRUE", found("'\"(b\\d+)\"'", "path LIKE 'infra/%'")),
+        rows("terraform.variables", "'- ' || m", "TRUE", found("'variable \"(\\w+)\"'", "path LIKE 'infra/%'")),
+        rows("aws.resources", "'- ' || m", "TRUE", found(r"'(AWS::\w+::\w+)'", "path LIKE '%/template.%'"), distinct=True),
+        rows(
+            "aws.services", "'- ' || m", "TRUE",
+            found("'(?:(?:client|resource)\\( ?[''\"]|@aws-sdk/client-|new AWS\\.)([\\w-]+)'", source), distinct=True,
+        ),
+        rows("gcp.imports", "'- ' || m", "TRUE", found(r"'from (google\.cloud[.\w]*)'", source), distinct=True),
+        rows("gcp.imports", "'- ' || m", "TRUE", found("'(@google-cloud/[\\w-]+)'", source), distinct=True),
+        rows("azure.services", "'- ' || s", "TRUE", f"(SELECT DISTINCT ws, s FROM ({services}) y) x"),
+        rows("azure.triggers", "'- ' || s", "TRUE", f"(SELECT DISTINCT ws, s FROM ({triggers}) y) x"),
+        rows(
+            "spark.features",
+            "'- ' || CASE k WHEN 0 THEN 'Databricks Asset Bundle' WHEN 1 THEN 'Databricks Workflow' WHEN 3 THEN 'Databricks CLI' ELSE 'PySpark' END",
+            "TRUE",
+            f"(SELECT ws, min({kind}) AS k FROM f GROUP BY ws) x",
+        ),
+        rows("dbt.project", r"'- shop v' || regexp_extract(content, '(2\.\w)', 1)", "path = 'dbt_project.yml'"),
+        rows("dbt.models", "'- ' || path || ' [view]'", "path LIKE 'models/n%'"),
+        rows(
+            "dbt.sources",
+            "'- source(' || chr(39) || m || chr(39) || ', ...) — schema: ext, tables: ' || m",
+            "TRUE",
+            found(r"'name: (raw\d+)'", "path LIKE '%sources.yml'"),
+        ),
+        rows("airflow.dags", "'- ' || path || ' — dag_id: ' || regexp_extract(path, '([^/]*)\\.py$', 1)", "path LIKE 'dags/%'"),
+        rows("airflow.operators", "'- operator: ' || regexp_extract(path, '(r\\d+)', 1)", "path LIKE 'plugins/%'"),
+        rows("airflow.operators", "'- sensor: ' || regexp_extract(path, '(r\\d+)', 1)", "path LIKE 'plugins/%'"),
+        rows("airflow.config", "'- airflow.cfg: ' || regexp_extract(content, '(Local\\w)', 1) || ', ?'", "path = 'airflow.cfg'"),
+        rows("fastapi.routes", "'  GET ' || regexp_extract(content, '(/items/\\d+)', 1) || ' → read() [' || path || ']'", "path LIKE 'api/%'"),
+        rows("fastapi.routes", "'  POST /y → (unknown)() [' || path || ']'", "path LIKE 'api/%'"),
+        rows("fastapi.models", "'- ' || m || ' (2 fields)'", "TRUE", found(r"'class (Item\w)'", "path LIKE 'schemas/%'"), distinct=True),
+        rows("fastapi.models", "'- B (0 fields)'", "path = 'shop/models.py'", distinct=True),
+        rows("fastapi.dependencies", "'- ' || m", "TRUE", found(r"'Depends\((\w+)\)'", "path LIKE 'api/%'"), distinct=True),
+        rows("django.apps", "'- ' || split_part(path, '/', 1)", "path IN ('shop/models.py', 'blog/views.py')", distinct=True),
+        rows("django.models", "'- shop: ' || regexp_extract(content, '(A\\d+)', 1) || ', B'", "path = 'shop/models.py'"),
+        rows("django.settings", "'- proj/settings.py: '", "path = 'proj/settings.py'"),
+        rows(
+            "pytest.config", "'Config: ' || path",
+            "path = 'pytest.ini' OR path = 'pyproject.toml' AND ws NOT IN (SELECT ws FROM f WHERE path = 'pytest.ini')",
+        ),
+        rows(
+            "pytest.fixtures", "names", "names IS NOT NULL",
+            f"(SELECT 'session scope: ' || string_agg(DISTINCT m, ', ' ORDER BY m) AS names FROM {fixtures}) y",
+        ),
+        rows("pytest.fixtures", "'function scope: client'", "path = 'tests/conftest.py'", distinct=True),
+        rows(
+            "pytest.structure", "'- ' || d || ': ' || n", "TRUE",
+            "(SELECT regexp_extract(path, '^(.*)/', 1) AS d, 2 * count(*) AS n FROM f WHERE path LIKE 'tests/unit%' GROUP BY 1) x",
+        ),
+        rows("pytorch.models", "'- ' || path || ': Net'", "path LIKE 'net/%'"),
+        rows("pytorch.names", "unnest(['- optimizer: Adam', '- loss: MSELoss'])", "path LIKE 'net/%'", distinct=True),
+        rows("jupyter.notebooks", "'- `' || path || '`: 0 cells (0 code, 0 markdown) — kernel: unknown (python)'", "path LIKE 'notebooks/l%'"),
+        rows("jupyter.notebooks", f"'- `' || path || '`: 2 cells (1 code, 1 markdown) — kernel: ' || {kernel} || ' (python)'", "path LIKE 'notebooks/w%'"),
+        rows("jupyter.kernels", f"'- ' || {kernel}", "path LIKE 'notebooks/w%'", distinct=True),
+        rows(
+            "git.status", "'- modified: ' || 2 * n || ', staged: ' || 2 * n || ', untracked: ' || n", "TRUE",
+            "(SELECT ws, count(*) AS n FROM f WHERE path = 'git-status.txt' GROUP BY ws) x",
+        ),
+        rows("git.recentCommits", "'- ' || unnest([split_part(content, chr(10), 1), 'c2', 'c4', 'c5'])", "path = 'git-log.txt'"),
+        rows("security.findings", "'- ' || category || ': ' || n", "TRUE", f"(SELECT category, count(*) AS n FROM {findings} GROUP BY category) x"),
+        rows("security.findings", "'- all: ' || n", "TRUE", f"(SELECT count(*) AS n FROM {findings}) x"),
+        rows("gcp.services", "'- ' || s", "s <> ''", f"(SELECT ws, concat_ws(', ', {flags}) AS s FROM f GROUP BY ws) x"),
+        rows("workspace.stacks", "'- ' || ws || ': ' || stack", "TRUE", f"(SELECT DISTINCT ws, stack FROM ({stacks_found}) y) x"),
+    ]
+    return f"WITH f AS MATERIALIZED (SELECT * FROM <<hook_files>>) {' UNION ALL '.join(parts)}"
+
+
+@query(_hooks_sql())
 def default_hook_lines(src: Source) -> DataFrame:
-    """Lines of the default hooks over the workspaces."""
-    keys = ["k8s.manifests", "docker.stages", "dbt.models", "airflow.dags", "jupyter.notebooks", "fastapi.models"]
-    chosen = [h for h in DEFAULT_HOOKS if h.key in keys]
-    return hooks.hook_lines(src("ws_files"), chosen)
+    """Lines of all default hooks over the workspaces, which are read once for their files and once for their names."""
+    return hooks.routed_hook_lines(src("hook_files"), DEFAULT_HOOKS)

@@ -510,17 +510,48 @@ _WS_VARIANTS: list[tuple[str, str]] = [
 ]
 
 
-def _workspace_sql() -> str:
-    pick = f"CASE (o_orderkey * 7) % {len(_WS_VARIANTS)}"
-    paths = " ".join(f"WHEN {i} THEN {text(p)}" for i, (p, _) in enumerate(_WS_VARIANTS))
-    contents = " ".join(f"WHEN {i} THEN {text(c)}" for i, (_, c) in enumerate(_WS_VARIANTS))
+# Further files of a workspace, so that every default hook has facts to collect.
+_WS = "<cast(floor(o_orderkey / 64) AS bigint)>"
+_HOOK_VARIANTS: list[tuple[str, str]] = _WS_VARIANTS + [
+    (f"charts/c{_WS}/Chart.yaml", "name: web<o_orderkey>\nversion: 1.<o_orderkey % 7>\ndescription: x"),
+    (f"charts/c{_WS}/values.yaml", "replicas: 1\n  nested: 2\nimage: web<o_orderkey>"),
+    ("docker-compose.yml", "services:\n  web<o_orderkey>:\n    image: nginx\n  db:\n    image: pg\nvolumes:\n  data:\n"),
+    ("compose.yaml", "services:\n  late:\n    image: x\n"),
+    ("infra/q<o_orderkey>.tf", "resource \"aws_s3_bucket\" \"b<o_orderkey>\" {}\nvariable \"v<o_orderkey>\" { type = string }\nprovider \"aws\" {}"),
+    ("stack/template.yaml", "  T:\n    Type: AWS::S3::Bucket\n  L:\n    Type: 'AWS::Lambda::Function'"),
+    ("dbt_project.yml", "name: shop\nversion: '2.<o_orderstatus>'\nprofile: p"),
+    ("models/staging/sources.yml", "sources:\n  - name: raw<o_orderkey>\n    schema: ext\n"),
+    ("plugins/r<o_orderkey>.py", "class MyOperator(Base): pass\nclass S<o_orderkey>Sensor(Base): pass"),
+    ("airflow.cfg", "executor = Local<o_orderstatus>\nsql_alchemy_conn = pg://u:p@h/db\n"),
+    ("api/s<o_orderkey>.py", "from fastapi import Depends\n@router.get('/items/<o_orderkey>')\nasync def read(x=Depends(get_<o_orderstatus>)):\n    yield x\n@app.post(\"/y\")\nx = 1\n"),
+    ("schemas/t<o_orderkey>.py", "from pydantic import BaseModel\nclass Item<o_orderstatus>(BaseModel):\n    a: int\n    b: str\nclass Other(Base):\n    c: int\n"),
+    ("shop/models.py", "class A<o_orderkey>(models.Model):\n    x = 1\nclass B(BaseModel): pass"),
+    ("blog/views.py", "x = <o_orderkey>"),
+    ("pytest.ini", "[pytest]\ntestpaths = tests"),
+    ("tests/conftest.py", "import pytest\n@pytest.fixture(scope='session')\ndef db<o_orderstatus>():\n    pass\n@pytest.fixture\ndef client():\n    pass"),
+    ("tests/unit<o_orderkey % 3>/test_u<o_orderkey>.py", "def test_a(): pass\ndef test_b(): pass"),
+    ("net/v<o_orderkey>.py", "import torch\nclass Net(nn.Module):\n    loss = nn.MSELoss()\nopt = optim.Adam(p)"),
+    ("notebooks/w<o_orderkey>.ipynb", "{\"cells\": [{\"cell_type\": \"code\"}, {\"cell_type\": \"markdown\"}], \"metadata\": {\"kernelspec\": {\"name\": \"k<o_orderstatus>\", \"language\": \"python\"}}}"),
+    ("git-status.txt", " M a.py\n?? b.py\nM  c<o_orderkey>.py\nMM d.py"),
+    ("git-log.txt", "c1 <o_orderkey>\nc2\n\nc4\nc5\nc6"),
+    ("src/x<o_orderkey>.py", "h = hashlib.md5(x)\nresult = eval(y)"),
+    ("ops/template.json", "Type: \"AWS::SNS::Topic\""),
+    ("k8s/ns<o_orderkey>.yml", "apiVersion: v1\nkind: Service\nmetadata:\n  name: svc<o_orderkey>\n  namespace: team<o_orderkey % 3>"),
+]
+
+
+def _workspace_sql(variants: list[tuple[str, str]], keys: int) -> str:
+    pick = f"CASE (o_orderkey * 7) % {len(variants)}"
+    paths = " ".join(f"WHEN {i} THEN {text(p)}" for i, (p, _) in enumerate(variants))
+    contents = " ".join(f"WHEN {i} THEN {text(c)}" for i, (_, c) in enumerate(variants))
     return (
-        f"SELECT cast(floor(o_orderkey / 16) AS bigint) AS ws, {pick} {paths} END AS path, "
+        f"SELECT cast(floor(o_orderkey / {keys}) AS bigint) AS ws, {pick} {paths} END AS path, "
         f"{pick} {contents} END AS content FROM <<orders>>"
     )
 
 
-VIEWS["ws_files"] = _workspace_sql()
+VIEWS["ws_files"] = _workspace_sql(_WS_VARIANTS, 16)
+VIEWS["hook_files"] = _workspace_sql(_HOOK_VARIANTS, 64)
 
 # ── building a view ──────────────────────────────────────────────────────────
 

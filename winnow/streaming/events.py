@@ -15,7 +15,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from winnow.operators.joins import first_wins
 from winnow.operators.scan import security_scan
 from winnow.operators.skew import BLOCK, previous_value, running_sums
+from winnow.sources.generations import (
+    Generation, current_generation, delete_path, drop_unlisted, folders, publish, write_files,
+)
 from winnow.sources.scratch import scratch_dir
+from winnow.streaming.chains import chain_openings
 
 # The typed payload of each event.
 EVENT_SCHEMAS = {
@@ -36,7 +40,10 @@ THROTTLE_MICROS = 2_000_000
 BLOCKS_PER_WINDOW = 64
 PERIOD_MICROS = 24 * 3600 * 1_000_000
 BUSY_EVENTS = 1_000_000
+BLOCK_EVENTS = 1_000_000
 NEVER = np.iinfo(np.int64).min
+#: Event time as a number; stateful processors rename columns that begin with an underscore.
+MICROS = "event_micros"
 
 
 # ── running a stream to its end ──────────────────────────────────────────────
@@ -169,6 +176,13 @@ def _entry_times(start: int, opens, exits, last) -> list[int]:
     return entered
 
 
+def _largest_block(events: DataFrame, keys: list[str], micros: str, length: int) -> int:
+    """The most events of a key in one stretch of time, each stretch counted map-side."""
+    stretch = F.floor(F.col(micros) / length).alias("_stretch")
+    counts = events.where(F.col(micros).isNotNull()).groupBy(*keys, stretch).agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 _TABLE = "opens array<bigint>, exits array<bigint>, last bigint"
 
 
@@ -179,6 +193,7 @@ def throttle(
     width: int = THROTTLE_MICROS,
     period: int = PERIOD_MICROS,
     busy: int = BUSY_EVENTS,
+    block_events: int = BLOCK_EVENTS,
 ) -> DataFrame:
     """Firings of a timer that the first event opens and later events do not extend.
 
@@ -186,6 +201,11 @@ def throttle(
     the next timer. One row per firing: the keys, ``opened`` and ``fired``.
     Events without a time open nothing.
 
+    A count tells whether some key has more than ``block_events`` distinct times in 64
+    timer widths. If so, chains are found by pointers that double (see
+    ``chain_openings``), where no row holds more than two times. Otherwise blocks
+    are folded, and no row holds more than ``busy`` or ``block_events`` times.
+
     A key is never folded in one piece. Its time is cut into blocks: a period
     (a day) where the key is quiet, 64 timer widths where it has more than
     ``busy`` events in the period. Each block states, for the few events that
@@ -196,6 +216,9 @@ def throttle(
     """
     short = BLOCKS_PER_WINDOW * width
     period = max(period, short)
+    if _largest_block(events, keys, micros, short) > block_events:
+        opened = chain_openings(events, keys, micros, width)
+        return opened.withColumn("fired", F.col("opened") + width)
 
     @F.pandas_udf(_TABLE)
     def summarise(starts: pd.Series, times: pd.Series) -> pd.DataFrame:
@@ -383,15 +406,113 @@ class ActivationProcessor(StatefulProcessor):
         pass
 
 
-def activation_stream(stream: DataFrame, key: str, flag: str, order: list[str]) -> DataFrame:
-    """State changes as a stateful stream. The session must use the RocksDB state store."""
+class OrderedActivationProcessor(StatefulProcessor):
+    """The state change filter in event time: rows wait until the watermark passes them and are then taken in order."""
+
+    def __init__(self, key: str, flag: str, order: list[str], order_types: str, forget_micros: int | None):
+        self.key, self.flag, self.order = key, flag, order
+        self.order_types, self.forget = order_types, forget_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "flag boolean, at bigint")
+        self.rows = handle.getListState("rows", f"{MICROS} bigint, {self.order_types}, flag boolean")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, micros: int) -> None:
+        """Have a timer no later than that; one timer at a time."""
+        at = -(-micros // 1000)
+        if self.timer.exists():
+            set_for = self.timer.get()[0]
+            if set_for <= at:
+                return
+            self.handle.deleteTimer(set_for)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf[pdf[self.flag].notna()]  # not in the plan: a filter would move below the watermark
+            if not len(pdf):
+                continue
+            columns = [pdf[c].tolist() for c in [MICROS, *self.order, self.flag]]
+            self.rows.appendList(list(zip(*columns)))
+            self._wake(int(pdf[MICROS].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self.rows.get()) if self.rows.exists() else []
+        ready = sorted((r for r in waiting if r[0] <= reached), key=lambda r: tuple(r[1:-1]))
+        rest = [tuple(r) for r in waiting if r[0] > reached]
+        flag, at = self.last.get() if self.last.exists() else (False, reached)
+        changes = []
+        for r in ready:
+            if flag and self.forget is not None and r[0] - at >= self.forget:
+                flag = False
+            if bool(r[-1]) != flag:
+                flag = bool(r[-1])
+                changes.append((key[0], *r[1:-1], "activated" if flag else "deactivated"))
+            at = r[0]
+        if rest:
+            self.rows.put(rest)
+            self._wake(min(r[0] for r in rest))
+        else:
+            self.rows.clear()
+        quiet = self.forget is not None and reached >= at + self.forget
+        if flag and not (quiet and not rest):
+            self.last.update((flag, at))
+            if self.forget is not None and not rest:
+                self._wake(at + self.forget)
+        else:
+            # a key without state is inactive, so nothing is lost with it
+            self.last.clear()
+        if changes:
+            yield pd.DataFrame(changes, columns=[self.key, *self.order, "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(duration: str) -> int:
+    return pd.Timedelta(duration) // pd.Timedelta(microseconds=1)
+
+
+def activation_stream(
+    stream: DataFrame,
+    key: str,
+    flag: str,
+    order: list[str],
+    event_time: str | None = None,
+    delay: str = "10 minutes",
+    forget: str | None = None,
+) -> DataFrame:
+    """State changes as a stateful stream. The session must use the RocksDB state store.
+
+    Without ``event_time``, batches must arrive in ``order`` per key. With it, a timestamp column, rows may arrive
+    in any order up to ``delay`` late: they wait until the watermark has passed them. A key that is inactive then
+    leaves no state; an active one that is quiet for ``forget`` is taken for inactive, if that is given.
+    Rows without a flag only move the watermark, as a heartbeat does.
+    """
     fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in [key, *order])
+    if event_time is None:
+        return (
+            stream.where(F.col(flag).isNotNull())
+            .select(key, flag, *order)
+            .groupBy(key)
+            .transformWithStateInPandas(
+                ActivationProcessor(key, flag, order), f"{fields}, change string", "Append", "None"
+            )
+        )
+    types = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in order)
+    kept = [c for c in dict.fromkeys([key, flag, *order, event_time])]
+    processor = OrderedActivationProcessor(key, flag, order, types, None if forget is None else _micros(forget))
     return (
-        stream.select(key, flag, *order)
+        stream.withWatermark(event_time, delay)
+        .select(*kept, F.unix_micros(event_time).alias(MICROS))
         .groupBy(key)
-        .transformWithStateInPandas(
-            ActivationProcessor(key, flag, order), f"{fields}, change string", "Append", "None"
-        )
+        .transformWithStateInPandas(processor, f"{fields}, change string", "Append", "EventTime")
     )
 
 
@@ -457,43 +578,121 @@ def assemble_text(chunks: DataFrame, paths: list[str] = DELTA_PATHS) -> DataFram
 
 
 class LineProcessor(StatefulProcessor):
-    """Stream form of the line assembly: carries the unfinished tail of each request until it ends."""
+    """Stream form of the line assembly: chunks ahead of their turn wait, the others are taken in sequence.
+
+    Of each request the unfinished tail, the number of its lines and of the next chunk are kept, and the chunks that
+    wait, by number, until it ends: with its last chunk or, in event time, after a silence.
+    """
+
+    def __init__(self, event_time: str | None = None, silence_micros: int = 0):
+        self.event_time, self.silence = event_time, silence_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.carry = handle.getValueState("carry", "tail string, n_lines bigint")
+        self.handle = handle
+        self.carry = handle.getValueState("carry", "tail string, n_lines bigint, next bigint, timer bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "data string, ends boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        tail, n = self.carry.get() if self.carry.exists() else ("", 0)
-        *whole, tail = (tail + "".join(pdf["data"])).split("\n")
-        if pdf["ends"].any():
-            whole.append(tail)
-            self.carry.clear()
-        else:
-            self.carry.update((tail, n + len(whole)))
-        kept = [(n + i, line) for i, line in enumerate(whole) if line.strip()]
+        if key[0] is None:  # not in the plan: a filter would move below the watermark
+            return
+        tail, n, due, timer = self.carry.get() if self.carry.exists() else ("", 0, 0, None)
+        ended, latest = False, None
+        for pdf in rows:
+            arrived = {
+                int(seq): ("" if data is None else data, bool(ends))
+                for seq, data, ends in zip(pdf["seq"], pdf["data"], pdf["ends"])
+                if seq >= due  # a chunk that comes again
+            }
+            if self.event_time:
+                own = int(pdf[self.event_time].max())
+                latest = own if latest is None else max(latest, own)
+            parts = [tail]
+            while not ended:
+                if due in arrived:
+                    data, ended = arrived.pop(due)
+                elif self.waiting.exists() and self.waiting.containsKey((due,)):
+                    data, ended = self.waiting.getValue((due,))
+                    self.waiting.removeKey((due,))
+                else:
+                    break
+                parts.append(data)
+                due += 1
+            if not ended:
+                for seq, chunk in arrived.items():
+                    self.waiting.updateValue((seq,), chunk)
+            *whole, tail = "".join(parts).split("\n")
+            if ended:
+                whole.append(tail)
+            yield from self._lines(key, n, whole)
+            n += len(whole)
+            if ended:
+                break
+        if ended:
+            self._forget(timer)
+            return
+        if latest is not None:
+            at = -(-(latest + self.silence) // 1000)
+            if timer is None or at > timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                timer = at
+        self.carry.update((tail, n, due, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A silent request ends: what waits behind a lost chunk follows, and its last line needs no newline."""
+        if not self.carry.exists():
+            return
+        tail, n, _, timer = self.carry.get()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        held = sorted((k[0], v[0]) for k, v in self.waiting.iterator()) if self.waiting.exists() else []
+        yield from self._lines(key, n, (tail + "".join(data for _, data in held)).split("\n"))
+        self._forget(None)
+
+    def _lines(self, key, n: int, lines: list[str]) -> Iterator[pd.DataFrame]:
+        kept = [(n + i, line) for i, line in enumerate(lines) if line.strip()]
         if kept:
-            numbers, lines = zip(*kept)
-            yield pd.DataFrame({"request": [key[0]] * len(kept), "line_no": numbers, "line": lines})
+            numbers, texts = zip(*kept)
+            yield pd.DataFrame({"request": [key[0]] * len(kept), "line_no": numbers, "line": texts})
+
+    def _forget(self, timer: int | None) -> None:
+        self.carry.clear()
+        if self.waiting.exists():
+            self.waiting.clear()
+        if timer is not None:
+            self.handle.deleteTimer(timer)
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(stream: DataFrame, ends: Column | None = None) -> DataFrame:
-    """Finished lines as a stateful stream; batches must arrive in ``seq`` order per request.
+def assemble_stream(
+    stream: DataFrame,
+    ends: Column | None = None,
+    event_time: str | None = None,
+    delay: str = "10 minutes",
+    silence: str = "30 minutes",
+) -> DataFrame:
+    """Finished lines as a stateful stream; chunks of a request, numbered from 0, may arrive in any order.
 
-    ``ends`` tells the last chunk of a request: its last line needs no newline,
-    and nothing is remembered of the request from then on.
+    A chunk that is ahead waits for those before it; one that comes twice counts once. ``ends`` tells the last chunk
+    of a request: its last line needs no newline, and nothing is remembered of the request from then on. With
+    ``event_time``, a timestamp column, chunks more than ``delay`` late are dropped, and a request that is silent for
+    ``silence`` ends as well: chunks behind one that is lost follow without it. Rows without a request only move the watermark.
     """
     key_type = stream.schema["request"].dataType.simpleString()
     mark = F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))
+    columns = ["request", F.col("seq").cast("bigint").alias("seq"), "data", mark.alias("ends")]
+    processor, mode = LineProcessor(), "None"
+    if event_time:
+        stream = stream.withWatermark(event_time, delay)
+        processor, mode = LineProcessor(MICROS, _micros(silence)), "EventTime"
+        columns += [event_time, F.unix_micros(event_time).alias(MICROS)]
     return (
-        stream.select("request", "seq", "data", mark.alias("ends"))
+        stream.select(*columns)
         .groupBy("request")
-        .transformWithStateInPandas(
-            LineProcessor(), f"request {key_type}, line_no bigint, line string", "Append", "None"
-        )
+        .transformWithStateInPandas(processor, f"request {key_type}, line_no bigint, line string", "Append", mode)
     )
 
 
@@ -507,8 +706,9 @@ def incremental_scan(
 
     Each batch writes its findings and the list of documents it scanned under
     its own batch id, so a retried batch replaces only itself. See
-    ``current_findings`` for the replacement. Where a document may arrive more
-    than once in a batch, ``order`` names the column that tells its newest text.
+    ``current_findings`` for the replacement and ``compact_findings`` for what keeps
+    the store small. Where a document may arrive more than once in a batch, ``order``
+    names the column that tells its newest text.
     """
 
     def scan(batch: DataFrame, batch_id: int) -> None:
@@ -521,13 +721,63 @@ def incremental_scan(
     run_to_end(stream, scan, checkpoint)
 
 
-def current_findings(spark: SparkSession, store: str, path: str = "path") -> DataFrame:
-    """Findings of the newest scan of each document."""
-    scanned = spark.read.parquet(f"{store}/scanned")
+def _batches_after(spark: SparkSession, store: str, kind: str, mark: int) -> list[str]:
+    """The folders of batches that are not in the compacted findings."""
+    numbers = (int(f.removeprefix("batch_id=")) for f in folders(spark, f"{store}/{kind}"))
+    return [f"{store}/{kind}/batch_id={n}" for n in sorted(numbers) if n > mark]
+
+
+def _findings_since(spark: SparkSession, store: str, path: str, mark: int) -> tuple[DataFrame, DataFrame] | None:
+    """Findings of the newest scan of each document in the batches after ``mark``, and the documents they scanned."""
+    parts = _batches_after(spark, store, "scanned", mark)
+    if not parts:
+        return None
+    scanned = spark.read.option("basePath", f"{store}/scanned").parquet(*parts)
+    found = spark.read.option("basePath", f"{store}/findings").parquet(*_batches_after(spark, store, "findings", mark))
     newest = scanned.groupBy(path).agg(F.max("batch_id").alias("batch_id"))
-    return spark.read.parquet(f"{store}/findings").join(newest, [path, "batch_id"], "left_semi").drop(
-        "batch_id"
-    )
+    return found.join(newest, [path, "batch_id"], "left_semi").drop("batch_id"), newest.select(path)
+
+
+def current_findings(spark: SparkSession, store: str, path: str = "path") -> DataFrame:
+    """Findings of the newest scan of each document: the compacted ones, but for documents scanned since, and these scans'."""
+    base = current_generation(spark, store)
+    since = _findings_since(spark, store, path, base.mark)
+    if since is None:
+        if not base.files:
+            raise ValueError(f"{store}: nothing scanned yet")
+        return spark.read.parquet(*base.files)
+    found, scanned = since
+    if not base.files:
+        return found
+    return spark.read.parquet(*base.files).join(scanned, path, "left_anti").unionByName(found)
+
+
+def compact_findings(spark: SparkSession, store: str, path: str = "path") -> Generation:
+    """Write the current findings as one generation, which then stands for all batches up to now.
+
+    The new files count from the moment their manifest is in place. A compaction that is cut off before changes nothing,
+    and one that is cut off after it only leaves files that ``drop_superseded`` removes. Batches that end meanwhile are
+    later than its mark and stay.
+    """
+    base = current_generation(spark, store)
+    numbers = [int(p.rsplit("=", 1)[1]) for p in _batches_after(spark, store, "scanned", base.mark)]
+    if not numbers:
+        return base
+    files = write_files(current_findings(spark, store, path), store)
+    return publish(spark, store, files, base, max(numbers))
+
+
+def drop_superseded(spark: SparkSession, store: str) -> None:
+    """Delete the batches that the current generation stands for, and files of older generations.
+
+    Afterwards the store holds one scan of each document. Not while older findings are being read.
+    """
+    mark = current_generation(spark, store).mark
+    for kind in ("findings", "scanned"):
+        for f in folders(spark, f"{store}/{kind}"):
+            if int(f.removeprefix("batch_id=")) <= mark:
+                delete_path(spark, f"{store}/{kind}/{f}")
+    drop_unlisted(spark, store)
 
 
 def tail_logs(stream: DataFrame, pattern: str, start: Column, message: str = "message", ts: str = "ts") -> DataFrame:
