@@ -1,8 +1,10 @@
 import posixpath
+import random
 
 from pyspark.sql import functions as F
 
 from winnow.operators import joins
+from winnow.operators.skew import newest_rows, numbered
 
 
 def brute_siblings(paths, limit):
@@ -102,3 +104,48 @@ def test_union_problems(spark):
         (0, 1, "f0", "Function state: FAILED"), (0, 2, "f2", "Function state: FAILED"), (0, 3, "f4", "Function state: FAILED"),
         (1, 1, "unknown", "m8"), (1, 2, "unknown", "m7"), (1, 3, "unknown", "m6"),
     ]
+
+
+def test_siblings_by_rare_pieces(spark):
+    """Short names, repeated pieces, names that hold each other, and offered rows that grow with the length of a name alone."""
+    rng = random.Random(12)
+    names = ["a.py", "ab.py", "abc.py", "xabcx.py", "aaaa.py", "aaaaaaaa.py", ".env", "b", "é.py", "éé.py", "😀a.py", "x" * 300 + ".py"]
+    names += ["".join(rng.choices("abx_", k=rng.randrange(1, 12))) + rng.choice([".py", ".ts", ""]) for _ in range(120)]
+    paths = sorted({f"{d}/{n}" for n in names for d in ("p", "q") if rng.random() < 0.8} | {"top.py", "stop.py"})
+    files = spark.createDataFrame([(p, "") for p in paths], "path string, content string")
+    assert {tuple(r) for r in joins.siblings(files, 5).collect()} == brute_siblings(paths, 5)
+    named = files.select(F.col("path").alias("sibling"), joins.dir_name("path").alias("dir"), joins.base_name("path").alias("name"))
+    grams = named.select(F.size(joins._grams("name", F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("n"), F.length("name").alias("c"))
+    assert grams.where("n > 3 * c").count() == 0
+
+
+def test_numbered(spark):
+    rng = random.Random(3)
+    made = [(rng.randrange(50), i) for i in range(2000)] + [(None, 5000)]
+    df = spark.createDataFrame(made, "a long, b long").repartition(5)
+    got = [tuple(r) for r in numbered(df, ["a", "b"], "pos", descending=("a",)).orderBy("pos").collect()]
+    wanted = sorted(made, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == [(a, b, i) for i, (a, b) in enumerate(wanted, 1)]
+    assert numbered(df.where("false"), ["a", "b"], "pos").count() == 0
+
+
+def test_newest_rows(spark):
+    rng = random.Random(9)
+    times = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-03-10 02:30:00.5", "2024-11-03 01:30:00.25", "9999-12-31 23:59:59.999999"]
+    made = [(rng.choice(["x", "y", None]), rng.choice([*times, None]), i * rng.choice([1, -1]), f"v{i}") for i in range(300)]
+    made += [("z", None, 1, "only"), ("w", times[0], -(2**63), "low"), ("w", times[0], 2**63 - 1, "high")]
+    key = lambda r: (r[1] is not None, r[1] or "", r[2])
+    wanted = {}
+    for r in made:
+        best, n = wanted.get(r[0], (r, 0))
+        wanted[r[0]] = (max(best, r, key=key), n + 1)
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(made, "k string, at string, i long, v string").withColumn("at", F.col("at").cast(kind))
+        found = newest_rows(df, "k", "at", "i", "v")
+        got = {r.k: (r.v, r.n) for r in found.collect()}
+        for k, (best, n) in wanted.items():
+            assert got[k][1] == n
+            if best[1] is not None:
+                assert got[k][0] == best[3]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "max(_place" in plan.replace("partial_max(_place", "max(_place")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators.packs import ml
-from winnow.sources import files, objects, scratch, tables
+from winnow.sources import files, generations, objects, scratch, tables
 from winnow.sources.notebooks import read_notebooks
 
 NOTEBOOK = (
@@ -106,5 +106,53 @@ def test_cut_lineage(spark):
 
 def test_schema_listing_sets_partition_keys_apart(spark):
     rows = [("t", 2, "b", "string", True, "note", False), ("t", 1, "a", "int", False, None, False), ("t", 3, "p", "date", True, None, True)]
+    rows = [("c", "d", *r) for r in rows]
     got = tables.schema_listing(spark.createDataFrame(rows, tables.COLUMN_SCHEMA)).first()
     assert got.columns == "  - `a` int NOT NULL\n  - `b` string — note" and got.partition_keys == "  - `p` date"
+
+
+def test_databases_with_a_table_of_the_same_name(spark):
+    for database in ("levels_a", "levels_b"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{scratch.scratch_dir(spark, database)}'")
+    spark.sql("CREATE OR REPLACE VIEW levels_a.same AS SELECT 1 AS x")
+    spark.sql("CREATE OR REPLACE VIEW levels_b.same AS SELECT 'a' AS x, 2 AS y")
+    spark.range(1).createOrReplaceTempView("levels_here")
+    try:
+        levels = [tuple(r) for r in tables.catalog_levels(spark).collect()]
+        assert [r for r in levels if r[2] == "same"] == [
+            ("spark_catalog", "levels_a", "same", False), ("spark_catalog", "levels_b", "same", False),
+        ]
+        assert [r for r in levels if r[2] == "levels_here"] == [(None, None, "levels_here", True)]
+        columns = tables.describe_levels(spark).where("table_name IN ('same', 'levels_here')").collect()
+        got = {(r.database, r.table_name, r.position, r.column_name, r.type_text) for r in columns}
+        assert got == {
+            ("levels_a", "same", 1, "x", "int"), ("levels_b", "same", 1, "x", "string"), ("levels_b", "same", 2, "y", "int"),
+            (None, "levels_here", 1, "id", "bigint"),
+        }
+        blocks = tables.schema_listing(tables.describe_levels(spark)).where("table_name = 'same'").count()
+        assert blocks == 2
+        named = tables.describe_tables(spark, ["levels_a.same", "levels_here"]).select("catalog", "database", "table_name")
+        assert {tuple(r) for r in named.collect()} == {("spark_catalog", "levels_a", "same"), (None, None, "levels_here")}
+    finally:
+        spark.catalog.dropTempView("levels_here")
+        for database in ("levels_a", "levels_b"):
+            spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_generations(spark):
+    root = scratch.scratch_dir(spark, "generations")
+    assert generations.current_generation(spark, root) == generations.NOTHING
+    first = generations.publish(spark, root, generations.write_files(spark.range(3), root), generations.NOTHING, 7)
+    assert generations.current_generation(spark, root) == first and first.mark == 7
+    # files that are written and not published, and a manifest whose write was cut off, are not read
+    left = generations.write_files(spark.range(99), root)
+    spark.createDataFrame([("x",)], "a string").write.parquet(f"{root}/manifest/generation=2/_temporary/0")
+    assert generations.read_generation(spark, generations.current_generation(spark, root), "id long").count() == 3
+    second = generations.publish(spark, root, generations.write_files(spark.range(5), root), first)
+    assert generations.current_generation(spark, root) == second
+    assert len(generations.drop_unlisted(spark, root)) == 2 and left
+    assert generations.folders(spark, f"{root}/manifest") == ["generation=2"]
+    assert generations.read_generation(spark, second, "id long").count() == 5
+    empty = generations.publish(spark, root, [], second)
+    assert generations.current_generation(spark, root) == empty
+    assert generations.read_generation(spark, empty, "id long").count() == 0

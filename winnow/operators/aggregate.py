@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.operators.skew import top_per_key
+from winnow.operators.skew import newest_rows, top_per_key
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:
@@ -23,6 +23,19 @@ def findings_summary(findings: DataFrame) -> DataFrame:
     return per_category.unionByName(total)
 
 
+def findings_rollup(findings: DataFrame, path: str = "path") -> DataFrame:
+    """Counts per file and severity, per file, and over all; ``level`` tells which: 0, 1 or 3.
+
+    One aggregate over grouping sets, combined map-side; subtotals have null in the columns they sum over, and their level
+    tells them from findings without a path or severity.
+    """
+    return findings.rollup(path, "severity").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count("*").alias("n_findings"),
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, rule_id)"))).alias("n_rules"),
+    )
+
+
 def findings_by_file(findings: DataFrame, path: str = "path") -> DataFrame:
     """Per file with findings: their count and distinct categories."""
     return findings.groupBy(path).agg(
@@ -41,13 +54,12 @@ def findings_totals(by_file: DataFrame) -> DataFrame:
 def errors_by_function(logs: DataFrame, limit: int | None = None) -> DataFrame:
     """Per function: error count and its newest message, cut only if ``limit`` is given.
 
-    ``logs``: log_id, ts, name, message.
+    ``logs``: log_id, ts, name, message. Times are aggregated first, messages are looked up afterwards.
     """
-    newest = F.max_by("message", F.struct("ts", "log_id"))
-    return logs.groupBy(F.coalesce("name", F.lit("unknown")).alias("name")).agg(
-        F.count("*").alias("n_errors"),
-        (newest if limit is None else F.left(newest, F.lit(limit))).alias("first_message"),
-    )
+    named = logs.withColumn("name", F.coalesce("name", F.lit("unknown")))
+    newest = newest_rows(named, "name", "ts", "log_id", "message")
+    message = F.col("message") if limit is None else F.left("message", F.lit(limit))
+    return newest.select("name", F.col("n").alias("n_errors"), message.alias("first_message"))
 
 
 def fleet_status(fleet: DataFrame, state: str = "state", running: str = "RUNNING") -> DataFrame:

@@ -8,47 +8,67 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import base_name, dir_name, resolve, short_name, stem
 from winnow.functions.text import all_groups, holds_any
-from winnow.operators.skew import top_per_key
+from winnow.operators.skew import numbered, top_per_key
 
 # Import statement pattern and the suffixes tried in order.
 IMPORT_PATTERN = r"""(?:import|require|from)\s+['"]([^'"]+)['"]"""
 IMPORT_SUFFIXES = ["", ".ts", ".js", "/index.ts", "/index.js"]
 
 
+#: Length of the pieces by which names are looked up; a shorter base name is a piece itself.
+GRAM = 3
+
+
+def _grams(text: str, sizes: Column) -> Column:
+    """The distinct pieces of a text of some lengths, each with its length bounded by ``GRAM``."""
+
+    def pieces(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(F.col(text), i, k))
+
+    fitting = F.filter(sizes, lambda k: (k > 0) & (k <= F.length(text)))
+    return F.array_distinct(F.flatten(F.transform(fitting, pieces)))
+
+
+def sibling_candidates(names: DataFrame, base: DataFrame) -> DataFrame:
+    """``dir, part, name, sibling``: the names of a directory that hold the rarest piece of a base name of it.
+
+    ``names``: dir, name, sibling. ``base``: dir, part. A name offers its pieces of ``GRAM`` characters (and single ones or
+    pairs where some base name is that short), so as many rows as it has characters. Every base name looks up one piece, that which the
+    fewest names of its directory hold; all names that contain the base name are among them.
+    """
+    size = F.least(F.length("part"), F.lit(GRAM))
+    # at most GRAM different lengths
+    sizes = base.agg(F.collect_set(size).alias("sizes")).scalar()
+    offered = names.withColumn("sizes", sizes).select(
+        "dir", "name", "sibling", F.explode(_grams("name", F.col("sizes"))).alias("gram")
+    )
+    held = offered.groupBy("dir", "gram").agg(F.count("*").alias("n"))
+    asked = base.distinct().select("dir", "part", F.explode(_grams("part", F.array(size))).alias("gram"))
+    rarest = (
+        asked.join(held, ["dir", "gram"])
+        .groupBy("dir", "part")
+        .agg(F.min(F.struct("n", "gram")).alias("r"))
+        .select("dir", "part", F.col("r.gram").alias("gram"))
+    )
+    return rarest.join(offered, ["dir", "gram"]).drop("gram")
+
+
 def siblings(files: DataFrame, limit: int = 5, path: str = "path") -> DataFrame:
     """Other files of the same directory whose name contains the base name.
 
-    No pair of files is ever compared. Each name offers its own substrings (a
-    number bounded by the name's length), only ``limit + 1`` names are kept per
-    (directory, substring), and the base name is looked up by equality.
+    No pair of files is ever compared but those that share a rare piece of their names, and only ``limit + 1`` names
+    are kept per (directory, base name).
     """
     names = files.select(
         F.col(path).alias("sibling"), dir_name(path).alias("dir"), base_name(path).alias("name")
     )
     base = files.select(F.col(path).alias("path"), dir_name(path).alias("dir"), stem(path).alias("part"))
-    # only lengths that some base name has; at most one value per possible name length
-    lengths = base.agg(F.collect_set(F.length("part")).alias("ls"))
-    n = F.length("name")
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.col("ls"), lambda k: (k > 0) & (k <= F.length("name"))),
-            lambda k: F.transform(
-                F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("name"), i, k)
-            ),
-        )
-    )
-    offered = (
-        names.withColumn("ls", lengths.scalar())
-        .select("sibling", "dir", "name", F.explode(F.array_distinct(pieces)).alias("part"))
-    )
-    # only what some base name of the directory asks for is ranked
-    offered = offered.join(base.select("dir", "part").distinct(), ["dir", "part"], "left_semi")
+    base = base.where("part <> ''")
+    found = sibling_candidates(names, base.select("dir", "part")).where(F.contains("name", "part"))
     # one more than the limit: the file itself is dropped after the lookup
-    offered = top_per_key(offered, ["dir", "part"], [F.col("name")], limit + 1)
-    found = base.join(offered, ["dir", "part"]).filter(F.col("path") != F.col("sibling"))
-    return top_per_key(found.drop("rank"), ["path"], [F.col("name")], limit).select(
-        "path", "sibling", "rank"
-    )
+    offered = top_per_key(found, ["dir", "part"], [F.col("name"), F.col("sibling")], limit + 1).drop("rank")
+    others = base.join(offered, ["dir", "part"]).filter(F.col("path") != F.col("sibling"))
+    return top_per_key(others, ["path"], [F.col("name"), F.col("sibling")], limit).select("path", "sibling", "rank")
 
 
 def import_targets(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -176,19 +196,22 @@ def union_problems(
 ) -> DataFrame:
     """Inactive ones among the (first) functions, then the newest error log rows.
 
-    ``functions``: resource, state, updated. ``logs``: log_id, ts, name, message.
+    ``functions``: resource, state, updated. ``logs``: log_id, ts, name, message. All inactive functions are numbered
+    in ranges of their order, a first few in one task.
     """
     if first_functions is not None:
         functions = functions.orderBy("resource").limit(first_functions)
-    idle = (
-        functions.filter(F.col("state") != "ACTIVE")
-        .select(
-            F.lit(0).alias("source"),
-            F.row_number().over(_single("resource")).alias("pos"),
-            short_name("resource").alias("name"),
-            F.concat(F.lit("Function state: "), "state").alias("error"),
-            F.col("updated").alias("at"),
-        )
+    inactive = functions.filter(F.col("state") != "ACTIVE")
+    if first_functions is None:
+        placed = numbered(inactive, ["resource"], "pos")
+    else:
+        placed = inactive.withColumn("pos", F.row_number().over(_single("resource")))
+    idle = placed.select(
+        F.lit(0).alias("source"),
+        F.col("pos").cast("int").alias("pos"),
+        short_name("resource").alias("name"),
+        F.concat(F.lit("Function state: "), "state").alias("error"),
+        F.col("updated").alias("at"),
     )
     newest = logs.orderBy(F.desc("ts"), F.desc("log_id")).limit(newest_logs)
     errors = newest.select(
@@ -202,7 +225,7 @@ def union_problems(
 
 
 def _single(*order):
-    """Window over a short branch: functions of one project, or newest rows already limited."""
+    """Window over a short branch: rows that are already limited."""
     return W.partitionBy(F.lit(0)).orderBy(*order)
 
 

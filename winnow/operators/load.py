@@ -64,6 +64,25 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     )
 
 
+def _differs(old: str, new: str, updated_at: str, check_columns: list[str] | None) -> Column:
+    """Whether the newer of two rows of a key is a change."""
+    if not check_columns:
+        return F.coalesce(F.col(f"{new}.{updated_at}") > F.col(f"{old}.{updated_at}"), F.lit(False))
+    test = F.lit(False)
+    for c in check_columns:
+        test = test | ~F.col(f"{old}.{c}").eqNullSafe(F.col(f"{new}.{c}"))
+    return test
+
+
+def changed_open_rows(
+    history: DataFrame, current: DataFrame, key: str, updated_at: str, check_columns: list[str] | None, *keep: str
+) -> DataFrame:
+    """``key``, the ``keep`` columns and ``changed`` of every open row of a key that the snapshot holds."""
+    old = history.filter(F.col("valid_to").isNull()).alias("o")
+    both = old.join(current.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"))
+    return both.select(f"o.{key}", *[f"o.{c}" for c in keep], _differs("o", "n", updated_at, check_columns).alias("changed"))
+
+
 def scd2_snapshot(
     history: DataFrame,
     current: DataFrame,
@@ -85,13 +104,7 @@ def scd2_snapshot(
     both = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     # a null key matches nothing but is a row all the same
     in_old, in_new = F.col("o._there").isNotNull(), F.col("n._there").isNotNull()
-    if check_columns:
-        differs = F.lit(False)
-        for c in check_columns:
-            differs = differs | ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    else:
-        differs = F.col(f"n.{updated_at}") > F.col(f"o.{updated_at}")
-    changed = in_old & in_new & F.coalesce(differs, F.lit(False))
+    changed = in_old & in_new & _differs("o", "n", updated_at, check_columns)
 
     def side(prefix: str, valid_from: Column, valid_to: Column) -> Column:
         return F.struct(

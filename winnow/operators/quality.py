@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.operators.skew import running_sums
+from winnow.sources.generations import delete_path, move_path
 
 
 def null_failures(df: DataFrame, column: str) -> DataFrame:
@@ -98,6 +100,34 @@ def expectations(df: DataFrame, rules: dict[str, Column], mode: str = "keep") ->
     raise ValueError(f"unknown mode {mode!r}")
 
 
+class ExpectationError(ValueError):
+    """Rows that violate an expectation, by its name."""
+
+    def __init__(self, failed: dict[str, int]):
+        super().__init__(", ".join(f"expectation failed: {n} ({k} rows)" for n, k in failed.items()))
+        self.failed = failed
+
+
+def write_expected(df: DataFrame, path: str, rules: dict[str, Column]) -> dict[str, int]:
+    """Write rows as Parquet to a new ``path`` if every one meets every rule; the number of rows and of failures.
+
+    Rows are counted while they are written, to a folder beside ``path``, so the input is read once; the folder then becomes
+    ``path`` or, after a violation, goes, and ``ExpectationError`` tells the counts. A null is a violation.
+    """
+    spark = df.sparkSession
+    seen = Observation(f"expectations-{uuid.uuid4().hex}")
+    failures = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"failed_{i}") for i, rule in enumerate(rules.values())]
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.observe(seen, F.count("*").alias("n_rows"), *failures).write.parquet(staged)
+    counts = {name: seen.get[f"failed_{i}"] for i, name in enumerate(rules)}
+    failed = {n: k for n, k in counts.items() if k}
+    if failed:
+        delete_path(spark, staged)
+        raise ExpectationError(failed)
+    move_path(spark, staged, path)
+    return {"n_rows": seen.get["n_rows"], **counts}
+
+
 def expectation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that pass and fail each rule, from one scan."""
     tests = [ColumnTest(n, ~F.coalesce(c, F.lit(False))) for n, c in rules.items()]

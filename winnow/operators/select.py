@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.labels import is_failed, severity_rank
 from winnow.functions.text import truncate_at_newline, truncate_text
-from winnow.operators.skew import broadcast_rows, running_sums, top_per_key
+from winnow.operators.skew import broadcast_rows, newest_rows, running_sums, top_per_key
 
 # Budgets, shares and caps.
 MESSAGE_BUDGET = 48_000
@@ -92,9 +92,7 @@ def latest_run_per_job(
     if first_jobs is not None:
         jobs = jobs.orderBy("job_id").limit(first_jobs)
         runs = runs.join(broadcast_rows(jobs.select("job_id"), first_jobs), "job_id", "left_semi")
-    latest = runs.groupBy("job_id").agg(
-        F.max_by("state", F.struct("started", "run_id")).alias("state")
-    )
+    latest = newest_rows(runs, "job_id", "started", "run_id", "state").drop("n")
     return jobs.join(latest, "job_id", "left").withColumn(
         "state", F.coalesce("state", F.lit(none_label))
     )
@@ -171,12 +169,12 @@ def filter_logs(logs: DataFrame, pattern: str, start: Column | None = None, limi
     return kept.orderBy("ts", "log_id").limit(limit)
 
 
-def filter_logs_by_severity(logs: DataFrame, minimum: str, resource: str, n: int = 50) -> DataFrame:
-    """Newest ``n`` rows of a resource type at or above a severity."""
+def filter_logs_by_severity(logs: DataFrame, minimum: str, resource: str, n: int | None = 50) -> DataFrame:
+    """Newest ``n`` (or all) rows of a resource type at or above a severity."""
     kept = logs.filter(
         (F.col("resource") == resource) & (severity_rank("severity") >= severity_rank(F.lit(minimum)))
     )
-    return kept.orderBy(F.desc("ts"), F.desc("log_id")).limit(n)
+    return kept if n is None else kept.orderBy(F.desc("ts"), F.desc("log_id")).limit(n)
 
 
 def lookahead_match(
@@ -184,21 +182,18 @@ def lookahead_match(
 ) -> DataFrame:
     """For each line that matches, the first match of ``ahead`` in the next ``n`` lines.
 
-    Lines are paired with their followers inside the row that holds the file,
-    so no window and no shuffle is needed, however long a file is.
+    Lines are looked up by their number inside the row that holds the file, and only those that match leave it,
+    so no window and no shuffle is needed and no line is copied, however long a file is.
     """
     keep = [c for c in files.columns if c != content]
-    lines = files.select(*keep, F.split(content, "\n").alias("l0"))
-    shifted = [F.col("l0")] + [
-        F.slice("l0", F.lit(i + 1), F.greatest(F.size("l0") - i, F.lit(0))).alias(f"l{i}")
-        for i in range(1, n + 1)
-    ]
-    rows = lines.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("line_no", "z"))
-    rows = rows.filter(F.rlike("z.l0", F.lit(pattern)))
-    found = F.coalesce(
-        *[
-            F.nullif(F.regexp_extract(F.coalesce(F.col(f"z.l{i}"), F.lit("")), ahead, group), F.lit(""))
-            for i in range(1, n + 1)
-        ]
-    )
-    return rows.select(*keep, "line_no", F.col("z.l0").alias("line"), found.alias("found"))
+
+    def found(i: Column) -> Column:
+        after = (F.coalesce(F.get("_lines", i + k), F.lit("")) for k in range(1, n + 1))
+        return F.coalesce(*[F.nullif(F.regexp_extract(line, ahead, group), F.lit("")) for line in after])
+
+    def hit(line: Column, i: Column) -> Column:
+        own = F.struct(i.alias("line_no"), line.alias("line"), found(i).alias("found"))
+        return F.when(F.rlike(line, F.lit(pattern)), own)
+
+    lines = files.select(*keep, F.split(content, "\n").alias("_lines"))
+    return lines.select(*keep, F.inline(F.array_compact(F.transform("_lines", hit))))

@@ -163,6 +163,18 @@ def current_problems(src: Source) -> DataFrame:
     return joins.union_problems(src("functions"), src("error_logs"), 5).drop("at")
 
 
+@query(
+    """SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY k) AS INTEGER) AS pos, name, error FROM (
+         SELECT 0 AS source, 'fn-' || regexp_extract(resource, '[0-9]+$') AS name, 'Function state: ' || state AS error,
+                row_number() OVER (ORDER BY resource) AS k FROM <<functions>> WHERE state <> 'ACTIVE'
+         UNION ALL
+         SELECT 1, coalesce(name, 'unknown'), message, row_number() OVER (ORDER BY ts DESC, log_id DESC)
+         FROM (SELECT * FROM <<error_logs>> ORDER BY ts DESC, log_id DESC LIMIT 3) l) u"""
+)
+def problems_of_all_functions(src: Source) -> DataFrame:
+    return joins.union_problems(src("functions"), src("error_logs")).drop("at")
+
+
 @query(
     """SELECT 'topic' AS kind, topic_name AS name FROM <<topics>>
        WHERE topic NOT IN (SELECT topic FROM <<subscriptions>>)

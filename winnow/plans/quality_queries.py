@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators import load, quality
+from winnow.operators import load, profiles, quality, versioned
 from winnow.operators.quality import ColumnTest
 from winnow.plans.registry import Source, query
 from winnow.sources.scratch import scratch_dir
@@ -107,6 +107,27 @@ def upserted_orders(src: Source) -> DataFrame:
     return load.merge_upsert(target, source, ["o_orderkey"])
 
 
+@query(
+    f"""SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, coalesce(s.o_custkey, t.o_custkey) AS o_custkey,
+               coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice, coalesce(s.origin, t.origin) AS origin
+        FROM ({_TARGET}) t FULL JOIN ({_SOURCE} AND o_orderkey < 4000) s ON t.o_orderkey = s.o_orderkey"""
+)
+def upserted_order_files(src: Source) -> DataFrame:
+    """The upsert into a table of files: only files with a key of the source are written anew."""
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    orders = src("orders")
+    target = orders.filter(F.col("o_orderstatus") != "P").select(*columns, F.lit("old").alias("origin"))
+    source = (
+        orders.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") < 4000))
+        .select(*columns, F.lit("new").alias("origin"))
+        .withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    )
+    root = scratch_dir(src.spark, "order-files")
+    versioned.create_table(target.repartitionByRange(8, "o_orderkey"), root)
+    versioned.merge_into(src.spark, root, source, ["o_orderkey"])
+    return versioned.read_table(src.spark, root, target.schema)
+
+
 _REPLACED = "SELECT c_custkey, c_mktsegment, 'new' AS origin FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000"
 
 
@@ -188,6 +209,16 @@ def history_by_check(src: Source) -> DataFrame:
     )
 
 
+@query(_scd2_sql("n.o_orderdate > o.o_orderdate"))
+def history_files(src: Source) -> DataFrame:
+    """The history as a table of files: only files with an open row that changes are written anew."""
+    history, current = _snapshots(src)
+    root = scratch_dir(src.spark, "history-files")
+    versioned.create_table(history.repartitionByRange(8, "o_custkey"), root)
+    versioned.snapshot_into(src.spark, root, current, history.schema, "o_custkey", "o_orderdate")
+    return _dated(versioned.read_table(src.spark, root, history.schema))
+
+
 @query(
     """SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest,
               CASE WHEN max(ts) < TIMESTAMP '2024-02-03' - INTERVAL 7 DAY THEN 'error'
@@ -242,6 +273,18 @@ def expectations_fail(src: Source) -> DataFrame:
     return quality.expectations(src("lineitem"), rules, "fail").select("l_orderkey", "l_linenumber")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS n_rows FROM lineitem"""
+)
+def expectations_written(src: Source) -> DataFrame:
+    """Rows counted against their expectations while they are written; read back, as all hold."""
+    rules = {"quantity": F.col("l_quantity") >= 0, "key": F.col("l_orderkey").isNotNull()}
+    path = scratch_dir(src.spark, "expected")
+    counts = quality.write_expected(src("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, rules)
+    written = src.spark.read.parquet(path).select("l_orderkey", "l_linenumber")
+    return written.withColumn("n_rows", F.lit(counts["n_rows"]).cast("bigint"))
+
+
 @query(
     """SELECT log_id, md5(coalesce(name, '_dbt_utils_surrogate_key_null_') || '-' || CAST(log_id AS VARCHAR) || '-'
               || coalesce(text, '_dbt_utils_surrogate_key_null_')) AS sk FROM <<logs>>"""
@@ -290,6 +333,26 @@ def lineitem_profile(src: Source) -> DataFrame:
     return found.withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
 
 
+@query(
+    " UNION ALL ".join(
+        [
+            f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS min,
+                       CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean FROM events"""
+            for c in ("value", "user_id")
+        ]
+        + ["SELECT 'event_type', count(*), count(*) - count(event_type), NULL, NULL, NULL FROM events"]
+    )
+)
+def events_profile_by_day(src: Source) -> DataFrame:
+    """Profiles kept for each day, the last days added later, and merged: the exact columns of the whole table."""
+    events, path = src("events"), scratch_dir(src.spark, "day-profiles")
+    late = F.col("ts") >= F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    for days in (events.where(~late), events.where(late)):
+        profiles.part_profiles(days, F.to_date("ts"), ["value", "user_id"], ["event_type"]).write.mode("append").parquet(path)
+    merged = profiles.merge_profiles(src.spark.read.parquet(path))
+    return merged.select("column", "n_rows", "n_null", "min", "max", F.round("mean", 4).alias("mean"))
+
+
 @query(
     """SELECT 0.25::DOUBLE AS q, quantile_disc(l_extendedprice, 0.25) AS value FROM lineitem
        UNION ALL SELECT 0.5::DOUBLE, quantile_disc(l_extendedprice, 0.5) FROM lineitem

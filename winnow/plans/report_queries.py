@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions import paths
 from winnow.operators import aggregate, context, scan, select
 from winnow.operators.packs import data
 from winnow.operators.select import lookahead_match, topk_with_overflow
+from winnow.operators.skew import numbered
 from winnow.plans.registry import Source, query
 from winnow.plans.text_queries import _rule_sql, lines_sql
 from winnow.sources.objects import list_objects
@@ -61,6 +61,25 @@ def errors_by_function(src: Source) -> DataFrame:
     return aggregate.errors_by_function(src("error_logs"), 100)
 
 
+@query(
+    """SELECT coalesce(name, 'unknown') AS name, count(*) AS n_errors,
+              arg_max(message, {'a': ts, 'b': log_id}) AS first_message
+       FROM <<error_logs>> GROUP BY 1"""
+)
+def errors_by_function_whole(src: Source) -> DataFrame:
+    return aggregate.errors_by_function(src("error_logs"))
+
+
+@query(
+    f"""SELECT path, severity, CAST(GROUPING(path, severity) AS INTEGER) AS level, count(*) AS n_findings,
+               CAST(count(DISTINCT rule_id) AS INTEGER) AS n_rules
+        FROM {_FINDINGS} GROUP BY ROLLUP (path, severity)"""
+)
+def findings_rollup(src: Source) -> DataFrame:
+    """Findings of every file and severity, of every file, and of all."""
+    return aggregate.findings_rollup(_findings(src))
+
+
 @query(
     """SELECT count(*) FILTER (state = 'RUNNING') AS n_running, count(*) AS n_total,
               (SELECT count(*) FROM <<jobs>>) AS n_jobs FROM <<clusters>>"""
@@ -227,6 +246,14 @@ def latest_run_first_jobs(src: Source) -> DataFrame:
     return select.latest_run_per_job(src("jobs"), src("runs"), 10)
 
 
+@query(
+    f"""SELECT j.job_id, job_name, coalesce(state, 'NO_RUNS') AS state
+        FROM <<jobs>> j LEFT JOIN {_LATEST} ON j.job_id = r.job_id"""
+)
+def latest_run_each_job(src: Source) -> DataFrame:
+    return select.latest_run_per_job(src("jobs"), src("runs"))
+
+
 @query(
     """SELECT c.c_custkey AS job_id, coalesce(r.state, 'NO_RUNS') AS state FROM customer c
        LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, {'a': o_orderdate, 'b': o_orderkey}) AS state
@@ -255,6 +282,17 @@ def recent_errors(src: Source) -> DataFrame:
     return select.recent_errors(functions, src("error_logs"), 5, limit=200).drop("ts")
 
 
+@query(
+    """SELECT name, log_id, message, CAST(rn AS INTEGER) AS rank FROM (
+         SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, log_id DESC) AS rn FROM <<error_logs>>
+         WHERE name IN (SELECT 'fn-' || regexp_extract(resource, '[0-9]+$') FROM <<functions>>)) l
+       WHERE rn <= 2"""
+)
+def recent_errors_everywhere(src: Source) -> DataFrame:
+    functions = src("functions").select(F.regexp_extract("resource", "[^/]+$", 0).alias("name"))
+    return select.recent_errors(functions, src("error_logs")).drop("ts")
+
+
 @query(
     """SELECT run_id, job_id FROM (
          SELECT * FROM (SELECT * FROM <<runs>> ORDER BY started DESC, run_id DESC LIMIT 20) n
@@ -291,10 +329,10 @@ def short_report(src: Source) -> DataFrame:
 """
 )
 def objects_in_order(src: Source) -> DataFrame:
-    """All entries of a sorted listing with their place."""
-    sorted_rows = select.sort_objects(list_objects(src("object_keys")), F.col("is_dir"), "name")
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("is_dir"), "name"))
-    return sorted_rows.select(place.alias("pos"), "name")
+    """All entries of a sorted listing with their place, numbered in ranges of the order."""
+    listed = select.sort_objects(list_objects(src("object_keys")), F.col("is_dir"), "name")
+    placed = numbered(listed, ["is_dir", "name"], "pos", descending=("is_dir",))
+    return placed.select(F.col("pos").cast("int").alias("pos"), "name")
 
 
 @query(

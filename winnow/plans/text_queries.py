@@ -159,11 +159,33 @@ def table_schemas(src: Source) -> DataFrame:
     for name in _TABLE_NAMES:
         src(name).createOrReplaceTempView(f"winnow_{name}")
     listed = tables.describe_tables(src.spark, [f"winnow_{name}" for name in _TABLE_NAMES])
-    return tables.schema_listing(listed).withColumn(
+    return tables.schema_listing(listed).drop("catalog", "database").withColumn(
         "table_name", F.replace("table_name", F.lit("winnow_"), F.lit(""))
     )
 
 
+_TWO_DATABASES = {"winnow_shop": "customer", "winnow_stock": "part"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT 'spark_catalog' AS catalog, '{database}' AS database, 'items' AS table_name,
+                   CAST(ordinal_position AS BIGINT) AS position, column_name, {_TYPE_CASE} AS type_text
+            FROM information_schema.columns WHERE table_name = '{table}'"""
+        for database, table in _TWO_DATABASES.items()
+    )
+)
+def catalog_of_two_databases(src: Source) -> DataFrame:
+    """Two databases that hold a table of the same name, found by walking all catalogs."""
+    spark = src.spark
+    for database, table in _TWO_DATABASES.items():
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{scratch_dir(spark, database)}'")
+        path = f"{src.folder}/{table}.parquet"
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.items AS SELECT * FROM parquet.`{path}`")
+    listed = tables.describe_levels(spark).where(F.col("database").isin(*_TWO_DATABASES))
+    return listed.select("catalog", "database", "table_name", "position", "column_name", "type_text")
+
+
 @query(
     """SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS n_rows
        FROM customer ORDER BY c_custkey LIMIT 10"""
@@ -494,6 +516,24 @@ def log_filter(src: Source) -> DataFrame:
     return found.select("log_id", "name", "message")
 
 
+@query(
+    """SELECT log_id, name, message FROM <<messages>>
+       WHERE contains(message, 'ERROR') AND ts >= TIMESTAMP '2024-01-05 00:00:00'"""
+)
+def log_filter_whole(src: Source) -> DataFrame:
+    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    return select.filter_logs(src("messages"), "ERROR", start).select("log_id", "name", "message")
+
+
+@query(
+    """SELECT log_id, severity, message FROM <<messages>>
+       WHERE resource = 'cloud_function' AND severity IN ('ERROR', 'WARNING')"""
+)
+def logs_at_severity_whole(src: Source) -> DataFrame:
+    found = select.filter_logs_by_severity(src("messages"), "WARNING", "cloud_function", None)
+    return found.select("log_id", "severity", "message")
+
+
 @query(
     """SELECT log_id, severity, message FROM <<messages>>
        WHERE resource = 'cloud_function' AND severity IN ('ERROR', 'WARNING') ORDER BY ts DESC, log_id DESC LIMIT 50"""

@@ -14,6 +14,8 @@ PREVIEW_CELL = 50
 
 COLUMN_SCHEMA = T.StructType(
     [
+        T.StructField("catalog", T.StringType()),
+        T.StructField("database", T.StringType()),
         T.StructField("table_name", T.StringType()),
         T.StructField("position", T.LongType()),
         T.StructField("column_name", T.StringType()),
@@ -51,15 +53,22 @@ def run_sql(
     return result.limit(max_rows).select(*cells, total.alias("total_rows"))
 
 
+def _columns_of(spark: SparkSession, name: str, place: tuple[str | None, str | None, str]) -> list[tuple]:
+    """One row for each column of a table or view, in order."""
+    listed = spark.catalog.listColumns(name)
+    return [(*place, i, c.name, c.dataType, c.nullable, c.description, c.isPartition) for i, c in enumerate(listed, start=1)]
+
+
 def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Columns of the named tables or views with position, type and nullability.
+    """Columns of the named tables or views with catalog, database, position, type and nullability.
 
-    Only metadata is listed, so the rows are as many as there are columns.
+    Only metadata is listed, so the rows are as many as there are columns. Temporary views have no catalog and database.
     """
     rows = []
     for name in names:
-        for i, c in enumerate(spark.catalog.listColumns(name), start=1):
-            rows.append((name, i, c.name, c.dataType, c.nullable, c.description, c.isPartition))
+        table = spark.catalog.getTable(name)
+        own = (None, None) if table.isTemporary else (table.catalog, ".".join(table.namespace or []) or None)
+        rows += _columns_of(spark, name, (*own, table.name))
     return spark.createDataFrame(rows, COLUMN_SCHEMA)
 
 
@@ -72,6 +81,36 @@ def describe_catalog(spark: SparkSession, database: str | None = None) -> DataFr
     return describe_tables(spark, names)
 
 
+def _quoted(*parts: str) -> str:
+    return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
+
+
+def catalog_levels(spark: SparkSession, catalogs: list[str] | None = None) -> DataFrame:
+    """``catalog, database, table_name, is_temporary`` of every table and view, level by level.
+
+    Without ``catalogs`` all that the session knows are walked. Databases of databases are named with dots; a
+    temporary view, which every database lists, comes once, without catalog and database.
+    """
+    rows = set()
+    for catalog in catalogs or [c.name for c in spark.catalog.listCatalogs()]:
+        waiting = [tuple(r) for r in spark.sql(f"SHOW NAMESPACES IN {_quoted(catalog)}").collect()]
+        for (database,) in waiting:
+            for t in spark.sql(f"SHOW TABLES IN {_quoted(catalog, *database.split('.'))}").collect():
+                own = (None, None) if t.isTemporary else (catalog, database)
+                rows.add((*own, t.tableName, t.isTemporary))
+    ordered = sorted(rows, key=lambda r: tuple(x or "" for x in r[:3]))
+    return spark.createDataFrame(ordered, "catalog string, database string, table_name string, is_temporary boolean")
+
+
+def describe_levels(spark: SparkSession, catalogs: list[str] | None = None) -> DataFrame:
+    """Columns of every table and view of every database of every catalog, temporary views included."""
+    rows = []
+    for t in catalog_levels(spark, catalogs).collect():
+        name = _quoted(t.table_name) if t.is_temporary else _quoted(t.catalog, *t.database.split("."), t.table_name)
+        rows += _columns_of(spark, name, (t.catalog, t.database, t.table_name))
+    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+
+
 def schema_listing(columns: DataFrame) -> DataFrame:
     """Per table, its column lines and, apart from them, its partition keys.
 
@@ -85,7 +124,7 @@ def schema_listing(columns: DataFrame) -> DataFrame:
         joined = F.array_join(F.transform(lines, lambda p: p["line"]), "\n")
         return F.coalesce(F.nullif(joined, F.lit("")), F.lit(nothing))
 
-    return columns.groupBy("table_name").agg(
+    return columns.groupBy("catalog", "database", "table_name").agg(
         block(~F.col("is_partition"), "  (no column info)").alias("columns"),
         block(F.col("is_partition"), "  (none)").alias("partition_keys"),
     )
