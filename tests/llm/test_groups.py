@@ -1,6 +1,7 @@
 """Operators on pairs, and the pipeline, against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -86,6 +87,29 @@ def test_close_fingerprints_share_an_anchor(rows):
     assert ((member @ member.T > 0) | ~close).all()
 
 
+def test_anchors_keep_few_rows():
+    assert all(sum(sizes) == 64 and all(s % 2 for s in sizes) for sizes in simhash.LADDER)
+    assert all(len(b) > len(a) for a, b in zip(simhash.LADDER, simhash.LADDER[1:]))
+    for power in range(3, 12):
+        assert simhash.anchor_rows(10**power, simhash.block_sizes(10**power)) <= 2000
+
+
+def test_a_block_of_near_copies_stays_small():
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 60_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60_000).astype(np.uint64)))
+    fps = np.unique(np.concatenate([fps, rng.integers(0, 2**63, simhash.BLOCK_ROWS - len(fps)).astype(np.uint64)]))
+    tracemalloc.start()
+    a, b = simhash.local_links(fps, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    links = [(i, j) for i in range(200) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4]
+    root = roots(200, links)
+    found = dict(zip(*simhash.local_links(fps[:200], 4)))
+    assert [int(found.get(x, x)) for x in fps[:200]] == [int(fps[r]) for r in root]
+    assert len(a) > 2000 and len(set(b.tolist())) == 1
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK_ROWS, 8])
 def test_simhash_groups(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)  # 8: every anchor is cut into blocks
@@ -106,7 +130,7 @@ def test_simhash_groups(spark, monkeypatch, block):
     root = roots(len(ids), links)
     smallest = {r: min(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)}
     wanted = sorted((ids[i], f"{prints[i]:016x}", smallest[root[i]], smallest[root[i]] == ids[i]) for i in range(len(ids)))
-    assert sorted(map(tuple, simhash.simhash_groups(docs).collect())) == wanted
+    assert sorted(tuple(r)[:4] for r in simhash.simhash_groups(docs).collect()) == wanted
 
 
 # --- lines
@@ -236,15 +260,54 @@ def brute_vectors(made, limit=embeddings.MIN_COSINE):
     return sorted(((made[i][0] if made[i][0] is not None else -1), int(n[i]), low[root[i]] if made[i][0] is not None else -1) for i in range(len(made)))
 
 
-@pytest.mark.parametrize("shard, block", [(embeddings.SHARD_ROWS, embeddings.QUERY_ROWS), (40, 33)])
-def test_embedding_groups(spark, shard, block):
+@pytest.mark.parametrize("shard, block, part", [(embeddings.SHARD_ROWS, embeddings.QUERY_ROWS, embeddings.PART_BYTES), (40, 33, 1000)])
+def test_embedding_groups(spark, monkeypatch, shard, block, part):
+    monkeypatch.setattr(embeddings, "PART_BYTES", part)
     made = vectors()
-    table = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit(0)).repartition(3)
-    found = embeddings.embedding_groups(table, shard_rows=shard, query_rows=block).collect()
+    table = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(3)
+    table = table.withColumns({c: F.lit(0) for c in ("n_links", "cid", "component_id", "kept", "dim", "shard", "group", "n")})
+    found = embeddings.embedding_groups(table, shard_rows=shard, query_rows=block, growth=0).collect()
     assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id) for r in found) == brute_vectors(made)
     assert embeddings.embedding_groups(table.where("false")).count() == 0
 
 
+def test_vectors_are_sent_to_few_shards(spark):
+    rows = [10**k for k in range(3, 9)]
+    found = spark.createDataFrame([(n,) for n in rows], "n long").select("n", embeddings.shards(F.col("n")).alias("s")).collect()
+    sent = {r.n: r.s for r in found}
+    assert sent[1000] == 1 and all(sent[10 * n] <= 4 * sent[n] for n in rows[2:-1])
+    assert all(n / sent[n] <= embeddings.MOST_SHARD_ROWS for n in rows)
+
+
+def test_no_link_is_lost_beside_a_hot_cluster():
+    """A cluster of copies that fills every beam, and pairs that it must not hide."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    hot = centre + rng.normal(size=(700, 16)) * 0.03
+    pairs = rng.normal(size=(500, 16))
+    unit = np.concatenate((hot, pairs, pairs + rng.normal(size=pairs.shape) * 0.03))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    graph, order = hnsw.build(unit, rng.random(len(unit)) * 0.999 + 0.0005)
+    held = unit[order]
+    own = np.arange(len(held))
+    found = {(int(a), int(b)) for _, nodes, query in embeddings.search_shard(graph, held, held, own, 0.93) for a, b in zip(query, nodes)}
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(held @ held.T >= 0.93)) if a != b}
+    assert found <= true and len(found) >= 0.999 * len(true)
+    cold = {t for t in true if not any(order[i] < 700 for i in t)}
+    assert len(found & cold) >= 0.995 * len(cold)
+
+
+def test_audits_have_links_and_no_self_hits():
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(300, 24))  # no two of them link
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    audits, own = embeddings._audits(unit, unit, np.arange(300), 0.93)
+    assert np.allclose(np.linalg.norm(audits, axis=1), 1)
+    made = own < 0
+    assert ((audits[made] @ unit.T >= 0.93 - 1e-9).any(axis=1)).all() and made.sum() == embeddings.AUDITS
+    assert (np.sort(own[~made]) >= 0).all() and len(set(own[~made])) == (~made).sum()
+
+
 def test_graph_finds_nearly_all_neighbours():
     rng = np.random.default_rng(5)
     unit = rng.normal(size=(3000, 32))
@@ -259,6 +322,23 @@ def test_graph_finds_nearly_all_neighbours():
 # --- pipeline
 
 
+def test_no_text_is_lost_where_rows_share_a_doc_id(spark, tmp_path):
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=200)) for _ in range(4))
+    near = b + " more"
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(1, a), (5, a), (5, b), (7, near), (5, b), (None, a), (9, c), (9, d), (None, c), (11, f"{c} {passage} {d}"), (11, d + " x")]
+    rows += [(9, f"{passage} q"), (None, f"q {passage}"), (None, "q"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] or -1, r[1] or "")
+    found = sorted(map(tuple, corpus_pipeline.dedup_documents(spark, docs, "").collect()), key=key)
+    gone = {(5, a), (7, near), (4, "")} | {(11, d + " x")}
+    assert found == sorted((r for r in rows if r not in gone), key=key)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(map(tuple, corpus_pipeline.decontaminate_documents(spark, docs, str(tmp_path)).collect()), key=key)
+    assert found == sorted((r for r in rows if passage not in (r[1] or "")), key=key)
+
+
 def test_pipeline_against_its_parts(spark):
     """Each stage's brute-force version, applied to what the stages before it kept."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

@@ -160,7 +160,9 @@ def _document_grams(docs: DataFrame, maps: dict[int, np.ndarray], window: int, g
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, keyed: bool = False
+) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items`` of every document.
 
     Words are runs of digits, letters a to z (A to Z in lower case) and characters beyond ASCII. A
@@ -170,8 +172,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
     Kept n-grams are joined as texts and extended word by word on both sides.
 
     Null and empty texts have no words; items without words or without an item_id are never found. Rows
-    that share a doc_id each get a row. Empty tables give an empty result, or documents without hits.
-    Other columns are ignored.
+    that share a doc_id each get a row; with ``keyed`` a hash of the text, ``text_key``, tells them apart. A document without
+    doc_id has a row like any other. Texts are read whole, one longer than a megabyte on its own. Empty tables give an empty
+    result, or documents without hits. Other columns are ignored.
     """
     reach = window - gram
     items = items.select("item_id", "text")
@@ -232,6 +235,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
             "items",
+            *([F.col("key").alias("text_key")] if keyed else []),
             F.explode(F.sequence(F.lit(1), "copies")).alias("copy"),
         )
         .drop("copy")

@@ -67,27 +67,40 @@ def fingerprint_values(texts: list[str | None], width: int = SHINGLE_WORDS) -> n
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (long, the bits of the fingerprint) of every document; null texts count as empty."""
+    """``doc_id, text_key, fp`` of every document: a hash of its text, and the bits of the fingerprint (long).
+
+    Null texts count as empty, but have a hash of their own.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = fingerprint_values(batch.column("text").to_pylist(), width).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "text_key", "fp"])
+
+    chosen = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return map_texts(chosen, run, "doc_id long, text_key long, fp long")
+
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+#: Block lengths from coarse to fine; each has two or more blocks than the one before.
+LADDER = [
+    [7] * 7 + [5] * 3, [7] * 2 + [5] * 10, [5] * 11 + [3] * 3, [5] * 8 + [3] * 8, [5] * 5 + [3] * 13, [5] * 2 + [3] * 18,
+    *([3] * n + [1] * (64 - 3 * n) for n in range(21, 9, -1)),
+]
+
+
+def anchor_rows(rows: int, sizes: list[int], max_bits: int = MAX_BITS) -> float:
+    """Fingerprints that an anchor is expected to get, copies to several anchors included."""
+    probe = np.random.default_rng(0).integers(0, 1 << 63, 64, np.uint64, endpoint=False) * np.uint64(2)
+    return rows * len(replicas(probe, sizes, max_bits)[0]) / len(probe) / 2 ** len(sizes)
 
 
 def block_sizes(rows: int, max_bits: int = MAX_BITS) -> list[int]:
     """Odd block lengths that add up to 64: coarse for few fingerprints, finer for more.
 
     The anchors are all words that are constant on every block, a covering code: a point's nearest
-    anchor is its majority bit on every block, at most half of the bits away.
+    anchor is its majority bit on every block, at most half of the bits away. A single bit is a block too, so the
+    code gets finer until an anchor has few rows, whatever the table.
     """
-    for sizes in ([7] * 7 + [5] * 3, [7] * 2 + [5] * 10, [5] * 11 + [3] * 3, [5] * 8 + [3] * 8, [5] * 5 + [3] * 13):
-        probe = np.random.default_rng(0).integers(0, 1 << 63, 64, np.uint64, endpoint=False) * np.uint64(2)
-        copies = len(replicas(probe, sizes, max_bits)[0]) / len(probe)
-        if rows * copies / 2 ** len(sizes) <= ANCHOR_ROWS:
-            break
-    return sizes
+    return next((sizes for sizes in LADDER if anchor_rows(rows, sizes, max_bits) <= ANCHOR_ROWS), LADDER[-1])
 
 
 def replicas(fps: np.ndarray, sizes: list[int], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,25 +134,39 @@ def replicas(fps: np.ndarray, sizes: list[int], max_bits: int) -> tuple[np.ndarr
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
+#: Fingerprints that are compared with all others of an anchor at once.
+STRIP_ROWS = 256
+
+
+def _fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest labels over the links between ``a`` and ``b``, added to what is known."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        open_ = (label[a] != low) | (label[b] != low)
+        if not open_.any():
+            return label
+        a, b, low = a[open_], b[open_], low[open_]
+        for ends in (a, b):
+            np.minimum.at(label, label[ends], low)
+            np.minimum.at(label, ends, low)
+        while True:
+            shorter = label[label]
+            if (shorter == label).all():
+                break
+            label = shorter
+
+
 def local_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint that is not the first of its local component, and that first one."""
+    """Each fingerprint that is not the first of its local component, and that first one.
+
+    The links of a strip go into the labels at once, so no more than those of one strip are held.
+    """
     label = np.arange(len(fps))
-    left, right = [], []
-    for start in range(0, len(fps), 512):
-        part = fps[start : start + 512]
+    for start in range(0, len(fps), STRIP_ROWS):
+        part = fps[start : start + STRIP_ROWS]
         i, j = np.nonzero(np.bitwise_count(part[:, None] ^ fps[None, start:]) <= max_bits)
         keep = i < j
-        left.append(i[keep] + start)
-        right.append(j[keep] + start)
-    a, b = np.concatenate(left), np.concatenate(right)
-    while len(a):
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
+        label = _fold(label, i[keep] + start, j[keep] + start)
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
@@ -203,12 +230,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fingerprint, component_id, kept`` of every document.
+    """``doc_id, fingerprint, component_id, kept, text_key, group`` of every document.
 
     Documents whose fingerprints differ in at most ``max_bits`` bits are linked; a component is named by
     its smallest doc_id and that document is kept. Texts without words have fingerprint zero and are
     linked like any other. Equal fingerprints are one node, so copies are never paired. Rows that
-    share a doc_id each get a row; rows without a doc_id take part and are kept. An empty table gives
+    share a doc_id each get a row, told apart by ``text_key``, a hash of the text, and may name two components alike, told apart
+    by ``group``, the bits of a fingerprint of each; rows without a doc_id take part and are
+    kept. Null texts count as empty. Texts are read whole, one longer than a megabyte on its own. An empty table gives
     an empty result; other columns are ignored.
     """
     rows = cut_lineage(fingerprints(docs, width), "fingerprints")
@@ -218,10 +247,12 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int =
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    named = joined.select("fp", "root").join(lowest, "root").select("fp", "component_id", F.col("root").alias("group"))
     return rows.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        "text_key",
+        "group",
     )
