@@ -31,7 +31,7 @@ WINDOW = 16
 RATE = 0.02
 #: All training texts are dealt over so many rounds, after each of which the weights of the learners are averaged.
 ROUNDS = 4
-ROUND_RATE = 0.015
+ROUND_RATE = 0.03
 ROUND_LANES = 2048
 #: Expected tokens that a learner meets in a round: so many, or so many for each weight that it hands back.
 LEARNER_TOKENS = 1 << 20
