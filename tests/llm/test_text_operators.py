@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,58 @@ def test_a_repeated_secret_is_no_word():
     assert [s for s, _, _ in secrets.scan("pwd: kqzvbnrtxwpl\nand again\npwd: kqzvbnrtxwpl")[1]] == [5, 33]
 
 
+CLEAN = [
+    "the secret is extraordinarily well kept", "the password is unfortunately forgotten",
+    "auth: internationalization", "access_key: /usr/local/share/documents",
+]
+
+
+def test_planted_secrets_and_ordinary_prose(spark):
+    """Words that other documents hold are no secrets, whatever they stand beside; random values are."""
+    rng = random.Random(17)
+    prose = "we found that the extraordinarily long path /usr/local/share/documents needs internationalization, unfortunately. it was forgotten and kept well"
+    words = re.findall("[a-z]+", prose)
+    made = [prose, prose.upper()] + [" ".join(rng.choices(words, k=30)) for _ in range(60)]
+    clean = CLEAN + [f"{cue} {rng.choice(words)}{sep}{rng.choice(words)}" for cue in ("token:", "pwd =", "credentials:") for sep in ("/", ".", "_", "-") for _ in range(5)]
+    alphabet = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789$!#%"
+    cues = ["pwd: ", "credentials = ", "the passcode is ", "private_key: ", "auth: ", "passphrase => "]
+    values = ["".join(rng.choices(alphabet, k=rng.randrange(12, 30))) for _ in range(60)]
+    values = [v for v in values if v[-1] not in ".)]}!?:"]
+    planted = [f"{rng.choice(words)} {rng.choice(cues)}{v} {rng.choice(words)}" for v in values]
+    docs = spark.createDataFrame(list(enumerate(made + clean + planted)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    first = len(made) + len(clean)
+    assert [i for i in range(first) if found[i].n_guess or found[i].spans != found[i].base] == []
+    assert all(not found[i].spans for i in range(len(made) + len(CLEAN)))
+    caught = 0
+    for i, (text, value) in enumerate(zip(planted, values), first):
+        at = text.index(value)
+        caught += any(int(s) <= at and at + len(value) <= int(e) for _, s, e in (x.split(":") for x in found[i].spans.split(",") if x))
+    assert caught == len(planted)
+
+
+def test_corpus_words(spark):
+    docs = spark.createDataFrame(
+        [(1, "apple Apple pear pwd: kqzvbnrtxwpl"), (2, "apple kqzvbnrtxwpl x"), (3, "Pear apple éclair " + "y" * 40), (4, None), (5, "éclair")],
+        "doc_id long, text string",
+    )
+    assert secrets.corpus_words(docs) == {"apple": 1, "pear": 2, "éclair": 3}
+    assert secrets.corpus_words(docs, 1) == {"apple": 1}
+
+
+def test_long_values_are_priced_in_linear_time():
+    rng = random.Random(2)
+    for value in ("abcdefgh" * 125_000, "".join(rng.choices("xz", k=1_000_000)), "password" * 125_000, "qwerty1" * 150_000):
+        start = time.process_time()
+        assert secrets.scan(f"pwd: {value}")[1] == [(5, 3, 5 + len(value))] and time.process_time() - start < 2
+
+
+def test_a_repeat_costs_its_unit_alone():
+    unit = secrets.guess_cost("xk3pq9")
+    assert secrets.guess_cost("summerxk3pq9xk3pq9") <= secrets.guess_cost("summer") + unit + math.log10(2) + 1e-9
+    assert secrets.guess_cost("xk3pq9" * 3) == pytest.approx(unit + math.log10(3))
+
+
 # --- personal data
 
 PATTERNS = {

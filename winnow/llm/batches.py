@@ -91,6 +91,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Bytes of words that end at ASCII white space.
 SPACED = np.array([b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) for b in range(256)])
+#: Bytes of words of lower-case letters and everything beyond ASCII.
+LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Bytes of words made of digits, lower-case letters and everything beyond ASCII.
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -124,6 +126,15 @@ class Words:
         own = (sums[self.ends] - sums[self.starts]) * powers(_INVERSE, n + 1)[self.starts]
         return mix(own + (self.ends - self.starts).astype(np.uint64))
 
+    def strings(self, chosen: np.ndarray) -> pa.Array:
+        """The chosen words (ascending numbers) as a column of bytes."""
+        edges = np.zeros(len(self.data) + 1, np.int8)
+        edges[self.starts[chosen]] += 1
+        edges[self.ends[chosen]] -= 1
+        held = self.data[np.cumsum(edges[:-1]).astype(bool)]
+        offsets = np.concatenate(([0], np.cumsum((self.ends - self.starts)[chosen]))).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+
     def text(self, start: int, stop: int) -> str:
         """Words ``start`` to ``stop - 1``, joined by spaces."""
         held = self.data

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from winnow.llm.batches import Words, mix, pieces, powers, utf8
+from winnow.llm.batches import LETTERS, Words, mix, pieces, powers, utf8
 from winnow.operators.skew import top_per_key
 from winnow.sources.scratch import cut_lineage
 
@@ -35,8 +35,6 @@ ROW_BITS = 20
 #: Below this, SCALE times a count fits into a long.
 SMALL = 9_000_000_000
 
-#: Bytes of terms: lower-case letters and everything beyond ASCII.
-LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -63,15 +61,6 @@ class Terms(Words):
         mixed = mix((own + (stops - starts).astype(np.uint64)) ^ self._lang[chosen]) >> np.uint64(ROW_BITS)
         return (mixed & np.uint64(0xFFFFFFFFFFFFFFFE)) | (stops < ends).astype(np.uint64)
 
-    def strings(self, chosen: np.ndarray) -> pa.Array:
-        """The chosen terms as a column of bytes."""
-        edges = np.zeros(len(self.data) + 1, np.int8)
-        edges[self.starts[chosen]] += 1
-        edges[self.ends[chosen]] -= 1
-        held = self.data[np.cumsum(edges[:-1]).astype(bool)]
-        offsets = np.concatenate(([0], np.cumsum(self.lengths[chosen]))).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
-
 
 def _salt(lang: str) -> int:
     """A number for a language, the same on every machine."""
