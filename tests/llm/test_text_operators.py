@@ -1,6 +1,7 @@
 """Operators on single texts against brute force."""
 
 import hashlib
+import ipaddress
 import itertools
 import math
 import random
@@ -193,6 +194,47 @@ def test_cards_side_by_side(spark):
     assert all(found[i].spans == "" for i in range(200, 400))
 
 
+def added_personal(text):
+    """Spans that a plain reading adds, for texts without base spans beside them."""
+    found = []
+    for m in re.finditer(r"[\w.%+-]+ ?[\[(](?:at|AT|@)[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(](?:dot|DOT|\.)[\])] ?)[A-Za-z0-9-]+)+", text, re.A):
+        found.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"(?<![\w:.])[0-9A-Fa-f:]{6,}(?![\w:.])", text):
+        try:
+            # times and names of code look like short ones
+            if ipaddress.ip_address(m[0]).version == 6 and re.search("[0-9A-Fa-f]{3}", m[0]) and re.search("[0-9]", m[0]):
+                found.append(("ip", m.start(), m.end()))
+        except ValueError:
+            pass
+    for m in re.finditer(r"(?<![0-9./-])\d{4}[./_]\d{4}[./_]\d{4}[./_]\d{2,7}(?![0-9./-])", text):
+        if luhn(re.sub(r"\D", "", m[0])):
+            found.append(("card", m.start(), m.end()))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(found, key=lambda x: x[1]))
+
+
+def test_added_personal_data(spark):
+    """Wide spans are added where they pass the base checks, and only there, in small tables and large ones."""
+    rng = random.Random(31)
+    card = lambda good: next(c for c in ("".join(rng.choices("0123456789", k=16)) for _ in range(10_000)) if luhn(c) == good)
+    dotted = lambda c, mark: mark.join(c[i : i + 4] for i in range(0, 16, 4))
+    made = []
+    for i in range(120):
+        word = "".join(rng.choices("abcdefgh", k=6))
+        made += [
+            f"write to {word} [at] mail.example.org now", f"mail {word}(at)example [dot] com", "host 2001:db8::%x is up" % rng.randrange(1, 65536),
+            "addr fe80:0:0:0:%x:1:2:3" % rng.randrange(1, 65536), f"card {dotted(card(True), '.')} paid", f"number {dotted(card(False), '.')} here",
+            f"std::{word} at 12::30 and a::b", f"{word} at noon", f"card {card(True)}", f"ref {card(False)}", "ip 10.0.0.%d" % rng.randrange(400),
+        ]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in personal.find_personal_data(docs).collect()}
+    for i, text in enumerate(made):
+        wanted = ",".join(filter(None, [added_personal(text)]))
+        assert found[i].spans == ",".join(filter(None, [found[i].base, wanted])), text
+    assert sum(r.n_added for r in found.values()) == 5 * 120
+    few = spark.createDataFrame(list(enumerate(made[:11])), "doc_id long, text string")
+    assert sum(r.n_added for r in personal.find_personal_data(few).collect()) <= 5
+
+
 # --- SentencePiece
 
 
@@ -242,6 +284,49 @@ def test_model_is_a_distribution():
         assert math.isclose(np.exp2(model.log2(np.uint64(context << 16) | symbols)).sum(), 1, rel_tol=1e-9)
 
 
+def kneser_ney(sequences):
+    """Interpolated Kneser-Ney over tuples of symbols, by its definition."""
+    tables = {language.ORDER: Counter(sequences)}
+    for order in range(language.ORDER - 1, 0, -1):
+        tables[order] = Counter(g[1:] for g in tables[order + 1])
+    discount = {}
+    for order, counts in tables.items():
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount[order] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+    def chance(gram):
+        order = len(gram)
+        if not order:
+            return 1 / language.SYMBOLS
+        follow = {g: c for g, c in tables[order].items() if g[:-1] == gram[:-1]}
+        lower = chance(gram[1:])
+        if not follow:
+            return lower
+        total, d = sum(follow.values()), discount[order]
+        return max(tables[order][gram] - d, 0) / total + d * len(follow) / total * lower
+
+    return chance
+
+
+def test_models_are_kneser_ney_by_definition():
+    texts_ = ["the cat sat on the mat, the end", "a dog ran by the cat and sat", "éa ça ira", "x", ""]
+    found = language.grams(texts_)
+    model = language.KneserNey(*np.unique(found.keys, return_counts=True))
+    tuples = [tuple(int(k) >> 16 * i & 0xFFFF for i in range(language.ORDER - 1, -1, -1)) for k in found.keys]
+    chance = kneser_ney(tuples)
+    rng = random.Random(4)
+    symbols = sorted({x for t in tuples for x in t}) + [60_000]
+    asked = tuples + [t[:-1] + (rng.choice(symbols),) for t in tuples] + [tuple(rng.choices(symbols, k=language.ORDER)) for _ in range(200)]
+    keys = np.array([sum(x << 16 * i for i, x in enumerate(reversed(t))) for t in asked], np.uint64)
+    assert np.allclose(np.exp2(model.log2(keys)), [chance(t) for t in asked], rtol=1e-9)
+    other = ["the dog sat", "ça va", "zebra 12 quiz"]
+    own = language.grams(other)
+    bits = language.cross_entropy(own, [model])[:, 0]
+    for first, n, got in zip(own.first, own.counts, bits):
+        each = [tuple(int(k) >> 16 * i & 0xFFFF for i in range(language.ORDER - 1, -1, -1)) for k in own.keys[first : first + n]]
+        assert got == pytest.approx(-sum(math.log2(chance(t)) for t in each) / n, rel=1e-9)
+
+
 def test_score_does_not_depend_on_neighbours():
     found = language.grams(["the cat sat", "der hund lief"])
     keys, n = np.unique(found.keys, return_counts=True)

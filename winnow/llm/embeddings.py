@@ -270,7 +270,7 @@ def embedding_groups(
 
     Vectors without label or vec_id, empty, zero, or with null or non-finite components link with
     nothing and are their own component; without vec_id it is null and the vector kept. Rows that share
-    a vec_id are vectors of their own. An empty table gives an empty result; other columns are ignored.
+    a vec_id are vectors of their own. Vectors of any length are compared whole. An empty table gives an empty result; other columns are ignored.
     """
     rows = cut_lineage(_rows(vectors), "vectors")
     found = cut_lineage(classes(rows), "classes")

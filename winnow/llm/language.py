@@ -317,7 +317,8 @@ def language_report(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE)
 
     Models learn from documents whose crc32(doc_id as text) mod 3 is not 1 (``held_out`` marks the
     others) and that have a language; documents without doc_id are never learned from and not held
-    out. Repeated rows each get a row. Without labelled documents every prediction is ``und``; an empty
+    out. Null and empty texts, and those without a letter, are ``und``. Texts are read whole, one longer than a megabyte on its
+    own. Repeated rows each get a row. Without labelled documents every prediction is ``und``; an empty
     table gives an empty result; other columns are ignored.
     """
     model = learn(docs, docs_per_language)

@@ -231,7 +231,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     and only the first occurrence stays. Shorter lines stay. ``line_counts`` has ``lines`` and ``kept``.
 
     Null texts stay null with zero lines. Documents without doc_id have no place in the order: they stay
-    as they are. Rows that share a doc_id are one document; a line number that stays in one stays in all.
+    as they are. Rows that share a doc_id are one document; a line number that stays in one stays in all. Texts and lines are
+    taken whole, a text longer than a megabyte on its own.
     An empty table gives an empty result.
     """
     if max_edits not in (0, 1):
@@ -269,7 +270,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_kept, text`` of every document after line dedup."""
+    """``doc_id, n_lines, n_kept, text`` of every document after line dedup; every case as ``dedup_lines`` states it."""
     found = dedup_lines(docs.select("doc_id", "text"))
     return found.select(
         F.col("doc_id").cast("long"), F.col("line_counts.lines").alias("n_lines"), F.col("line_counts.kept").alias("n_kept"), "text"

@@ -22,13 +22,16 @@ BASE = {
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
 #: High-recall generators: spans that look like a kind but miss its base pattern.
+_AT = r"\x20?[\[(](?:at|AT|@)[\])]\x20?"
+_DOT = r"\x20?[\[(](?:dot|DOT|\.)[\])]\x20?"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 WIDE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(](?:dot|DOT|\.)[\])]\x20?)[A-Za-z0-9-]{1,64}){1,8}",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++",
+    "ip": rf"(?<![0-9A-Fa-f:.])(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,5}})?::(?:{_GROUPS}{{0,5}})?)(?![0-9A-Za-z:.])",
     "card": r"(?<![0-9./-])(?:[0-9]{14,19}|[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{2,7}|[0-9]{4}(?:\x20[0-9]{4}){3})(?![0-9./-])",
-    "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)\x20?|00[0-9]{1,3}[\x20-]|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,6}(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)\x20?|00[0-9]{1,3}[\x20-]|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,6}(?![0-9A-Za-z-]|[./][0-9])",
 }
-WIDE_GATES = {"email": r"[\[(](?:at|AT|@)[\])]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{14}|[0-9][./_\x20][0-9]{4}[./_\x20]", "phone": r"[0-9]{3,4}[\x20.-][0-9]{3}"}
+WIDE_GATES = {"email": r"[\[(](?:at|AT|@)[\])]", "ip": r"::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{14}|[0-9][./_\x20][0-9]{4}[./_\x20]", "phone": r"[0-9]{3,4}[\x20.-][0-9]{3}"}
 
 #: Characters of context on either side of a candidate.
 CONTEXT = 32
@@ -42,9 +45,10 @@ CUES = {
 ROUNDS = 24
 RATE = 0.5
 MIN_LEAF = 5
-#: A threshold must hold this precision on the part of the labelled candidates that is not learned from.
-PRECISION = 0.98
-NEVER = 1.1
+#: A threshold must hold this precision on the part of the labelled candidates that is not learned from, together with so many
+#: more that are right as often as the trees say.
+PRECISION = 0.95
+PRIOR = 4
 _MARK = "\x01"
 
 
@@ -102,7 +106,21 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _features(text: str, kind: str, span: Column) -> list[Column]:
+def _verdict(kind: str, value: Column) -> Column:
+    """Whether a wide span is what it looks like: written as the base pattern wants it, it passes the base check."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(value, _AT, "@"), _DOT, ".")
+        return plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
+    if kind == "ip":
+        groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+        whole = F.when(F.contains(value, F.lit("::")), groups.between(2, 7)).otherwise(groups == 8)
+        return whole & value.rlike("[0-9]") & value.rlike("[0-9A-Fa-f]{3}")
+    if kind == "phone":
+        return F.length(F.regexp_replace(_digits(value), "^00", "")).between(10, 15)
+    return _valid(kind, value)
+
+
+def _features(text: str, kind: str, span: Column, wide: bool) -> list[Column]:
     """Small whole numbers on the format of a span and on what stands beside it."""
     value = span["value"]
     digits = F.length(_digits(value))
@@ -118,14 +136,15 @@ def _features(text: str, kind: str, span: Column) -> list[Column]:
         F.when(before.rlike(r"[A-Za-z0-9.,:/_-]$"), 1).otherwise(0).alias("glued_before"),
         F.when(after.rlike(r"[A-Za-z0-9/_-]"), 1).otherwise(0).alias("glued_after"),
         F.when(_luhn(value) if kind == "card" else F.lit(False), 1).otherwise(0).alias("check"),
+        F.lit(int(wide)).alias("wide"),
     ]
 
 
-FEATURES = ("kind", "digits", "marks", "letters", "long_run", "cue", "glued_before", "glued_after", "check")
+FEATURES = ("kind", "digits", "marks", "letters", "long_run", "cue", "glued_before", "glued_after", "check", "wide")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``found``: overlapping candidate spans of each text, with features and what the base rules say."""
+    """``doc_id`` and ``found``: overlapping candidate spans of each text, with features and what the rules say of them."""
     text = "__text"
     # The mark is replaced by another control character, which no pattern matches either.
     rows = docs.select(F.col("doc_id").cast("long"), F.translate(F.coalesce("text", F.lit("")), _MARK, "\x03").alias(text))
@@ -134,10 +153,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def described(kind: str, base: bool) -> Column:
         def one(span: Column) -> Column:
-            good = _valid(kind, span["value"]) if base else F.lit(False)
-            return F.struct(
-                span["start"].alias("start"), span["stop"].alias("stop"), F.lit(base).alias("base"), good.alias("good"), *_features(text, kind, span)
-            )
+            good = _valid(kind, span["value"]) if base else _verdict(kind, span["value"])
+            place = [span["start"].alias("start"), span["stop"].alias("stop"), F.lit(base).alias("base"), good.alias("good")]
+            return F.struct(*place, *_features(text, kind, span, not base))
 
         return F.transform(F.coalesce(f"{'base' if base else 'wide'}_{kind}", F.expr("cast(array() AS array<struct<start:int,stop:int,value:string>>)")), one)
 
@@ -208,12 +226,13 @@ def _expression(tree, span: Column) -> Column:
 def fit(found: DataFrame) -> tuple[list, list[float]]:
     """Trees, and for each kind the score from which a candidate is redacted.
 
-    The labels are those of the base rules: matches that pass are personal data, matches that fail
-    (a bad check digit, a part over 255, too many digits) are not. Trees see format and context, not the
-    rules. All candidates count, summed to one row per combination of features; features are few small
-    numbers, so there are at most a few thousand combinations, whatever the size of the table.
+    The labels are what the rules say: of base candidates their check (a check digit, parts of 255 at most, the number of
+    digits), of wide ones the same of the span as the base pattern would have it. Trees see format and context. All
+    candidates count, summed to one row per combination of features; features are few small
+    numbers, so there are at most a few thousand combinations, whatever the size of the table. Where few are held out for a
+    kind, what the trees say of them counts beside; so a threshold moves with the evidence, and no kind is left out.
     """
-    labelled = found.select("doc_id", F.explode("found").alias("c")).where("c.base")
+    labelled = found.select("doc_id", F.explode("found").alias("c"))
     held = F.pmod(F.xxhash64("doc_id", "c.start"), F.lit(4)) == 0
     cells = (
         labelled.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], held.alias("held"))
@@ -224,17 +243,23 @@ def fit(found: DataFrame) -> tuple[list, list[float]]:
     trees = _grow([r[:3] for r in rows if not r[3]])
     thresholds = []
     for kind in range(len(KINDS)):
-        own = sorted(((sum(_value(t, r[0]) for t in trees), r[1], r[2]) for r in rows if r[3] and r[0][0] == kind), reverse=True)
+        of_kind = sorted(((sum(_value(t, r[0]) for t in trees), r[1], r[2], r[3]) for r in rows if r[0][0] == kind), reverse=True)
         limit, good, bad = None, 0.0, 0.0
-        for i, (score, g, b) in enumerate(own):
-            good, bad = good + g, bad + b
-            last = i + 1 == len(own) or own[i + 1][0] != score
-            if last and score > 0 and good >= MIN_LEAF and good >= PRECISION * (good + bad):
+        for i, (score, g, b, held_out) in enumerate(of_kind):
+            if held_out:
+                good, bad = good + g, bad + b
+            last = i + 1 == len(of_kind) or of_kind[i + 1][0] != score
+            chance = 1 / (1 + math.exp(-score))
+            if last and good + PRIOR * chance >= PRECISION * (good + bad + PRIOR):
                 limit = score
-        thresholds.append(NEVER * 1e6 if limit is None else limit)
+        thresholds.append(_ABOVE if limit is None else limit)
     return trees, thresholds
 
 
+#: A score that no candidate has.
+_ABOVE = 1e6
+
+
 def _number(kind: int) -> Column:
     return F.size(F.filter("base_spans", lambda span: span["kind"] == kind)).cast("long")
 
@@ -244,11 +269,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     ``base`` and ``spans`` are ``kind:start:end`` by start, then kind, joined by commas, in code points and
     end exclusive. Base spans match a fixed pattern, leftmost and non-overlapping per kind, and pass its
-    check. Wider patterns propose more spans, which may overlap; boosted trees score them, and a span is
-    added if it overlaps no base span, reaches the threshold calibrated for its kind, and is the longest
-    of the added spans it overlaps (the first among equals).
+    check. Wider patterns propose more spans, which may overlap: mail addresses with words for their signs, IPv6 addresses,
+    cards and phones with other separators. A span is added if it passes the check of its kind once it is written as the
+    base pattern has it, boosted trees on format and context give it the score calibrated for its kind, it overlaps no
+    base span, and it is the longest of the added spans it overlaps (the first among equals).
 
-    Null texts count as empty. Repeated rows each get a row; without any candidate nothing is added; an
+    Null texts count as empty. A document without doc_id has a row like any other. Texts are searched whole, however long they
+    are. Repeated rows each get a row; without any candidate nothing is added; an
     empty table gives an empty result; other columns are ignored.
     """
     found = cut_lineage(candidates(docs), "candidates")
@@ -262,7 +289,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         for tree in trees:
             score = score + _expression(tree, span)
         limit = F.element_at(F.array(*[F.lit(t) for t in thresholds]), span["kind"] + 1)
-        return ~span["base"] & (score >= limit)
+        return ~span["base"] & span["good"] & (score >= limit)
 
     def stands(span: Column) -> Column:
         """No base span and no better added span overlaps this one."""
@@ -274,7 +301,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
         return ~F.exists("base_spans", lambda b: overlaps(span, b)) & ~F.exists("proposed", better)
 
-    rows = found.select("doc_id", "found", F.filter("found", lambda s: s["good"]).alias("base_spans"))
+    rows = found.select("doc_id", "found", F.filter("found", lambda s: s["base"] & s["good"]).alias("base_spans"))
     rows = rows.withColumn("proposed", F.filter("found", passes))
     rows = rows.select("doc_id", "base_spans", F.filter("proposed", stands).alias("added"))
 

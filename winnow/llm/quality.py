@@ -268,7 +268,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, training_docs: int = TRAI
     lines, make the score, calibrated to a probability. It learns from a bounded sample of labels whose
     crc32(doc_id as text) mod 5 is not 0; the others are ``held_out``. Documents without doc_id are not.
 
-    Null and empty texts count as one empty line and are scored as such. Without labels, or with one
+    Null and empty texts count as one empty line and are scored as such. Texts are scored whole, one longer than a
+    megabyte on its own. Without labels, or with one
     kind only, the score is their share of good documents, or a half. Repeated rows each get a row; an
     empty table gives an empty result; other columns are ignored.
     """

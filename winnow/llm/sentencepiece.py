@@ -320,7 +320,8 @@ def round_trip(docs: DataFrame, model: bytes | None = None, keep: tuple[str, ...
     """``doc_id``, columns ``keep``, ``n_tokens, n_bytes, exact, ids`` of every document, encoded and decoded again.
 
     ``exact`` says whether decoding gives the text as normalised, in which U+2581 is a space. ``n_bytes``
-    counts byte fallbacks. Null texts have null ids, no tokens and are exact. Repeated rows each get a
+    counts byte fallbacks. Null texts have null ids, no tokens and are exact. A document without doc_id has a row like any
+    other. Texts are encoded whole, one longer than a megabyte on its own. Repeated rows each get a
     row; an empty table gives an empty result; other columns are ignored.
     """
     data = model or read_model()
