@@ -13,8 +13,9 @@ from winnow.llm.batches import map_batches, map_texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Encoded chunks and pairs that a worker remembers; when full, it starts anew.
-MEMO_ENTRIES = 300_000
+#: Encoded chunks, parts of them and pairs that a worker remembers, tens of megabytes in all; when full, it starts anew.
+MEMO_ENTRIES = 100_000
+PAIR_ENTRIES = 200_000
 MEMO_CHARS = 48
 
 # Fixed values of the model format: piece kinds and model kinds.

@@ -152,18 +152,17 @@ def apply_transform(files: DataFrame, fn: Transform, extensions: list[str]) -> D
             return content, FAILED
         return (new, CHANGED) if new and new != content else (content, UNCHANGED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [one(*r) for r in zip(pdf["content"], pdf["path"], pdf["language"])]
-            yield pd.DataFrame(
-                {
-                    "path": pdf["path"],
-                    "content": [d[0] for d in done],
-                    "status": [d[1] for d in done],
-                }
-            )
-
-    return chosen.mapInPandas(run, "path string, content string, status string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, "content"):
+                done = [one(*r) for r in zip(*(part.column(c).to_pylist() for c in ("content", "path", "language")))]
+                contents, statuses = ([d[i] for d in done] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("path"), pa.array(contents, pa.string()), pa.array(statuses, pa.string())],
+                    ["path", "content", "status"],
+                )
+
+    return chosen.mapInArrow(run, "path string, content string, status string")
 
 
 def transform_counts(results: DataFrame) -> DataFrame:

@@ -229,9 +229,11 @@ def activation_changes_unordered(src: Source) -> DataFrame:
     day = F.unix_date(F.to_date("ts"))
     part = F.floor(day / 4).cast("int") + (F.xxhash64("event_id") % 2 == 0).cast("int")
     placed = flagged.withColumn("part", part)
-    bounds = placed.agg(F.min("part"), F.max("part")).first()
-    for p in range(bounds[0], bounds[1] + 1):
-        placed.where(F.col("part") == p).drop("part").repartition(1).write.parquet(f"{folder}/{p:09d}")
+    # the events are read once, whatever time they span; then each file is written from its own part, in order
+    placed.where("part IS NOT NULL").write.partitionBy("part").parquet(f"{folder}-parts")
+    parts = src.spark.read.schema(placed.schema).parquet(f"{folder}-parts")
+    for p in sorted(r["part"] for r in parts.select("part").distinct().collect()):
+        parts.where(F.col("part") == p).drop("part").repartition(1).write.parquet(f"{folder}/{p:09d}")
     beat = [F.lit(None).cast(t).alias(c) for c, t in flagged.dtypes if c != "at"]
     far = src.spark.range(1).select(*beat, F.lit("2100-01-01").cast("timestamp").alias("at"))
     far.write.parquet(f"{folder}/999999999")

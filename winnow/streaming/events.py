@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -406,70 +408,101 @@ class ActivationProcessor(StatefulProcessor):
         pass
 
 
+#: Rows of a key that wait in one value with its flag, and rows that are taken at a time; more wait in a list, so many in each item.
+WAITING_ROWS, TAKEN_ROWS = 1000, 10_000
+
+
+def _packed(rows: list | dict) -> bytes | None:
+    """What waits, as one value of the state: to read or write it is one call, however much it is."""
+    return pickle.dumps(rows) if rows else None
+
+
 class OrderedActivationProcessor(StatefulProcessor):
-    """The state change filter in event time: rows wait until the watermark passes them and are then taken in order."""
+    """The state change filter in event time: rows wait until the watermark passes them and are then taken in order.
 
-    def __init__(self, key: str, flag: str, order: list[str], order_types: str, forget_micros: int | None):
-        self.key, self.flag, self.order = key, flag, order
-        self.order_types, self.forget = order_types, forget_micros
+    A batch reads and writes the state of a key once. The rows of a key with many of them are not in it but in a list,
+    to which those of a batch are only added.
+    """
+
+    def __init__(self, key: str, flag: str, order: list[str], forget_micros: int | None):
+        self.key, self.flag, self.order, self.forget = key, flag, order, forget_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "flag boolean, at bigint")
-        self.rows = handle.getListState("rows", f"{MICROS} bigint, {self.order_types}, flag boolean")
-        self.timer = handle.getValueState("timer", "at bigint")
+        # the timer, the rows that wait for it, and whether more do in the list
+        self.timer = handle.getValueState("timer", "at bigint, waiting binary, more boolean")
+        self.rows = handle.getListState("rows", "waiting binary")
+        self.out = Row(self.key, *self.order, "change")
 
-    def _wake(self, micros: int) -> None:
+    def _wake(self, set_for: int | None, micros: int) -> int:
         """Have a timer no later than that; one timer at a time."""
         at = -(-micros // 1000)
-        if self.timer.exists():
-            set_for = self.timer.get()[0]
+        if set_for is not None:
             if set_for <= at:
-                return
+                return set_for
             self.handle.deleteTimer(set_for)
         self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            pdf = pdf[pdf[self.flag].notna()]  # not in the plan: a filter would move below the watermark
-            if not len(pdf):
-                continue
-            columns = [pdf[c].tolist() for c in [MICROS, *self.order, self.flag]]
-            self.rows.appendList(list(zip(*columns)))
-            self._wake(int(pdf[MICROS].min()))
+        return at
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # not in the plan: a filter would move below the watermark
+        told = ((r[MICROS], *[r[c] for c in self.order], r[self.flag]) for r in rows if r[self.flag] is not None)
+        first, timer, waiting, more = None, None, [], False
+        while arrived := list(islice(told, TAKEN_ROWS)):
+            if first is None and (kept := self.timer.get()):
+                timer, held, more = kept
+                waiting = pickle.loads(held) if held else []
+            waiting += arrived
+            if len(waiting) > WAITING_ROWS:
+                starts = range(0, len(waiting), WAITING_ROWS)
+                self.rows.appendList([(_packed(waiting[i : i + WAITING_ROWS]),) for i in starts])
+                waiting, more = [], True
+            own = min(r[0] for r in arrived)
+            first = own if first is None else min(first, own)
+        if first is not None:
+            self.timer.update((self._wake(timer, first), _packed(waiting), more))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.timer.get()
+        if not kept:
+            return
         reached = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.rows.get()) if self.rows.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= reached), key=lambda r: tuple(r[1:-1]))
-        rest = [tuple(r) for r in waiting if r[0] > reached]
-        flag, at = self.last.get() if self.last.exists() else (False, reached)
-        changes = []
+        _, held, more = kept
+        waiting = pickle.loads(held) if held else []
+        if more:
+            for (pack,) in self.rows.get():
+                waiting += pickle.loads(pack)
+            self.rows.clear()
+        ready = sorted((r for r in waiting if r[0] <= reached), key=lambda r: r[1:-1])
+        rest = [r for r in waiting if r[0] > reached]
+        before = self.last.get()
+        flag, at = before or (False, reached)
         for r in ready:
             if flag and self.forget is not None and r[0] - at >= self.forget:
                 flag = False
             if bool(r[-1]) != flag:
                 flag = bool(r[-1])
-                changes.append((key[0], *r[1:-1], "activated" if flag else "deactivated"))
+                yield self.out(key[0], *r[1:-1], "activated" if flag else "deactivated")
             at = r[0]
-        if rest:
-            self.rows.put(rest)
-            self._wake(min(r[0] for r in rest))
-        else:
-            self.rows.clear()
+        more = len(rest) > WAITING_ROWS
+        if more:
+            self.rows.put([(_packed(rest[i : i + WAITING_ROWS]),) for i in range(0, len(rest), WAITING_ROWS)])
+        timer = self._wake(None, min(r[0] for r in rest)) if rest else None
         quiet = self.forget is not None and reached >= at + self.forget
         if flag and not (quiet and not rest):
-            self.last.update((flag, at))
+            if (flag, at) != before:
+                self.last.update((flag, at))
             if self.forget is not None and not rest:
-                self._wake(at + self.forget)
-        else:
+                timer = self._wake(None, at + self.forget)
+        elif before:
             # a key without state is inactive, so nothing is lost with it
             self.last.clear()
-        if changes:
-            yield pd.DataFrame(changes, columns=[self.key, *self.order, "change"])
+        if timer is None:
+            self.timer.clear()
+        else:
+            self.timer.update((timer, None if more else _packed(rest), more))
 
     def close(self) -> None:
         pass
@@ -505,14 +538,13 @@ def activation_stream(
                 ActivationProcessor(key, flag, order), f"{fields}, change string", "Append", "None"
             )
         )
-    types = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in order)
     kept = [c for c in dict.fromkeys([key, flag, *order, event_time])]
-    processor = OrderedActivationProcessor(key, flag, order, types, None if forget is None else _micros(forget))
+    processor = OrderedActivationProcessor(key, flag, order, None if forget is None else _micros(forget))
     return (
         stream.withWatermark(event_time, delay)
         .select(*kept, F.unix_micros(event_time).alias(MICROS))
         .groupBy(key)
-        .transformWithStateInPandas(processor, f"{fields}, change string", "Append", "EventTime")
+        .transformWithState(processor, f"{fields}, change string", "Append", "EventTime")
     )
 
 
@@ -577,11 +609,17 @@ def assemble_text(chunks: DataFrame, paths: list[str] = DELTA_PATHS) -> DataFram
     return joined.select("request", F.array_join(F.transform("ds", lambda d: d["delta"]), "").alias("text"))
 
 
+#: Chunks in a block of those that wait.
+WAITING_CHUNKS = 256
+
+
 class LineProcessor(StatefulProcessor):
     """Stream form of the line assembly: chunks ahead of their turn wait, the others are taken in sequence.
 
     Of each request the unfinished tail, the number of its lines and of the next chunk are kept, and the chunks that
-    wait, by number, until it ends: with its last chunk or, in event time, after a silence.
+    wait, by number, until it ends: with its last chunk or, in event time, after a silence. Chunks of the block whose
+    turn it is wait beside the tail, so a batch reads and writes the state of a short request once; those of later
+    blocks wait block by block.
     """
 
     def __init__(self, event_time: str | None = None, silence_micros: int = 0):
@@ -589,46 +627,58 @@ class LineProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.carry = handle.getValueState("carry", "tail string, n_lines bigint, next bigint, timer bigint")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "data string, ends boolean")
+        self.carry = handle.getValueState(
+            "carry", "tail string, n_lines bigint, next bigint, timer bigint, waiting binary, n_later bigint"
+        )
+        self.later = handle.getMapState("waiting", "block bigint", "chunks binary")
+        self.out = Row("request", "line_no", "line")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _block(self, block: int) -> dict | None:
+        held = self.later.getValue((block,))
+        return pickle.loads(held[0]) if held else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:  # not in the plan: a filter would move below the watermark
             return
-        tail, n, due, timer = self.carry.get() if self.carry.exists() else ("", 0, 0, None)
-        ended, latest = False, None
-        for pdf in rows:
-            arrived = {
-                int(seq): ("" if data is None else data, bool(ends))
-                for seq, data, ends in zip(pdf["seq"], pdf["data"], pdf["ends"])
-                if seq >= due  # a chunk that comes again
-            }
+        tail, n, due, timer, held, n_later = self.carry.get() or ("", 0, 0, None, None, 0)
+        here = pickle.loads(held) if held else {}
+        ended, latest, stored = False, None, n_later
+        while not ended and (taken := list(islice(rows, TAKEN_ROWS))):
+            ahead: dict[int, dict] = {}
+            for r in taken:
+                seq = r["seq"]
+                if seq is not None and seq >= due:  # not a chunk that comes again
+                    block = seq // WAITING_CHUNKS
+                    own = here if block == due // WAITING_CHUNKS else ahead.setdefault(block, {})
+                    own[seq] = (r["data"] or "", r["ends"])
             if self.event_time:
-                own = int(pdf[self.event_time].max())
-                latest = own if latest is None else max(latest, own)
+                newest = max(r[self.event_time] for r in taken)
+                latest = newest if latest is None else max(latest, newest)
             parts = [tail]
-            while not ended:
-                if due in arrived:
-                    data, ended = arrived.pop(due)
-                elif self.waiting.exists() and self.waiting.containsKey((due,)):
-                    data, ended = self.waiting.getValue((due,))
-                    self.waiting.removeKey((due,))
-                else:
-                    break
+            while not ended and due in here:
+                data, ended = here.pop(due)
                 parts.append(data)
                 due += 1
-            if not ended:
-                for seq, chunk in arrived.items():
-                    self.waiting.updateValue((seq,), chunk)
+                if due % WAITING_CHUNKS == 0 and not ended:
+                    block = due // WAITING_CHUNKS
+                    here = ahead.pop(block, {})
+                    if n_later and (before := self._block(block)) is not None:
+                        self.later.removeKey((block,))
+                        n_later -= 1
+                        here = before | here
             *whole, tail = "".join(parts).split("\n")
             if ended:
                 whole.append(tail)
+            else:
+                for block, chunks in ahead.items():
+                    before = self._block(block) if n_later else None
+                    n_later += before is None
+                    stored += before is None
+                    self.later.updateValue((block,), (_packed((before or {}) | chunks),))
             yield from self._lines(key, n, whole)
             n += len(whole)
-            if ended:
-                break
         if ended:
-            self._forget(timer)
+            self._forget(timer, stored > 0)
             return
         if latest is not None:
             at = -(-(latest + self.silence) // 1000)
@@ -637,29 +687,33 @@ class LineProcessor(StatefulProcessor):
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(at)
                 timer = at
-        self.carry.update((tail, n, due, timer))
+        self.carry.update((tail, n, due, timer, _packed(here), n_later))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A silent request ends: what waits behind a lost chunk follows, and its last line needs no newline."""
-        if not self.carry.exists():
+        kept = self.carry.get()
+        if not kept:
             return
-        tail, n, _, timer = self.carry.get()
+        tail, n, _, timer, held, n_later = kept
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
-        held = sorted((k[0], v[0]) for k, v in self.waiting.iterator()) if self.waiting.exists() else []
-        yield from self._lines(key, n, (tail + "".join(data for _, data in held)).split("\n"))
-        self._forget(None)
-
-    def _lines(self, key, n: int, lines: list[str]) -> Iterator[pd.DataFrame]:
-        kept = [(n + i, line) for i, line in enumerate(lines) if line.strip()]
-        if kept:
-            numbers, texts = zip(*kept)
-            yield pd.DataFrame({"request": [key[0]] * len(kept), "line_no": numbers, "line": texts})
-
-    def _forget(self, timer: int | None) -> None:
+        waiting = pickle.loads(held) if held else {}
+        if n_later:
+            for pack in list(self.later.values()):
+                waiting |= pickle.loads(pack[0])
+        data = "".join(waiting[seq][0] for seq in sorted(waiting))
+        yield from self._lines(key, n, (tail + data).split("\n"))
+        self._forget(None, n_later > 0)
+
+    def _lines(self, key, n: int, lines: list[str]) -> Iterator[Row]:
+        for i, line in enumerate(lines):
+            if line.strip():
+                yield self.out(key[0], n + i, line)
+
+    def _forget(self, timer: int | None, later: bool) -> None:
         self.carry.clear()
-        if self.waiting.exists():
-            self.waiting.clear()
+        if later:
+            self.later.clear()
         if timer is not None:
             self.handle.deleteTimer(timer)
 
@@ -692,7 +746,7 @@ def assemble_stream(
     return (
         stream.select(*columns)
         .groupBy("request")
-        .transformWithStateInPandas(processor, f"request {key_type}, line_no bigint, line string", "Append", mode)
+        .transformWithState(processor, f"request {key_type}, line_no bigint, line string", "Append", mode)
     )
 
 
