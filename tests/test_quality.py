@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,16 @@ def test_apply_transform(spark):
     assert got == {"a.py": ("python:a.py", "changed"), "b.py": ("boom", "failed"), "c.py": ("same", "unchanged"), "e.py": ("empty", "unchanged")}
 
 
+def test_user_code_gets_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(hooks, "PART_BYTES", 10)
+    rows = ["abc", None, "", "défghij", "x" * 30, "k", "l" * 9, "m"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.string())], ["n", "content"])
+    parts = list(hooks._parts(batch, "content"))
+    assert [v for p in parts for v in p.column("content").to_pylist()] == rows
+    assert [p.num_rows for p in parts] == [3, 1, 1, 2, 1]
+    assert list(hooks._parts(batch.slice(0, 0), "content")) == []
+
+
 def test_hooks(spark):
     df = spark.createDataFrame([("a", "x")], "path string, content string")
     first = hooks.register_hook("h.test", lambda f: f, lambda: F.col("path"))

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ log = logging.getLogger(__name__)
 CHANGED, UNCHANGED, FAILED = "changed", "unchanged", "failed"
 Transform = Callable[[str, str, str], str]
 
+#: Bytes of content that user code is handed at once inside a task; a larger file is a part of its own.
+PART_BYTES = 1 << 20
+
 
 class Hook(NamedTuple):
     """``line`` is the text of one row of the collected facts.
@@ -133,12 +137,26 @@ def chain(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> D
     return reduce(DataFrame.transform, steps, df)
 
 
+def _parts(batch: pa.RecordBatch, content: str) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with at most ``PART_BYTES`` of content, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(content)), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > PART_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def apply_transform(files: DataFrame, fn: Transform, extensions: list[str]) -> DataFrame:
     """Run user code on the content of matching files.
 
     ``fn(content, path, language)`` returns the new content. A file whose call
     raises keeps its content and is marked failed; an empty or equal result is
-    unchanged. Rows are independent, so batches stream through each task.
+    unchanged. Rows are independent, so batches stream through each task, a part
+    of bounded size at a time: a worker holds no more of a larger table.
     """
     test = F.lit(False)
     for e in extensions:
