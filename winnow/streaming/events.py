@@ -325,20 +325,36 @@ class ThrottleProcessor(StatefulProcessor):
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: With it a batch stores what it changed of the state, without it every partition's whole files, batch after batch.
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: State partitions for each core of the cluster, and the fewest. Every batch opens and commits them all, even empty ones.
+STATE_PARTITIONS_PER_CORE, LEAST_STATE_PARTITIONS = 2, 32
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Use the state store that arbitrary stateful operators need, for queries started inside."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    """Use the state store that arbitrary stateful operators need, for queries started inside.
+
+    A batch costs by its rows: only changes of the state are stored, over as many partitions as keep the cores busy, or
+    as the session shuffles over if that is less.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(STATE_PARTITIONS_PER_CORE * cores, LEAST_STATE_PARTITIONS)
+    settings = {
+        STATE_STORE: ROCKSDB, CHANGELOG: "true", PARTITIONS: str(min(partitions, int(spark.conf.get(PARTITIONS)))),
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def throttle_stream(
