@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -13,8 +15,8 @@ from winnow.llm.batches import map_batches, map_texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Encoded chunks, parts of them and pairs that a worker remembers, tens of megabytes in all; when full, it starts anew.
-MEMO_ENTRIES = 100_000
+#: Encoded chunks, parts of them and pairs that a worker remembers, about a hundred megabytes in all; when full, it starts anew.
+MEMO_ENTRIES = 250_000
 PAIR_ENTRIES = 200_000
 MEMO_CHARS = 48
 
@@ -79,6 +81,13 @@ def parse_model(data: bytes) -> Model:
     return Model(pieces, scores, kinds, model_kind, bool(normalizer.get(3, 1)), bool(trainer.get(35, 0)))
 
 
+_NONE: dict[str, bool] = {}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback, compiled once per worker and composed with each chunk of a text.
 
@@ -96,25 +105,28 @@ class Transducer:
     def __init__(self, model: Model):
         self.model = model
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
+        self.code = {p: _packed([i]) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.unknown = model.kinds.index(UNKNOWN)
         self.reach = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.start: dict = {}  # the pieces as a tree of characters; the key "" marks the end of a piece
+        self.start: dict = {}  # the pieces as a tree: by character, the piece that ends there, if one does, and what may follow
         for p in self.ids:
             node = self.start
             for char in p:
-                node = node.setdefault(char, {})
-            node[""] = True
+                entry = node.setdefault(char, [None, {}])
+                node = entry[1]
+            entry[0] = p
         inner = {b for a, b in self.reach if a != SPACE}
         lines = "\n" if not any("\n" in p for p in self.ids) else ""
         if SPACE in inner:
             self.chunk = re.compile(".+", re.S)
         else:
             self.chunk = re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + ("|\n" if lines else ""))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by the left piece, then the right one
+        self.n_pairs = 0
         self.memo = _Memo(self)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.table = [self._written(i) for i in range(len(model.pieces))]
 
     def _written(self, i: int) -> bytes:
@@ -137,8 +149,9 @@ class Transducer:
             self.memo.clear()
         if len(self.parts) > MEMO_ENTRIES:
             self.parts.clear()
-        if len(self.pairs) > 4 * MEMO_ENTRIES:
+        if self.n_pairs > PAIR_ENTRIES:
             self.pairs.clear()
+            self.n_pairs = 0
         return ids
 
     def decode(self, ids) -> str:
@@ -146,68 +159,82 @@ class Transducer:
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a chunk, from those of the parts that no piece reaches across."""
-        ids, start, reach, parts = [], 0, self.reach, self.parts
-        search = self._best if self.model.model_kind == UNIGRAM else self._only
+        reach = self.reach
+        if reach.issuperset(map(add, chunk, chunk[1:])):
+            return self._part_ids(chunk)
+        ids, start = [], 0
         for k in range(1, len(chunk) + 1):
             if k == len(chunk) or chunk[k - 1 : k + 1] not in reach:
-                part = chunk[start:k]
-                found = parts.get(part)
-                if found is None:
-                    found = search(part)
-                    if len(part) <= MEMO_CHARS:
-                        parts[part] = found
-                ids += found
+                ids.append(self._part_ids(chunk[start:k]))
                 start = k
-        return ids
+        return b"".join(ids)
+
+    def _part_ids(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self._best(part) if self.model.model_kind == UNIGRAM else self._only(part)
+            if len(part) <= MEMO_CHARS:
+                self.parts[part] = found
+        return found
 
-    def _fallback(self, char: str) -> list[int]:
+    def _fallback(self, char: str) -> bytes:
         if self.model.byte_fallback:
-            return [self.bytes[b] for b in char.encode("utf-8", "replace")]
-        return [self.unknown]
+            return _packed([self.bytes[b] for b in char.encode("utf-8", "replace")])
+        return _packed([self.unknown])
+
+    def _written_ids(self, path: Iterable[str]) -> bytes:
+        code = self.code
+        return b"".join([code[p] if p in code else self._fallback(p) for p in path])
 
-    def _only(self, part: str) -> list[int]:
+    def _only(self, part: str) -> bytes:
         """The finite path of a BPE model."""
-        ids, n = self.ids, len(part)
+        code, n = self.code, len(part)
         if n == 1:
-            return [ids[part]] if part in ids else self._fallback(part)
-        if n <= self.longest and part in ids and self.apart("", part):
-            return [ids[part]]
-        # The path so far, where its pieces start, and for each the ends still to try, the last one first.
-        path, starts, left = [], [], []
+            return self._written_ids(part)
+        if n <= self.longest and part in code and self.apart("", part):
+            return code[part]
+        # The path so far, and for each of its pieces those still to try in its place, the last one first.
+        path, left = [], []
         at, before, ends, pairs, root = 0, "", None, self.pairs, self.start
         while at < n:
             if ends is None:
-                ends, node, end = [at + 1], root.get(part[at]), at + 1
-                while node and end < n:
-                    node = node.get(part[end])
-                    end += 1
-                    if node and "" in node:
-                        ends.append(end)
+                char = part[at]
+                ends, entry = [char], root.get(char)
+                if entry:
+                    node = entry[1]
+                    for char in part[at + 1 : at + self.longest]:
+                        entry = node.get(char)
+                        if entry is None:
+                            break
+                        piece, node = entry
+                        if piece:
+                            ends.append(piece)
+            known = pairs.get(before, _NONE)
             while ends:
-                end = ends.pop()
-                piece = part[at:end]
-                fits = pairs.get((before, piece))
+                piece = ends.pop()
+                fits = known.get(piece)
                 if fits is None:
                     fits = self.apart(before, piece)
                 if fits:
                     path.append(piece)
-                    starts.append(at)
                     left.append(ends)
-                    at, before, ends = end, piece, None
+                    at += len(piece)
+                    before, ends = piece, None
                     break
             else:
-                path.pop()
-                at, ends, before = starts.pop(), left.pop(), path[-1] if path else ""
-        return [i for p in path for i in ([ids[p]] if p in ids else self._fallback(p))]
+                at -= len(path.pop())
+                ends, before = left.pop(), path[-1] if path else ""
+        return self._written_ids(path)
 
     def apart(self, left: str, right: str) -> bool:
         """Whether merging the characters of both pieces ends with exactly these two."""
-        known = self.pairs.get((left, right))
+        after = self.pairs.setdefault(left, {})
+        known = after.get(right)
         if known is None:
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = known
+            known = after[right] = self.merged(left + right) == ([left, right] if left else [right])
+            self.n_pairs += 1
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -224,7 +251,7 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _best(self, part: str) -> list[int]:
+    def _best(self, part: str) -> bytes:
         """The lightest path of a unigram model; of equals, the one whose last piece starts first."""
         ids, scores = self.ids, self.model.scores
         unknown = min(scores) - 10
@@ -239,7 +266,7 @@ class Transducer:
         while end:
             path.append(part[back[end] : end])
             end = back[end]
-        return [i for p in reversed(path) for i in ([ids[p]] if p in ids else self._fallback(p))]
+        return self._written_ids(reversed(path))
 
 
 class _Memo(dict):
@@ -249,7 +276,7 @@ class _Memo(dict):
         self.owner = owner
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.owner.chunk_ids(chunk), np.int32).tobytes()
+        ids = self.owner.chunk_ids(chunk)
         if len(chunk) <= MEMO_CHARS:
             self[chunk] = ids
         return ids
