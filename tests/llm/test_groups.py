@@ -371,3 +371,18 @@ def test_pipeline_against_its_parts(spark):
     fst = sentencepiece.compiled(sentencepiece.read_model())
     assert {r.doc_id: r.ids for r in found} == {i: np.frombuffer(fst.encode(t), np.int32).tolist() for i, t in texts.items()}
     assert all(r.exact for r in found)
+
+
+def test_piece_pairs_keep_to_their_own_limit(monkeypatch):
+    data = sentencepiece.read_model()
+    texts = ["the river runs past", "stone-houses, ÀÉ ö 😀", "x" * 60, "under a bridge\nwhere children wait", "", "a ▁ b"] * 2
+    free = sentencepiece.Transducer(sentencepiece.parse_model(data))
+    wanted = [free.encode(t) for t in texts]
+    assert free.n_pairs == sum(map(len, free.pairs.values())) > 5
+    monkeypatch.setattr(sentencepiece, "PAIR_ENTRIES", 5)
+    monkeypatch.setattr(sentencepiece, "MEMO_ENTRIES", 1)
+    tight = sentencepiece.Transducer(sentencepiece.parse_model(data))
+    for text, ids in zip(texts, wanted):
+        assert tight.encode(text) == ids
+        assert tight.n_pairs == sum(map(len, tight.pairs.values())) <= 5
+        assert tight.decode(np.frombuffer(ids, np.int32).tolist()) == text.replace("▁", " ")
