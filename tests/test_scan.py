@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from winnow.functions.text import any_of
 from winnow.operators import scan
 from winnow.operators.rules import FUNCTION_NEEDS, FUNCTION_PATTERNS, LINE_ACTIONS, SCAN_RULES
 
@@ -118,6 +119,40 @@ def test_line_action_gates_never_hide_a_match(spark):
     assert gated == ungated and {r[-1] for r in gated} == {a.action for a in LINE_ACTIONS}
 
 
+def test_one_search_finds_what_each_literal_finds(spark):
+    plain, any_case = ["[a", "]b", "-x", "^q", "def", "def ", "# %%", ".select(", "\\d", "&&"], ["from", "fro.", "é"]
+    lines = ["[a", "xx]b", "a-x", "^q", "def", "# %%", "a.select(b", "\\d", "&&", "FROM", "Fro.", "é", "DEF", "a", "[", "fro", ".select", "", "& &"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r.line: r.hit for r in df.select("line", F.rlike("line", F.lit(any_of(plain, any_case))).alias("hit")).collect()}
+    assert got == {x: any(w in x for w in plain) or any(w in x.lower() for w in any_case) for x in lines}
+    assert all(r.hit for r in df.select(F.rlike("line", F.lit(any_of(["a", ""]))).alias("hit")).collect())
+
+
+def test_each_line_is_searched_once_for_the_actions_of_its_language(spark):
+    """Lines are neither lowered nor searched literal by literal before they are known to hold one."""
+    files = spark.createDataFrame([("a", "x. y", "python")], "path string, content string, language string")
+    plan = scan.tag_lines(files)._jdf.queryExecution().optimizedPlan().toString()
+    (gate,) = [x for x in plan.splitlines() if re.match(r"\W*Filter ", x) and "RLIKE" in x]
+    languages = {x for a in LINE_ACTIONS for x in a.languages}
+    assert "lower(" not in gate and "Contains(" not in gate and gate.count("RLIKE") == len(languages) + 1
+
+
+def test_hints_never_hide_a_match(spark):
+    lines = ["a.b.c", "éa.b.c", "a.b.é", "a.b. c", "..a", "a..b", "a.b.cé", "1.2.3", ".a.b", "x .a.b", "End. Of. It.", "_._._"]
+    hinted = [a for a in LINE_ACTIONS if a.hint]
+    rows = [(x, x, lang) for x in lines for lang in ("python", "sql", "yaml", None)]
+    files = spark.createDataFrame(rows, "path string, content string, language string")
+    with_hint = sorted((r.path, r.language) for r in scan.tag_lines(files, hinted).collect())
+    without = sorted((r.path, r.language) for r in scan.tag_lines(files, [a._replace(hint="", needs=()) for a in hinted]).collect())
+    word = r"\b\w+\.\w+\.\w+\b"
+    assert with_hint == without == sorted((x, y) for x in lines for y in ("python", "sql") if re.search(word, x, re.ASCII))
+
+
+def test_actions_of_every_language_need_no_language(spark):
+    files = spark.createDataFrame([("a", "x\nclass A", None), ("b", "class A", "cobol")], "path string, content string, language string")
+    assert sorted(map(tuple, scan.tag_lines(files).select("path", "line_no", "action").collect())) == [("a", 1, "git.blame"), ("b", 0, "git.blame")]
+
+
 def test_function_gates_never_hide_a_match(spark):
     lines = [
         "def f(x):", "async def g (", "export async function h", "const a = (", "let b= async (", "  public int run(",

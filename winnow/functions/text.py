@@ -148,3 +148,26 @@ def holds_any(c: Column | str, literals: Iterable[str]) -> Column:
     for word in literals:
         test = test | F.contains(c, F.lit(word))
     return test
+
+
+def _prefix_tree(words: set[tuple[str, ...]]) -> str:
+    if () in words:  # a word that is the start of others stands for them
+        return ""
+    rests: dict[str, set[tuple[str, ...]]] = {}
+    for first, *rest in words:
+        rests.setdefault(first, set()).add(tuple(rest))
+    parts = [first + _prefix_tree(rest) for first, rest in sorted(rests.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def any_of(literals: Iterable[str], any_case: Iterable[str] = ()) -> str:
+    """A pattern that finds any of the literals in one pass; letters of ``any_case``, given in lower case, stand in either case.
+
+    The literals form a prefix tree, and a look at the next character passes over most positions.
+    """
+    words = {tuple(re.escape(c) for c in w) for w in literals}
+    words |= {tuple(f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c) for c in w) for w in any_case}
+    if () in words:
+        return ""
+    firsts = "".join(sorted({w[0][1:-1] if w[0].startswith("[") else w[0] for w in words}))
+    return f"(?=[{firsts}]){_prefix_tree(words)}"

@@ -287,6 +287,12 @@ class LineAction(NamedTuple):
     # literals of which every matching line holds at least one; lower case where
     # the pattern ignores case
     needs: tuple[str, ...]
+    # a pattern that every matching line matches too and that is found sooner; in place of the literals
+    hint: str = ""
+
+    @property
+    def ignores_case(self) -> bool:
+        return self.pattern.startswith("(?i)")
 
 
 _DJANGO_MODEL = r"^class\s+\w+\s*\(\s*(?:models\.Model|[\w.]*Model[\w.]*)\s*\)"
@@ -423,7 +429,7 @@ LINE_ACTIONS = [
     LineAction("aws.debug_lambda", r"""boto3\.client\s*\(\s*['"]lambda['"]""", ("python",), ("lambda",)),
     LineAction("aws.debug_glue", r"""boto3\.client\s*\(\s*['"]glue['"]""", ("python",), ("glue",)),
     LineAction("aws.browse_s3", r"""boto3\.client\s*\(\s*['"]s3['"]""", ("python",), ("s3",)),
-    LineAction("catalog.explain_table", r"\b\w+\.\w+\.\w+\b", ("python", "sql"), (".",)),
+    LineAction("catalog.explain_table", r"\b\w+\.\w+\.\w+\b", ("python", "sql"), (".",), r"\.\w+\.\w"),
     LineAction(
         "catalog.run_sql",
         r"(?i)spark\.sql\(|SELECT\s+|INSERT\s+|MERGE\s+|CREATE\s+|ALTER\s+",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.paths import language_of
 from winnow.functions.text import (
+    any_of,
     holds_any,
     is_comment_line,
     js_space,
@@ -109,31 +110,49 @@ def _applies(languages: tuple[str, ...]) -> Column:
     return F.col("language").isin(*languages) if languages else F.lit(True)
 
 
+def _may_hold(actions: list[LineAction]) -> Column:
+    """True where a line holds what one of the actions needs, whatever its language."""
+    if not actions:
+        return F.lit(False)
+    if not all(a.needs for a in actions):
+        return F.lit(True)
+    plain = [n for a in actions for n in a.needs if not (a.hint or a.ignores_case)]
+    any_case = [n for a in actions for n in a.needs if not a.hint and a.ignores_case]
+    patterns = [a.hint for a in actions if a.hint]
+    if plain or any_case:
+        patterns.append(any_of(plain, any_case))
+    return F.rlike("line", F.lit("|".join(patterns)))
+
+
 def tag_lines(
     files: DataFrame, actions: list[LineAction] = LINE_ACTIONS, content: str = "content"
 ) -> DataFrame:
-    """Every (line, action) whose language fits and whose pattern matches the line."""
+    """Every (line, action) whose language fits and whose pattern matches the line; a null language fits actions of every language."""
     # actions that share a pattern and languages are tested once
     groups: dict[LineAction, list[str]] = {}
     for a in actions:
         groups.setdefault(a._replace(action=""), []).append(a.action)
-
-    def possible(a: LineAction) -> Column:
-        line = F.col("_low") if a.pattern.startswith("(?i)") else F.col("line")
-        return _applies(a.languages) & (holds_any(line, a.needs) if a.needs else F.lit(True))
-
-    lines = explode_lines(files, content).withColumn("_low", F.lower("line"))
-    gate = F.lit(False)
-    for a in groups:
-        gate = gate | possible(a)
-    tests = [
-        F.when(
-            possible(a) & F.rlike("line", F.lit(rule_pattern(a.pattern))), F.array(*[F.lit(n) for n in names])
-        )
-        for a, names in groups.items()
-    ]
+    # one search per line, for all that the actions of its language need
+    everywhere = [a for a in groups if not a.languages]
+    named = sorted({x for a in groups for x in a.languages})
+    other = F.col("language").isNull() | ~F.col("language").isin(*named)
+    gate = other & _may_hold(everywhere)
+    for language in named:
+        own = [a for a in groups if language in a.languages]
+        gate = gate | ((F.col("language") == language) & _may_hold([*own, *everywhere]))
+    lines = explode_lines(files, content).filter(gate)
+
+    def test(a: LineAction) -> Column:
+        hit = _applies(a.languages)
+        if a.hint:
+            hit = hit & F.rlike("line", F.lit(a.hint))
+        elif a.needs:
+            hit = hit & holds_any("_low" if a.ignores_case else "line", a.needs)
+        return hit & F.rlike("line", F.lit(rule_pattern(a.pattern)))
+
+    tests = [F.when(test(a), F.array(*[F.lit(n) for n in names])) for a, names in groups.items()]
     found = F.flatten(F.array_compact(F.array(*tests)))
-    return lines.filter(gate).withColumn("action", F.explode(found)).drop("_low")
+    return lines.withColumn("_low", F.lower("line")).withColumn("action", F.explode(found)).drop("_low")
 
 
 def match_actions(
